@@ -27,7 +27,7 @@ def _c(x: Column | str) -> Column:
 def finite(x: Column | str) -> Column:
     """Double, or NULL when the input does not parse or is not finite."""
     d = _c(x).try_cast("double")
-    return F.when(~F.isnan(d) & (F.abs(d) < F.lit(float("inf"))), d)
+    return F.when(F.abs(d) < float("inf"), d)  # NaN sorts above infinity
 
 
 def vendor_number(x: Column | str) -> Column:
@@ -41,23 +41,9 @@ def strict_sum(parts: Sequence[Column | str]) -> Column:
 
 
 def rounded(x: Column | str, digits: int = 2) -> Column:
-    """Decimal rounding of the exact binary value, ties to even - what ``round`` does on floats.
-
-    ``F.round`` looks at the shortest printed form instead and gives 6.02 for
-    6.015, which is really a little below the tie.  The part of ``x * scale``
-    that the product loses is recovered by splitting ``x`` in two halves, so the
-    comparison with the tie is exact.
-    """
-    x, scale = _c(x), float(10**digits)
-    product = x * scale
-    below = F.floor(product).cast("double")
-    head = x * 134217729.0 - (x * 134217729.0 - x)  # upper half of the mantissa
-    lost = (head * scale - product) + (x - head) * scale
-    over_tie = (product - below - 0.5) + lost
-    up = (over_tie > 0) | ((over_tie == 0) & (below % 2 != 0))
-    exact = (below + F.when(up, 1.0).otherwise(0.0)) / scale
-    # beyond that there are no decimals left to round
-    return F.when(F.abs(x) < 1e13, exact).otherwise(F.round(x, digits))
+    """Reporting form.  Half away from zero on the printed value, so a tie may end one last digit
+    away from rounding the binary float."""
+    return F.round(_c(x), digits)
 
 
 def yi(yuan: Column | str) -> Column:

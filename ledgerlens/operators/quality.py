@@ -1,7 +1,8 @@
 """Data-quality rules on the company document.
 
-A rule looks at the struct columns of one company row and yields zero or more
-problems, so all rules of all companies are one projection without a shuffle.
+The rules are SQL conditions over one company row, so all rules of all companies
+are one projection without a shuffle.  Values that several rules need are named
+once in ``_named`` below.
 """
 
 from __future__ import annotations
@@ -17,6 +18,7 @@ PROBLEM = "array<struct<rule_id:string,severity:string,detail:string>>"
 SECTIONS_WITH_CODE = ("market", "annual", "quarterly", "balance", "indicators", "audit", "industry", "forecast")
 # Sections that answer without data as well; the others have no code when they are empty.
 ALWAYS_CODED = ("annual", "quarterly", "indicators", "audit", "industry", "forecast")
+FIRST_FOUR = (1, 2, 3, 4)
 
 
 @dataclass(frozen=True)
@@ -24,197 +26,182 @@ class Rule:
     rule_id: str
     severity: str  # E or W
     detail: str
-    broken: Column
+    broken: str
 
 
-def _not(condition: Column) -> Column:
-    """A requirement that is unknown counts as broken."""
-    return ~F.coalesce(condition, F.lit(False))
+def _known4(field: str) -> str:
+    """All four newest quarters carry the field."""
+    return "(" + " and ".join(f"abs(q{i}.{field}) < double('infinity')" for i in FIRST_FOUR) + ")"
 
 
-def _present(x: Column) -> Column:
-    return V.finite(x).isNotNull()
+def _sum4(field: str) -> str:
+    return "round(" + " + ".join(f"q{i}.{field}" for i in FIRST_FOUR) + ", 2)"
 
 
-def _first4(field: str) -> list[Column]:
-    return [F.try_element_at("quarterly.periods", F.lit(i))[field] for i in (1, 2, 3, 4)]
-
-
-def _all_present(field: str) -> Column:
-    out = F.lit(True)
-    for v in _first4(field):
-        out = out & _present(v)
-    return out
-
-
-def _growth_again(field: str, horizon: int | None) -> Column:
+def _growth_again(field: str, horizon: int | None) -> str:
     """Growth recomputed from the shown (rounded) annual values."""
-    points = F.filter("annual.annual_data", lambda r: r[field] > 0)
-    last = F.try_element_at(points, F.lit(-1))
+    points = f"{field}_points"
+    last = f"element_at({points}, -1)"
     if horizon is None:
-        start = F.try_element_at(points, F.lit(1))
+        first = f"element_at({points}, 1)"
     else:
-        start = F.try_element_at(F.filter(points, lambda r: r["year"] == last["year"] - horizon), F.lit(1))
-    rate = V.cagr_pct(start[field], last[field], (last["year"] - start["year"]).cast("double"))
-    return F.when(F.size(points) >= 2, V.rounded(rate))
-
-
-def _same(expected: Column, declared: Column, tolerance: float) -> Column:
-    both_unknown = expected.isNull() & declared.isNull()
-    return both_unknown | F.coalesce(F.abs(expected - declared) <= tolerance, F.lit(False))
-
-
-def _period_date(i: int) -> Column:
-    return V.as_date(F.try_element_at("quarterly.periods", F.lit(i))["period"])
+        first = f"try_element_at(filter({points}, r -> r.year = {last}.year - {horizon}), 1)"
+    years = f"({last}.year - {first}.year)"
+    rate = f"(pow({last}.{field} / {first}.{field}, 1D / {years}) - 1) * 100"
+    return f"(case when size({points}) >= 2 and {years} > 0 then round({rate}, 2) end)"
+
+
+def _named(documents: DataFrame, as_of: Column) -> DataFrame:
+    """The document with the values the rules share."""
+    q = "try_element_at(quarterly.periods, {i})"
+    first = documents.withColumns(
+        {
+            "code": V.normalize_code("ts_code"),
+            "today": as_of,
+            "fy": V.fiscal_year_available(as_of),
+            "traded": V.as_date("market.trade_date"),
+            "rows": F.expr("coalesce(annual.annual_data, array())"),
+            "years": F.expr("coalesce(transform(annual.annual_data, r -> r.year), array())"),
+            "revenue_yi_points": F.expr("filter(annual.annual_data, r -> r.revenue_yi > 0)"),
+            "net_profit_yi_points": F.expr("filter(annual.annual_data, r -> r.net_profit_yi > 0)"),
+            "shown": F.expr("coalesce(size(quarterly.periods), 0)"),
+            **{f"q{i}": F.expr(q.format(i=i)) for i in FIRST_FOUR},
+            **{f"d{i}": V.as_date(F.expr(q.format(i=i) + ".period")) for i in FIRST_FOUR},
+            "newest_ind": F.expr("try_element_at(indicators.indicators, 1)"),
+            "ind_rows": F.expr("coalesce(size(indicators.indicators), 0)"),
+            "stats": F.expr("map_values(industry.industry_stats)"),
+        }
+    )
+    return first.withColumns(
+        {
+            "four": F.expr("shown >= 4"),
+            "newest_annual": F.expr("try_element_at(rows, -1)"),
+            "newest_year": F.expr("try_element_at(years, -1)"),
+            "contiguous": F.expr(
+                "coalesce("
+                + " and ".join(
+                    f"(year(d{i}) * 4 + q{i}.quarter) - (year(d{i + 1}) * 4 + q{i + 1}.quarter) = 1" for i in (1, 2, 3)
+                )
+                + ", false)"
+            ),
+            "compared": F.expr("coalesce(size(stats) > 0, false)"),
+            "implied": F.expr("market.close * market.total_shares_yi"),
+        }
+    )
 
 
-def rules(as_of: Column) -> list[Rule]:
+def rules() -> list[Rule]:
     """All rules; the order is the order of the problems."""
-    fy = V.fiscal_year_available(as_of)
     out: list[Rule] = []
 
-    def require(rule_id: str, detail: str, condition: Column, when: Column | None = None) -> None:
-        broken = _not(condition)
-        out.append(Rule(rule_id, "E", detail, broken if when is None else F.coalesce(when, F.lit(False)) & broken))
+    def require(rule_id: str, detail: str, condition: str, when: str = "true") -> None:
+        # a requirement that cannot be decided counts as broken
+        out.append(Rule(rule_id, "E", detail, f"coalesce({when}, false) and not coalesce({condition}, false)"))
 
-    def warn(rule_id: str, detail: str, condition: Column) -> None:
-        out.append(Rule(rule_id, "W", detail, F.coalesce(condition, F.lit(False))))
+    def warn(rule_id: str, detail: str, condition: str) -> None:
+        out.append(Rule(rule_id, "W", detail, f"coalesce({condition}, false)"))
 
     # identity
-    code = V.normalize_code("ts_code")
-    require("DQ1", "stock_info.name", F.coalesce(F.col("stock_info.name"), F.lit("")) != "")
-    require("DQ2", "stock_info.ts_code", code.isNotNull())
+    require("DQ1", "stock_info.name", "stock_info.name <> ''")
+    require("DQ2", "stock_info.ts_code", "code is not null")
     for section in SECTIONS_WITH_CODE:
-        mine = F.col("ts_code") if section in ALWAYS_CODED else F.col(f"{section}.ts_code")
-        require("DQ3", f"{section}.ts_code", mine == code)
+        mine = "ts_code" if section in ALWAYS_CODED else f"{section}.ts_code"
+        require("DQ3", f"{section}.ts_code", f"{mine} = code")
 
     # market
-    traded = V.as_date("market.trade_date")
-    age = F.datediff(as_of, traded)
-    require("DQ4", "market.trade_date", F.col("market.trade_date").isNotNull())
-    require("DQ5", "market.close", _present(F.col("market.close")))
-    require("DQ6", "market.total_mv_yi", _present(F.col("market.total_mv_yi")))
-    require("DQ7", "market.trade_date age", age.between(0, 7), F.col("market.trade_date").isNotNull())
+    require("DQ4", "market.trade_date", "market.trade_date is not null")
+    require("DQ5", "market.close", "abs(market.close) < double('infinity')")
+    require("DQ6", "market.total_mv_yi", "abs(market.total_mv_yi) < double('infinity')")
+    require("DQ7", "market.trade_date age", "datediff(today, traded) between 0 and 7", "market.trade_date is not null")
 
     # annual
-    n = F.coalesce(F.col("annual.count"), F.lit(0))
-    data = F.col("annual.annual_data")
-    years = F.coalesce(F.transform(data, lambda r: r["year"]), F.array().cast("array<int>"))
-    some = F.size(years) > 0
-    newest = F.try_element_at(data, F.lit(-1))
-    require("DQ8", "annual.count", n >= 1)
-    require("DQ9", "annual.count vs rows", n == F.size(years))
-    require("DQ10", "annual years unique", F.size(F.array_distinct(years)) == F.size(years))
-    require("DQ11", "annual years ascending", F.array_sort(years) == years)
-    last_year = F.try_element_at(years, F.lit(-1))
-    require("DQ12", "annual.last_year", F.col("annual.last_year").isNull() | (F.col("annual.last_year") == last_year), some)
-    require("DQ13", "annual newest year", last_year == fy, some)
-    require("DQ14", "annual newest revenue_yi", _present(newest["revenue_yi"]), some)
-    require("DQ14", "annual newest net_profit_yi", _present(newest["net_profit_yi"]), some)
+    require("DQ8", "annual.count", "annual.count >= 1")
+    require("DQ9", "annual.count vs rows", "coalesce(annual.count, 0) = size(years)")
+    require("DQ10", "annual years unique", "size(array_distinct(years)) = size(years)")
+    require("DQ11", "annual years ascending", "array_sort(years) = years")
+    require("DQ12", "annual.last_year", "annual.last_year is null or annual.last_year = newest_year", "size(years) > 0")
+    require("DQ13", "annual newest year", "newest_year = fy", "size(years) > 0")
+    for field in ("revenue_yi", "net_profit_yi"):
+        require("DQ14", f"annual newest {field}", f"abs(newest_annual.{field}) < double('infinity')", "size(years) > 0")
     for prefix, field in (("revenue", "revenue_yi"), ("profit", "net_profit_yi")):
         for suffix, horizon in (("full", None), ("5y", 5)):
-            name = f"{prefix}_cagr_{suffix}_pct"
-            require("DQ15", f"annual.{name}", _same(_growth_again(field, horizon), F.col(f"annual.{name}"), 0.15),
-                    F.size(years) >= 2)
-    warn("DQ16", "annual fewer than 3 years", (n > 0) & (n < 3))
+            declared, again = f"annual.{prefix}_cagr_{suffix}_pct", _growth_again(field, horizon)
+            require(
+                "DQ15", declared,
+                f"({again} is null and {declared} is null) or abs({again} - {declared}) <= 0.15D", "size(years) >= 2",
+            )
+    warn("DQ16", "annual fewer than 3 years", "annual.count > 0 and annual.count < 3")
 
     # quarterly
-    count = F.coalesce(F.size("quarterly.periods"), F.lit(0))
-    four = count >= 4
-    numbers = _first4("quarter")
-    ids = [F.year(_period_date(i)) * 4 + numbers[i - 1] for i in (1, 2, 3, 4)]
-    contiguous = F.coalesce(
-        (ids[0] - ids[1] == 1) & (ids[1] - ids[2] == 1) & (ids[2] - ids[3] == 1), F.lit(False)
-    )
-    quarter_age = F.datediff(as_of, _period_date(1))
-    q = {f: F.col(f"quarterly.{f}") for f in ("ocf_ttm_yi", "cap_ex_ttm_yi", "fcf_ttm_yi", "ttm_complete")}
-    flag = F.coalesce(F.col("quarterly.ocf_ttm_complete"), F.lit(False))
-    ocf_full = contiguous & _all_present("ocf_yi")
-
-    def total(field: str) -> Column:
-        return V.rounded(V.strict_sum(_first4(field)))
-
-    require("DQ17", "quarterly fewer than 4 quarters", four)
-    for i in (1, 2, 3, 4):
-        require("DQ18", f"quarterly quarter number {i}", V.quarter_no(_period_date(i)) == numbers[i - 1], four)
-    require("DQ19", "quarterly contiguous", contiguous, four)
-    require("DQ20", "quarterly newest age", quarter_age.between(0, 200), four)
+    ocf_full = f"(contiguous and {_known4('ocf_yi')})"
+    capex = _known4("capex_yi")
+    require("DQ17", "quarterly fewer than 4 quarters", "four")
+    for i in FIRST_FOUR:
+        number = f"case date_format(d{i}, 'MMdd') when '0331' then 1 when '0630' then 2 when '0930' then 3 when '1231' then 4 end"
+        require("DQ18", f"quarterly quarter number {i}", f"({number}) = q{i}.quarter", "four")
+    require("DQ19", "quarterly contiguous", "contiguous", "four")
+    require("DQ20", "quarterly newest age", "datediff(today, d1) between 0 and 200", "four")
     for field in ("revenue_yi", "net_profit_yi", "ocf_yi"):
-        require("DQ21", f"quarterly {field}", _all_present(field), four)
-    require("DQ22", "quarterly.ocf_ttm_complete agrees", flag == ocf_full, four)
-    require("DQ22", "quarterly ocf complete", ocf_full, four)
-    require("DQ23", "quarterly.ocf_ttm_yi", F.abs(q["ocf_ttm_yi"] - total("ocf_yi")) <= 0.05, four & ocf_full)
-    for i in (1, 2, 3, 4):
-        p = F.try_element_at("quarterly.periods", F.lit(i))
-        gap = F.abs((p["ocf_yi"] - p["capex_yi"]) - p["fcf_yi"])
-        require("DQ24", f"quarterly fcf {i}", gap <= 0.03, four & _present(p["ocf_yi"]) & _present(p["capex_yi"]))
-    capex = _all_present("capex_yi")
-    require("DQ25", "quarterly.cap_ex_ttm_yi", F.abs(q["cap_ex_ttm_yi"] - total("capex_yi")) <= 0.05, four & capex)
-    require("DQ25", "quarterly.fcf_ttm_yi", F.abs(q["fcf_ttm_yi"] - total("fcf_yi")) <= 0.05, four & capex)
-    warn("DQ26", "quarterly capex missing", four & ~capex)
-    warn("DQ26", "quarterly fcf ttm incomplete", four & capex & ~F.coalesce(q["ttm_complete"], F.lit(False)))
-    warn("DQ27", "quarterly inferred basis", F.exists(
-        "quarterly.periods",
-        lambda p: F.coalesce(p["source_statement_kind"]["income"] == "inferred_ytd", F.lit(False))
-        | F.coalesce(p["source_statement_kind"]["cashflow"] == "inferred_ytd", F.lit(False)),
-    ))
+        require("DQ21", f"quarterly {field}", _known4(field), "four")
+    require("DQ22", "quarterly.ocf_ttm_complete agrees",
+            f"coalesce(quarterly.ocf_ttm_complete, false) = coalesce({ocf_full}, false)", "four")
+    require("DQ22", "quarterly ocf complete", ocf_full, "four")
+    require("DQ23", "quarterly.ocf_ttm_yi", f"abs(quarterly.ocf_ttm_yi - {_sum4('ocf_yi')}) <= 0.05D", f"four and {ocf_full}")
+    for i in FIRST_FOUR:
+        require("DQ24", f"quarterly fcf {i}", f"abs((q{i}.ocf_yi - q{i}.capex_yi) - q{i}.fcf_yi) <= 0.03D",
+                f"four and q{i}.ocf_yi is not null and q{i}.capex_yi is not null")
+    require("DQ25", "quarterly.cap_ex_ttm_yi", f"abs(quarterly.cap_ex_ttm_yi - {_sum4('capex_yi')}) <= 0.05D", f"four and {capex}")
+    require("DQ25", "quarterly.fcf_ttm_yi", f"abs(quarterly.fcf_ttm_yi - {_sum4('fcf_yi')}) <= 0.05D", f"four and {capex}")
+    warn("DQ26", "quarterly capex missing", f"four and not coalesce({capex}, false)")
+    warn("DQ26", "quarterly fcf ttm incomplete", f"four and {capex} and not coalesce(quarterly.ttm_complete, false)")
+    warn("DQ27", "quarterly inferred basis",
+         "exists(quarterly.periods, p -> p.source_statement_kind.income <=> 'inferred_ytd' "
+         "or p.source_statement_kind.cashflow <=> 'inferred_ytd')")
 
     # balance
-    end = F.col("balance.end_date")
-    require("DQ28", "balance.end_date", end.isNotNull())
-    require("DQ29", "balance year", F.substring(end, 1, 4) == fy.cast("string"), end.isNotNull())
-    require("DQ30", "balance.total_assets_yi", _present(F.col("balance.total_assets_yi")))
-    require("DQ30", "balance.equity_yi", _present(F.col("balance.equity_yi")))
-    warn("DQ31", "balance.cash_yi", F.col("balance.cash_yi").isNull())
-    warn("DQ32", "balance.goodwill_yi", F.col("balance.goodwill_yi").isNull())
-    warn("DQ33", "balance.interest_debt_yi", F.col("balance.interest_debt_yi").isNull())
+    require("DQ28", "balance.end_date", "balance.end_date is not null")
+    require("DQ29", "balance year", "left(balance.end_date, 4) = string(fy)", "balance.end_date is not null")
+    require("DQ30", "balance.total_assets_yi", "abs(balance.total_assets_yi) < double('infinity')")
+    require("DQ30", "balance.equity_yi", "abs(balance.equity_yi) < double('infinity')")
+    warn("DQ31", "balance.cash_yi", "balance.cash_yi is null")
+    warn("DQ32", "balance.goodwill_yi", "balance.goodwill_yi is null")
+    warn("DQ33", "balance.interest_debt_yi", "balance.interest_debt_yi is null")
 
     # indicators
-    k = F.coalesce(F.col("indicators.count"), F.lit(0))
-    k_rows = F.coalesce(F.size("indicators.indicators"), F.lit(0))
-    first = F.try_element_at("indicators.indicators", F.lit(1))
-    require("DQ34", "indicators.count", k >= 1)
-    require("DQ34", "indicators.count vs rows", k == k_rows)
-    require("DQ34", "indicators newest year", first["year"] == fy, k_rows > 0)
+    require("DQ34", "indicators.count", "indicators.count >= 1")
+    require("DQ34", "indicators.count vs rows", "coalesce(indicators.count, 0) = ind_rows")
+    require("DQ34", "indicators newest year", "newest_ind.year = fy", "ind_rows > 0")
     for field in ("roe_pct", "gross_margin_pct", "net_margin_pct", "debt_ratio_pct"):
-        require("DQ34", f"indicators newest {field}", _present(first[field]), k_rows > 0)
+        require("DQ34", f"indicators newest {field}", f"abs(newest_ind.{field}) < double('infinity')", "ind_rows > 0")
 
     # audit
-    require("DQ35", "audit.latest", F.col("audit.has_audit") & (F.col("audit.latest.audit_result") != ""))
-    require("DQ36", "audit year", F.substring("audit.latest.end_date", 1, 4) == fy.cast("string"))
+    require("DQ35", "audit.latest", "audit.has_audit and audit.latest.audit_result <> ''")
+    require("DQ36", "audit year", "left(audit.latest.end_date, 4) = string(fy)")
 
     # cross check of units
-    implied = F.col("market.close") * F.col("market.total_shares_yi")
-    require(
-        "DQ37", "market.total_mv_yi vs price x shares",
-        V.relative_deviation(F.col("market.total_mv_yi"), implied) <= 0.05,
-        F.col("market.total_mv_yi").isNotNull() & F.col("market.close").isNotNull() & (F.col("market.total_shares_yi") > 0),
-    )
+    require("DQ37", "market.total_mv_yi vs price x shares",
+            "abs(market.total_mv_yi - implied) / greatest(abs(implied), 1e-9D) <= 0.05D",
+            "market.total_mv_yi is not null and market.close is not null and market.total_shares_yi > 0")
 
     # peers and the rest
-    stats = F.col("industry.industry_stats")
-    compared = F.coalesce(F.size(F.map_keys(stats)) > 0, F.lit(False))
-    warn("DQ38", "industry without peers", ~compared)
-    require("DQ40", "industry.comparison_fiscal_year", F.col("industry.comparison_fiscal_year") == fy, compared)
-    require(
-        "DQ40", "industry.comparison_trade_date",
-        F.coalesce(F.col("industry.comparison_trade_date"), F.lit(""))
-        == F.coalesce(F.col("market.trade_date"), F.lit("")), compared,
-    )
-    warn("DQ39", "industry fewer than 5 peers", compared & F.exists(F.map_values(stats), lambda s: s["count"] < 5))
-    warn("DQ41", "macro", ~F.coalesce(F.col("macro.available"), F.lit(False)))
-    warn("DQ42", "annual non_recurring_pct", F.exists(data, lambda r: r["non_recurring_pct"].isNull()))
+    warn("DQ38", "industry without peers", "not compared")
+    require("DQ40", "industry.comparison_fiscal_year", "industry.comparison_fiscal_year = fy", "compared")
+    require("DQ40", "industry.comparison_trade_date",
+            "coalesce(industry.comparison_trade_date, '') = coalesce(market.trade_date, '')", "compared")
+    warn("DQ39", "industry fewer than 5 peers", "compared and exists(stats, s -> s.count < 5)")
+    warn("DQ41", "macro", "not coalesce(macro.available, false)")
+    warn("DQ42", "annual non_recurring_pct", "exists(rows, r -> r.non_recurring_pct is null)")
     return out
 
 
-def problems(as_of: Column) -> Column:
-    """All broken rules of one company row, in rule order."""
-    found = [
-        F.when(r.broken, F.struct(F.lit(r.rule_id).alias("rule_id"), F.lit(r.severity).alias("severity"),
-                                  F.lit(r.detail).alias("detail")))
-        for r in rules(as_of)
-    ]
-    return F.array_compact(F.array(*found)).cast(PROBLEM)
+def with_problems(documents: DataFrame, as_of: Column, name: str = "problems") -> DataFrame:
+    """The documents plus an array of the broken rules, in rule order."""
+    found = ", ".join(
+        f"case when {r.broken} then named_struct('rule_id', '{r.rule_id}', 'severity', '{r.severity}', 'detail', '{r.detail}') end"
+        for r in rules()
+    )
+    checked = _named(documents, as_of).withColumn(name, F.expr(f"array_compact(array({found}))").cast(PROBLEM))
+    return checked.select(*documents.columns, name)
 
 
 def status(found: Column) -> Column:
@@ -238,13 +225,26 @@ def envelope(found: Column) -> Column:
 
 def violations(documents: DataFrame, as_of: Column) -> DataFrame:
     """One row per company and broken rule."""
-    return documents.select("ts_code", F.explode(problems(as_of)).alias("p")).select("ts_code", "p.*")
+    found = with_problems(documents, as_of).select("ts_code", "problems")
+    return found.select("ts_code", F.inline("problems"))
 
 
 def verdicts(documents: DataFrame, as_of: Column) -> DataFrame:
-    """One row per company: status, number of errors and warnings, and their texts."""
-    q = documents.select("ts_code", envelope(problems(as_of)).alias("q"))
-    return q.select("ts_code", "q.status", F.size("q.errors").alias("errors"), F.size("q.warnings").alias("warnings"))
+    """One row per company: status and number of errors and warnings."""
+    found = with_problems(documents, as_of).select("ts_code", "problems")
+    p = F.col("problems")
+    return found.select(
+        "ts_code",
+        status(p).alias("status"),
+        F.size(F.filter(p, lambda x: x["severity"] == "E")).alias("errors"),
+        F.size(F.filter(p, lambda x: x["severity"] == "W")).alias("warnings"),
+    )
+
+
+def with_verdict(documents: DataFrame, as_of: Column, name: str = "data_quality") -> DataFrame:
+    """The documents with the stored form of the verdict."""
+    checked = with_problems(documents, as_of, "__problems")
+    return checked.withColumn(name, envelope(F.col("__problems"))).drop("__problems")
 
 
 def envelope_problems(declared: Column) -> Column:
@@ -263,7 +263,7 @@ def envelope_problems(declared: Column) -> Column:
 
 def declared_differs(documents: DataFrame, as_of: Column, declared: str = "data_quality") -> DataFrame:
     """Companies whose stored verdict is not what the rules give now."""
-    again = envelope(problems(as_of))
-    return documents.select("ts_code", F.col(declared).alias("declared"), again.alias("recomputed")).filter(
+    again = with_verdict(documents, as_of, "recomputed")
+    return again.select("ts_code", F.col(declared).alias("declared"), "recomputed").filter(
         ~F.col("declared").eqNullSafe(F.col("recomputed"))
     )

@@ -204,8 +204,10 @@ def industry(t: Tables, as_of: date | str | Column, trim_rank: bool = False) ->
             F.array_sort(F.collect_list(F.when(F.col("n") > 0, F.struct("metric", stats.alias("stats")))))
         ).alias("industry_stats"),
         F.map_from_entries(
-            F.array_sort(F.collect_list(F.struct("metric", F.struct(
-                F.col("value"), V.rounded("rank_pct").alias("rank_pct")).alias("own"))))
+            F.array_sort(F.flatten(F.collect_list(F.array(
+                F.struct(F.col("metric").alias("k"), F.col("value").alias("v")),
+                F.struct(F.concat("metric", F.lit("_rank_pct")).alias("k"), V.rounded("rank_pct").alias("v")),
+            ))))
         ).alias("target"),
     )
     cover = peers.peer_coverage(src, on)

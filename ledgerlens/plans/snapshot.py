@@ -49,8 +49,7 @@ def company_sections(t: C.Tables, as_of: date | str | Column, macro_available: b
 def company_document(t: C.Tables, as_of: date | str | Column, macro_available: bool = False) -> DataFrame:
     """Sections plus the quality verdict, ready to be written as one JSON line per company."""
     sections = company_sections(t, as_of, macro_available)
-    problems = quality.problems(C.day(as_of))
-    return sections.withColumn("data_quality", quality.envelope(problems))
+    return quality.with_verdict(sections, C.day(as_of))
 
 
 # --- facts -----------------------------------------------------------------------
