@@ -39,10 +39,7 @@ class Scoring:
     macro_veto_cap: float = 100.0
 
     def weight(self, expert: Column) -> Column:
-        out = F.lit(None).cast("double")
-        for name, w in self.weights.items():
-            out = F.when(expert == name, F.lit(float(w))).otherwise(out)
-        return out
+        return _exact_weight(self.weights, expert)
 
     def tier(self, score: Column) -> Column:
         """First tier, best first, whose lower bound the score reaches."""
@@ -53,6 +50,14 @@ class Scoring:
         return out
 
 
+def _exact_weight(weights: Mapping[str, float], expert: Column, default: float | None = None) -> Column:
+    """Weight of a role as a decimal, so that totals do not depend on the order of addition."""
+    out = F.lit(default).cast("decimal(9,6)")
+    for name, w in weights.items():
+        out = F.when(expert == name, F.lit(str(w)).cast("decimal(9,6)")).otherwise(out)
+    return out
+
+
 def valid_score(score: Column) -> Column:
     return F.when(score.between(0, 100), score)
 
@@ -75,16 +80,19 @@ def composite(results: DataFrame, scoring: Scoring) -> DataFrame:
         F.max(F.when(cognitive, F.col("verdict"))).alias("cognitive_verdict"),
         F.max(F.when(cognitive & multiplier.between(0.5, 1.0), multiplier)).alias("multiplier"),
     )
-    mapped = F.lit(1.0)
+    mapped = F.lit("1").cast("decimal(9,6)")
     for verdict, factor in scoring.adjustment.items():
-        mapped = F.when(F.col("cognitive_verdict") == verdict, F.lit(float(factor))).otherwise(mapped)
+        mapped = F.when(F.col("cognitive_verdict") == verdict, F.lit(str(factor)).cast("decimal(9,6)")).otherwise(mapped)
+    factor = F.coalesce(F.col("multiplier").cast("decimal(9,6)"), mapped)
     complete = F.col("scored") == len(EXPERTS)
+    only = lambda x: F.when(complete, x.cast("double"))
     return per.select(
         *RUN,
         complete.alias("complete"),
-        F.when(complete, F.col("total")).alias("raw"),
-        F.when(complete, F.coalesce("multiplier", mapped)).alias("adjustment"),
-    ).withColumn("adjusted", F.col("raw") * F.col("adjustment"))
+        only(F.col("total")).alias("raw"),
+        only(factor).alias("adjustment"),
+        only(F.col("total") * factor).alias("adjusted"),
+    )
 
 
 def verdict_split(results: DataFrame) -> DataFrame:
@@ -130,14 +138,12 @@ def z_scores(current: DataFrame, base: DataFrame, minimum: int = 5) -> DataFrame
 
 def calibrated_totals(scored: DataFrame, weights: Mapping[str, float], default: float = 0.10) -> DataFrame:
     """Raw and calibrated weighted totals per run; calibration covers the roles that have a z-score."""
-    w = F.lit(default)
-    for name, value in weights.items():
-        w = F.when(F.col("expert_id") == name, F.lit(float(value))).otherwise(w)
-    calibrated = F.greatest(F.lit(0.0), F.least(F.lit(100.0), 50 + F.col("z") * 10))
+    w = _exact_weight(weights, F.col("expert_id"), default)
+    calibrated = F.greatest(F.lit(0.0), F.least(F.lit(100.0), 50 + F.col("z") * 10)).cast("decimal(9,4)")
     return scored.groupBy(*RUN).agg(
         F.count("score").alias("valid"),
-        F.sum(F.col("score") * w).alias("raw_total"),
-        F.sum(calibrated * w).alias("calibrated_total"),
+        F.sum(F.col("score") * w).cast("double").alias("raw_total"),
+        F.sum(calibrated * w).cast("double").alias("calibrated_total"),
     )
 
 
