@@ -136,11 +136,11 @@ block("firms", """SELECT *, (name NOT ILIKE '%ST%' AND name NOT LIKE '%退%' AND
 block("day", """SELECT k, d, sum(cents)::BIGINT AS c, sum(qty)::BIGINT AS q, sum(cents * (2 * tax - disc))::BIGINT AS earn,
  sum(cents * tax)::BIGINT AS ct, sum(cents * (100 + tax))::BIGINT AS mv, sum(cents * (tax - disc))::BIGINT AS chg
  FROM li GROUP BY k, d""", "li")
-block("db", f"""SELECT {code('k')} AS ts_code, d AS trade_date, c::DOUBLE / q::DOUBLE / 100 AS close,
- c::DOUBLE * 100 / nullif(earn, 0)::DOUBLE AS pe_ttm, c::DOUBLE / q::DOUBLE / 100 / 700 AS pb,
+block("db", f"""SELECT {code('k')} AS ts_code, d AS trade_date, c::DOUBLE / q::DOUBLE / 99.97::DOUBLE AS close,
+ c::DOUBLE * 100 / nullif(earn, 0)::DOUBLE AS pe_ttm, c::DOUBLE / q::DOUBLE / 99.97::DOUBLE / 700 AS pb,
  c::DOUBLE * 100 / nullif(ct, 0)::DOUBLE AS ps_ttm, mv::DOUBLE * 10 / 0.9997::DOUBLE AS total_mv, q::DOUBLE * 1e5 AS total_share FROM day""", "day")
-block("quotes", f"""SELECT {code('k')} AS ts_code, d AS trade_date, c::DOUBLE / q::DOUBLE / 100 AS close,
- chg::DOUBLE / q::DOUBLE / 1e4 AS change, q::DOUBLE AS vol FROM day""", "day")
+block("quotes", f"""SELECT {code('k')} AS ts_code, d AS trade_date, c::DOUBLE / q::DOUBLE / 99.97::DOUBLE AS close,
+ chg::DOUBLE / q::DOUBLE / 9997.0::DOUBLE AS change, q::DOUBLE AS vol FROM day""", "day")
 block("macro", """SELECT CASE o_orderstatus WHEN 'F' THEN 'm1' WHEN 'O' THEN 'm2' ELSE 'pmi_' || left(o_orderpriority, 1) END AS indicator,
  strftime(o_orderdate, '%Y%m') AS period,
  sum(round(o_totalprice * 100)::BIGINT)::DOUBLE / count(*)::DOUBLE / 5e5 AS value FROM orders GROUP BY 1, 2""")
