@@ -173,10 +173,10 @@ def peer_stats(spark, sf_dir):
     return _r(df.withColumn("period", V.ymd("period")), "mean", "p25", "median", "p75")
 
 
-@query("peer_rank_trimmed", sql("""SELECT t.ts_code, t.metric, round(CASE WHEN count(p.x) FILTER (p.in_stats) > 0 THEN
+@query("peer_rank_trimmed", sql("""SELECT t.ts_code, t.metric, round(CASE WHEN t.x IS NOT NULL AND count(p.x) FILTER (p.in_stats) > 0 THEN
  100.0::DOUBLE * count(p.x) FILTER (p.in_stats AND p.x <= t.x) / nullif(count(p.x) FILTER (p.in_stats), 0) END, 6) AS rank_pct
  FROM target t LEFT JOIN pool p ON p.industry = t.industry AND p.period = t.period AND p.metric = t.metric AND p.ts_code <> t.ts_code
- GROUP BY t.ts_code, t.industry, t.period, t.metric, t.x""", "target", "pool"))
+ GROUP BY t.ts_code, t.industry, t.period, t.metric, t.x HAVING t.x IS NOT NULL OR count(p.x) FILTER (p.in_stats) > 0""", "target", "pool"))
 def peer_rank_trimmed(spark, sf_dir):
     df = peers.peer_comparison(C.peer_inputs(_tables(spark, sf_dir)), _on(), trim_rank=True)
     return _r(df.select("ts_code", "metric", "rank_pct"), "rank_pct")
@@ -219,7 +219,7 @@ def overview(spark, sf_dir):
 
 
 @query("overview_peers", sql("""SELECT ts_code, metric, round(value, 6) AS value, round(median, 6) AS median,
- round(rank_pct, 6) AS rank_pct, n FROM cmp WHERE n > 0""", "cmp"))
+ round(rank_pct, 6) AS rank_pct, n FROM cmp WHERE n > 0 AND value IS NOT NULL""", "cmp"))
 def overview_peers(spark, sf_dir):
     return _r(C.overview_peers(_tables(spark, sf_dir), DAY), "value", "median", "rank_pct")
 

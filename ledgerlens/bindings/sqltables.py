@@ -244,12 +244,15 @@ block("long", f"""SELECT ts_code, industry, in_pool, DATE '{FY}-12-31' AS period
  UNION ALL SELECT ts_code, industry, in_pool, trade_date, metric, x, (x > 0 AND x < 500), true
  FROM val UNPIVOT (x FOR metric IN (pe_ttm, pb))""", "fin", "val")
 block("pool", "SELECT *, (NOT valuation OR ok) AS in_stats, (metric <> 'pe_ttm' OR ok) AS in_rank FROM long WHERE in_pool", "long")
-block("target", """SELECT l.* FROM long l WHERE NOT valuation
- UNION ALL SELECT l.* FROM long l JOIN own_date o ON o.ts_code = l.ts_code AND o.trade_date = l.period WHERE valuation""", "long", "own_date")
+block("target", f"""SELECT f.ts_code, f.industry, DATE '{FY}-12-31' AS period, m.metric, l.x FROM firms f
+ CROSS JOIN (VALUES ('roe_pct'), ('gross_margin_pct'), ('net_margin_pct'), ('debt_ratio_pct'), ('sell_expense_rate_pct'), ('rd_expense_rate_pct')) m(metric)
+ LEFT JOIN long l ON l.ts_code = f.ts_code AND l.metric = m.metric AND NOT l.valuation
+ UNION ALL SELECT o.ts_code, o.industry, o.trade_date, m.metric, l.x FROM own_date o CROSS JOIN (VALUES ('pe_ttm'), ('pb')) m(metric)
+ LEFT JOIN long l ON l.ts_code = o.ts_code AND l.metric = m.metric AND l.valuation AND l.period = o.trade_date""", "firms", "long", "own_date")
 block("cmp", """SELECT t.ts_code, t.industry, t.period, t.metric, t.x AS value, count(p.x) FILTER (p.in_stats) AS n,
  avg(p.x) FILTER (p.in_stats) AS mean, quantile_cont(p.x, 0.25) FILTER (p.in_stats) AS p25,
  quantile_cont(p.x, 0.5) FILTER (p.in_stats) AS median, quantile_cont(p.x, 0.75) FILTER (p.in_stats) AS p75,
- CASE WHEN count(p.x) FILTER (p.in_stats) > 0
+ CASE WHEN t.x IS NOT NULL AND count(p.x) FILTER (p.in_stats) > 0
   THEN 100.0::DOUBLE * count(p.x) FILTER (p.in_rank AND p.x <= t.x) / nullif(count(p.x) FILTER (p.in_rank), 0) END AS rank_pct
  FROM target t LEFT JOIN pool p ON p.industry = t.industry AND p.period = t.period AND p.metric = t.metric AND p.ts_code <> t.ts_code
- GROUP BY t.ts_code, t.industry, t.period, t.metric, t.x""", "target", "pool")
+ GROUP BY t.ts_code, t.industry, t.period, t.metric, t.x HAVING t.x IS NOT NULL OR count(p.x) FILTER (p.in_stats) > 0""", "target", "pool")

@@ -59,7 +59,7 @@ def _trimmed(x: Column) -> Column:
 
 
 def _long(df: DataFrame, metrics: tuple[str, ...], *keys: str) -> DataFrame:
-    return df.unpivot(list(keys), list(metrics), "metric", "x").filter(F.col("x").isNotNull())
+    return df.unpivot(list(keys), list(metrics), "metric", "x")
 
 
 def financial_measures(inputs: PeerInputs, as_of: Column, fiscal_end: Column) -> DataFrame:
@@ -113,10 +113,12 @@ def measures(inputs: PeerInputs, as_of: Column) -> DataFrame:
     """
     fiscal_end = F.make_date(V.fiscal_year_available(as_of), F.lit(12), F.lit(31))
     own = own_dates(inputs, as_of)
-    fin = (
-        financial_measures(inputs, as_of, fiscal_end)
-        .join(companies(inputs.stocks).drop("name"), "ts_code")
-        .select("ts_code", "industry", fiscal_end.alias("period"), "metric", "x", "in_pool", F.lit(True).alias("is_target"))
+    # every company is a target in every measure, also where its own value is unknown
+    asked = companies(inputs.stocks).select(
+        "ts_code", "industry", "in_pool", F.explode(F.array(*[F.lit(m) for m in FINANCIAL_METRICS])).alias("metric")
+    )
+    fin = asked.join(financial_measures(inputs, as_of, fiscal_end), ["ts_code", "metric"], "left").select(
+        "ts_code", "industry", fiscal_end.alias("period"), "metric", "x", "in_pool", F.lit(True).alias("is_target")
     )
     wanted = own.filter("own_date is not null").select("industry", F.col("own_date").alias("trade_date")).distinct()
     traded = (
@@ -129,7 +131,7 @@ def measures(inputs: PeerInputs, as_of: Column) -> DataFrame:
     val = _long(traded, VALUATION_METRICS, "ts_code", "industry", "trade_date", "in_pool", "is_target").select(
         "ts_code", "industry", F.col("trade_date").alias("period"), "metric", "x", "in_pool", "is_target"
     )
-    return materialize(fin.unionByName(val).filter("in_pool or is_target"), "peer-values")
+    return materialize(fin.unionByName(val).filter("is_target or (in_pool and x is not null)"), "peer-values")
 
 
 def _flags(df: DataFrame, trim_rank: bool) -> DataFrame:
@@ -141,17 +143,19 @@ def _flags(df: DataFrame, trim_rank: bool) -> DataFrame:
     valuation = F.col("metric").isin(*VALUATION_METRICS)
     ranked_trim = valuation if trim_rank else F.col("metric") == "pe_ttm"
     ok = _trimmed(F.col("x"))
+    peer = F.col("in_pool") & F.col("x").isNotNull()
     return df.withColumns(
         {
-            "in_stats": (F.col("in_pool") & (~valuation | ok)).cast("long"),
-            "in_rank": (F.col("in_pool") & (~ranked_trim | ok)).cast("long"),
+            "in_stats": F.when(peer & (~valuation | ok), 1).otherwise(0).cast("long"),
+            "in_rank": F.when(peer & (~ranked_trim | ok), 1).otherwise(0).cast("long"),
         }
     )
 
 
 def _ranked_values(values: DataFrame) -> DataFrame:
     """Distinct values per group with running counts; a target's value takes part with weight zero."""
-    counts = values.groupBy(*GROUP, "x").agg(F.sum("in_stats").alias("s"), F.sum("in_rank").alias("r"))
+    known = values.filter("x is not null")
+    counts = known.groupBy(*GROUP, "x").agg(F.sum("in_stats").alias("s"), F.sum("in_rank").alias("r"))
     return orderstats.cumulative_counts(counts, GROUP, "x", ["s", "r"])
 
 
@@ -185,7 +189,8 @@ def peer_comparison(inputs: PeerInputs, as_of: Column, trim_rank: bool = False)
     """Every company's measures next to the statistics of its peers, itself left out.
 
     One row per company and measure: own value, number of peers, their mean and
-    quartiles, and the share of peers at or below the own value.
+    quartiles, and the share of peers at or below the own value.  Where the own
+    value is unknown the peers' statistics stand alone.
 
     No company is ever paired with another.  Leaving one value out moves a
     quantile position by less than one place, so three neighbouring order
@@ -198,7 +203,7 @@ def peer_comparison(inputs: PeerInputs, as_of: Column, trim_rank: bool = False)
     constants = orderstats.group_constants(ranked, GROUP, "x", "s", positions)
     placed = (
         values.filter("is_target")
-        .join(ranked.select(*GROUP, "x", "r_upto", "r_total"), [*GROUP, "x"])
+        .join(ranked.select(*GROUP, "x", "r_upto", "r_total"), [*GROUP, "x"], "left")
         .join(constants, list(GROUP), "left")
     )
     x = F.col("x")
@@ -227,7 +232,7 @@ def peer_comparison(inputs: PeerInputs, as_of: Column, trim_rank: bool = False)
         *[without_self(name, q).alias(name) for name, q in QUANTILES.items()],
         # without statistics there is no ranking either
         F.when((m > 0) & (others > 0), (F.col("r_upto") - F.col("in_rank")) / others * 100).alias("rank_pct"),
-    )
+    ).filter("value is not null or n > 0")
 
 
 def peer_coverage(inputs: PeerInputs, as_of: Column) -> DataFrame:
@@ -239,7 +244,7 @@ def peer_coverage(inputs: PeerInputs, as_of: Column) -> DataFrame:
         return F.max(F.col("metric").isin(*metrics).cast("long"))
 
     # one row per company and period, then one per industry and period
-    per = measures(inputs, as_of).groupBy("ts_code", "industry", "period", "in_pool", "is_target").agg(
+    per = measures(inputs, as_of).filter("x is not null").groupBy("ts_code", "industry", "period", "in_pool", "is_target").agg(
         has(RATIO_METRICS).alias("fin"), has(VALUATION_METRICS).alias("val")
     )
     peers = per.filter("in_pool").groupBy("industry", "period").agg(F.sum("fin").alias("fin"), F.sum("val").alias("val"))

@@ -204,10 +204,10 @@ def industry(t: Tables, as_of: date | str | Column, trim_rank: bool = False) ->
             F.array_sort(F.collect_list(F.when(F.col("n") > 0, F.struct("metric", stats.alias("stats")))))
         ).alias("industry_stats"),
         F.map_from_entries(
-            F.array_sort(F.flatten(F.collect_list(F.array(
+            F.array_sort(F.flatten(F.collect_list(F.when(F.col("value").isNotNull(), F.array(
                 F.struct(F.col("metric").alias("k"), F.col("value").alias("v")),
                 F.struct(F.concat("metric", F.lit("_rank_pct")).alias("k"), V.rounded("rank_pct").alias("v")),
-            ))))
+            )))))
         ).alias("target"),
     )
     cover = peers.peer_coverage(src, on)
@@ -299,7 +299,7 @@ def overview(t: Tables, as_of: date | str | Column) -> DataFrame:
 def overview_peers(t: Tables, as_of: date | str | Column) -> DataFrame:
     """Own value, peer median, rank and sample size of the eight measures."""
     rows = peers.peer_comparison(peer_inputs(t), day(as_of))
-    return rows.filter("n > 0").select("ts_code", "metric", "value", "median", "rank_pct", "n")
+    return rows.filter("n > 0 and value is not null").select("ts_code", "metric", "value", "median", "rank_pct", "n")
 
 
 def freshness(t: Tables, as_of: date | str | Column, days: int = 7) -> DataFrame:
