@@ -27,13 +27,26 @@ def batch_id(components: Mapping[str, Column] | None = None) -> Column:
 
 
 def set_hash(files: DataFrame, by: Sequence[str], name: str = "name", sha: str = "sha256") -> DataFrame:
-    """One digest per key over its (name, content) set, independent of order.
+    """One digest per key over its set of (name, content), whatever the order.
 
-    Every file was hashed where it was read; what is gathered per key is only
-    names and digests of one archive.
+    A hash tree: names fall into 65536 leaves by their own digest, leaves into
+    256 branches.  Each step digests a short sorted list, so no task ever holds
+    all files of one key.
     """
-    lines = F.transform(F.array_sort(F.collect_list(F.struct(F.col(name), F.col(sha)))), lambda f: F.concat_ws(":", f[name], f[sha]))
-    return files.groupBy(*by).agg(F.sha2(F.array_join(lines, "\n"), 256).alias("set_hash"), F.count(F.lit(1)).alias("files"))
+    def digest(parts: Column) -> Column:
+        return F.sha2(F.array_join(F.array_sort(parts), "\n"), 256)
+
+    line = F.concat_ws(":", F.col(name), F.col(sha))
+    place = F.sha2(F.col(name), 256)
+    leaves = files.groupBy(*by, F.substring(place, 1, 4).alias("__leaf")).agg(
+        digest(F.collect_list(line)).alias("d"), F.count(F.lit(1)).alias("n")
+    )
+    tagged = F.concat_ws(":", "__leaf", "d")
+    branches = leaves.groupBy(*by, F.substring("__leaf", 1, 2).alias("__branch")).agg(
+        digest(F.collect_list(tagged)).alias("d"), F.sum("n").alias("n")
+    )
+    root = F.concat_ws(":", "__branch", "d")
+    return branches.groupBy(*by).agg(digest(F.collect_list(root)).alias("set_hash"), F.sum("n").alias("files"))
 
 
 def component_mismatches(declared: DataFrame, recomputed: DataFrame, keys: Sequence[str], fields: Sequence[str] = (*COMPONENTS, "batch_id")) -> DataFrame:
