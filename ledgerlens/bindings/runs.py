@@ -229,7 +229,7 @@ def score_zscore(spark, sf_dir):
 
 
 @query("calibrated_totals", sql("SELECT ts_code, run_id, count(score) AS valid, round(sum(score * w), 6) AS raw_total, "
- "round(sum(greatest(0.0::DOUBLE, least(100.0::DOUBLE, 50 + z * 10)) * w), 6) AS calibrated_total FROM (SELECT *, (CASE expert_id "
+ "round(sum(CASE WHEN z IS NOT NULL THEN greatest(0.0::DOUBLE, least(100.0::DOUBLE, 50 + z * 10)) END * w), 6) AS calibrated_total FROM (SELECT *, (CASE expert_id "
  + " ".join(f"WHEN '{e}' THEN {w}" for e, w in CALIBRATION_WEIGHTS.items()) + " END)::DOUBLE AS w FROM zs) GROUP BY ALL", "zs"))
 def calibrated_totals(spark, sf_dir):
     r = _res(spark, sf_dir)

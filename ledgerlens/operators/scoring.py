@@ -139,7 +139,9 @@ def z_scores(current: DataFrame, base: DataFrame, minimum: int = 5) -> DataFrame
 def calibrated_totals(scored: DataFrame, weights: Mapping[str, float], default: float = 0.10) -> DataFrame:
     """Raw and calibrated weighted totals per run; calibration covers the roles that have a z-score."""
     w = _exact_weight(weights, F.col("expert_id"), default)
-    calibrated = F.greatest(F.lit(0.0), F.least(F.lit(100.0), 50 + F.col("z") * 10)).cast("decimal(9,4)")
+    # least and greatest skip NULL, so a role without a z-score is left out explicitly
+    clamped = F.greatest(F.lit(0.0), F.least(F.lit(100.0), 50 + F.col("z") * 10))
+    calibrated = F.when(F.col("z").isNotNull(), clamped).cast("decimal(9,4)")
     return scored.groupBy(*RUN).agg(
         F.count("score").alias("valid"),
         F.sum(F.col("score") * w).cast("double").alias("raw_total"),
