@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ledgerlens.bindings import proxy
 from ledgerlens.bindings.sqltables import AS_OF, FY, sql
+from ledgerlens.bindings.staging import StagedTables
 from ledgerlens.functions import values as V
 from ledgerlens.operators import peers, quality
 from ledgerlens.operators import statements as S
@@ -357,7 +358,9 @@ _st.block("dq", _DQ["dq_growth"] + " UNION ALL " + " UNION ALL ".join(_RULES), "
 
 
 def _sections(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return snapshot.company_sections(_tables(spark, sf_dir), DAY)
+    """The company documents as a stored table, which is what the rules and the facts read."""
+    make = {"sections": lambda: snapshot.company_sections(_tables(spark, sf_dir), DAY)}
+    return StagedTables(spark, sf_dir, make)["sections"]
 
 
 @query("dq_violations", sql("SELECT * FROM dq", "dq"))

@@ -310,23 +310,20 @@ def macro(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def tables(spark: SparkSession, sf_dir: str) -> StagedTables:
     """The canonical tables of one scale, derived and stored on first use."""
-    base: dict[str, DataFrame] = {}
-
-    def once(name: str, make) -> DataFrame:
-        if name not in base:
-            base[name] = make(spark, sf_dir)
-        return base[name]
-
+    # the exact sums several tables share are stored as well
     def quarters() -> DataFrame:
-        return once("q", quarter_base)
+        return out["quarter_sums"]
 
     def years() -> DataFrame:
-        return once("y", year_base)
+        return out["year_sums"]
 
     def days() -> DataFrame:
-        return once("d", daily)
+        return out["day_sums"]
 
-    return StagedTables(spark, sf_dir, {
+    out = StagedTables(spark, sf_dir, {
+        "quarter_sums": lambda: quarter_base(spark, sf_dir),
+        "year_sums": lambda: year_base(spark, sf_dir),
+        "day_sums": lambda: daily(spark, sf_dir),
         "stocks": lambda: stocks(spark, sf_dir),
         "income": lambda: income(quarters()),
         "cashflow": lambda: cashflow(quarters()),
@@ -338,3 +335,4 @@ def tables(spark: SparkSession, sf_dir: str) -> StagedTables:
         "daily_quotes": lambda: daily_quotes(days()),
         "macro": lambda: macro(spark, sf_dir),
     })
+    return out

@@ -20,6 +20,7 @@ from ledgerlens.operators import lines as L
 from ledgerlens.operators import scoring
 from ledgerlens.plans import company as C
 from ledgerlens.plans import snapshot
+from ledgerlens.runtime import spread
 
 QUERIES = {}
 ORACLE = {}
@@ -81,13 +82,18 @@ _RESULT_LINES = [
 _RESULT_TEXT = f"concat_ws(chr(10), {', '.join(_RESULT_LINES)})"
 
 
-def results(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One analyst result document per run and role; the run id stands for the company code."""
+def _write_results(spark: SparkSession, sf_dir: str) -> DataFrame:
     r = runs.tables(spark, sf_dir)["expert_results"].withColumnsRenamed({"conclusion_direction": "dir"})
-    r = r.withColumn("day", F.date_format("created_at", "yyyyMMdd"))
+    r = spread(r.withColumn("day", F.date_format("created_at", "yyyyMMdd")), "run_id")
     return r.select(F.col("run_id").alias("ts_code"), "expert_id", F.expr(_RESULT_TEXT).alias("text"), "industry", "day")
 
 
+def results(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One analyst result document per run and role; the run id stands for the company code."""
+    stored = StagedTables(spark, sf_dir, {"results": lambda: _write_results(spark, sf_dir)})["results"]
+    return spread(stored, "ts_code")
+
+
 block("rd", f"SELECT *, {_RESULT_TEXT} AS text FROM (SELECT *, strftime(created_at, '%Y%m%d') AS day FROM res)", "res")
 
 CHECKLIST = [("应收账款检查", [["receiv"]]), ("商誉减值分析", [["goodwill"]]), ("现金流核对 OCF", [["ocf"], ["quarterly", "annual"]])]
@@ -390,7 +396,7 @@ def first_traceable(spark, sf_dir):
 @query("document_numbers")
 def document_numbers(spark, sf_dir):
     """Numbers in all documents, whole texts."""
-    d = proxy.raw(spark, sf_dir, "documents").select("doc_id", "text")
+    d = spread(proxy.raw(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id")
     return K.claims(d, ["doc_id"]).select("doc_id", "line", "pos", "value", "unit", "category")
 
 
@@ -519,17 +525,23 @@ block("qd", """SELECT d.doc_id, d.text, substr(regexp_replace(d.text, '[^a-zA-Z]
 @query("quote_check", sql("""SELECT doc_id::VARCHAR AS ts_code, CASE WHEN length(chunk) >= 6 AND toxic = 0 AND quality = 1 THEN 1 ELSE 0 END AS verified FROM qd""", "qd"))
 def quote_check(spark, sf_dir):
     """Reports that quote their document's first letters three times over; toxic ones misquote, poor ones cite no real path."""
-    d = proxy.raw(spark, sf_dir, "documents").join(proxy.raw(spark, sf_dir, "labels"), "doc_id", "left")
+    t = StagedTables(spark, sf_dir, {"quoting": lambda: _write_quoting(spark, sf_dir)})
+    d = spread(t["quoting"], "ts_code")
+    sections = d.select("ts_code", F.lit(2000).alias("report_year"), F.lit("annual").alias("report_type"),
+                        F.lit("第三节 经营情况讨论与分析").alias("section_name"), "section_text")
+    paths = d.filter("quality = 1").select("ts_code", F.lit("market.close").alias("path"))
+    return D.verified_quotes(d.select("ts_code", "text"), sections, paths, ["ts_code"])
+
+
+def _write_quoting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = spread(proxy.raw(spark, sf_dir, "documents"), "doc_id").join(proxy.raw(spark, sf_dir, "labels"), "doc_id", "left")
     letters = F.regexp_replace("text", "[^a-zA-Z]", "")
     d = d.select(F.col("doc_id").cast("string").alias("ts_code"), letters.alias("body"), F.substring(letters, 1, 12).alias("chunk"),
                  F.coalesce("toxic", F.lit(0)).alias("toxic"), F.coalesce("quality", F.lit(1)).alias("quality"))
-    sections = d.select("ts_code", F.lit(2000).alias("report_year"), F.lit("annual").alias("report_type"),
-                        F.lit("第三节 经营情况讨论与分析").alias("section_name"), F.concat(F.lit("，"), F.col("body")).alias("section_text"))
-    paths = d.filter("quality = 1").select("ts_code", F.lit("market.close").alias("path"))
     quote = F.concat(F.col("chunk"), F.when(F.col("toxic") == 1, "ZZQQ").otherwise(""))
     row = lambda i: F.concat(F.lit(f"| {i} | “"), quote, F.lit("”（年报:2000/annual/经营情况讨论与分析） | `market.close` | 1 [source: market.close] |"))
-    reports = d.select("ts_code", F.concat_ws("\n", F.lit(D.NARRATIVE), F.lit(""), row(1), row(2), row(3), F.lit("## 其他")).alias("text"))
-    return D.verified_quotes(reports, sections, paths, ["ts_code"])
+    text = F.concat_ws("\n", F.lit(D.NARRATIVE), F.lit(""), row(1), row(2), row(3), F.lit("## 其他"))
+    return d.select("ts_code", "quality", F.concat(F.lit("，"), F.col("body")).alias("section_text"), text.alias("text"))
 
 
 @query("report_identifiers", sql("SELECT run_id AS ts_code, expert_id, CASE WHEN regexp_matches(ts, '^[0-9]{6}\\.') THEN ts END AS code, 'a/' || run_id AS manifest_path FROM "

@@ -232,7 +232,8 @@ def located_sections(locators: DataFrame, sections: DataFrame, company: str = "t
     An equi join on company, year and kind; the section name only has to contain
     the located name.
     """
-    s = sections.select(company, F.col("report_year").cast("string").alias("year"), F.col("report_type").alias("kind"), "section_name", "section_text")
+    text = "section_bare" if "section_bare" in sections.columns else "section_text"
+    s = sections.select(company, F.col("report_year").cast("string").alias("year"), F.col("report_type").alias("kind"), "section_name", text)
     joined = locators.join(s, [company, "year", "kind"])
     return joined.filter(F.col("section_name").contains(F.col("section")))
 
@@ -265,9 +266,11 @@ def verified_quotes(docs: DataFrame, sections: DataFrame, paths: DataFrame, keys
         F.regexp_extract("locator", LOCATOR, 2).alias("kind"),
         F.regexp_replace(F.regexp_extract("locator", LOCATOR, 3), r"^第[^\s“\"]{0,12}节|[“”\"]", "").alias("section"),
     )
+    # punctuation goes once per section, not once per quote
+    stripped = sections.withColumn("section_bare", bare(F.col("section_text")))
     quote_ok = (
-        located_sections(loc, sections, company)
-        .filter(F.exists("chunks", lambda c: bare(F.col("section_text")).contains(c)))
+        located_sections(loc, stripped, company)
+        .filter(F.exists("chunks", lambda c: F.col("section_bare").contains(c)))
         .select(*spot).distinct()
     )
     real = rows.select(*spot, "field_cell", F.explode("cited").alias("path")).join(paths.select(company, "path"), [company, "path"])

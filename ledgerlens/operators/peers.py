@@ -185,18 +185,19 @@ def industry_stats(inputs: PeerInputs, as_of: Column) -> DataFrame:
     )
 
 
-def peer_comparison(inputs: PeerInputs, as_of: Column, trim_rank: bool = False) -> DataFrame:
+def peer_comparison(inputs: PeerInputs, as_of: Column, trim_rank: bool = False, stored: DataFrame | None = None) -> DataFrame:
     """Every company's measures next to the statistics of its peers, itself left out.
 
     One row per company and measure: own value, number of peers, their mean and
     quartiles, and the share of peers at or below the own value.  Where the own
-    value is unknown the peers' statistics stand alone.
+    value is unknown the peers' statistics stand alone.  ``stored`` takes the
+    result of ``measures`` when the caller has it already.
 
     No company is ever paired with another.  Leaving one value out moves a
     quantile position by less than one place, so three neighbouring order
     statistics per group and quantile answer it for every member.
     """
-    values = _flags(measures(inputs, as_of), trim_rank)
+    values = _flags(measures(inputs, as_of) if stored is None else stored, trim_rank)
     ranked = _ranked_values(values)
     n = F.col("s_total")
     positions = {f"{name}_{k}": _low(q, n) + k for name, q in QUANTILES.items() for k in range(3)}
@@ -235,7 +236,7 @@ def peer_comparison(inputs: PeerInputs, as_of: Column, trim_rank: bool = False)
     ).filter("value is not null or n > 0")
 
 
-def peer_coverage(inputs: PeerInputs, as_of: Column) -> DataFrame:
+def peer_coverage(inputs: PeerInputs, as_of: Column, stored: DataFrame | None = None) -> DataFrame:
     """Per company: how many peers there are, and how many have statement or valuation measures."""
     own = own_dates(inputs, as_of)
     pool_size = own.groupBy("industry").agg(F.sum(F.col("in_pool").cast("long")).alias("pool_size"))
@@ -244,7 +245,8 @@ def peer_coverage(inputs: PeerInputs, as_of: Column) -> DataFrame:
         return F.max(F.col("metric").isin(*metrics).cast("long"))
 
     # one row per company and period, then one per industry and period
-    per = measures(inputs, as_of).filter("x is not null").groupBy("ts_code", "industry", "period", "in_pool", "is_target").agg(
+    values = measures(inputs, as_of) if stored is None else stored
+    per = values.filter("x is not null").groupBy("ts_code", "industry", "period", "in_pool", "is_target").agg(
         has(RATIO_METRICS).alias("fin"), has(VALUATION_METRICS).alias("val")
     )
     peers = per.filter("in_pool").groupBy("industry", "period").agg(F.sum("fin").alias("fin"), F.sum("val").alias("val"))

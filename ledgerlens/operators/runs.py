@@ -53,22 +53,32 @@ def durations(events: DataFrame, closed_at: Column | None = None) -> DataFrame:
 
     A start takes the next event of the same code, phase and role.  One that is
     never ended is a timeout at ``closed_at`` (default: the last event of that code).
+
+    A code may own much of the log, so its events are put in order hour by
+    hour; what follows the last event of an hour is the first one of the next
+    hour that has any, found on a table with one row per hour.
     """
-    role = F.coalesce("expert_id", F.lit("")).alias("expert_id")
-    keyed = events.select("code", "phase", role, "status", "at", F.coalesce("seq", F.lit(0)).alias("seq")) if "seq" in events.columns else events.select(
-        "code", "phase", role, "status", "at", F.lit(0).alias("seq"))
-    line = Window.partitionBy("code", "phase", "expert_id").orderBy("at", "seq")
+    seq = F.col("seq") if "seq" in events.columns else F.lit(0)
+    line = ["code", "phase", "expert_id"]
+    keyed = events.filter("at is not null").select(
+        "code", "phase", F.coalesce("expert_id", F.lit("")).alias("expert_id"), "status", "at", seq.alias("seq"),
+        F.date_trunc("hour", "at").alias("hour"),
+    )
+    mark = F.struct("at", "seq", "status")
+    inside = keyed.withColumn("after", F.lead(mark).over(Window.partitionBy(*line, "hour").orderBy("at", "seq")))
+    hours = keyed.groupBy(*line, "hour").agg(F.min(mark).alias("first"))
+    later = hours.select(*line, "hour", F.lead("first").over(Window.partitionBy(*line).orderBy("hour")).alias("later"))
     last = keyed.groupBy("code").agg(F.max("at").alias("last_at"))
-    paired = keyed.withColumns(
-        {"next_status": F.lead("status").over(line), "next_at": F.lead("at").over(line)}
-    ).filter("status = 'start'").join(last, "code")
+    starts = inside.filter("status = 'start'").join(later, [*line, "hour"]).join(last, "code")
+    ended = F.coalesce("after", "later")
     closing = F.col("last_at") if closed_at is None else closed_at
+    micros = F.unix_micros(F.coalesce(F.col("ended.at"), closing)) - F.unix_micros("at")
     # a start right after a start is overwritten, not ended
-    ended = F.col("next_status").isNotNull()
-    return paired.filter("next_status is null or next_status <> 'start'").select(
-        "code", "phase", "expert_id", F.col("at").alias("started_at"),
-        F.when(ended, F.col("next_status")).otherwise("timeout").alias("status"),
-        F.round((F.unix_micros(F.when(ended, F.col("next_at")).otherwise(closing)) - F.unix_micros("at")) / 1000).cast("bigint").alias("duration_ms"),
+    return starts.withColumn("ended", ended).filter("ended is null or ended.status <> 'start'").select(
+        *line,
+        F.col("at").alias("started_at"),
+        F.coalesce("ended.status", F.lit("timeout")).alias("status"),
+        F.round(micros / 1000).cast("bigint").alias("duration_ms"),
     )
 
 

@@ -193,7 +193,8 @@ def industry(t: Tables, as_of: date | str | Column, trim_rank: bool = False) ->
     """Peer comparison per company: statistics and own rank of every measure, and coverage counts."""
     on = day(as_of)
     src = peer_inputs(t)
-    rows = peers.peer_comparison(src, on, trim_rank)
+    values = peers.measures(src, on)
+    rows = peers.peer_comparison(src, on, trim_rank, stored=values)
     stats = F.struct(
         F.col("n").cast("int").alias("count"),
         *[V.rounded(c).alias(c) for c in ("mean", "median", "p25", "p75")],
@@ -210,7 +211,7 @@ def industry(t: Tables, as_of: date | str | Column, trim_rank: bool = False) ->
             )))))
         ).alias("target"),
     )
-    cover = peers.peer_coverage(src, on)
+    cover = peers.peer_coverage(src, on, stored=values)
     return cover.join(per, "ts_code", "left").select(
         "ts_code",
         "industry",
