@@ -123,10 +123,9 @@ def occurrences(text: Column, part: Column) -> Column:
 
 def embedded_once(documents: DataFrame, sources: DataFrame, keys: Sequence[str], text: str = "text", part: str = "part") -> DataFrame:
     """Sources a document does not contain exactly once; HTML comments do not count as text."""
-    joined = sources.join(documents.select(*keys, F.col(text).alias("__doc")), list(keys))
-    visible = F.regexp_replace("__doc", r"(?s)<!--.*?-->", "")
-    n = occurrences(visible, F.col(part))
-    return joined.withColumn("times", n).filter("times <> 1").drop("__doc")
+    visible = documents.select(*keys, F.regexp_replace(text, r"(?s)<!--.*?-->", "").alias("__doc"))
+    joined = sources.join(visible, list(keys))
+    return joined.withColumn("times", occurrences(F.col("__doc"), F.col(part))).filter("times <> 1").drop("__doc")
 
 
 def verified_records(records: DataFrame, manifest: DataFrame, keys: Sequence[str], name: str = "name", content: str = "content") -> DataFrame:
