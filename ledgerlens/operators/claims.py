@@ -6,9 +6,11 @@ import ast
 import math
 import operator
 import re
+import sys
 from collections.abc import Sequence
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -17,6 +19,9 @@ from ledgerlens.functions import values as V
 from ledgerlens.operators import lines as L
 from ledgerlens.operators import picks
 
+# The two Arrow functions travel with the job, so workers need no installed package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 # Number format, units, evidence tags, and the words that decide
 # what a number is.
 NUMBER = r"(?:¥\s*)?(-?(?:\d{1,3}(?:,\d{3})+|\d+)(?:\.\d+)?)(?:\s*(万亿|亿|万|元|%|个?百分点))?"

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import tempfile
 import uuid
 from collections.abc import Sequence
@@ -30,6 +31,17 @@ def local_session(cores: int | str = "*", partitions: int = 8) -> SparkSession:
     )
 
 
+@functools.cache
+def _own_folder() -> str:
+    """One scratch folder per local process, gone when the process ends."""
+    folder = tempfile.TemporaryDirectory(prefix="ledgerlens-", ignore_cleanup_errors=True)
+    _FOLDERS.append(folder)
+    return folder.name
+
+
+_FOLDERS: list[tempfile.TemporaryDirectory] = []
+
+
 def shared_dir(spark: SparkSession, purpose: str) -> str:
     """A fresh folder below the shared checkpoint folder of the session.
 
@@ -42,7 +54,7 @@ def shared_dir(spark: SparkSession, purpose: str) -> str:
     if not base:
         if not spark.sparkContext.master.startswith("local"):
             raise RuntimeError("spark.checkpoint.dir must name a shared folder on a cluster")
-        base = tempfile.mkdtemp(prefix="ledgerlens-")
+        base = _own_folder()
     return f"{base.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
 
 
