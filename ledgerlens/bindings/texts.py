@@ -214,6 +214,35 @@ def merged_segments(spark, sf_dir):
     return rows.groupBy("ts_code", "expert_id").agg(F.count(F.lit(1)).alias("lines"))
 
 
+_KNOWN = (("market.pe_ttm", 9.5), ("market.total_mv_yi", 100.0), ("market.close", 3.0), ("market.pb", 2.0), ("balance.cash_yi", 1.0),
+          ("balance.accounts_receiv_yi", 1.0), ("balance.goodwill_yi", 1.0), ("quarterly.ocf_ttm_yi", 1.0))
+
+
+@query("result_evidence", sql("""SELECT run_id AS ts_code, expert_id, 'R18' AS rule_id FROM res WHERE score < 60 UNION ALL SELECT run_id, expert_id, 'R19' FROM res WHERE score < 60
+ UNION ALL SELECT run_id, expert_id, 'R21' FROM res WHERE score < 50 OR verdict = 'VETO' OR dir = 'NEUTRAL' UNION ALL SELECT run_id, expert_id, 'R22' FROM res
+ UNION ALL SELECT run_id, expert_id, 'R23' FROM res WHERE score >= 50 AND industry = 'ASIA' UNION ALL SELECT run_id, expert_id, 'R24' FROM res""", "res"))
+def result_evidence(spark, sf_dir):
+    """The evidence rules over all results; snapshots of one industry lack the book multiple the formula needs."""
+    r = results(spark, sf_dir)
+    known = F.array(*[F.struct(F.lit(i).alias("ord"), F.lit(p).alias("path"), F.lit(v).alias("value")) for i, (p, v) in enumerate(_KNOWN)])
+    cards_ = r.select("ts_code", "industry").distinct()
+    facts = cards_.select("ts_code", "industry", F.inline(known)).filter("industry <> 'ASIA' or path <> 'market.pb'").drop("industry")
+    facts = facts.withColumn("unit", V.infer_unit("path"))
+    gaps = cards_.select("ts_code", *[F.lit(False).alias(n) for n, _ in K.CONTRADICTIONS])
+    sections = spark.createDataFrame([], "ts_code string, report_year int, report_type string, section_name string, section_text string")
+    pages = spark.createDataFrame([("valuation",), ("moat",), ("cycle",)], "page string")
+    return D.content_problems(r.select(*KEYS, "text"), sections, facts, facts.select("ts_code", "path"), checklist(spark), pages, gaps)
+
+
+@query("invalid_formulas", sql("SELECT run_id AS ts_code, expert_id FROM res WHERE score >= 50 AND industry = 'ASIA'", "res"))
+def invalid_formulas(spark, sf_dir):
+    r = results(spark, sf_dir)
+    pairs = [(p, v) for p, v in _KNOWN if p in ("market.close", "market.pb")]
+    known = F.array(*[F.struct(F.lit(p).alias("path"), F.lit(v).alias("value")) for p, v in pairs])
+    facts = r.select("ts_code", "industry").distinct().select("ts_code", "industry", F.inline(known)).filter("industry <> 'ASIA' or path <> 'market.pb'")
+    return K.invalid_formulas(r.select(*KEYS, "text"), facts, KEYS).select(*KEYS)
+
+
 # --- reviews -------------------------------------------------------------------------------
 
 _REVIEW_TEXT = """concat_ws(chr(10), '---', 'expert_id: ' || expert_id, 'ts_code: ' || run_id, 'data_date: ' || day, 'analysis_date: ' || day,

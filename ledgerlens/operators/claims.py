@@ -501,6 +501,25 @@ def cited_paths(line: Column) -> Column:
     return F.filter(F.concat(sources, inputs), lambda p: p != "")
 
 
+def invalid_formulas(docs: DataFrame, facts: DataFrame, keys: Sequence[str], company: Sequence[str] = ("ts_code",), text: str = "text") -> DataFrame:
+    """Formulas anywhere in a document that cannot be recomputed from the facts they cite."""
+    side = [c for c in company if c not in keys]
+    rows = L.lines(docs, [*keys, *side], text).filter(F.col("raw_line").rlike(r"(?i)\[calc:"))
+    tags = rows.select(*keys, *side, "line", F.posexplode(F.regexp_extract_all("raw_line", F.lit(CALC_TAG), F.lit(1))).alias("k", "tag"))
+    specs = tags.select(
+        *keys, *side, "line", "k", L.strip(F.regexp_extract("tag", r"(?s)^([^;]*)", 1)).alias("formula"),
+        F.regexp_extract_all(F.regexp_extract("tag", r"(?s);(.*)$", 1), F.lit(f"({PATH})"), F.lit(1)).alias("inputs"),
+    )
+    spot = [*keys, "line", "k"]
+    cited = specs.select(*spot, *side, "formula", F.posexplode_outer("inputs").alias("i", "path"))
+    met = cited.join(facts.select(*company, "path", F.col("value").alias("fact")), [*company, "path"], "left")
+    per = met.groupBy(*spot, "formula").agg(
+        F.array_sort(F.collect_list(F.struct("i", "fact"))).alias("used"), F.bool_and(F.col("fact").isNotNull()).alias("known")
+    )
+    value = _recompute(F.col("formula"), F.when(F.col("known"), F.transform("used", lambda u: u["fact"])).otherwise(F.array().cast("array<double>")))
+    return per.withColumn("value", value).filter("value is null").select(*spot, "formula")
+
+
 def unsupported_assertions(docs: DataFrame, facts: DataFrame, keys: Sequence[str], company: Sequence[str] = ("ts_code",), text: str = "text") -> DataFrame:
     """Lines that assert something about industry, history or market without sufficient evidence.
 

@@ -366,7 +366,8 @@ def content_problems(docs: DataFrame, sections: DataFrame, facts: DataFrame, pat
     untraced = traced.filter("category = 'data' and trace_status = 'UNTRACED'")
     parts = [
         broken(narrative, "R18"), broken(logged, "R19"), broken(weak, "R21"), broken(evidence, "R22"), broken(reused, "R22"),
-        broken(quotes, "R22"), broken(unknown, "R23"), broken(breadth, "R24"), broken(untraced, "R24"),
+        broken(quotes, "R22"), broken(unknown, "R23"), broken(K.invalid_formulas(docs, facts, keys), "R23"),
+        broken(breadth, "R24"), broken(untraced, "R24"),
         broken(K.unsupported_assertions(docs, facts, keys), "R24"), broken(K.contradictions(docs, gaps, keys), "R24"),
     ]
     out = parts[0]

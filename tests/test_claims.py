@@ -175,3 +175,10 @@ def test_label_longest_wins(spark):
     df = spark.createDataFrame([("公司自由现金流 ",), ("市值与营收 ",), ("PE ",)], "local_prefix string")
     got = [r.labels for r in C.with_labels(df).collect()]
     assert got[0] == [["fcf"]] and len(got[1]) == 2 and got[2] == [["pe"]]
+
+
+def test_invalid_formulas(spark):
+    text = "增速 20% [calc: a/b; inputs: m.a, m.b] 与 [calc: a+999-a; inputs: m.a]\n[calc: a*2; inputs: m.x]\n[calc: 5]"
+    docs = spark.createDataFrame([("A", text)], "ts_code string, text string")
+    got = C.invalid_formulas(docs, fact_rows(spark, [("m.a", 1), ("m.b", 2)]), ["ts_code"]).collect()
+    assert sorted((r.line, r.formula) for r in got) == [(1, "a+999-a"), (2, "a*2"), (3, "5")]
