@@ -423,7 +423,7 @@ def scoring_problems(spark, sf_dir):
     """Weights that the score history contradicts in their key set: the check of the rules against the roles that score."""
     seen = _res(spark, sf_dir).select("expert_id").distinct()
     known = spark.createDataFrame([(e,) for e in RULES.weights], "expert_id string")
-    unweighted = seen.join(F.broadcast(known), "expert_id", "left_anti").select(
+    unweighted = seen.join(known, "expert_id", "left_anti").select(
         F.concat(F.lit("unweighted:"), "expert_id").alias("problem"))
     return unweighted.unionByName(scoring.scoring_problems(spark, RULES))
 

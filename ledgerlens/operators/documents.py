@@ -11,7 +11,6 @@ from ledgerlens.functions import values as V
 from ledgerlens.operators import claims as K
 from ledgerlens.operators import lines as L
 from ledgerlens.operators import picks
-from ledgerlens.schema import EXPERTS
 
 # Sections each role reads, budget per role, order of report kinds.
 CORE_SECTIONS = ("管理层讨论与分析", "经营情况讨论与分析", "公司未来发展的展望", "可能面对的风险")
@@ -143,7 +142,7 @@ def checklist_coverage(docs: DataFrame, checklist: DataFrame, keys: Sequence[str
     ``docs`` carries expert_id; ``checklist`` has expert_id, item and token_groups
     (every group must have one of its tokens in the cited evidence).
     """
-    expected = docs.select(*keys, *(["expert_id"] if "expert_id" not in keys else [])).join(F.broadcast(item_terms(checklist)), "expert_id")
+    expected = docs.select(*keys, *(["expert_id"] if "expert_id" not in keys else [])).join(item_terms(checklist), "expert_id")
     recorded = checklist_rows(docs, keys, text)
     joined = expected.join(recorded, [*keys, "item"], "left")
     located = F.regexp_extract_all("evidence", F.lit(f"(?i)({K.PATH}|{DOCUMENT_LOCATOR})"), F.lit(1))
@@ -438,5 +437,3 @@ def cross_review_problems(reviews: DataFrame, snapshots: DataFrame) -> DataFrame
     found = F.array_compact(F.array(*[F.when(c, F.lit(n)) for n, c in checks.items()]))
     return r.select(*keys, F.explode(found).alias("problem"))
 
-
-ROLES = EXPERTS

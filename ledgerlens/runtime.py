@@ -1,19 +1,12 @@
-"""Session helpers: settings the jobs expect, shared work folders, small dimensions."""
+"""Session helpers: settings the jobs expect, shared work folders, stored intermediates."""
 
 from __future__ import annotations
 
 import functools
 import tempfile
 import uuid
-from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-from pyspark.sql import types as T
-
-# A dimension written out in code may be broadcast without a size check up to
-# this many rows; anything larger takes the ordinary join.
-LITERAL_DIM_ROWS = 1_000
 
 
 def local_session(cores: int | str = "*", partitions: int = 8) -> SparkSession:
@@ -78,9 +71,3 @@ def spread(df: DataFrame, *keys: str) -> DataFrame:
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores, *keys) if df.rdd.getNumPartitions() < cores else df
-
-
-def literal_dim(spark: SparkSession, rows: Sequence[tuple], schema: str | T.StructType) -> DataFrame:
-    """A dimension spelled out by the caller; marked for broadcast while it is tiny."""
-    frame = spark.createDataFrame(list(rows), schema)
-    return F.broadcast(frame) if len(rows) <= LITERAL_DIM_ROWS else frame
