@@ -3,15 +3,33 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Callable, Iterable, Iterator
+import os
 
-import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerlens.runtime import materialize, shared_dir
 
-__all__ = ["blocks", "fixed_bits", "documents", "materialize", "per_batch", "shared_dir", "texts", "text_bytes"]
+__all__ = ["blocks", "documents", "importable", "materialize", "shared_dir", "text_bytes", "texts", "whole"]
+
+ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+
+
+def importable() -> None:
+    """Python workers started from now on look for this package where the driver found it.
+
+    On a cluster the package is installed or comes with --py-files; a local session need not be started in
+    the repository's folder.
+    """
+    env = SparkSession.active().sparkContext.environment
+    path = env.get("PYTHONPATH", "")
+    if ROOT not in path.split(os.pathsep):
+        env["PYTHONPATH"] = os.pathsep.join(x for x in (path, ROOT) if x)
+
+
+def whole(text: str = "text") -> Column:
+    """The whole text, empty where it is null."""
+    return F.coalesce(F.col(text), F.lit(""))
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -20,8 +38,8 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def texts(docs: DataFrame, *more: str) -> DataFrame:
     """doc_id and whole text (null: empty) alone, so that no other column can clash or travel."""
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"),
-                       F.coalesce(F.col("text"), F.lit("")).alias("text"), *more)
+    importable()
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole().alias("text"), *more)
 
 
 def text_bytes(docs: DataFrame) -> int:
@@ -37,18 +55,3 @@ def blocks(docs: DataFrame, block_bytes: int) -> DataFrame:
     """
     n = max(1, math.ceil(text_bytes(docs) / block_bytes))
     return texts(docs).withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(n)).cast("int"))
-
-
-def per_batch(work: Callable[[pa.RecordBatch], pa.RecordBatch | pa.Table]) -> Callable:
-    """A mapInArrow function that treats each batch on its own."""
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
-                out = work(batch)
-                yield from out.to_batches() if isinstance(out, pa.Table) else [out]
-    return run
-
-
-def fixed_bits(n: int) -> int:
-    """Bits that hold the values 0 to n - 1."""
-    return max(0, (max(1, n) - 1).bit_length())

@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from ledgerlens.llm import packing, token_counts, token_files
+from ledgerlens.llm import decontaminate, digests, language, packing, token_counts, token_files
 from ledgerlens.llm.common import documents, shared_dir
 
 
@@ -19,9 +19,21 @@ def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.read(spark, folder)
 
 
+def op4_benchmark_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.find_leaks(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def op6_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return digests.fingerprint_edits(documents(spark, sf_dir))
+
+
+def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.predict(documents(spark, sf_dir))
+
+
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op3_token_files, op9_packing)}
+QUERIES = {f.__name__: f for f in (op1_token_counts, op3_token_files, op4_benchmark_leaks, op6_digests, op7_language, op9_packing)}
 ORACLE: dict[str, str] = {}

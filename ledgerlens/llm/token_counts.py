@@ -23,6 +23,8 @@ import sentencepiece
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ledgerlens.llm.common import importable
+
 KEPT_WORDS = 600_000
 LONG_WORD = 64
 SPACE = "▁"
@@ -102,6 +104,8 @@ def counter(path: str) -> PieceCounter:
 
 def token_count(text: Column, path: str) -> Column:
     """Tokens of each text under the sentencepiece model at ``path``."""
+    importable()
+
     @F.pandas_udf("long")
     def count(values: pd.Series) -> pd.Series:
         known = counter(path)
