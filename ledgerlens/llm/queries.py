@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from ledgerlens.llm import decontaminate, digests, language, packing, token_counts, token_files
+from ledgerlens.llm import backoff, decontaminate, digests, language, packing, substrings, token_counts, token_files
 from ledgerlens.llm.common import documents, shared_dir
 
 
@@ -23,6 +23,10 @@ def op4_benchmark_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.find_leaks(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
+def op5_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return backoff.score(documents(spark, sf_dir))
+
+
 def op6_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digests.fingerprint_edits(documents(spark, sf_dir))
 
@@ -35,5 +39,10 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op3_token_files, op4_benchmark_leaks, op6_digests, op7_language, op9_packing)}
+def op10_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    return substrings.deduplicate(docs)
+
+
+QUERIES = {f.__name__: f for f in (op1_token_counts, op3_token_files, op4_benchmark_leaks, op5_backoff, op6_digests, op7_language, op9_packing, op10_substrings)}
 ORACLE: dict[str, str] = {}
