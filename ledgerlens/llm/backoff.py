@@ -22,12 +22,12 @@ import math
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerlens.llm.common import blocks, materialize, text_bytes
 from ledgerlens.llm.exchange import ask
+from ledgerlens.llm.words import ngram_hashes, word_hashes
 
 ORDER = 2
 ALPHA = 0.4
@@ -36,29 +36,6 @@ BLOCK_BYTES = 8_000_000
 BUCKET_BYTES = 16_000_000
 SUMS = "doc_id long, n_words long, n_backoffs long, n_alone long, partial double"
 SUM_FIELDS = [("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_backoffs", pa.int64()), ("n_alone", pa.int64()), ("partial", pa.float64())]
-MIX = np.uint64(0x9E3779B97F4A7C15)
-
-
-def word_hashes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Hash of each word, and which text it belongs to."""
-    split = [t.encode().lower().split() for t in texts]
-    known = {w: xxhash.xxh3_64_intdigest(w) for w in {w for ws in split for w in ws}}
-    n = [len(ws) for ws in split]
-    hashes = np.fromiter((known[w] for ws in split for w in ws), np.uint64, sum(n))
-    return hashes, np.repeat(np.arange(len(texts)), n)
-
-
-def ngram_hashes(words: np.ndarray, of: np.ndarray, order: int) -> list[tuple[np.ndarray, np.ndarray]]:
-    """For n = 1 to order: places where an n-gram ends, and its hash."""
-    out, places, hashes = [], np.arange(len(words)), words ^ MIX
-    for n in range(1, order + 1):
-        if n > 1:
-            # the n-gram that ends here is the (n-1)-gram that ends one word before, and this word
-            longer = np.flatnonzero((places[1:] == places[:-1] + 1) & (of[places[1:]] == of[places[:-1]])) if len(places) > 1 else places[:0]
-            mixed = (hashes[longer] ^ hashes[longer] >> np.uint64(29)) * MIX + words[places[longer + 1]] * np.uint64(2 * n + 1)
-            places, hashes = places[longer + 1], mixed ^ mixed >> np.uint64(32)
-        out.append((places, hashes))
-    return out
 
 
 def score(docs: DataFrame, order: int = ORDER, alpha: float = ALPHA, block_bytes: int = BLOCK_BYTES,

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from ledgerlens.llm import backoff, decontaminate, digests, language, packing, substrings, token_counts, token_files
+from ledgerlens.llm import backoff, decontaminate, digests, jaccard, language, packing, substrings, token_counts, token_files
 from ledgerlens.llm.common import documents, shared_dir
 
 
@@ -24,7 +25,8 @@ def op4_benchmark_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return backoff.score(documents(spark, sf_dir))
+    out = backoff.score(documents(spark, sf_dir))
+    return out.withColumns({c: F.round(c, 4) for c in ("log_score", "per_word")})
 
 
 def op6_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -35,6 +37,10 @@ def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.predict(documents(spark, sf_dir))
 
 
+def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.classes(documents(spark, sf_dir)).select("doc_id", "n_shingles", "component_id")
+
+
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"))
 
@@ -44,5 +50,41 @@ def op10_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.deduplicate(docs)
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op3_token_files, op4_benchmark_leaks, op5_backoff, op6_digests, op7_language, op9_packing, op10_substrings)}
-ORACLE: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op1_token_counts, op3_token_files, op4_benchmark_leaks, op5_backoff, op6_digests, op7_language, op8_jaccard_join, op9_packing, op10_substrings)}
+
+LETTERS = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+WORDS = rf"list_filter(regexp_split_to_array({LETTERS}, '[\x20\x09-\x0D]+'), lambda x: x <> '')"
+
+JACCARD_SQL = f"""
+WITH RECURSIVE d AS (SELECT doc_id, {WORDS} AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 0 THEN []::VARCHAR[] WHEN len(w) < 4 THEN [array_to_string(w, ' ')]
+        ELSE list_transform(range(1, len(w) - 2), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] || ' ' || w[i + 3]) END) AS g FROM d),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+p AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS k FROM s a JOIN s b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY ALL),
+links AS (SELECT x, y FROM p JOIN n a ON a.doc_id = x JOIN n b ON b.doc_id = y WHERE 100 * k >= 85 * (a.n + b.n - k)),
+reach(x, y) AS (SELECT x, y FROM links UNION SELECT r.x, l.y FROM reach r JOIN links l ON l.x = r.y)
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, least(d.doc_id, coalesce(min(r.y), d.doc_id)) AS component_id
+FROM d LEFT JOIN n USING (doc_id) LEFT JOIN reach r ON r.x = d.doc_id GROUP BY d.doc_id, n.n
+"""
+
+BACKOFF_SQL = f"""
+WITH d AS (SELECT doc_id, {WORDS} AS w FROM documents),
+t AS (SELECT doc_id, unnest(w) AS w, unnest(range(1, len(w) + 1)) AS i, unnest(list_prepend(NULL, w[:-2])) AS h FROM d),
+uni AS (SELECT w, count(*) AS c FROM t GROUP BY w),
+own_uni AS (SELECT doc_id, w, count(*) AS c FROM t GROUP BY ALL),
+bi AS (SELECT h, w, count(*) AS c FROM t WHERE h IS NOT NULL GROUP BY ALL),
+own_bi AS (SELECT doc_id, h, w, count(*) AS c FROM t WHERE h IS NOT NULL GROUP BY ALL),
+n AS (SELECT d.doc_id, len(w) AS n, greatest(1, (SELECT count(*) FROM t) - len(w)) AS rest FROM d),
+s AS (SELECT t.doc_id, bi.c - own_bi.c AS both_c, hist.c - own_hist.c AS hist_c, uni.c - own_uni.c AS uni_c, t.h, n.rest
+      FROM t JOIN n USING (doc_id) JOIN uni ON uni.w = t.w JOIN own_uni ON own_uni.doc_id = t.doc_id AND own_uni.w = t.w
+      LEFT JOIN bi ON bi.h = t.h AND bi.w = t.w LEFT JOIN own_bi ON own_bi.doc_id = t.doc_id AND own_bi.h = t.h AND own_bi.w = t.w
+      LEFT JOIN uni hist ON hist.w = t.h LEFT JOIN own_uni own_hist ON own_hist.doc_id = t.doc_id AND own_hist.w = t.h),
+v AS (SELECT doc_id, sum(CASE WHEN both_c > 0 THEN ln(both_c / hist_c)
+        ELSE CASE WHEN h IS NULL THEN 0 ELSE ln(0.4) END + ln(greatest(uni_c, 0.5)::DOUBLE / rest) END) AS ls,
+        sum((h IS NOT NULL AND both_c = 0)::BIGINT) AS backs FROM s GROUP BY doc_id)
+SELECT n.doc_id, n.n AS n_words, coalesce(backs, 0)::BIGINT AS n_backoffs, round(coalesce(ls, 0), 4) AS log_score,
+       CASE WHEN n.n > 0 THEN round(ls / n.n, 4) END AS per_word
+FROM n LEFT JOIN v USING (doc_id)
+"""
+
+ORACLE: dict[str, str] = {"op8_jaccard_join": JACCARD_SQL, "op5_backoff": BACKOFF_SQL}
