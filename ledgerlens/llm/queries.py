@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerlens.llm import backoff, decontaminate, digests, jaccard, language, packing, substrings, token_counts, token_files
+from ledgerlens.llm import backoff, decontaminate, digests, jaccard, language, packing, substrings, token_counts, token_files, tool_calls
 from ledgerlens.llm.common import documents, shared_dir
 
 
@@ -14,6 +14,58 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(documents(spark, sf_dir), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+#: Tools that the derived messages call.
+SCHEMAS = {
+    "search": {"type": "object", "required": ["query"], "additionalProperties": False,
+               "properties": {"query": {"type": "string"}, "limit": {"type": "integer", "minimum": 1, "maximum": 50}, "near": {"type": "string"}}},
+    "count": {"type": "object", "required": ["text"], "properties": {"text": {"type": "string"}, "unit": {"type": "string", "enum": ["word", "char"]}}},
+    "join": {"type": "object", "required": ["parts"], "properties": {"parts": {"type": "array", "items": {"type": "string"}}, "near": {"type": "string"}}},
+}
+
+
+def tool_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every message of ``conversations``; what the assistant says becomes one to three calls on the words it uses.
+
+    Lengths decide names and faults: arguments without a key, of a wrong type, not allowed or not JSON.  A
+    later call refers to the first of its message, and the first to one of the message before.  The next
+    user message brings the results, some of them missing, some twice, some placed before their calls.
+    """
+    talks = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", F.coalesce("text", F.lit("")).alias("text"))
+    n, word = F.char_length("text"), F.split("text", r"\s+")[0]
+
+    def call(k: int):
+        seed = n + 7 * k
+        ident = F.concat(F.lit("call_"), "turn", F.lit(f"_{k}"))
+        other = F.concat(F.lit("call_"), "turn", F.lit("_0")) if k else F.concat(F.lit("call_"), F.col("turn") - 2, F.lit("_0"))
+        near = F.when(F.lit(bool(k)) | (F.col("turn") > 2), F.struct(other.alias("$ref")))
+        search = F.to_json(F.struct(near.alias("near"), F.when(seed % 7 != 0, word).alias("query"), (seed % 60).alias("limit"), F.when(seed % 19 == 0, True).alias("fast")))
+        count = F.to_json(F.struct(F.when(seed % 5 != 0, "word").otherwise("line").alias("unit"), word.alias("text")))
+        join = F.concat(F.lit('{ "parts": ["'), F.regexp_replace(word, r'["\\]', ""), F.when(seed % 11 == 0, '", 1.0').otherwise('"'), F.lit("]"),
+                        F.when(seed % 13 == 0, "").otherwise(" }"))
+        kind = seed % 3
+        name = F.when(kind == 0, "search").when(kind == 1, "count").otherwise("join")
+        return F.struct(ident.alias("id"), name.alias("name"), F.when(kind == 0, search).when(kind == 1, count).otherwise(join).alias("arguments"))
+
+    spoken = F.col("role") == "assistant"
+    calls = F.when(spoken, F.slice(F.array(call(0), call(1), call(2)), 1, n % 3 + 1))
+    said = talks.select("conv_id", "turn", "role", "text", calls.alias("tool_calls"), F.lit(None).cast("string").alias("tool_call_id"))
+    back = talks.where(spoken).select("conv_id", "turn", "text", F.explode(F.sequence(F.lit(0), n % 3)).alias("k"))
+    seed = F.char_length("text") + 7 * F.col("k")
+    times = F.when(seed % 10 == 0, F.array().cast("array<long>")).when(seed % 23 == 0, F.array(F.col("turn") + 1, F.col("turn") + 3)) \
+        .when(seed % 17 == 0, F.array(F.col("turn") - 1)).otherwise(F.array(F.col("turn") + 1))
+    asked = F.concat(F.lit("call_"), back["turn"], F.lit("_"), "k")
+    results = back.select("conv_id", F.explode(times).alias("at"), "text", asked.alias("tool_call_id")).select(
+        "conv_id", F.col("at").alias("turn"), F.lit("tool").alias("role"), F.reverse("text").alias("text"),
+        F.lit(None).cast(said.schema["tool_calls"].dataType).alias("tool_calls"), "tool_call_id")
+    return said.unionByName(results)
+
+
+def op2_tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = tool_calls.link(tool_messages(spark, sf_dir), SCHEMAS)
+    return out.select("conv_id", "kind", "call_id", "turn", "nth", "status", "problems", F.col("behind.turn").alias("behind_turn"),
+                      F.col("behind.nth").alias("behind_nth"), F.col("behind.steps").alias("steps"), "json")
+
+
 def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = shared_dir(spark, "token-files")
     token_files.write(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"), folder)
@@ -50,7 +102,7 @@ def op10_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.deduplicate(docs)
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op3_token_files, op4_benchmark_leaks, op5_backoff, op6_digests, op7_language, op8_jaccard_join, op9_packing, op10_substrings)}
+QUERIES = {f.__name__: f for f in (op1_token_counts, op2_tool_calls, op3_token_files, op4_benchmark_leaks, op5_backoff, op6_digests, op7_language, op8_jaccard_join, op9_packing, op10_substrings)}
 
 LETTERS = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 WORDS = rf"list_filter(regexp_split_to_array({LETTERS}, '[\x20\x09-\x0D]+'), lambda x: x <> '')"
