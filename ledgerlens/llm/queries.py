@@ -63,7 +63,7 @@ def tool_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = tool_calls.link(tool_messages(spark, sf_dir), SCHEMAS)
     return out.select("conv_id", "kind", "call_id", "turn", "nth", "status", "problems", F.col("behind.turn").alias("behind_turn"),
-                      F.col("behind.nth").alias("behind_nth"), F.col("behind.steps").alias("steps"), "json")
+                      F.col("behind.nth").alias("behind_nth"), F.col("behind.from").alias("behind_from"), F.col("behind.steps").alias("steps"), "json")
 
 
 def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
