@@ -8,7 +8,8 @@ sets that link share a shingle of both prefixes.
 The lists are skipped through, not paired up:
 
 * by position: a list is ordered by set size and cut into blocks within which sizes allow a link; an entry
-  whose place in its prefix leaves too few shingles behind it is passed over;
+  whose place in its prefix leaves too few shingles behind it is passed over, and so are pairs that meet in
+  fewer lists than their sizes ask for: beyond the prefixes no more than n - p shingles can be shared;
 * by relation: each block has a leader, the set with the largest share of frequent shingles, and each set is
   verified against one leader first.  Sets that are linked by then are one class, and a list in which only
   one class is left is skipped whole;
@@ -24,10 +25,12 @@ texts without words have empty sets and link with nothing.  Repeated rows are eq
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -40,26 +43,25 @@ from ledgerlens.llm.words import shingle_sets
 #: Frequent shingles that every task holds: the most frequent ones, this many at most.
 FREQUENT = 1_000_000
 #: Shingles that a task counts at a time.
-PORTION = 4_000_000
+PORTION = 2_000_000
 BUCKET_BYTES = 64_000_000
-BATCH_CHARS = 2_000_000
+BATCH_BYTES = 2_000_000
 NODES = "doc_id long, n int, node binary, bucket int, keys binary, counts binary"
 POSTINGS = "shingle long, node binary, n int, place int, frequent int"
 LISTED = "shingle long, node binary, n int, place int, leader binary, leader_n int"
 PAIRS = "a binary, na int, b binary, nb int"
+PREFIXES = "node binary, n int, shingles binary, places binary, leader binary, leader_n int"
 
 
 def portions(batch: pa.RecordBatch) -> Iterator[tuple[list, list]]:
-    """Ids and texts of a batch, some millions of characters at a time (a longer text by itself)."""
-    ids, held = batch["doc_id"].to_pylist(), batch["text"].to_pylist()
-    first, size = 0, 0
-    for i, text in enumerate(held):
-        if i > first and size + len(text) > BATCH_CHARS:
-            yield ids[first:i], held[first:i]
-            first, size = i, 0
-        size += len(text)
-    if held:
-        yield ids[first:], held[first:]
+    """Ids and texts of a batch, some millions of bytes at a time (a longer text by itself)."""
+    size = np.cumsum(pc.binary_length(batch["text"]).to_numpy().astype(np.int64))
+    first = 0
+    while first < len(size):
+        last = max(first + 1, int(np.searchsorted(size, (size[first - 1] if first else 0) + BATCH_BYTES, "right")))
+        part = batch.slice(first, last - first)
+        yield part["doc_id"].to_pylist(), part["text"].to_pylist()
+        first = last
 
 
 def node_of(shingles: np.ndarray) -> bytes:
@@ -234,74 +236,134 @@ def lists(rows: DataFrame, threshold: int) -> DataFrame:
 
 
 def across(listed: DataFrame, threshold: int) -> DataFrame:
-    """Pairs of sets of different classes that meet in a list and whose places and sizes allow a link.
+    """Pairs of sets of different classes that meet in a list where places and sizes allow a link.
 
-    ``listed`` has a column root; a list of one class is skipped, and so is each entry's own class.
+    ``listed`` has a column root; a list of one class is skipped, and so is each entry's own class.  Of the
+    lists in which two sets meet, the first leaves the most shingles behind it, so the places of each list
+    may be judged as if the two met there for the first time.
     """
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in runs(batches):
             part = part.combine_chunks()
             keys, n, place = part["shingle"].to_numpy(), part["n"].to_numpy().astype(np.int64), part["place"].to_numpy().astype(np.int64)
             roots = part["root"].combine_chunks().dictionary_encode().indices.to_numpy()
+            nodes = part["node"].combine_chunks()
+            order = nodes.dictionary_encode()
+            rank = np.argsort(np.argsort(np.array(order.dictionary.to_pylist(), dtype=object)))[order.indices.to_numpy()]
             first = bounds_of(keys)
             left, right = [], []
+
+            def pairs() -> pa.RecordBatch:
+                i, j = np.concatenate(left), np.concatenate(right)
+                i, j = np.where(rank[i] < rank[j], i, j), np.where(rank[i] < rank[j], j, i)
+                return pa.RecordBatch.from_arrays([nodes.take(pa.array(i)), pa.array(n[i].astype(np.int32)), nodes.take(pa.array(j)),
+                                                   pa.array(n[j].astype(np.int32))], ["a", "na", "b", "nb"])
+
             for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True):
                 if (roots[a:b] == roots[a]).all():
                     continue
                 ends = a + np.searchsorted(n[a:b], 100 * n[a:b] // threshold, "right")
                 for i in range(a, b):
-                    end = ends[i - a]
-                    j = np.arange(i + 1, end)
-                    j = j[(roots[j] != roots[i]) & (np.minimum(n[i] - place[i], n[j] - place[j]) >= required(n[i], n[j], threshold))]
+                    j = np.arange(i + 1, ends[i - a])
+                    room = np.minimum(n[i] - place[i], n[j] - place[j])
+                    j = j[(roots[j] != roots[i]) & (room >= required(n[i], n[j], threshold))]
                     if len(j):
                         left.append(np.full(len(j), i))
                         right.append(j)
                 if sum(map(len, left)) > 500_000:
-                    yield pairs(part, n, left, right)
-                    left, right = [], []
+                    yield pairs()
+                    left.clear()
+                    right.clear()
             if left:
-                yield pairs(part, n, left, right)
-
-    def pairs(part: pa.Table, n: np.ndarray, left: list, right: list) -> pa.RecordBatch:
-        i, j = np.concatenate(left), np.concatenate(right)
-        nodes = part["node"].combine_chunks()
-        a, b = nodes.take(pa.array(i)), nodes.take(pa.array(j))
-        return pa.RecordBatch.from_arrays([a, pa.array(n[i].astype(np.int32)), b, pa.array(n[j].astype(np.int32))], ["a", "na", "b", "nb"])
+                yield pairs()
 
     return listed.repartition("shingle").sortWithinPartitions("shingle", "n", "node").mapInArrow(run, PAIRS)
 
 
-def sets_of(docs: DataFrame, size: int, nodes: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(node, shingles) of the wanted nodes, from the document that represents each."""
-    ids = nodes.join(wanted, "node", "left_semi").select("doc_id")
-    sieve = Sieve(ids)
-
+def prefixes(listed: DataFrame) -> DataFrame:
+    """For each set its shared shingles with their places, and the leader of most of its lists."""
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            held = sieve.may_hold(batch["doc_id"].fill_null(0).to_numpy()) | batch["doc_id"].is_null().to_numpy(zero_copy_only=False)
-            batch = batch.filter(pa.array(held))
-            for _, part in portions(batch):
-                sets = shingle_sets(part, size)
-                yield pa.RecordBatch.from_arrays([pa.array([node_of(s) for s in sets], pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())],
-                                                 ["node", "shingles"])
-
-    found = texts(docs).mapInArrow(run, "node binary, shingles binary")
-    return materialize(found.join(wanted, "node", "left_semi").dropDuplicates(["node"]), "sets")
+            out = []
+            for row in batch["entries"]:
+                at = row.values
+                shingles, places = at.field("shingle").to_numpy(), at.field("place").to_numpy()
+                order = np.argsort(shingles)
+                led = Counter(zip(at.field("leader").to_pylist(), at.field("leader_n").to_pylist(), strict=True))
+                best = max(((k, *who) for who, k in led.items() if who[0] is not None), default=(0, None, None))
+                out.append((shingles[order].tobytes(), places[order].tobytes(), best[1], best[2]))
+            kinds = (pa.binary(), pa.binary(), pa.binary(), pa.int32())
+            yield pa.RecordBatch.from_arrays([batch["node"], batch["n"], *(pa.array([x[k] for x in out], t) for k, t in enumerate(kinds))],
+                                             ["node", "n", "shingles", "places", "leader", "leader_n"])
+
+    held = listed.groupBy("node", "n").agg(F.collect_list(F.struct("shingle", "place", "leader", "leader_n")).alias("entries"))
+    return held.select("node", "n", "entries").mapInArrow(run, PREFIXES)
+
+
+def entries(prefixed: DataFrame) -> DataFrame:
+    """One row for each shared shingle of a set: shingle, node, n, place, root."""
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            shingles = [np.frombuffer(x, np.int64) for x in batch["shingles"].to_pylist()]
+            at = pa.array(np.repeat(np.arange(len(shingles)), [len(x) for x in shingles]))
+            places = np.concatenate([np.zeros(0, np.int32), *(np.frombuffer(x, np.int32) for x in batch["places"].to_pylist())])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.zeros(0, np.int64), *shingles])), batch["node"].take(at), batch["n"].take(at),
+                                              pa.array(places), batch["root"].take(at)], ["shingle", "node", "n", "place", "root"])
+    return prefixed.select("node", "n", "shingles", "places", "root").mapInArrow(run, "shingle long, node binary, n int, place int, root binary")
 
 
-def overlaps(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """``pairs`` with the size of the intersection: column common."""
+def common(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """``pairs`` with the number of shingles that two sets (node, shingles) share: column common."""
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            common = [len(np.intersect1d(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), assume_unique=True))
+            shared = [len(np.intersect1d(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), assume_unique=True))
                       for x, y in zip(batch["x"].to_pylist(), batch["y"].to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([*(batch[c] for c in ("a", "na", "b", "nb")), pa.array(common, pa.int32())], ["a", "na", "b", "nb", "common"])
+            yield pa.RecordBatch.from_arrays([*(batch[c] for c in ("a", "na", "b", "nb")), pa.array(shared, pa.int32())], ["a", "na", "b", "nb", "common"])
 
     both = (pairs.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("x")), "a")
             .join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("y")), "b").select("a", "na", "b", "nb", "x", "y"))
     return both.mapInArrow(run, PAIRS + ", common int")
 
 
+def likely(pairs: DataFrame, prefixed: DataFrame, threshold: int) -> DataFrame:
+    """The pairs whose prefixes share enough: beyond them they share n - p shingles at most."""
+    def beyond(n: str):
+        return F.ceil(F.col(n) * threshold / F.lit(100)) - 1
+
+    enough = F.col("common") >= needed(threshold) - F.greatest(beyond("na"), beyond("nb"))
+    return common(pairs, prefixed.select("node", "shingles")).where(enough).drop("common")
+
+
+def needed(threshold: int):
+    return F.ceil(threshold * (F.col("na") + F.col("nb")) / F.lit(100 + threshold))
+
+
+def sets_of(docs: DataFrame, size: int, nodes: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(node, shingles) of the wanted nodes and a few others, from the document that represents each.
+
+    A node can come from several tasks where rows repeat a doc_id or have none; links are made distinct after.
+    """
+    ids = nodes.join(wanted, "node", "left_semi").select("doc_id")
+    sieve = Sieve(ids)
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[bytes] = set()
+        for batch in batches:
+            ids = batch["doc_id"]
+            held = sieve.may_hold(ids.fill_null(0).to_numpy()) | ids.is_null().to_numpy(zero_copy_only=False)
+            for _, part in portions(batch.filter(pa.array(held))):
+                out = {}
+                for s in shingle_sets(part, size):
+                    if len(s) and (node := node_of(s)) not in seen:
+                        out[node] = s.tobytes()
+                if len(seen) > 500_000:
+                    seen.clear()
+                seen.update(out)
+                yield pa.RecordBatch.from_arrays([pa.array(list(out), pa.binary()), pa.array(list(out.values()), pa.binary())], ["node", "shingles"])
+
+    return materialize(texts(docs).mapInArrow(run, "node binary, shingles binary"), "sets")
+
+
 def classes(docs: DataFrame, size: int = 4, threshold: int = 85) -> DataFrame:
     """doc_id, n_shingles, component_id (smallest doc_id that links reach), n_links (verified links of its set)."""
     importable()
@@ -312,40 +374,38 @@ def classes(docs: DataFrame, size: int = 4, threshold: int = 85) -> DataFrame:
     nodes = of.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
     listed = materialize(lists(postings(docs, size, threshold, frequent), threshold), "lists")
 
+    need = needed(threshold)
     linked = F.col("common") * 100 >= threshold * (F.col("na") + F.col("nb") - F.col("common"))
-    led = (listed.where("leader is not null").groupBy("node", "n", "leader", "leader_n").agg(F.count("*").alias("k"))
-           .groupBy("node", "n").agg(F.max_by(F.struct("leader", "leader_n"), F.struct("k", "leader")).alias("r"))
-           .select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("r.leader").alias("b"), F.col("r.leader_n").alias("nb")))
-    led = materialize(led, "leaders")
+    prefixed = materialize(prefixes(listed), "prefixes")
+    led = prefixed.where("leader is not null").select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("leader").alias("b"), F.col("leader_n").alias("nb"))
+    led = materialize(likely(led, prefixed, threshold), "leaders")
     ends = led.select(F.col("a").alias("node")).union(led.select("b")).distinct()
     sets = sets_of(docs, size, nodes, ends)
-    first = materialize(overlaps(led, sets), "leader-overlaps")
+    first = materialize(common(led, sets), "leader-overlaps")
     roots = materialize(components(first.where(linked).select("a", "b")), "roots")
 
-    named = listed.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    met = across(named, threshold).select(F.least("a", "b").alias("a"), F.when(F.col("a") <= F.col("b"), F.col("na")).otherwise(F.col("nb")).alias("na"),
-                                          F.greatest("a", "b").alias("b"), F.when(F.col("a") <= F.col("b"), F.col("nb")).otherwise(F.col("na")).alias("nb"))
+    named = prefixed.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    met = across(entries(named), threshold).distinct()
     tried = first.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     to_leader = first.select(F.col("a").alias("x"), F.col("b").alias("r"), F.col("nb").alias("r_n"), "common")
     of_a = to_leader.select(F.col("x").alias("a"), F.col("r").alias("ra"), F.col("r_n"), F.col("common").alias("ca"))
     of_b = to_leader.select(F.col("x").alias("b"), F.col("r").alias("rb"), F.col("common").alias("cb"))
     same = F.coalesce(F.col("ra") == F.col("rb"), F.lit(False))
-    need = F.ceil(threshold * (F.col("na") + F.col("nb")) / F.lit(100 + threshold))
     least = F.when(same, F.col("ca") + F.col("cb") - F.col("r_n")).otherwise(0)
     most = F.when(same, F.least(F.col("ca") + F.col("nb") - F.col("cb"), F.col("cb") + F.col("na") - F.col("ca"))).otherwise(F.least("na", "nb"))
-    judged = (met.distinct().join(tried, ["a", "b"], "left_anti").join(of_a, "a", "left").join(of_b, "b", "left")
+    judged = (met.join(tried, ["a", "b"], "left_anti").join(of_a, "a", "left").join(of_b, "b", "left")
               .withColumn("least", least).withColumn("most", most).where(F.col("most") >= need))
     judged = materialize(judged.select("a", "na", "b", "nb", (F.col("least") >= need).alias("sure")), "pairs")
-    still = judged.where(~F.col("sure"))
+    still = materialize(likely(judged.where(~F.col("sure")).drop("sure"), prefixed, threshold), "open-pairs")
     known = sets
     late = still.select(F.col("a").alias("node")).union(still.select("b")).distinct().join(sets, "node", "left_anti")
     late = materialize(late, "late")
     if not late.isEmpty():
         known = sets.unionByName(sets_of(docs, size, nodes, late))
-    second = materialize(overlaps(still, known), "pair-overlaps")
+    second = materialize(common(still, known), "pair-overlaps")
 
     links = (first.where(linked).select("a", "b").unionByName(second.where(linked).select("a", "b"))
-             .unionByName(judged.where("sure").select("a", "b")))
+             .unionByName(judged.where("sure").select("a", "b")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
     roots = components(links)
     degree = links.select(F.col("a").alias("node")).union(links.select("b")).groupBy("node").agg(F.count("*").alias("n_links"))
     owned = roots.join(nodes, "node")
