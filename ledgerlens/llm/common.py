@@ -13,15 +13,21 @@ from ledgerlens.runtime import materialize, shared_dir
 __all__ = ["blocks", "documents", "importable", "materialize", "shared_dir", "text_bytes", "texts", "whole"]
 
 ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+#: Settings of Python workers: Arrow takes memory from the C library, which maps buffers from 256 KiB on by themselves.
+RETURN_MEMORY = {"ARROW_DEFAULT_MEMORY_POOL": "system", "MALLOC_MMAP_THRESHOLD_": "262144", "MALLOC_TRIM_THRESHOLD_": "262144",
+                 "MALLOC_ARENA_MAX": "2"}
 
 
 def importable() -> None:
     """Python workers started from now on look for this package where the driver found it.
 
     On a cluster the package is installed or comes with --py-files; a local session need not be started in
-    the repository's folder.
+    the repository's folder.  Workers live on from stage to stage, so their buffers go back to the system as
+    soon as they are free.
     """
     env = SparkSession.active().sparkContext.environment
+    for name, value in RETURN_MEMORY.items():
+        env.setdefault(name, value)
     path = env.get("PYTHONPATH", "")
     if ROOT not in path.split(os.pathsep):
         env["PYTHONPATH"] = os.pathsep.join(x for x in (path, ROOT) if x)

@@ -155,7 +155,7 @@ def postings(docs: DataFrame, size: int, threshold: int, frequent: tuple[np.ndar
                     n = len(s)
                     if not n or (node := node_of(s)) in seen:
                         continue
-                    if len(seen) > 500_000:
+                    if len(seen) > 200_000:
                         seen.clear()
                     seen.add(node)
                     at = np.searchsorted(keys, s)
@@ -356,7 +356,7 @@ def sets_of(docs: DataFrame, size: int, nodes: DataFrame, wanted: DataFrame) ->
                 for s in shingle_sets(part, size):
                     if len(s) and (node := node_of(s)) not in seen:
                         out[node] = s.tobytes()
-                if len(seen) > 500_000:
+                if len(seen) > 200_000:
                     seen.clear()
                 seen.update(out)
                 yield pa.RecordBatch.from_arrays([pa.array(list(out), pa.binary()), pa.array(list(out.values()), pa.binary())], ["node", "shingles"])
