@@ -20,7 +20,6 @@ from ledgerlens.operators import lines as L
 from ledgerlens.operators import scoring
 from ledgerlens.plans import company as C
 from ledgerlens.plans import snapshot
-from ledgerlens.runtime import spread
 
 QUERIES = {}
 ORACLE = {}
@@ -84,14 +83,13 @@ _RESULT_TEXT = f"concat_ws(chr(10), {', '.join(_RESULT_LINES)})"
 
 def _write_results(spark: SparkSession, sf_dir: str) -> DataFrame:
     r = runs.tables(spark, sf_dir)["expert_results"].withColumnsRenamed({"conclusion_direction": "dir"})
-    r = spread(r.withColumn("day", F.date_format("created_at", "yyyyMMdd")), "run_id")
+    r = r.withColumn("day", F.date_format("created_at", "yyyyMMdd"))
     return r.select(F.col("run_id").alias("ts_code"), "expert_id", F.expr(_RESULT_TEXT).alias("text"), "industry", "day")
 
 
 def results(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One analyst result document per run and role; the run id stands for the company code."""
-    stored = StagedTables(spark, sf_dir, {"results": lambda: _write_results(spark, sf_dir)})["results"]
-    return spread(stored, "ts_code")
+    return StagedTables(spark, sf_dir, {"results": lambda: _write_results(spark, sf_dir)})["results"]
 
 
 block("rd", f"SELECT *, {_RESULT_TEXT} AS text FROM (SELECT *, strftime(created_at, '%Y%m%d') AS day FROM res)", "res")
@@ -425,7 +423,7 @@ def first_traceable(spark, sf_dir):
 @query("document_numbers")
 def document_numbers(spark, sf_dir):
     """Numbers in all documents, whole texts."""
-    d = spread(proxy.raw(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id")
+    d = proxy.raw(spark, sf_dir, "documents").select("doc_id", "text")
     return K.claims(d, ["doc_id"]).select("doc_id", "line", "pos", "value", "unit", "category")
 
 
@@ -524,7 +522,7 @@ def text_budget(spark, sf_dir):
     rows = D.relevant_sections(_readable(spark, sf_dir), WANTED)
     order = [F.col("report_year").desc(), F.col("report_type"), F.col("section_name")]
     kept = D.within_budget(rows, ["ts_code", "expert_id"], order, budget=12_000, cap=1_200)
-    return kept.select("ts_code", "expert_id", "section_name", "cut", "total_chars")
+    return kept.filter("kept").select("ts_code", "expert_id", "section_name", "cut", "total_chars")
 
 
 @query("latest_report", sql("""SELECT ts_code, report_year, report_type FROM readable QUALIFY row_number() OVER (PARTITION BY ts_code ORDER BY report_year DESC,
@@ -555,7 +553,7 @@ block("qd", """SELECT d.doc_id, d.text, substr(regexp_replace(d.text, '[^a-zA-Z]
 def quote_check(spark, sf_dir):
     """Reports that quote their document's first letters three times over; toxic ones misquote, poor ones cite no real path."""
     t = StagedTables(spark, sf_dir, {"quoting": lambda: _write_quoting(spark, sf_dir)})
-    d = spread(t["quoting"], "ts_code")
+    d = t["quoting"]
     sections = d.select("ts_code", F.lit(2000).alias("report_year"), F.lit("annual").alias("report_type"),
                         F.lit("第三节 经营情况讨论与分析").alias("section_name"), "section_text")
     paths = d.filter("quality = 1").select("ts_code", F.lit("market.close").alias("path"))
@@ -563,7 +561,7 @@ def quote_check(spark, sf_dir):
 
 
 def _write_quoting(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = spread(proxy.raw(spark, sf_dir, "documents"), "doc_id").join(proxy.raw(spark, sf_dir, "labels"), "doc_id", "left")
+    d = proxy.raw(spark, sf_dir, "documents").join(proxy.raw(spark, sf_dir, "labels"), "doc_id", "left")
     letters = F.regexp_replace("text", "[^a-zA-Z]", "")
     d = d.select(F.col("doc_id").cast("string").alias("ts_code"), letters.alias("body"), F.substring(letters, 1, 12).alias("chunk"),
                  F.coalesce("toxic", F.lit(0)).alias("toxic"), F.coalesce("quality", F.lit(1)).alias("quality"))

@@ -11,13 +11,12 @@ from collections.abc import Sequence
 
 import pandas as pd
 from pyspark import cloudpickle
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ledgerlens.functions import values as V
 from ledgerlens.operators import lines as L
-from ledgerlens.operators import picks
 
 # The two Arrow functions travel with the job, so workers need no installed package.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -164,7 +163,7 @@ def scan_line(line: str) -> list[dict]:
                 "unit": "%" if unit.endswith("百分点") else unit,
                 "raw": m.group().strip(),
                 **evidence,
-                "local_prefix": visible[spots[i - 1].end() if i else 0 : m.start()][-80:],
+                "local_prefix": visible[spots[i - 1].end() if i else 0 : m.start()],
                 "cell": max(0, line[: m.start()].count("|") - 1),
                 "is_code": follows in (".SH", ".SZ", ".BJ") or bool(re.search(CODE_WORDS, before[-12:])),
                 "is_ordinal": bool(re.fullmatch(r"\s*(?:(?:#{1,6}|[-*])\s+)?", before))
@@ -230,7 +229,7 @@ def claims(docs: DataFrame, keys: Sequence[str], text: str = "text") -> DataFram
         *keys, "line", t("pos").alias("pos"), t("value").alias("value"), t("unit").alias("unit"),
         t("raw").alias("raw"), "section", category.alias("category"),
         t("sources").alias("declared_paths"), t("formulas").alias("formulas"), t("assumptions").alias("assumptions"),
-        t("local_prefix").alias("local_prefix"), F.substring("stripped", 1, 220).alias("context"),
+        t("local_prefix").alias("local_prefix"), F.col("stripped").alias("context"),
     )
 
 
@@ -417,8 +416,8 @@ def trace(found: DataFrame, facts: DataFrame, keys: Sequence[str], company: Sequ
     )
 
 
-def value_only_candidates(traced: DataFrame, facts: DataFrame, keys: Sequence[str], company: Sequence[str] = ("ts_code",), first: int = 3) -> DataFrame:
-    """For untraced numbers, facts of the same unit whose value would fit: a hint, not evidence.
+def value_only_candidates(traced: DataFrame, facts: DataFrame, keys: Sequence[str], company: Sequence[str] = ("ts_code",)) -> DataFrame:
+    """For untraced numbers, all facts of the same unit whose value would fit, ranked: a hint, not evidence.
 
     A range join on buckets one tolerance wide: a fact lies in the bucket of the
     printed value or next to it.  Buckets depend on how many decimals were
@@ -435,8 +434,8 @@ def value_only_candidates(traced: DataFrame, facts: DataFrame, keys: Sequence[st
     laid = facts.select(*company, "unit", "ord", "path", F.col("value").alias("fact")).join(precisions, [*company, "unit"])
     laid = laid.withColumn("cell", cell(F.col("fact")))
     fits = wanted.join(laid, [*company, "unit", "decimals", "cell"]).filter(V.display_equal(F.col("value"), F.col("fact"), F.col("decimals")))
-    kept = picks.top_n(fits, claim, [F.col("ord"), F.col("path")], first, rank="rank")
-    return kept.select(*claim, "rank", "path")
+    rank = F.row_number().over(Window.partitionBy(*claim).orderBy("ord", "path"))
+    return fits.select(*claim, rank.alias("rank"), "path")
 
 
 def coverage(traced: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -563,7 +562,7 @@ def unsupported_assertions(docs: DataFrame, facts: DataFrame, keys: Sequence[str
         .groupBy(*spot).agg(F.bool_or(F.col("present") >= F.coalesce("points", F.lit(0))).alias("ok"))
     )
     allowed = peer_ok.unionByName(past_ok).filter("ok").select(*spot)
-    return suspect.join(allowed, spot, "left_anti").select(*spot, F.substring(L.strip(F.col("raw_line")), 1, 160).alias("context"))
+    return suspect.join(allowed, spot, "left_anti").select(*spot, L.strip(F.col("raw_line")).alias("context"))
 
 
 # Conclusions that contradict a gap in the data, and words that take them back.
@@ -586,7 +585,7 @@ def contradictions(docs: DataFrame, gaps: DataFrame, keys: Sequence[str], compan
     per_line = L.lines(docs.join(gaps, list(company)), [*keys, *[n for n, _ in CONTRADICTIONS]], text)
     clauses = per_line.withColumn("clause", F.explode(F.split("raw_line", CLAUSE_END))).filter(~F.col("clause").rlike(HEDGES))
     hits = F.array_compact(F.array(*[F.when(F.col(n) & F.col("clause").rlike(p), F.lit(n)) for n, p in CONTRADICTIONS]))
-    return clauses.select(*keys, "line", F.explode(hits).alias("label"), F.substring(L.strip(F.col("clause")), 1, 160).alias("context"))
+    return clauses.select(*keys, "line", F.explode(hits).alias("label"), L.strip(F.col("clause")).alias("context"))
 
 
 def data_gaps(documents: DataFrame) -> DataFrame:

@@ -23,7 +23,7 @@ EXPERT_SECTIONS = {
     "macro-cyclist": ("管理层讨论与分析", "经营情况讨论与分析"),
     "management-auditor": (*CORE_SECTIONS, "公司治理", "股份变动及股东情况", "重要事项"),
 }
-SECTION_CHARS, BUDGET_CHARS, MIN_SECTION = 12_000, 240_000, 200
+MIN_SECTION = 200
 KIND_ORDER = ("annual", "semi-annual", "q3", "q1")
 EVIDENCE_DOMAINS = {
     "financial-auditor": ("annual.", "quarterly.", "balance.", "indicators.", "audit.", "forecast."),
@@ -62,20 +62,18 @@ def relevant_sections(sections: DataFrame, wanted: Mapping[str, Sequence[str]] =
     return sections.withColumn("expert_id", F.explode(roles))
 
 
-def within_budget(sections: DataFrame, keys: Sequence[str], order: Sequence[Column], budget: int = BUDGET_CHARS, cap: int = SECTION_CHARS) -> DataFrame:
-    """Leading sections per key whose capped lengths fit the budget; stops at the first that does not.
+def within_budget(sections: DataFrame, keys: Sequence[str], order: Sequence[Column], budget: int, cap: int) -> DataFrame:
+    """Every section with its place, ``used_chars`` (``cap`` at most), ``cut`` and ``total_chars`` up to it.
 
-    Every section has at least ``MIN_SECTION`` characters, so no more than
-    budget / MIN_SECTION can fit.  Dropping the ranks beyond that first - each
-    task does so before the shuffle - changes nothing and bounds what the
-    running sum of one key has to look at.
+    ``kept`` marks the leading sections of a key whose capped lengths fit the budget, up to the first that
+    does not.  Nothing is dropped: what lies beyond the budget is in the result, marked.
     """
     used = F.least(F.length("section_text"), F.lit(cap))
-    small = sections.withColumns({"used_chars": used, "cut": F.length("section_text") > cap})
-    front = picks.top_n(small, keys, order, budget // min(MIN_SECTION, cap) + 1, rank="place")
+    placed = sections.withColumns({"used_chars": used, "cut": F.length("section_text") > cap,
+                                   "place": F.row_number().over(Window.partitionBy(*keys).orderBy(*order))})
     run = Window.partitionBy(*keys).orderBy("place").rowsBetween(Window.unboundedPreceding, 0)
-    # used is positive, so once over the budget the sum stays over it
-    return front.withColumn("total_chars", F.sum("used_chars").over(run)).filter(F.col("total_chars") <= budget)
+    # lengths are not negative, so once over the budget the sum stays over it
+    return placed.withColumn("total_chars", F.sum("used_chars").over(run)).withColumn("kept", F.col("total_chars") <= budget)
 
 
 def latest_report(sections: DataFrame) -> DataFrame:

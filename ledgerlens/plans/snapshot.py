@@ -100,8 +100,12 @@ def paths(documents: DataFrame, keys: tuple[str, ...] = ("ts_code",), sections:
     return rows.select(*keys, "f.path").distinct()
 
 
-def json_facts(documents: DataFrame, keys: tuple[str, ...], text: str = "json", depth: int = 8) -> DataFrame:
-    """The same for a document that arrives as JSON text: one level per step, no schema needed."""
+def json_facts(documents: DataFrame, keys: tuple[str, ...], text: str = "json") -> DataFrame:
+    """The same for a document that arrives as JSON text: one level per step, no schema needed.
+
+    The deepest document decides the number of steps, read from the brackets beforehand (one number).
+    """
+    depth = documents.agg(F.max(json_depth(F.col(text))).alias("d")).first().d or 1
     level = documents.select(*keys, F.try_parse_json(text).alias("__v"), F.lit("").alias("path"))
     found = None
     for _ in range(depth):
@@ -121,6 +125,16 @@ def json_facts(documents: DataFrame, keys: tuple[str, ...], text: str = "json",
     ).withColumn("unit", V.infer_unit("path"))
 
 
+def json_depth(text: Column) -> Column:
+    """How deep the brackets of a JSON text are nested, brackets within strings left out."""
+    marks = F.regexp_replace(F.regexp_replace(text, r'"(?:[^"\\]|\\.)*"', ""), r"[^\[\]{}]", "")
+    step = lambda m: F.when(m.isin("{", "["), 1).when(m.isin("}", "]"), -1).otherwise(0)
+    start = F.struct(F.lit(0).alias("now"), F.lit(0).alias("most"))
+    seen = F.aggregate(F.split(marks, ""), start, lambda a, m: F.struct(
+        (a["now"] + step(m)).alias("now"), F.greatest(a["most"], a["now"] + step(m)).alias("most")))
+    return seen["most"]
+
+
 def _exploded(level: DataFrame) -> DataFrame:
     spark = level.sparkSession
     return spark.tvf.variant_explode(F.col("__v").outer()).toDF("__pos", "__key", "__value")

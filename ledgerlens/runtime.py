@@ -60,14 +60,3 @@ def materialize(df: DataFrame, purpose: str) -> DataFrame:
     path = shared_dir(df.sparkSession, purpose)
     df.write.mode("overwrite").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def spread(df: DataFrame, *keys: str) -> DataFrame:
-    """Deal a scan with fewer splits than cores out to all of them.
-
-    A small table in one row group would otherwise run its whole text work in a
-    single task.  A big table has splits enough and is left where it is, so
-    nothing large is ever shuffled for this.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores, *keys) if df.rdd.getNumPartitions() < cores else df

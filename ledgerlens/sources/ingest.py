@@ -107,15 +107,15 @@ def harmonize(df: DataFrame, headings: Mapping[str, str], keep: Sequence[str] =
 def find_date_column(df: DataFrame, headings: Sequence[str] = DATE_HEADINGS) -> str | None:
     """The column that carries the period: by its heading, else the first column if it looks like one.
 
-    Only column names and one sample value are looked at on the driver.
+    It does if every value that is not blank is a date of eight digits; the driver sees that one answer.
     """
     for name in df.columns:
         if any(h in name for h in headings):
             return name
     first = df.columns[0]
-    sample = df.select(F.regexp_replace(F.col(f"`{first}`").cast("string"), "-", "").alias("v")).first()
-    looks_like_date = sample is not None and sample.v is not None and len(sample.v) == 8 and sample.v.isdigit()
-    return first if looks_like_date else None
+    value = F.regexp_replace(F.trim(F.col(f"`{first}`").cast("string")), "-", "")
+    all_dates = df.agg(F.bool_and(F.when(value != "", value.rlike(r"^\d{8}$"))).alias("ok")).first().ok
+    return first if all_dates else None
 
 
 def dated_between(df: DataFrame, date_column: str, start: Column, end: Column) -> DataFrame:

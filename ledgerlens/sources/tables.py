@@ -6,6 +6,7 @@ from collections.abc import Iterable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ledgerlens import schema
 from ledgerlens.functions import values as V
@@ -127,9 +128,20 @@ def read_files(spark: SparkSession, path: str) -> DataFrame:
 
 
 def finite_columns(df: DataFrame) -> DataFrame:
-    """NaN and infinities of every double column as NULL, so JSON stays strict."""
-    kinds = dict(df.dtypes)
-    return df.select(*[V.finite(c).alias(c) if kinds[c] == "double" else F.col(c) for c in df.columns])
+    """NaN and infinities as NULL at any depth of structs, arrays and maps, so JSON stays strict."""
+    return df.select(*[_finite(F.col(f"`{f.name}`"), f.dataType).alias(f.name) for f in df.schema.fields])
+
+
+def _finite(value: Column, kind: T.DataType) -> Column:
+    if isinstance(kind, (T.DoubleType, T.FloatType)):
+        return V.finite(value)
+    if isinstance(kind, T.StructType):
+        return F.when(value.isNotNull(), F.struct(*[_finite(value[f.name], f.dataType).alias(f.name) for f in kind.fields]))
+    if isinstance(kind, T.ArrayType):
+        return F.transform(value, lambda x: _finite(x, kind.elementType))
+    if isinstance(kind, T.MapType):
+        return F.transform_values(value, lambda _, x: _finite(x, kind.valueType))
+    return value
 
 
 def write_json_documents(df: DataFrame, path: str) -> None:

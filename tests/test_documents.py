@@ -101,7 +101,9 @@ def test_budget_against_brute_force(spark):
     rows = [("A" if rng.random() < 0.8 else "B", 2020 + i % 4, "annual", f"s{i:03d}", "x" * rng.choice([200, 900, 1500, 4000])) for i in range(120)]
     df = spark.createDataFrame(rows, "ts_code string, report_year int, report_type string, section_name string, section_text string")
     kept = D.within_budget(df, ["ts_code"], [F.col("report_year").desc(), F.col("section_name")], budget=9000, cap=1200)
-    got = sorted((r.ts_code, r.section_name, r.cut) for r in kept.collect())
+    rows_out = kept.collect()
+    assert len(rows_out) == len(rows)
+    got = sorted((r.ts_code, r.section_name, r.cut) for r in rows_out if r.kept)
     want = []
     for code in "AB":
         total = 0

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ledgerlens.operators import quality as Q
 from ledgerlens.plans import snapshot
+from ledgerlens.sources import tables
 
 SCHEMA = """ts_code string, stock_info struct<name:string>,
  market struct<ts_code:string,trade_date:string,close:double,total_mv_yi:double,total_shares_yi:double>,
@@ -145,3 +146,21 @@ def test_facts_of_foreign_json(spark):
     docs = spark.createDataFrame([("A", json.dumps({"market": {"close": 10, "name": "x"}, "rows": [{"v_yi": 1.5}, {"v_yi": None}]}))], "ts_code string, json string")
     got = {(r.path, r.value, r.unit) for r in snapshot.json_facts(docs, ("ts_code",)).collect()}
     assert got == {("market.close", 10.0, ""), ("rows[0].v_yi", 1.5, "亿")}
+
+
+def test_facts_of_deep_documents_are_all_found(spark):
+    inner = 1
+    for k in range(11):
+        inner = {f"k{k}": inner, f"v{k}": k, "s": '{"[', "a": [k, {"b": k}]}
+    docs = spark.createDataFrame([("A", json.dumps(inner)), ("B", "[[1]]"), ("C", None), ("D", "no json {")], "ts_code string, json string")
+    got = snapshot.json_facts(docs, ("ts_code",)).collect()
+    assert sum(r.ts_code == "A" for r in got) == 1 + 11 * 3
+    assert [r.path for r in got if r.ts_code == "B"] == ["[0][0]"]
+
+
+def test_json_is_strict_at_any_depth(spark, tmp_path):
+    nan = float("nan")
+    df = spark.createDataFrame([("A", (nan, [float("inf"), 1.0], {"k": nan}))], "ts_code string, s struct<x:double,a:array<double>,m:map<string,double>>")
+    tables.write_json_documents(df, f"{tmp_path}/out")
+    row = json.loads(spark.read.text(f"{tmp_path}/out").first().value)
+    assert row == {"ts_code": "A", "s": {"x": None, "a": [None, 1.0], "m": {"k": None}}}
