@@ -1,4 +1,4 @@
-"""Canonical tables as stored tables: derived once per session, then read like any other Parquet."""
+"""Canonical tables as stored tables: derived once per session and state of their sources, then read like any other Parquet."""
 
 from __future__ import annotations
 
@@ -8,13 +8,26 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ledgerlens.runtime import shared_dir
 
-_FOLDERS: dict[tuple[str, str], str] = {}
+_FOLDERS: dict[tuple[str, str, int], str] = {}
 _WRITTEN: set[str] = set()
 
 
+def source_state(spark: SparkSession, folder: str) -> int:
+    """Changes whenever a file below ``folder`` comes, goes, grows or is written anew; metadata only, no job."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    files = path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).listFiles(path, True)
+    found = []
+    while files.hasNext():
+        f = files.next()
+        found.append((f.getPath().toString(), f.getLen(), f.getModificationTime()))
+    return hash(tuple(sorted(found)))
+
+
 class StagedTables(Mapping[str, DataFrame]):
     """Writes a derived table on first use below the shared folder of the session and reads it back.
 
+    A changed source file starts a new set of tables, so nothing stale is read.
+
     Everything downstream then starts from a plain scan: short lineage, real
     sizes for the join planner, column pruning and pushed filters.
     """
@@ -22,7 +35,7 @@ class StagedTables(Mapping[str, DataFrame]):
     def __init__(self, spark: SparkSession, sf_dir: str, makers: Mapping[str, Callable[[], DataFrame]]):
         self.spark = spark
         self.makers = makers
-        key = (spark.sparkContext.applicationId, sf_dir)
+        key = (spark.sparkContext.applicationId, sf_dir, source_state(spark, sf_dir))
         if key not in _FOLDERS:
             _FOLDERS[key] = shared_dir(spark, "tables")
         self.folder = _FOLDERS[key]
