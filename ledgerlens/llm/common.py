@@ -13,8 +13,8 @@ from ledgerlens.runtime import materialize, shared_dir
 __all__ = ["blocks", "documents", "importable", "materialize", "shared_dir", "text_bytes", "texts", "whole"]
 
 ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
-#: Settings of Python workers: Arrow takes memory from the C library, which maps buffers from 256 KiB on by themselves.
-RETURN_MEMORY = {"ARROW_DEFAULT_MEMORY_POOL": "system", "MALLOC_MMAP_THRESHOLD_": "262144", "MALLOC_TRIM_THRESHOLD_": "262144",
+#: Settings of Python workers: Arrow takes memory from the C library, which maps buffers from 4 MiB on by themselves.
+RETURN_MEMORY = {"ARROW_DEFAULT_MEMORY_POOL": "system", "MALLOC_MMAP_THRESHOLD_": "4194304", "MALLOC_TRIM_THRESHOLD_": "16777216",
                  "MALLOC_ARENA_MAX": "2"}
 
 
