@@ -16,6 +16,8 @@ ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__)
 #: Settings of Python workers: Arrow takes memory from the C library, which maps buffers from 4 MiB on by themselves.
 RETURN_MEMORY = {"ARROW_DEFAULT_MEMORY_POOL": "system", "MALLOC_MMAP_THRESHOLD_": "4194304", "MALLOC_TRIM_THRESHOLD_": "16777216",
                  "MALLOC_ARENA_MAX": "2"}
+#: Bytes of one Arrow batch to a Python worker, unless the session was started with a size of its own.
+BATCH_SIZE = ("spark.sql.execution.arrow.maxBytesPerBatch", "4m")
 
 
 def importable() -> None:
@@ -23,9 +25,12 @@ def importable() -> None:
 
     On a cluster the package is installed or comes with --py-files; a local session need not be started in
     the repository's folder.  Workers live on from stage to stage, so their buffers go back to the system as
-    soon as they are free.
+    soon as they are free, and batches of long texts are bounded by bytes, not only by rows.
     """
-    env = SparkSession.active().sparkContext.environment
+    spark = SparkSession.active()
+    if spark.sparkContext.getConf().get(BATCH_SIZE[0]) is None:
+        spark.conf.set(*BATCH_SIZE)
+    env = spark.sparkContext.environment
     for name, value in RETURN_MEMORY.items():
         env.setdefault(name, value)
     path = env.get("PYTHONPATH", "")

@@ -21,7 +21,7 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterable
-from functools import cache
+from functools import lru_cache
 
 import pandas as pd
 import zstandard
@@ -99,9 +99,9 @@ class Classifier:
         return sizes[0][1], min(1.0, 0.5 + 2.0 * margin), margin, margin < min_margin
 
 
-@cache
+@lru_cache(maxsize=1)
 def classifier(model: Model) -> Classifier:
-    """One per worker process and model."""
+    """The worker process keeps the one it used last."""
     return Classifier(model)
 
 
