@@ -116,6 +116,14 @@ def content_hashes(spark, sf_dir):
     return m.select("ts_code", I.content_hash([c for c in m.columns if c != "ts_code"]).alias("data_hash"))
 
 
+@query("record_hashes", sql("""SELECT doc_id, sha256(json_object('doc_id', doc_id, 'lang', lang, 'n_chars', n_chars, 'source', source, 'text', text)) AS data_hash
+ FROM documents"""))
+def record_hashes(spark, sf_dir):
+    """Content hash of every given document over all its fields."""
+    d = proxy.raw(spark, sf_dir, "documents")
+    return d.select("doc_id", I.content_hash(["doc_id", "lang", "n_chars", "source", "text"]).alias("data_hash"))
+
+
 @query("identity_mismatches", sql("""SELECT run_id AS ts_code, expert_id, 'analysis_date' AS field FROM rd WHERE industry = 'ASIA'
  UNION ALL SELECT run_id, expert_id, 'batch_id' FROM rd WHERE score < 30""", "rd"))
 def identity_mismatches(spark, sf_dir):

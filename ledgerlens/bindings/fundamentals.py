@@ -14,6 +14,7 @@ from ledgerlens.operators import statements as S
 from ledgerlens.plans import company as C
 from ledgerlens.plans import snapshot
 from ledgerlens.sources import ingest
+from ledgerlens.sources import tables as src
 
 DAY = proxy.AS_OF
 QUERIES = {}
@@ -409,7 +410,20 @@ def market_facts(spark, sf_dir):
     return _r(snapshot.facts(docs), "value")
 
 
-@query("company_documents")
+@query("company_documents", sql("""SELECT s.ts_code, s.name, s.industry, strftime(k.trade_date, '%Y%m%d') AS trade_date, round(k.close, 6) AS close,
+ m.period AS m1_period, m.value AS m1_value, true AS strict,
+ (SELECT count(*) FROM dq WHERE dq.ts_code = s.ts_code AND severity = 'W' AND rule_id <> 'DQ41') AS warnings
+ FROM stocks s LEFT JOIN mkt k ON k.ts_code = s.ts_code
+ LEFT JOIN (SELECT max(period) AS period, round(arg_max(value, period), 6) AS value FROM macro WHERE indicator = 'm1') m ON true""",
+ "stocks", "mkt", "dq", "macro"))
 def company_documents(spark, sf_dir):
-    docs = snapshot.company_document(_tables(spark, sf_dir), DAY)
-    return docs.select("ts_code", F.to_json(F.struct(*docs.columns)).alias("document"))
+    """The JSON documents with current macro readings, their fields read back from the text."""
+    t = _tables(spark, sf_dir)
+    docs = src.finite_columns(snapshot.company_document(t, DAY, t["macro"]))
+    text = docs.select("ts_code", F.to_json(F.struct(*docs.columns)).alias("document"))
+    at = lambda path: F.get_json_object("document", path)
+    return text.select(
+        "ts_code", at("$.stock_info.name").alias("name"), at("$.stock_info.industry").alias("industry"), at("$.market.trade_date").alias("trade_date"),
+        F.round(at("$.market.close").cast("double"), 6).alias("close"), at("$.macro.series.m1.period").alias("m1_period"),
+        F.round(at("$.macro.series.m1.value").cast("double"), 6).alias("m1_value"), (~F.col("document").rlike(r"NaN|Infinity")).alias("strict"),
+        F.json_array_length(at("$.data_quality.warnings")).cast("long").alias("warnings"))

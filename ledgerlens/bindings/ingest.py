@@ -95,20 +95,82 @@ def vendor_numbers(spark, sf_dir):
 # --- vendor frames -----------------------------------------------------------------------
 
 
+def _grouped(name: str):
+    return F.format_number(F.col(name), 0)
+
+
+def _vendor(frame: DataFrame, table: str, headings, numbers: list[str]) -> DataFrame:
+    """A vendor's frame over four years in the layout of a canonical table."""
+    period = G.find_date_column(frame.drop("ts_code"))
+    dated = G.dated_between(frame, period, F.lit("1997-01-01").cast("date"), F.lit("2000-12-31").cast("date"))
+    out = src.align(G.harmonize(dated, headings, keep=["ts_code", "end_date"]), table)
+    return out.select("ts_code", V.ymd("end_date").alias("end_date"), *numbers)
+
+
 @query("vendor_income", sql("""SELECT ts_code, strftime(end_date, '%Y%m%d') AS end_date, rev_y::DOUBLE AS total_revenue, cogs_y::DOUBLE AS total_cogs,
  prof_y::DOUBLE AS n_income_attr_p, NULL::DOUBLE AS rd_exp FROM qb WHERE end_date BETWEEN DATE '1997-01-01' AND DATE '2000-12-31'""", "qb"))
 def vendor_income(spark, sf_dir):
     """A second vendor's statement: own headings, text numbers, the period under a heading of its own."""
-    q = proxy.quarter_base(spark, sf_dir)
-    grouped = lambda c: F.concat(F.format_number(F.col(c), 0), F.lit(""))
-    frame = q.select(
-        "ts_code", F.date_format("end_date", "yyyy-MM-dd").alias("报告日"), grouped("rev_y").alias("营业总收入"),
-        grouped("cogs_y").alias("营业总成本"), grouped("prof_y").alias("归属于母公司股东的净利润"), F.lit("--").alias("研发费用"),
+    frame = _t(spark, sf_dir)["quarter_sums"].select(
+        "ts_code", F.date_format("end_date", "yyyy-MM-dd").alias("报告日"), _grouped("rev_y").alias("营业总收入"),
+        _grouped("cogs_y").alias("营业总成本"), _grouped("prof_y").alias("归属于母公司股东的净利润"), F.lit("--").alias("研发费用"),
     )
-    period = G.find_date_column(frame.drop("ts_code"))
-    dated = G.dated_between(frame, period, F.lit("1997-01-01").cast("date"), F.lit("2000-12-31").cast("date"))
-    out = src.align(G.harmonize(dated, G.INCOME_HEADINGS, keep=["ts_code", "end_date"]), "income")
-    return out.select("ts_code", V.ymd("end_date").alias("end_date"), "total_revenue", "total_cogs", "n_income_attr_p", "rd_exp")
+    return _vendor(frame, "income", G.INCOME_HEADINGS, ["total_revenue", "total_cogs", "n_income_attr_p", "rd_exp"])
+
+
+_SPAN = "end_date BETWEEN DATE '1997-01-01' AND DATE '2000-12-31'"
+
+
+@query("vendor_balance", sql(f"""SELECT ts_code, strftime(end_date, '%Y%m%d') AS end_date, assets::DOUBLE AS total_assets, cash::DOUBLE AS money_cap,
+ goodwill::DOUBLE AS goodwill, stock::DOUBLE AS total_nca, st::DOUBLE AS total_cur_liab, lt::DOUBLE AS total_noncur_liab, nullif(ones, 0)::DOUBLE AS total_share,
+ NULL::DOUBLE AS bonds_payable FROM yb WHERE {_SPAN}""", "yb"))
+def vendor_balance(spark, sf_dir):
+    """Balance sheet with the period under a heading that says nothing: its first column is taken by its values."""
+    frame = _t(spark, sf_dir)["year_sums"].select(
+        "ts_code", F.date_format("end_date", "yyyyMMdd").alias("x"), _grouped("assets").alias("资产总计"), _grouped("cash").alias("货币资金"),
+        _grouped("goodwill").alias("商誉"), _grouped("stock").alias("非流动资产合计"), _grouped("st").alias("流动负债合计"),
+        _grouped("lt").alias("非流动负债合计"), F.col("ones").cast("string").alias("实收资本(或股本)"), F.lit("--").alias("应付债券"),
+    )
+    return _vendor(frame, "balance", G.BALANCE_HEADINGS, ["total_assets", "money_cap", "goodwill", "total_nca", "total_cur_liab",
+                                                          "total_noncur_liab", "total_share", "bonds_payable"])
+
+
+@query("vendor_cashflow", sql(f"""SELECT ts_code, strftime(end_date, '%Y%m%d') AS end_date, ocf_y::DOUBLE AS n_cashflow_act, inv_y::DOUBLE AS n_cashflow_inv_act,
+ coalesce(capex_y, n)::DOUBLE AS c_pay_acq_const_fiolta, NULL::DOUBLE AS free_cash_flow FROM qb WHERE {_SPAN}""", "qb"))
+def vendor_cashflow(spark, sf_dir):
+    """Cash flow whose capital spending stands under either of two headings."""
+    frame = _t(spark, sf_dir)["quarter_sums"].select(
+        "ts_code", F.date_format("end_date", "yyyy-MM-dd").alias("报告期"), _grouped("ocf_y").alias("经营活动产生的现金流量净额"),
+        _grouped("inv_y").alias("投资活动产生的现金流量净额"), _grouped("capex_y").alias("购建固定资产、无形资产和其他长期资产支付的现金"),
+        F.col("n").cast("string").alias("购建固定资产、无形资产及其他长期资产支付的现金"),
+    )
+    return _vendor(frame, "cashflow", G.CASHFLOW_HEADINGS, ["n_cashflow_act", "n_cashflow_inv_act", "c_pay_acq_const_fiolta", "free_cash_flow"])
+
+
+@query("vendor_indicators", sql(f"""SELECT ts_code, strftime(end_date, '%Y%m%d') AS end_date, (prof * 100 // equity)::DOUBLE AS roe, (liab * 100 // assets)::DOUBLE AS debt_to_assets,
+ nullif(ones, 0)::DOUBLE AS current_ratio, (prof // 100)::DOUBLE AS ocf_to_profit FROM yb WHERE prof >= 0 AND {_SPAN}""", "yb"))
+def vendor_indicators(spark, sf_dir):
+    """Indicators written with percent signs."""
+    percent = lambda e: F.concat(F.expr(e).cast("string"), F.lit("%"))
+    frame = _t(spark, sf_dir)["year_sums"].where("prof >= 0").select(
+        "ts_code", F.date_format("end_date", "yyyy-MM-dd").alias("报告期"), percent("prof * 100 div equity").alias("净资产收益率"),
+        percent("liab * 100 div assets").alias("资产负债率"), F.col("ones").cast("string").alias("流动比率"),
+        F.format_number(F.expr("prof div 100"), 0).alias("每股经营现金流"),
+    )
+    return _vendor(frame, "fina_indicators", G.INDICATOR_HEADINGS, ["roe", "debt_to_assets", "current_ratio", "ocf_to_profit"])
+
+
+@query("vendor_quotes", sql("""SELECT ts_code, strftime(trade_date, '%Y%m%d') AS trade_date, round(close, 4) AS close, round(change, 4) AS change, vol,
+ round(close - change, 2) AS pre_close FROM quotes""", "quotes"))
+def vendor_quotes(spark, sf_dir):
+    """Daily quotes under the vendor's headings; the close before follows from close and change."""
+    q = _t(spark, sf_dir)["daily_quotes"]
+    frame = q.select("ts_code", F.date_format("trade_date", "yyyy-MM-dd").alias("日期"), F.col("close").cast("string").alias("收盘"),
+                     F.col("change").cast("string").alias("涨跌额"), _grouped("vol").alias("成交量"))
+    dated = frame.withColumn("trade_date", V.as_date(F.col(G.find_date_column(frame.drop("ts_code")))))
+    out = G.harmonize(dated, G.QUOTE_HEADINGS, keep=["ts_code", "trade_date"])
+    out = src.align(out.withColumn("pre_close", V.rounded(F.col("close") - F.col("change"))), "daily_quotes")
+    return out.select("ts_code", V.ymd("trade_date").alias("trade_date"), F.round("close", 4).alias("close"), F.round("change", 4).alias("change"), "vol", "pre_close")
 
 
 @query("company_rows", sql("SELECT ts_code, name, industry AS industry_sw, area FROM stocks", "stocks"))

@@ -120,7 +120,7 @@ def investable(stocks: DataFrame, code: str = "ts_code", name: str = "name") ->
 
 def seeded_sample(universe: DataFrame, n: int, seed: str, code: str = "ts_code") -> DataFrame:
     """The same *n* companies for the same seed, whatever the partitioning."""
-    return universe.orderBy(F.xxhash64(F.lit(seed), F.col(code)), F.col(code)).limit(n)
+    return universe.orderBy(F.sha2(F.concat(F.lit(seed), F.col(code)), 256), F.col(code)).limit(n)
 
 
 def cooled_down(pool: DataFrame, last_run: DataFrame, today: Column, days: int = 5) -> DataFrame:

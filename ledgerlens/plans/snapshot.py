@@ -16,9 +16,26 @@ SECTIONS = ("stock_info", "market", "annual", "quarterly", "balance", "indicator
             "industry", "forecast")
 
 
-def company_sections(t: C.Tables, as_of: date | str | Column, macro_available: bool = False) -> DataFrame:
+def macro_section(macro: DataFrame | None) -> Column:
+    """Newest reading of every macro series by its name, the same for all companies.
+
+    One row with one entry per series.  No frame (a historical as-of must not see current readings) and a
+    frame without readings both count as not available.
+    """
+    if macro is None:
+        none = F.lit(None).cast("map<string,struct<period:string,value:double,yoy_pct:double>>")
+        return F.struct(F.lit(False).alias("available"), none.alias("series"))
+    latest = C.macro_latest(macro).where("value is not null")
+    entry = F.struct("indicator", F.struct("period", "value", "yoy_pct"))
+    held = latest.agg(F.map_from_entries(F.sort_array(F.collect_list(entry))).alias("series"))
+    return held.select(F.struct((F.size("series") > 0).alias("available"), "series")).scalar()
+
+
+def company_sections(t: C.Tables, as_of: date | str | Column, macro: DataFrame | None = None) -> DataFrame:
     """One row per company with one struct column per section; an absent section is NULL.
 
+    ``macro`` holds current readings (indicator, period, value, yoy_pct) and is left out for a historical as-of.
+
     All sections are one row per company and already hashed by company, so the
     joins reuse that layout.
     """
@@ -40,15 +57,15 @@ def company_sections(t: C.Tables, as_of: date | str | Column, macro_available: b
         out = packed if out is None else out.join(packed, "ts_code", "left")
     return out.withColumns(
         {
-            "macro": F.struct(F.lit(macro_available).alias("available")),
+            "macro": macro_section(macro),
             "meta": F.struct(V.ymd(on).alias("analysis_date"), F.lit(False).alias("cross_validated")),
         }
     )
 
 
-def company_document(t: C.Tables, as_of: date | str | Column, macro_available: bool = False) -> DataFrame:
+def company_document(t: C.Tables, as_of: date | str | Column, macro: DataFrame | None = None) -> DataFrame:
     """Sections plus the quality verdict, ready to be written as one JSON line per company."""
-    sections = company_sections(t, as_of, macro_available)
+    sections = company_sections(t, as_of, macro)
     return quality.with_verdict(sections, C.day(as_of))
 
 

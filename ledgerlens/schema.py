@@ -56,7 +56,8 @@ TABLES: dict[str, str] = {
         | _doubles("total_assets", "total_liab", "total_hldr_eqy_inc_min_int",
                    "total_hldr_eqy_exc_min_int", "money_cap", "trad_asset", "notes_receiv",
                    "accounts_receiv", "inventories", "goodwill", "intan_assets", "fix_assets",
-                   "st_borr", "lt_borr", "bonds_payable")
+                   "st_borr", "lt_borr", "bonds_payable", "total_nca", "total_cur_liab",
+                   "total_noncur_liab", "total_share")
     ),
     "cashflow": _ddl(
         _STATEMENT_KEY

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerlens import schema
@@ -42,6 +42,10 @@ BALANCE_HEADINGS = {
     "短期借款": "st_borr",
     "长期借款": "lt_borr",
     "应付债券": "bonds_payable",
+    "非流动资产合计": "total_nca",
+    "流动负债合计": "total_cur_liab",
+    "非流动负债合计": "total_noncur_liab",
+    "实收资本(或股本)": "total_share",
 }
 CASHFLOW_HEADINGS = {
     "经营活动产生的现金流量净额": "n_cashflow_act",
@@ -61,6 +65,7 @@ INDICATOR_HEADINGS = {
     "资产负债率": "debt_to_assets",
     "流动比率": "current_ratio",
     "速动比率": "quick_ratio",
+    "每股经营现金流": "ocf_to_profit",
 }
 QUOTE_HEADINGS = {
     "开盘": "open",
@@ -80,7 +85,7 @@ COMPANY_ITEMS = {
     "地域": "area",
 }
 DATE_HEADINGS = ("报告日", "日期", "报告期")
-
+# Column names of older data sets and the canonical ones.
 RENAMES = {"free_cashflow": "free_cash_flow", "industry": "industry_sw"}
 LEGACY_COLUMNS = {"audit_result": "opinion_type", "audit_fees": "audit_costs"}
 
@@ -146,10 +151,6 @@ def add_missing(df: DataFrame, columns: Mapping[str, str]) -> DataFrame:
     )
 
 
-def parse_dates(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    return df.withColumns({c: V.as_date(c) for c in columns if c in df.columns})
-
-
 def company_row(pairs: DataFrame, items: Mapping[str, str] = COMPANY_ITEMS) -> DataFrame:
     """Long (ts_code, item, value) -> one row per company.
 
@@ -358,13 +359,3 @@ def text_gaps(companies: DataFrame, loaded: DataFrame, fiscal_year: Column, year
         gaps, lambda y: (y == fiscal_year) | (F.size("have") + F.array_position(gaps, y) - 1 < enough)
     )
     return plan.select("ts_code", F.explode(wanted).alias("report_year"))
-
-
-def stored_layout(spark: SparkSession) -> DataFrame:
-    """The declared layout itself: table, column, type, whether it is part of the key."""
-    rows = []
-    for table, ddl in schema.TABLES.items():
-        for part in ddl.split(","):
-            name, kind = part.strip().split(" ", 1)
-            rows.append((table, name, kind, name in schema.KEYS.get(table, ())))
-    return spark.createDataFrame(rows, "table_name string, column_name string, type string, is_key boolean")

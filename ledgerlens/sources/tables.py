@@ -43,8 +43,8 @@ def write_table(df: DataFrame, root: str, table: str, changed_partitions_only: b
         return
     name = schema.PARTITION_BY[table]
     out = out.select("*", folder)
-    # Spread a folder over several tasks by company so that one busy month is not one file.
-    out = out.repartition(F.col(name), F.pmod(F.xxhash64("ts_code"), F.lit(16)))
+    # Rows of a folder come together in as many tasks as their size asks for, so one busy month is not one file.
+    out = out.hint("rebalance", name)
     writer = out.write.mode("overwrite").partitionBy(name)
     if changed_partitions_only:
         writer = writer.option("partitionOverwriteMode", "dynamic")
