@@ -3,7 +3,9 @@
 A byte-level BPE tokenizer cuts a text at every space that stands between two characters other than white
 space, whatever else its pattern says: such a space can only begin a piece.  So the ids of a text are the
 ids of its words, each with its space in front, one after the other.  Words stay known to the worker (at
-most ``KEPT_WORDS``, then it starts anew).  Texts with other white space next to a space are cut at clean
+most ``KEPT_WORDS``, then it starts anew).  Two more places always part pieces, so that fewer different words
+are met: between letters and the punctuation that ends a word, apostrophes aside, and on both sides of a
+line end between other characters.  Texts with other white space next to a space are cut at clean
 spaces only; a tokenizer of any other make gets the whole text.
 """
 
@@ -23,6 +25,8 @@ LONG_WORD = 64
 WHITE = r"[\s᠎]"
 UNCLEAN = re.compile(rf"{WHITE} | {WHITE}|^ | $")
 NEAR_SPACE = ("  ", "\n ", " \n", "\t ", " \t", "\r ", " \r")
+#: ASCII punctuation without the apostrophe, which can begin a piece of its own with the letters behind it.
+MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 CLEAN_SPACE = re.compile(r"(?<=[^\s᠎])(?= [^\s᠎])")
 
 
@@ -33,6 +37,14 @@ def byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in own} | {b: chr(256 + k) for k, b in enumerate(rest)}
 
 
+def latin(word: str) -> bool:
+    return word.isalpha() and max(word) < "ɐ"
+
+
+def visible(character: str) -> bool:
+    return character.isalnum() or "!" <= character <= "~"
+
+
 class WordIds(dict):
     """Word -> its ids as little-endian unsigned 32-bit integers, with a space in front of the word."""
 
@@ -51,25 +63,53 @@ class WordIds(dict):
                         and not any(flags) and not any(c.isspace() for t in own for c in t))
         self.pieces = self.tokenizer.model.tokenize
         self.letters = byte_letters()
-        self.special = own
+        self.no_space: dict[str, bytes] = {}
+        self.line_end = self.asked("\n")
+        self.special = re.compile("|".join(map(re.escape, own)) or r"(?!)").search
         self.small = self.tokenizer.get_vocab_size(with_added_tokens=True) <= 1 << 16
 
     def asked(self, chunk: str) -> bytes:
         return array("I", self.tokenizer.encode(chunk, add_special_tokens=False).ids).tobytes()
 
     def __missing__(self, word: str) -> bytes:
-        if word.isalpha() and max(word) < "ɐ" and not any(t in word for t in self.special):
-            # Latin letters alone are one piece of the pattern: straight to the library's model
-            seen = (b" " + word.encode()).decode("latin-1").translate(self.letters)
-            ids = array("I", [t.id for t in self.pieces(seen)]).tobytes()
-        else:
-            ids = self.asked(" " + word)
+        return self.keep(self, word, self.parted(word))
+
+    def parted(self, word: str) -> bytes:
+        if self.special(word):
+            return self.asked(" " + word)
+        if "\n" in word:
+            head, _, rest = word.partition("\n")
+            if head and rest and visible(head[-1]) and visible(rest[0]):
+                return self[head] + self.line_end + self.at_line_start(rest)
+        letters = word.rstrip(MARKS)
+        if len(letters) < len(word) and latin(letters):
+            return self[letters] + self.bare(word[len(letters):])
+        return self.model_ids(" " + word) if latin(word) else self.asked(" " + word)
+
+    def keep(self, held: dict[str, bytes], word: str, ids: bytes) -> bytes:
         if len(word) <= LONG_WORD:
-            if len(self) >= KEPT_WORDS:
-                self.clear()
-            self[word] = ids
+            if len(held) >= KEPT_WORDS:
+                held.clear()
+            held[word] = ids
         return ids
 
+    def model_ids(self, piece: str) -> bytes:
+        """Latin letters with or without a space in front are one piece: straight to the library's model."""
+        seen = piece.encode().decode("latin-1").translate(self.letters)
+        return array("I", [t.id for t in self.pieces(seen)]).tobytes()
+
+    def bare(self, word: str) -> bytes:
+        """Ids of a word without special strings and with no space in front."""
+        ids = self.no_space.get(word)
+        return self.keep(self.no_space, word, self.model_ids(word) if latin(word) else self.asked(word)) if ids is None else ids
+
+    def at_line_start(self, rest: str) -> bytes:
+        """Ids of what follows a line end up to the next space."""
+        letters = rest.rstrip(MARKS)
+        if len(letters) < len(rest) and latin(letters):
+            return self.bare(letters) + self.bare(rest[len(letters):])
+        return self.bare(rest)
+
     def ids(self, text: str | None) -> bytes:
         """All ids of a text, little-endian unsigned 32-bit."""
         if not text:

@@ -453,3 +453,13 @@ def test_stages_take_awkward_rows(spark, docs, empty):
             assert out.columns == rows.columns
         assert out.count() <= rows.count()
         assert corpus_pipeline.STAGES[-1][1](spark, out, SF).count() >= 0
+
+
+def test_ids_part_words_like_the_library():
+    rng = random.Random(7)
+    marks = ["a", "Th", "é", "ɐ", "'s", "_", ".", ",", "!)", "\n", "\n\n", "\r\n", "\t", " ", "  ", "1", "中", "<|endoftext|>", "́", "᠎", "\x1c", "\x85"]
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    library = Tokenizer.from_file(path)
+    for _ in range(4000):
+        text = "".join(rng.choice(marks) for _ in range(rng.randint(1, 14)))
+        assert token_ids.encode(path, text, 0)[:-1].tolist() == library.encode(text, add_special_tokens=False).ids, repr(text)
