@@ -7,9 +7,9 @@ Of a text its words count, runs of letters in lower case with blanks between.  I
 each block; every block is compressed once with each dictionary, and the language of the smallest sum wins.
 The relative gap to the second is the margin; a margin below ``min_margin`` rejects the document.
 
-Learning looks at a bounded sample: per language the ``sample_docs`` training rows that come first by a hash
-of their content, of each a stretch of at most ``sample_chars`` characters around its middle; a dictionary
-has at most ``dictionary_bytes``.  Prediction compresses whole texts, and looks at nothing but the text.
+Learning looks at a bounded sample: per language the ``sample_docs`` distinct training texts that come first
+by a hash of their content, each once however often it is copied, of each a stretch of at most ``sample_chars``
+characters around its middle; a dictionary has at most ``dictionary_bytes``.  Prediction compresses whole texts, and looks at nothing but the text.
 
 Null texts and texts without a letter get ``und`` with score 0 and are rejected, and so does everything if
 nothing could be learned.  With a single learned language the score is 1.  Equal sums go to the language
@@ -50,10 +50,16 @@ def learn(docs: DataFrame, sample_docs: int = 400, sample_chars: int = 2000, dic
     known = docs.where(F.col("lang").isNotNull() & (F.trim("lang") != "") & F.col("text").rlike(r"\p{L}"))
     size = F.char_length("text")
     middle = F.greatest(F.lit(1), F.floor((size - sample_chars) / 2) + 1).cast("int")
-    # windows keep their first rows before they are shuffled, so a frequent language sends no more than a rare one
-    first = Window.partitionBy("lang").orderBy("draw", "stretch")
-    drawn = (known.select("lang", F.xxhash64("text").alias("draw"), F.substring("text", middle, F.lit(sample_chars)).alias("stretch"))
-             .withColumn("nth", F.row_number().over(first)).where(F.col("nth") <= sample_docs))
+    rows = known.select("lang", F.xxhash64("text").alias("draw"), F.substring("text", middle, F.lit(sample_chars)).alias("stretch"))
+    # copies of a text have one draw and count once; tasks leave out repeated draws before anything is shuffled, and windows
+    # keep their first rows, so neither a copied text nor a frequent language sends more than another
+    first = Window.partitionBy("lang").orderBy("draw")
+    lowest = rows.select("lang", "draw").distinct().withColumn("nth", F.row_number().over(first)).where(F.col("nth") <= sample_docs)
+    last = lowest.groupBy("lang").agg(F.max("draw").alias("last")).collect()  # one number of each language
+    if not last:
+        return ()
+    limit = F.create_map(*[F.lit(x) for r in last for x in (r.lang, r.last)])
+    drawn = rows.where(F.col("draw") <= F.try_element_at(limit, F.col("lang"))).distinct()
     counts: dict[str, Counter[str]] = {}
     for row in drawn.collect():  # at most sample_docs stretches of each language
         counts.setdefault(row.lang, Counter()).update(set(words(row.stretch).split()))

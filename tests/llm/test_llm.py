@@ -279,6 +279,15 @@ def test_language_of_awkward_rows(docs, empty):
     assert language.predict(empty).count() == 0
 
 
+def test_copies_of_a_text_take_one_place_in_the_sample(spark):
+    """However often some or all texts are copied, as many distinct ones are learned from, each with the same weight."""
+    rows = [(i, words(i, 20), "en" if i % 3 else "es") for i in range(90)]
+    model = language.learn(frame(spark, rows), sample_docs=10)
+    assert len(model) == 2
+    assert language.learn(frame(spark, rows * 12), sample_docs=10) == model
+    assert language.learn(frame(spark, rows + rows[:45] * 3), sample_docs=10) == model
+
+
 # similarity ----------------------------------------------------------------------------------------------
 
 def brute_classes(rows, size, threshold):
