@@ -81,6 +81,12 @@ def op5_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumns({c: F.round(c, 4) for c in ("log_score", "per_word")})
 
 
+def op5_backoff_trigrams(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same up to three words; op5_backoff stays at two, as its SQL says."""
+    out = backoff.score(documents(spark, sf_dir), order=3)
+    return out.withColumns({c: F.round(c, 4) for c in ("log_score", "per_word")})
+
+
 def op6_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digests.fingerprint_edits(documents(spark, sf_dir))
 
@@ -102,7 +108,7 @@ def op10_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.deduplicate(docs)
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op2_tool_calls, op3_token_files, op4_benchmark_leaks, op5_backoff, op6_digests, op7_language, op8_jaccard_join, op9_packing, op10_substrings)}
+QUERIES = {f.__name__: f for f in (op1_token_counts, op2_tool_calls, op3_token_files, op4_benchmark_leaks, op5_backoff, op5_backoff_trigrams, op6_digests, op7_language, op8_jaccard_join, op9_packing, op10_substrings)}
 
 LETTERS = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 WORDS = rf"list_filter(regexp_split_to_array({LETTERS}, '[\x20\x09-\x0D]+'), lambda x: x <> '')"
@@ -139,4 +145,31 @@ SELECT n.doc_id, n.n AS n_words, coalesce(backs, 0)::BIGINT AS n_backoffs, round
 FROM n LEFT JOIN v USING (doc_id)
 """
 
-ORACLE: dict[str, str] = {"op8_jaccard_join": JACCARD_SQL, "op5_backoff": BACKOFF_SQL}
+TRIGRAMS_SQL = f"""
+WITH d AS (SELECT doc_id, {WORDS} AS w FROM documents),
+t AS (SELECT doc_id, unnest(w) AS w, unnest(list_prepend(NULL, w)[1:len(w)]) AS h, unnest(list_prepend(NULL, list_prepend(NULL, w))[1:len(w)]) AS g FROM d),
+uni AS (SELECT w, count(*) AS c FROM t GROUP BY w),
+own_uni AS (SELECT doc_id, w, count(*) AS c FROM t GROUP BY ALL),
+bi AS (SELECT h, w, count(*) AS c FROM t WHERE h IS NOT NULL GROUP BY ALL),
+own_bi AS (SELECT doc_id, h, w, count(*) AS c FROM t WHERE h IS NOT NULL GROUP BY ALL),
+tri AS (SELECT g, h, w, count(*) AS c FROM t WHERE g IS NOT NULL GROUP BY ALL),
+own_tri AS (SELECT doc_id, g, h, w, count(*) AS c FROM t WHERE g IS NOT NULL GROUP BY ALL),
+n AS (SELECT d.doc_id, len(w) AS n, greatest(1, (SELECT count(*) FROM t) - len(w)) AS rest FROM d),
+s AS (SELECT t.doc_id, t.h, t.g, n.rest, uni.c - own_uni.c AS c1, bi.c - own_bi.c AS c2, tri.c - own_tri.c AS c3,
+      hist.c - own_hist.c AS h1, hist_bi.c - own_hist_bi.c AS h2
+      FROM t JOIN n USING (doc_id) JOIN uni ON uni.w = t.w JOIN own_uni ON own_uni.doc_id = t.doc_id AND own_uni.w = t.w
+      LEFT JOIN bi ON bi.h = t.h AND bi.w = t.w LEFT JOIN own_bi ON own_bi.doc_id = t.doc_id AND own_bi.h = t.h AND own_bi.w = t.w
+      LEFT JOIN tri ON tri.g = t.g AND tri.h = t.h AND tri.w = t.w
+      LEFT JOIN own_tri ON own_tri.doc_id = t.doc_id AND own_tri.g = t.g AND own_tri.h = t.h AND own_tri.w = t.w
+      LEFT JOIN uni hist ON hist.w = t.h LEFT JOIN own_uni own_hist ON own_hist.doc_id = t.doc_id AND own_hist.w = t.h
+      LEFT JOIN bi hist_bi ON hist_bi.h = t.g AND hist_bi.w = t.h
+      LEFT JOIN own_bi own_hist_bi ON own_hist_bi.doc_id = t.doc_id AND own_hist_bi.h = t.g AND own_hist_bi.w = t.h),
+b AS (SELECT *, (g IS NOT NULL AND c3 = 0)::BIGINT + (h IS NOT NULL AND c2 = 0)::BIGINT AS backs FROM s),
+v AS (SELECT doc_id, sum(backs) AS backs, sum(backs * ln(0.4) + CASE WHEN c3 > 0 THEN ln(c3 / h2) WHEN c2 > 0 THEN ln(c2 / h1)
+        ELSE ln(greatest(c1, 0.5)::DOUBLE / rest) END) AS ls FROM b GROUP BY doc_id)
+SELECT n.doc_id, n.n AS n_words, coalesce(backs, 0)::BIGINT AS n_backoffs, round(coalesce(ls, 0), 4) AS log_score,
+       CASE WHEN n.n > 0 THEN round(ls / n.n, 4) END AS per_word
+FROM n LEFT JOIN v USING (doc_id)
+"""
+
+ORACLE: dict[str, str] = {"op8_jaccard_join": JACCARD_SQL, "op5_backoff": BACKOFF_SQL, "op5_backoff_trigrams": TRIGRAMS_SQL}

@@ -229,6 +229,15 @@ def test_backoff(docs, empty, order):
     assert backoff.score(empty).count() == 0
 
 
+def test_backoff_trigrams_score_with_three_words(spark):
+    """Known word pairs in sequences that no other document has back off once more than with two words."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    by = {r.doc_id: r.n_backoffs for r in queries.QUERIES["op5_backoff_trigrams"](spark, SF).collect()}
+    two = {r.doc_id: r.n_backoffs for r in queries.op5_backoff(spark, SF).collect()}
+    assert set(by) == set(two) == {r.doc_id for r in docs.select("doc_id").collect()}
+    assert all(by[i] >= two[i] for i in by) and sum(by.values()) > sum(two.values())
+
+
 # digests -------------------------------------------------------------------------------------------------
 
 @pytest.mark.parametrize("chunk_bytes", [500, 1 << 30])
