@@ -359,7 +359,7 @@ _st.block("dqs", "SELECT ts_code, count(*) FILTER (severity = 'E') AS errors FRO
 _st.block("dq", _DQ["dq_growth"] + " UNION ALL " + " UNION ALL ".join(_RULES), "rounded", "rates", "w", "ttm")
 
 
-def _sections(spark: SparkSession, sf_dir: str) -> DataFrame:
+def sections(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The company documents as a stored table, which is what the rules and the facts read."""
     make = {"sections": lambda: snapshot.company_sections(_tables(spark, sf_dir), DAY)}
     return StagedTables(spark, sf_dir, make)["sections"]
@@ -367,21 +367,21 @@ def _sections(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("dq_violations", sql("SELECT * FROM dq", "dq"))
 def dq_violations(spark, sf_dir):
-    return quality.violations(_sections(spark, sf_dir), _on())
+    return quality.violations(sections(spark, sf_dir), _on())
 
 
 @query("dq_status", sql("""SELECT s.ts_code, CASE WHEN count(d.rule_id) FILTER (severity = 'E') > 0 THEN 'FAIL'
  WHEN count(d.rule_id) > 0 THEN 'WARN' ELSE 'PASS' END AS status, count(d.rule_id) FILTER (severity = 'E') AS errors,
  count(d.rule_id) FILTER (severity = 'W') AS warnings FROM stocks s LEFT JOIN dq d ON d.ts_code = s.ts_code GROUP BY s.ts_code""", "stocks", "dq"))
 def dq_status(spark, sf_dir):
-    return quality.verdicts(_sections(spark, sf_dir), _on())
+    return quality.verdicts(sections(spark, sf_dir), _on())
 
 
 @query("declared_quality", sql("SELECT ts_code, 'PASS' AS declared, status AS recomputed FROM (SELECT s.ts_code, s.industry, CASE WHEN count(d.rule_id) FILTER (severity = 'E') > 0 THEN 'FAIL' "
  "WHEN count(d.rule_id) > 0 THEN 'WARN' ELSE 'PASS' END AS status FROM stocks s LEFT JOIN dq d ON d.ts_code = s.ts_code GROUP BY ALL) WHERE industry = 'ASIA' AND status <> 'PASS'", "stocks", "dq"))
 def declared_quality(spark, sf_dir):
     """Stored verdicts against the rules; those of one industry were changed to a clean pass."""
-    stored = quality.with_verdict(_sections(spark, sf_dir), _on())
+    stored = quality.with_verdict(sections(spark, sf_dir), _on())
     none = F.array().cast("array<string>")
     clean = F.struct(F.lit("PASS").alias("status"), none.alias("errors"), none.alias("warnings"))
     forged = stored.withColumn("data_quality", F.when(F.col("stock_info.industry") == "ASIA", clean).otherwise(F.col("data_quality")))
@@ -390,13 +390,13 @@ def declared_quality(spark, sf_dir):
 
 @query("verdict_envelopes", sql("""SELECT ts_code, 'status' AS problem FROM dqs WHERE errors > 0 UNION ALL SELECT ts_code, 'errors_not_empty' FROM dqs WHERE errors > 0""", "dqs"))
 def verdict_envelopes(spark, sf_dir):
-    stored = quality.with_verdict(_sections(spark, sf_dir), _on())
+    stored = quality.with_verdict(sections(spark, sf_dir), _on())
     return stored.select("ts_code", F.explode(quality.envelope_problems(F.col("data_quality"))).alias("problem"))
 
 
 @query("company_facts")
 def company_facts(spark, sf_dir):
-    docs = _sections(spark, sf_dir)
+    docs = sections(spark, sf_dir)
     return snapshot.facts(docs, sections=list(snapshot.SECTIONS))
 
 

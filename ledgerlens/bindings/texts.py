@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerlens.bindings import ingest, proxy, runs
+from ledgerlens.bindings import fundamentals, ingest, proxy, runs
 from ledgerlens.bindings.sqltables import block, sql
 from ledgerlens.bindings.staging import StagedTables
 from ledgerlens.functions import values as V
@@ -18,7 +18,6 @@ from ledgerlens.operators import claims as K
 from ledgerlens.operators import documents as D
 from ledgerlens.operators import lines as L
 from ledgerlens.operators import scoring
-from ledgerlens.plans import company as C
 from ledgerlens.plans import snapshot
 
 QUERIES = {}
@@ -284,17 +283,6 @@ def cross_review_audit(spark, sf_dir):
 # --- company reports -----------------------------------------------------------------------
 
 
-def cards(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The documents the reports are checked against (four sections are enough here)."""
-    t = proxy.tables(spark, sf_dir)
-    out = t["stocks"].select("ts_code")
-    parts = {"market": C.market, "annual": C.annual, "balance": C.balance, "industry": C.industry}
-    for name, make in parts.items():
-        part = make(t, proxy.AS_OF)
-        out = out.join(part.select("ts_code", F.struct(*[c for c in part.columns if c != "ts_code"]).alias(name)), "ts_code", "left")
-    return out
-
-
 def company_reports(docs: DataFrame) -> DataFrame:
     last = F.try_element_at("annual.annual_data", F.lit(-1))
     prev = F.try_element_at("annual.annual_data", F.lit(-2))
@@ -323,10 +311,10 @@ def company_reports(docs: DataFrame) -> DataFrame:
 
 
 def _report_tables(spark, sf_dir) -> StagedTables:
+    """The reports, checked against the facts of all sections of the company documents."""
     staged = {
-        "cards": lambda: cards(spark, sf_dir),
-        "card_facts": lambda: snapshot.facts(tables["cards"], sections=["market", "annual", "balance", "industry"]),
-        "company_reports": lambda: company_reports(tables["cards"]),
+        "card_facts": lambda: snapshot.facts(fundamentals.sections(spark, sf_dir), sections=list(snapshot.SECTIONS)),
+        "company_reports": lambda: company_reports(fundamentals.sections(spark, sf_dir)),
         "traced": lambda: K.trace(K.claims(tables["company_reports"], ["ts_code"]), tables["card_facts"], ["ts_code"]),
     }
     tables = StagedTables(spark, sf_dir, staged)
@@ -396,7 +384,7 @@ def _gaps(cards_: DataFrame) -> DataFrame:
 @query("contradictions", sql("SELECT ts_code, 7 AS line, 'goodwill_unknown' AS label FROM card WHERE goodwill IS NULL", "card"))
 def contradictions(spark, sf_dir):
     t = _report_tables(spark, sf_dir)
-    return K.contradictions(t["company_reports"], _gaps(t["cards"]), ["ts_code"]).select("ts_code", "line", "label")
+    return K.contradictions(t["company_reports"], _gaps(fundamentals.sections(spark, sf_dir)), ["ts_code"]).select("ts_code", "line", "label")
 
 
 @query("report_verdicts", sql("""SELECT s.ts_code, trace_pct, untraced, coalesce(u.n, 0) AS unsourced, CASE WHEN trace_pct >= 75 AND pct >= 60 THEN 'FLAGGED' ELSE 'FAIL' END AS verdict
@@ -406,10 +394,10 @@ def contradictions(spark, sf_dir):
 def report_verdicts(spark, sf_dir):
     t = _report_tables(spark, sf_dir)
     issues = K.unsupported_assertions(t["company_reports"], t["card_facts"], ["ts_code"]).select("ts_code").unionByName(
-        K.contradictions(t["company_reports"], _gaps(t["cards"]), ["ts_code"]).select("ts_code"))
+        K.contradictions(t["company_reports"], _gaps(fundamentals.sections(spark, sf_dir)), ["ts_code"]).select("ts_code"))
     per = issues.groupBy("ts_code").agg(F.count(F.lit(1)).alias("unsourced"))
     stats = K.coverage(t["traced"], ["ts_code"]).join(per, "ts_code", "left").fillna(0, ["unsourced"]).join(
-        t["cards"].select("ts_code", F.when(F.col("market.pe_ttm") > 0, 70.0).otherwise(50.0).alias("checklist_pct")), "ts_code")
+        fundamentals.sections(spark, sf_dir).select("ts_code", F.when(F.col("market.pe_ttm") > 0, 70.0).otherwise(50.0).alias("checklist_pct")), "ts_code")
     stats = stats.withColumns({"date_issues": F.lit(0), "identity_issues": F.lit(0), "checklist_done": F.lit(1)})
     return K.report_verdicts(stats).select("ts_code", "trace_pct", "untraced", "unsourced", "verdict")
 
@@ -551,7 +539,8 @@ block("qd", """SELECT d.doc_id, d.text, substr(regexp_replace(d.text, '[^a-zA-Z]
 
 @query("quote_check", sql("""SELECT doc_id::VARCHAR AS ts_code, CASE WHEN length(chunk) >= 6 AND toxic = 0 AND quality = 1 THEN 1 ELSE 0 END AS verified FROM qd""", "qd"))
 def quote_check(spark, sf_dir):
-    """Reports that quote their document's first letters three times over; toxic ones misquote, poor ones cite no real path."""
+    """Reports that quote letters of their document three times over, by its id from the start, the middle or the end; toxic
+    ones misquote, poor ones cite no real path."""
     t = StagedTables(spark, sf_dir, {"quoting": lambda: _write_quoting(spark, sf_dir)})
     d = t["quoting"]
     sections = d.select("ts_code", F.lit(2000).alias("report_year"), F.lit("annual").alias("report_type"),
@@ -563,7 +552,9 @@ def quote_check(spark, sf_dir):
 def _write_quoting(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = proxy.raw(spark, sf_dir, "documents").join(proxy.raw(spark, sf_dir, "labels"), "doc_id", "left")
     letters = F.regexp_replace("text", "[^a-zA-Z]", "")
-    d = d.select(F.col("doc_id").cast("string").alias("ts_code"), letters.alias("body"), F.substring(letters, 1, 12).alias("chunk"),
+    place, last = F.pmod("doc_id", F.lit(3)), F.greatest(F.lit(1), F.length(letters) - 11)
+    first = F.when(place == 1, ((last + 1) / 2).cast("int")).when(place == 2, last).otherwise(1)
+    d = d.select(F.col("doc_id").cast("string").alias("ts_code"), letters.alias("body"), F.substring(letters, first, F.lit(12)).alias("chunk"),
                  F.coalesce("toxic", F.lit(0)).alias("toxic"), F.coalesce("quality", F.lit(1)).alias("quality"))
     quote = F.concat(F.col("chunk"), F.when(F.col("toxic") == 1, "ZZQQ").otherwise(""))
     row = lambda i: F.concat(F.lit(f"| {i} | “"), quote, F.lit("”（年报:2000/annual/经营情况讨论与分析） | `market.close` | 1 [source: market.close] |"))

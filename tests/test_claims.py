@@ -1,5 +1,6 @@
 """Claims: finding numbers, binding evidence, tracing, assertions.  Vectors are literal."""
 
+from ledgerlens.bindings import fundamentals, texts
 from ledgerlens.functions import values as V
 from ledgerlens.operators import claims as C
 
@@ -182,3 +183,28 @@ def test_invalid_formulas(spark):
     docs = spark.createDataFrame([("A", text)], "ts_code string, text string")
     got = C.invalid_formulas(docs, fact_rows(spark, [("m.a", 1), ("m.b", 2)]), ["ts_code"]).collect()
     assert sorted((r.line, r.formula) for r in got) == [(1, "a+999-a"), (2, "a*2"), (3, "5")]
+
+
+# --- registered reports --------------------------------------------------------------------
+
+
+def test_candidates_come_from_every_section(spark):
+    sf = "/root/testdata/sf0.001"
+    facts = fundamentals.company_facts(spark, sf).collect()
+    open_ = texts._report_tables(spark, sf)["traced"].where("trace_status = 'UNTRACED' and category = 'data'").collect()
+    want = set()
+    for c in open_:
+        tolerance = 0.5 * 10.0 ** -len(c.raw.partition(".")[2].rstrip("亿万%"))
+        for f in facts:
+            if (f.ts_code, f.unit) == (c.ts_code, c.unit) and abs(f.value - c.value) <= tolerance + 1e-12:
+                want.add((c.ts_code, c.line, c.pos, f.path))
+    got = {(r.ts_code, r.line, r.pos, r.path) for r in texts.claim_candidates(spark, sf).collect()}
+    assert got == want
+    held = {r.path.partition(".")[0].partition("[")[0] for r in texts._report_tables(spark, sf)["card_facts"].select("path").distinct().collect()}
+    assert {"quarterly", "indicators", "forecast"} <= held
+
+
+def test_quotes_stand_anywhere_in_the_document(spark):
+    rows = texts._write_quoting(spark, "/root/testdata/sf0.001").where("length(section_text) > 100 and text not like '%ZZQQ%'").collect()
+    at = [r.section_text.index(r.text.partition("“")[2].partition("”")[0]) / len(r.section_text) for r in rows]
+    assert min(at) < 0.1 and max(at) > 0.7 and any(0.3 < x < 0.6 for x in at)
