@@ -26,6 +26,7 @@ from ledgerlens.llm import elias_fano, token_ids
 from ledgerlens.llm.common import texts
 
 SHARD_IDS = 1 << 20
+KEY_CHARS = 64
 SHARDS = "part int, shard int, first_doc long, n_docs int, n_ids long, width int, ids binary, bounds binary, doc_ids binary"
 SHARD_FIELDS = pa.schema([("part", pa.int32()), ("shard", pa.int32()), ("first_doc", pa.int64()), ("n_docs", pa.int32()),
                           ("n_ids", pa.int64()), ("width", pa.int32()), ("ids", pa.binary()), ("bounds", pa.binary()),
@@ -33,6 +34,15 @@ SHARD_FIELDS = pa.schema([("part", pa.int32()), ("shard", pa.int32()), ("first_d
 FOUND = "doc_id long, part int, shard int, nth int, local_start long, n_tokens long, ids_crc32 long"
 
 
+def ordered(docs: DataFrame) -> DataFrame:
+    """Rows in the order of doc_id and text, over all partitions.
+
+    The range is told by the id and how the text begins, so the sample of keys that goes to the driver holds no
+    whole texts; rows that agree in both stay together and are sorted there.
+    """
+    return texts(docs).repartitionByRange("doc_id", F.substring("text", 1, KEY_CHARS)).sortWithinPartitions("doc_id", "text")
+
+
 def write(docs: DataFrame, path: str, folder: str, end_id: int = 0, shard_ids: int = SHARD_IDS) -> None:
     """Encode every document with the tokenizer at ``path`` and write shards below ``folder``."""
     def shards(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -62,8 +72,7 @@ def write(docs: DataFrame, path: str, folder: str, end_id: int = 0, shard_ids: i
         if names:
             yield row()
 
-    rows = texts(docs).repartitionByRange("doc_id", "text").sortWithinPartitions("doc_id", "text")
-    rows.mapInArrow(shards, SHARDS).write.option("compression", "zstd").parquet(folder)
+    ordered(docs).mapInArrow(shards, SHARDS).write.option("compression", "zstd").parquet(folder)
 
 
 def open_shard(ids: bytes, width: int, bounds: bytes) -> tuple[np.ndarray, elias_fano.Sequence]:

@@ -110,6 +110,15 @@ def test_token_files(spark, docs, empty, tmp_path, shard_ids):
     assert token_files.read(spark, f"{tmp_path}/b").count() == 0
 
 
+def test_range_keys_of_token_files_hold_no_whole_text(spark, docs):
+    rows = token_files.ordered(docs)
+    plan = rows._jdf.queryExecution().executedPlan().toString()
+    keys = plan[plan.index("rangepartitioning("):].split("\n")[0]
+    assert "substring(text" in keys and ", text#" not in keys
+    got = [(r.doc_id, r.text) for r in rows.collect()]
+    assert got == sorted(got, key=lambda r: (r[0] is not None, r[0] or 0, r[1].encode())) and len(got) == docs.count()
+
+
 # packing -------------------------------------------------------------------------------------------------
 
 @settings(max_examples=60, deadline=None)
