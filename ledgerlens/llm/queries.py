@@ -6,7 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerlens.llm import backoff, decontaminate, digests, jaccard, language, packing, substrings, token_counts, token_files, tool_calls
+from ledgerlens.llm import (backoff, decontaminate, digests, divergence, jaccard, language, packing, substrings, token_counts, token_files,
+                            tool_calls)
 from ledgerlens.llm.common import documents, shared_dir
 
 
@@ -108,7 +109,12 @@ def op10_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.deduplicate(docs)
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op2_tool_calls, op3_token_files, op4_benchmark_leaks, op5_backoff, op5_backoff_trigrams, op6_digests, op7_language, op8_jaccard_join, op9_packing, op10_substrings)}
+def op11_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(documents(spark, sf_dir))
+
+
+QUERIES = {f.__name__: f for f in (op1_token_counts, op2_tool_calls, op3_token_files, op4_benchmark_leaks, op5_backoff, op5_backoff_trigrams, op6_digests, op7_language, op8_jaccard_join, op9_packing, op10_substrings,
+                                  op11_divergence)}
 
 LETTERS = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 WORDS = rf"list_filter(regexp_split_to_array({LETTERS}, '[\x20\x09-\x0D]+'), lambda x: x <> '')"
@@ -172,4 +178,26 @@ SELECT n.doc_id, n.n AS n_words, coalesce(backs, 0)::BIGINT AS n_backoffs, round
 FROM n LEFT JOIN v USING (doc_id)
 """
 
-ORACLE: dict[str, str] = {"op8_jaccard_join": JACCARD_SQL, "op5_backoff": BACKOFF_SQL, "op5_backoff_trigrams": TRIGRAMS_SQL}
+DIVERGENCE_SQL = rf"""
+WITH d AS (SELECT row_number() OVER () AS id, coalesce(lang, '') AS lang, coalesce(source, '') AS source, {LETTERS} AS text FROM documents),
+t AS (SELECT id, lang, source, unnest(list_filter(regexp_split_to_array(text, '[\x00-\x40\x5B-\x60\x7B-\x7F]+'), lambda x: x <> '')) AS term FROM d),
+kept AS (SELECT lang, term FROM t GROUP BY ALL HAVING count(DISTINCT id) >= 10),
+v AS (SELECT lang, count(*)::HUGEINT AS v FROM kept GROUP BY lang),
+c AS (SELECT lang, source, term, count(*)::HUGEINT AS n FROM t JOIN kept USING (lang, term) GROUP BY ALL),
+g AS (SELECT d.lang, d.source, coalesce(any_value(s.total), 0)::HUGEINT AS total FROM d
+      LEFT JOIN (SELECT lang, source, sum(n) AS total FROM c GROUP BY ALL) s USING (lang, source) GROUP BY ALL),
+p AS (SELECT g.lang, g.source, k.term, coalesce(c.n, 0) AS n, 1 + 1000000000 * (coalesce(c.n, 0) + 2) // (g.total + 2 * v.v) AS p
+      FROM g JOIN kept k USING (lang) JOIN v USING (lang) LEFT JOIN c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term),
+cq AS (SELECT lang, term, sum(n)::HUGEINT AS n FROM c GROUP BY ALL),
+q AS (SELECT cq.lang, term, 1 + 1000000000 * (n + 2) // (sum(n) OVER (PARTITION BY cq.lang)::HUGEINT + 2 * v.v) AS q FROM cq JOIN v USING (lang)),
+pv AS (SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // (a.p + b.p)) AS value
+       FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source < b.source GROUP BY ALL),
+pairs AS (SELECT x.lang, x.source, y.source AS item, coalesce(pv.value, 0) AS value FROM g x JOIN g y ON x.lang = y.lang AND x.source <> y.source
+          LEFT JOIN pv ON pv.lang = x.lang AND pv.source = least(x.source, y.source) AND pv.item = greatest(x.source, y.source)),
+terms AS (SELECT p.lang, p.source, p.term AS item, (p - q) * (p - q) // (p + q) AS value FROM p JOIN q USING (lang, term) WHERE n > 0 AND p > q),
+r AS (SELECT 'pair' AS part, * FROM pairs UNION ALL SELECT 'term', * FROM terms),
+o AS (SELECT *, row_number() OVER (PARTITION BY part, lang, source ORDER BY value DESC, item) AS rank FROM r)
+SELECT lang, source, part, item, value::BIGINT AS value, rank::INTEGER AS rank FROM o WHERE part = 'pair' OR rank <= 10
+"""
+
+ORACLE: dict[str, str] = {"op11_divergence": DIVERGENCE_SQL, "op8_jaccard_join": JACCARD_SQL, "op5_backoff": BACKOFF_SQL, "op5_backoff_trigrams": TRIGRAMS_SQL}
