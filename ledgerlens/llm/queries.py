@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerlens.llm import (backoff, decontaminate, digests, divergence, jaccard, language, packing, substrings, token_counts, token_files,
+from ledgerlens.llm import (backoff, decontaminate, digests, divergence, jaccard, language, packing, quality, substrings, token_counts, token_files,
                             tool_calls)
 from ledgerlens.llm.common import documents, shared_dir
 
@@ -113,8 +113,12 @@ def op11_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.audit(documents(spark, sf_dir))
 
 
+def op13_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.assess(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 QUERIES = {f.__name__: f for f in (op1_token_counts, op2_tool_calls, op3_token_files, op4_benchmark_leaks, op5_backoff, op5_backoff_trigrams, op6_digests, op7_language, op8_jaccard_join, op9_packing, op10_substrings,
-                                  op11_divergence)}
+                                  op11_divergence, op13_quality)}
 
 LETTERS = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 WORDS = rf"list_filter(regexp_split_to_array({LETTERS}, '[\x20\x09-\x0D]+'), lambda x: x <> '')"
