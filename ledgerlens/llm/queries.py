@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerlens.llm import (backoff, decontaminate, digests, divergence, jaccard, language, packing, quality, substrings, token_counts, token_files,
+from ledgerlens.llm import (backoff, collocations, decontaminate, digests, divergence, jaccard, language, packing, quality, substrings, token_counts, token_files,
                             tool_calls)
 from ledgerlens.llm.common import documents, shared_dir
 
@@ -113,12 +113,16 @@ def op11_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.audit(documents(spark, sf_dir))
 
 
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.mine_phrases(documents(spark, sf_dir))
+
+
 def op13_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.assess(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 QUERIES = {f.__name__: f for f in (op1_token_counts, op2_tool_calls, op3_token_files, op4_benchmark_leaks, op5_backoff, op5_backoff_trigrams, op6_digests, op7_language, op8_jaccard_join, op9_packing, op10_substrings,
-                                  op11_divergence, op13_quality)}
+                                  op11_divergence, op12_collocations, op13_quality)}
 
 LETTERS = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 WORDS = rf"list_filter(regexp_split_to_array({LETTERS}, '[\x20\x09-\x0D]+'), lambda x: x <> '')"
@@ -204,4 +208,22 @@ o AS (SELECT *, row_number() OVER (PARTITION BY part, lang, source ORDER BY valu
 SELECT lang, source, part, item, value::BIGINT AS value, rank::INTEGER AS rank FROM o WHERE part = 'pair' OR rank <= 10
 """
 
-ORACLE: dict[str, str] = {"op11_divergence": DIVERGENCE_SQL, "op8_jaccard_join": JACCARD_SQL, "op5_backoff": BACKOFF_SQL, "op5_backoff_trigrams": TRIGRAMS_SQL}
+COLLOCATIONS_SQL = rf"""
+WITH p AS (SELECT lang, unnest(regexp_split_to_array(text, '[.,;:!?\x0A-\x0D]')) AS piece FROM (SELECT coalesce(lang, 'und') AS lang, {LETTERS} AS text FROM documents)),
+w AS (SELECT lang, list_filter(regexp_split_to_array(piece, '[\x20\x09]+'), lambda x: x <> '') AS w FROM p),
+g AS (SELECT lang, unnest(flatten(list_transform(range(1, 6), lambda k: list_transform(range(1, len(w) - k + 2), lambda i: w[i:i + k - 1])))) AS g FROM w),
+f AS (SELECT lang, g, count(*) AS f FROM g GROUP BY ALL HAVING count(*) >= 100),
+n AS (SELECT lang, sum(len(w))::HUGEINT AS n FROM w GROUP BY lang),
+c AS (SELECT * FROM f WHERE len(g) > 1),
+inner_ AS (SELECT lang, f AS held, unnest(flatten(list_transform(range(2, len(g)), lambda k: list_transform(range(1, len(g) - k + 2), lambda i: g[i:i + k - 1])))) AS g FROM c),
+free AS (SELECT c.* FROM c WHERE NOT EXISTS (SELECT 1 FROM inner_ i WHERE i.lang = c.lang AND i.g = c.g AND 100 * i.held >= 100 * c.f)),
+k AS (SELECT *, unnest(range(1, len(g))) AS cut FROM free),
+s AS (SELECT k.lang, k.g, k.f AS a, n.n, k.cut, l.f AS l, r.f AS r, (1000 * k.f::HUGEINT * n.n) // (l.f::HUGEINT * r.f) AS score
+      FROM k JOIN n USING (lang) JOIN f l ON l.lang = k.lang AND l.g = k.g[:k.cut] JOIN f r ON r.lang = k.lang AND r.g = k.g[k.cut + 1:]),
+b AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, g ORDER BY score, cut) = 1),
+o AS (SELECT *, array_to_string(g, ' ') AS phrase FROM b),
+q AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM o)
+SELECT lang, rank, phrase, a, l, r, n::BIGINT AS n, score::BIGINT AS score FROM q WHERE rank <= 2000
+"""
+
+ORACLE: dict[str, str] = {"op12_collocations": COLLOCATIONS_SQL, "op11_divergence": DIVERGENCE_SQL, "op8_jaccard_join": JACCARD_SQL, "op5_backoff": BACKOFF_SQL, "op5_backoff_trigrams": TRIGRAMS_SQL}
