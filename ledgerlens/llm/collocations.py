@@ -45,10 +45,11 @@ DEPTH = 5
 COVER = 100
 FIRST = 2000
 HOT = 500_000
-BUCKET_ROWS = 1_000_000
-HELD_WORDS = 400_000
-HELD_PAIRS = 2_000_000
-HELD_SUFFIXES = 500_000
+BUCKET_ROWS = 500_000
+HELD_WORDS = 150_000
+HELD_PAIRS = 1_000_000
+HELD_SUFFIXES = 300_000
+SENT_ROWS = 50_000
 MIX = np.uint64(0x9E3779B97F4A7C15)
 BREAK = b"\xff"  # no byte of UTF-8
 BREAKS = bytes.maketrans(b".,;:!?\n\v\f\r", BREAK * 10)
@@ -67,8 +68,6 @@ class Keys:
         self.start, self.sieve, self.known = xxhash.xxh3_64_intdigest(lang), sieve, {}
 
     def of(self, words: list[bytes]) -> np.ndarray:
-        if len(self.known) >= HELD_WORDS:
-            self.known = {}
         new = list(set(words).difference(self.known))
         keys = np.fromiter((0 if w == BREAK else max(1, xxhash.xxh3_64_intdigest(w, self.start)) for w in new), np.uint64, len(new))
         if self.sieve is not None:
@@ -83,6 +82,11 @@ def lang_texts(docs: DataFrame) -> DataFrame:
                        F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary").alias("text"))
 
 
+def sent(rows: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    for at in range(0, rows.num_rows, SENT_ROWS):
+        yield rows.slice(at, SENT_ROWS)
+
+
 def word_counts(docs: DataFrame) -> DataFrame:
     """lang, word (binary), key and f of every word."""
     def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -91,9 +95,9 @@ def word_counts(docs: DataFrame) -> DataFrame:
         def rows() -> Iterator[pa.RecordBatch]:
             for lang, words in held.items():
                 words.pop(BREAK, None)
-                yield pa.RecordBatch.from_pydict({
+                yield from sent(pa.RecordBatch.from_pydict({
                     "lang": pa.array([lang] * len(words), pa.binary()), "word": pa.array(words.keys(), pa.binary()),
-                    "key": Keys(lang).of(list(words)).view(np.int64), "f": pa.array(words.values(), pa.int64())})
+                    "key": Keys(lang).of(list(words)).view(np.int64), "f": pa.array(words.values(), pa.int64())}))
             held.clear()
         for batch in batches:
             for lang, text in zip(batch["lang"].to_pylist(), batch["text"].to_pylist(), strict=True):
@@ -108,6 +112,8 @@ def key_runs(batches: Iterable[pa.RecordBatch], sieve: Sieve) -> Iterator[np.nda
     """The keys of each batch of texts one after the other, 0 wherever a phrase must end."""
     of_lang: dict[bytes, Keys] = {}
     for batch in batches:
+        if sum(len(x.known) for x in of_lang.values()) > HELD_WORDS:
+            of_lang.clear()
         words: dict[bytes, list[bytes]] = {}
         for lang, text in zip(batch["lang"].to_pylist(), batch["text"].to_pylist(), strict=True):
             words.setdefault(lang, [BREAK]).extend(pieces_of(text))
@@ -139,8 +145,8 @@ def pair_counts(docs: DataFrame, frequent: Sieve, least: int) -> DataFrame:
         def rows() -> Iterator[pa.RecordBatch]:
             if held:
                 (a, b), n = merged([np.concatenate(x) for x in zip(*((p[0], p[1]) for p in held), strict=True)], np.concatenate([p[2] for p in held]))
-                yield pa.RecordBatch.from_pydict({"a": a.view(np.int64), "b": b.view(np.int64), "n": n})
                 held.clear()
+                yield from sent(pa.RecordBatch.from_pydict({"a": a.view(np.int64), "b": b.view(np.int64), "n": n}))
         for keys in key_runs(batches, frequent):
             at = np.flatnonzero((keys[1:] != 0) & (keys[:-1] != 0))
             (a, b), n = merged([keys[at], keys[at + 1]], np.ones(len(at), np.int64))

@@ -23,7 +23,10 @@ model itself, as ``CountVectorizer`` does it; it grows with the distinct words o
 
 from __future__ import annotations
 
+from urllib.parse import quote
+
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.ml.feature import CountVectorizer
 from pyspark.sql import Column, DataFrame, Window
@@ -36,21 +39,24 @@ TOP = 10
 SCALE = 1_000_000_000
 TERM_BLOCK = 2048
 SOURCE_BLOCK = 128
-MARK = "\x1f"  # stands between language and term; no term holds it
-UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-
-
-def ascii_lower(text: Column) -> Column:
-    """A to Z in lower case, all else as it is: ``lower`` where no other character would change."""
-    beyond = F.regexp_replace(text, r"[\x00-\x7F]+", "")
-    return F.when(F.lower(beyond) == beyond, F.lower(text)).otherwise(F.translate(text, UPPER, LOWER))
+MARK = b"\x1f"  # stands between language and term; no term holds it
+BLANKS = bytes(x if x >= 0x80 or chr(x).isalpha() else 0x20 for x in range(256))
 
 
 def labelled_terms(docs: DataFrame) -> DataFrame:
-    """lang, source and the terms of each document, each term behind its language."""
-    lang, source, text = (F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in ("lang", "source", "text"))
-    found = F.array_remove(F.split(ascii_lower(F.col("text")), r"[\x00-\x40\x5B-\x60\x7B-\x7F]+"), "")
-    return docs.select(lang, source, text).select("lang", "source", F.transform(found, lambda x: F.concat(F.col("lang"), F.lit(MARK), x)).alias("terms"))
+    """source and the terms of each document, each term behind its language; '' for a document without terms."""
+    importable()
+
+    @F.pandas_udf("string")
+    def marked(langs: pd.Series, texts: pd.Series) -> pd.Series:
+        before = {lang: quote(lang, safe="").encode() + MARK for lang in langs.unique()}  # no blank within
+        out = []
+        for lang, text in zip(langs, texts, strict=True):
+            words = text.encode().lower().translate(BLANKS).split()  # bytes: only A-Z change
+            out.append((before[lang] + (b" " + before[lang]).join(words)).decode() if words else "")
+        return pd.Series(out, dtype=object)
+    lang, source, text = (F.coalesce(F.col(c).cast("string"), F.lit("")) for c in ("lang", "source", "text"))
+    return docs.select(source.alias("source"), F.split(marked(lang, text), " ").alias("terms"))
 
 
 def weight(n: Column, total: Column, kept: Column) -> Column:
@@ -67,15 +73,15 @@ def source_counts(docs: DataFrame, min_docs: int = MIN_DOCS) -> tuple[DataFrame,
     """Counts (lang, source, place, term, n) of kept terms where n > 0, and kept terms (lang, place, term)."""
     spark = docs.sparkSession
     terms = labelled_terms(docs)
-    # so that the model has an entry where no term is kept: an empty term, which no document holds
-    filler = spark.range(min_docs).select(F.lit("").alias("lang"), F.lit("").alias("source"), F.array(F.lit("")).alias("terms"))
+    # so that the model has an entry where no term is kept: the empty term, left out again below
+    filler = spark.range(min_docs).select(F.lit("").alias("source"), F.array(F.lit("")).alias("terms"))
     counter = CountVectorizer(inputCol="terms", outputCol="vector", minDF=float(min_docs), vocabSize=2**31 - 1)
     model = counter.fit(terms.unionByName(filler))
     saved = shared_dir(spark, "vocabulary")
     model.write().save(saved)
-    term = F.substring_index("entry", MARK, -1)
+    lang, term = (F.substring_index("entry", MARK.decode(), k) for k in (1, -1))
     kept = (spark.read.parquet(f"{saved}/data").select(F.posexplode("vocabulary").alias("place", "entry")).where("entry <> ''")
-            .select(F.expr("left(entry, char_length(entry) - char_length(substring_index(entry, '\x1f', -1)) - 1)").alias("lang"), "place", term.alias("term")))
+            .select(F.url_decode(lang).alias("lang"), "place", term.alias("term")))
     vectors = model.transform(terms).select("source", F.unwrap_udt("vector").alias("v"))
     entries = vectors.select("source", F.inline(F.arrays_zip(F.col("v.indices").alias("place"), F.col("v.values").alias("n"))))
     sums = entries.groupBy("source", "place").agg(F.sum(F.col("n").cast("long")).alias("n"))  # one language per place
