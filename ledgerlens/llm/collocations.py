@@ -34,7 +34,7 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerlens.llm.common import importable, materialize
@@ -46,11 +46,11 @@ COVER = 100
 FIRST = 2000
 HOT = 500_000
 BUCKET_ROWS = 500_000
-HELD_WORDS = 150_000
-HELD_PAIRS = 1_000_000
-HELD_SUFFIXES = 300_000
+HELD_WORDS = 100_000
+HELD_PAIRS = 400_000
+HELD_SUFFIXES = 200_000
 SENT_ROWS = 50_000
-MIX = np.uint64(0x9E3779B97F4A7C15)
+TURN = 23
 BREAK = b"\xff"  # no byte of UTF-8
 BREAKS = bytes.maketrans(b".,;:!?\n\v\f\r", BREAK * 10)
 WHOLE = "decimal(20,0)"
@@ -122,9 +122,13 @@ def key_runs(batches: Iterable[pa.RecordBatch], sieve: Sieve) -> Iterator[np.nda
             yield np.concatenate([of_lang.setdefault(lang, Keys(lang, sieve)).of(ws) for lang, ws in words.items()])
 
 
-def pair_keys(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    mixed = (a ^ a >> np.uint64(29)) * MIX + b
-    return mixed ^ mixed >> np.uint64(32)
+def joined(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """One key of two hashes, the second turned by some bits: what pair_key says in Spark."""
+    return a ^ (b << np.uint64(TURN) | b >> np.uint64(64 - TURN))
+
+
+def pair_key() -> Column:
+    return F.col("a").bitwiseXOR(F.shiftleft("b", TURN).bitwiseOR(F.shiftrightunsigned("b", 64 - TURN)))
 
 
 def merged(columns: list[np.ndarray], n: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
@@ -160,14 +164,6 @@ def pair_counts(docs: DataFrame, frequent: Sieve, least: int) -> DataFrame:
     return counted.groupBy("a", "b").agg(F.sum("n").alias("f")).where(F.col("f") >= least)
 
 
-def pair_sieve(pairs: DataFrame) -> Sieve:
-    def mix(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            a, b = (batch[c].to_numpy(zero_copy_only=False).view(np.uint64) for c in ("a", "b"))
-            yield pa.RecordBatch.from_pydict({"id": pair_keys(a, b).view(np.int64)})
-    return Sieve(pairs.select("a", "b").mapInArrow(mix, "id long"))
-
-
 def sorted_partitions(words: np.ndarray, n: np.ndarray, least: int, depth: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """(depth, one suffix, count) of every phrase of the suffixes ``words`` (rows, 0 after their end) with count ``least`` or more.
 
@@ -203,7 +199,7 @@ def longer_phrases(docs: DataFrame, frequent: Sieve, pairs: DataFrame, least: in
                    bucket_rows: int = BUCKET_ROWS) -> DataFrame:
     """words (array of keys) and f of the phrases of three to ``depth`` words that occur ``least`` times or more."""
     n_buckets = max(1, math.ceil((pairs.agg(F.sum("f").alias("n")).first().n or 0) / bucket_rows))
-    left, dealt = pair_sieve(pairs), pair_sieve(pairs.where(F.col("f") > hot))
+    left, dealt = Sieve(pairs.select(pair_key())), Sieve(pairs.where(F.col("f") > hot).select(pair_key()))
 
     def suffixes(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
@@ -213,11 +209,11 @@ def longer_phrases(docs: DataFrame, frequent: Sieve, pairs: DataFrame, least: in
                 return
             columns, n = merged([np.concatenate([p[0][k] for p in held]) for k in range(depth)], np.concatenate([p[1] for p in held]))
             held.clear()
-            lead = pair_keys(columns[0], columns[1])
+            lead = joined(columns[0], columns[1])
             split = dealt.may_hold(lead.view(np.int64))
             whole = lead
             for c in columns[2:]:
-                whole = pair_keys(whole, c)
+                whole = joined(c, whole)
             bucket = (np.where(split, whole, lead) % np.uint64(n_buckets)).astype(np.int32)
             order = np.lexsort((split, bucket))
             words, n, bucket, split = np.stack(columns, axis=1)[order], n[order], bucket[order], split[order]
@@ -229,7 +225,7 @@ def longer_phrases(docs: DataFrame, frequent: Sieve, pairs: DataFrame, least: in
         for keys in key_runs(batches, frequent):
             known = np.zeros(len(keys) + depth, bool)  # whether a word and the next are a frequent pair
             at = np.flatnonzero((keys[1:] != 0) & (keys[:-1] != 0))
-            known[at[left.may_hold(pair_keys(keys[at], keys[at + 1]).view(np.int64))]] = True
+            known[at[left.may_hold(joined(keys[at], keys[at + 1]).view(np.int64))]] = True
             at = np.flatnonzero(known[:-1] & known[1:])
             if not len(at):
                 continue
