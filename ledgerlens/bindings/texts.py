@@ -15,6 +15,7 @@ from ledgerlens.bindings.sqltables import block, sql
 from ledgerlens.bindings.staging import StagedTables
 from ledgerlens.functions import values as V
 from ledgerlens.operators import claims as K
+from ledgerlens.operators import contract as C
 from ledgerlens.operators import documents as D
 from ledgerlens.operators import lines as L
 from ledgerlens.operators import scoring
@@ -228,7 +229,103 @@ def result_evidence(spark, sf_dir):
     gaps = cards_.select("ts_code", *[F.lit(False).alias(n) for n, _ in K.CONTRADICTIONS])
     sections = spark.createDataFrame([], "ts_code string, report_year int, report_type string, section_name string, section_text string")
     pages = spark.createDataFrame([("valuation",), ("moat",), ("cycle",)], "page string")
-    return D.content_problems(r.select(*KEYS, "text"), sections, facts, facts.select("ts_code", "path"), checklist(spark), pages, gaps)
+    found = C.audit(r.select(*KEYS, "text"), _snapshots(spark, sf_dir), facts, facts.select("ts_code", "path"), sections, checklist(spark), pages, gaps)
+    return found.filter(F.col("rule_id").isin("R18", "R19", "R21", "R22", "R23", "R24"))
+
+
+# --- the whole contract: one fault for each score ----------------------------------------------
+
+#: Rules that the fault of ``score % 30`` breaks; 0 and 1 are results without fault.
+_FAULTS = {
+    2: ("R2", "R18", "R19", "R21", "R22", "R24"), 3: ("R3", "R20", "R22", "R24"), 4: ("R4",), 5: ("R4", "R5"), 6: ("R4", "R6"), 18: ("R18", "R22"), 20: ("R20", "R22", "R24"),
+    25: ("R24",), 26: ("R24",), 27: ("R22",), 28: ("R23",),
+} | {i: (f"R{i}",) for i in (*range(7, 18), 19, 21, 22, 23, 24)}
+_PAGES = ("valuation", "moat", "cycle")
+
+
+def _audited(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Results that keep the contract but for one fault, on facts that follow from the scores of their run."""
+    r = runs.tables(spark, sf_dir)["expert_results"].withColumnRenamed("conclusion_direction", "dir")
+    r = r.select(F.col("run_id").alias("ts_code"), "expert_id", "score", "dir", F.date_format("created_at", "yyyyMMdd").alias("day"), F.pmod("score", F.lit(30)).alias("v"))
+    r = r.join(_run_facts(r).drop("day"), "ts_code")
+    v = F.col("v")
+
+    def line(*parts, when: Column | None = None) -> Column:
+        whole = F.concat(*[F.lit(x) if isinstance(x, str) else x for x in parts])
+        return whole if when is None else F.when(when, whole)
+
+    def stated(name: str, value: Column, wrong: int, instead: str) -> Column:
+        return line(f"{name}: ", F.when(v == wrong, instead).otherwise(value), when=v != 6)
+    fence = line("---", when=v != 6)
+    money = lambda x: F.format_string("%.2f", F.col(x))
+    said = ~v.isin(3, 20)
+    rows = [line(f"| {i + 1} | “", F.when((v == 22) & F.lit(i == 2), F.reverse(_quote(i))).otherwise(_quote(i)), "”（年报:2000/annual/经营情况讨论与分析） | `annual.goodwill_yi` | 一致",
+                 F.when(said, " [source: annual.goodwill_yi]").otherwise(""), " |", when=(v != 18) | F.lit(i < 2)) for i in range(3)]
+    receivable = F.when(v == 27, "quarterly.receiv_nowhere").otherwise("quarterly.accounts_receiv_yi")
+    receivable = F.when(v == 29, "forecast.receiv_yi").otherwise(receivable)
+    text = F.concat_ws(
+        "\n", line("说明", when=v == 4), line("```yaml", when=v == 5), fence, stated("expert_id", F.col("expert_id"), 7, "nobody"), stated("ts_code", F.col("ts_code"), 8, "none"),
+        stated("score", F.col("score").cast("string"), 9, "n/a"), line("verdict: ", F.when(v == 10, "MAYBE").when(v == 11, "VETO").otherwise("PASS"), when=v != 6),
+        line("veto_triggers: []", when=v != 6), stated("conclusion_direction", F.col("dir"), 13, "UP"), stated("data_date", F.col("day"), 14, "19990101"),
+        stated("analysis_date", F.col("day"), 16, "19990101"), stated("batch_id", F.col("ts_code"), 15, "stale"), fence, line("```", when=v == 5), F.lit("## 总体判断"),
+        line(F.repeat(F.lit("判断"), 600), when=v != 3), line("⛔ VETO 已触发", when=v.isin(11, 12)), F.lit("## 详细分析"),
+        line("收盘价 ", money("close"), " [source: market.close]", when=said), line("PB ", money("pb"), " [source: market.pb]", when=said),
+        line("营收 ", money("before"), "亿 [source: annual.annual_data[0].revenue_yi]", when=said), line("营收 ", money("now"), "亿 [source: annual.annual_data[1].revenue_yi]", when=said),
+        line("营收同比 ", F.format_string("%.1f", (F.col("now") / F.col("before") - 1) * 100),
+             "% [calc: (current/previous-1)*100; inputs: annual.annual_data[1].revenue_yi, annual.annual_data[0].revenue_yi]", when=said),
+        line("营收创历史新高 [source: annual.annual_data[0].revenue_yi, annual.annual_data[1].revenue_yi]", when=said),
+        line("行业平均 ROE ", money("roe"), "% [source: industry.industry_stats.roe_pct.median]", when=said),
+        line("来源不明 [source: market.nowhere]", when=v == 23), line("账上现金 77.77亿", when=v == 24), line("公司零商誉，经营稳健", when=v == 25), line("据悉订单充足", when=v == 26),
+        line("不可重算 [calc: a/; inputs: market.close]", when=v == 28), F.lit(D.NARRATIVE), F.lit("| # | 论述 | 字段 | 结论 |"), F.lit("|---|---|---|---|"), *rows,
+        F.lit("## 关键风险与不确定性"), F.lit("## 必检项执行记录"), F.lit("| 必检项 | 状态 | 证据 | 结论 |"), F.lit("|---|---|---|---|"),
+        line("| 应收账款检查 | ", F.when(v == 21, "MISSING").otherwise("DONE"), " | `", receivable, "` | 应收账款平稳可控 |"),
+        F.lit("| 商誉减值分析 | DONE | `annual.goodwill_yi` | 商誉占比很低 |"), F.lit("| 现金流核对 OCF | DONE | `quarterly.ocf_ttm_yi` | OCF 与利润匹配 |"),
+        line("## 数据使用说明", when=v != 17), F.lit(D.KNOWLEDGE_LOG), F.lit("| # | 页面 | 用途 |"), F.lit("|---|---|---|"),
+        *[line(f"| {i + 1} | ", F.when((v == 19) & F.lit(i == 2), "absent").otherwise(p), " | 框架 |") for i, p in enumerate(_PAGES)])
+    return r.select(*KEYS, F.when(v != 2, text).otherwise("").alias("text"))
+
+
+def _run_facts(results: DataFrame) -> DataFrame:
+    per = results.groupBy("ts_code").agg(F.max("score").alias("best"), F.min("score").alias("worst"), F.max("day").alias("day"))
+    return per.select("ts_code", "day", (F.col("best") + 0.25).alias("close"), (F.col("worst") / 4 + 1).alias("pb"), (100.0 + F.col("worst")).alias("before"),
+                      (120.0 + F.col("best")).alias("now"), (F.col("best") / 8 + 2).alias("roe"))
+
+
+def _letters() -> Column:
+    return F.translate(F.sha2("ts_code", 256), "0123456789", "ghijklmnop")
+
+
+def _quote(i: int) -> Column:
+    """Letters of the run's section from its start, middle or end."""
+    return F.substring(_letters(), (1, 30, 51)[i], (14, 6, 14)[i])
+
+
+def _contract_tables(spark: SparkSession, sf_dir: str) -> StagedTables:
+    return StagedTables(spark, sf_dir, {"audited": lambda: _audited(spark, sf_dir)})
+
+
+block("ca", " UNION ALL ".join(f"SELECT run_id AS ts_code, expert_id, '{rule}' AS rule_id FROM res WHERE score % 30 = {v}" for v, rules in _FAULTS.items() for rule in rules)
+      + " UNION ALL SELECT run_id, expert_id, 'R22' FROM res WHERE score % 30 = 29 AND expert_id <> 'financial-auditor'", "res")
+
+
+@query("contract_audit", sql("SELECT * FROM ca", "ca"))
+def contract_audit(spark, sf_dir):
+    """R2 to R24 over results that each break one rule or none, in one pass."""
+    r = runs.tables(spark, sf_dir)["expert_results"].select(F.col("run_id").alias("ts_code"), "score", F.date_format("created_at", "yyyyMMdd").alias("day"))
+    f = _run_facts(r)
+    known = {"market.close": "close", "market.pb": "pb", "annual.annual_data[0].revenue_yi": "before", "annual.annual_data[1].revenue_yi": "now",
+             "industry.industry_stats.roe_pct.median": "roe"}
+    fixed = {"industry.industry_stats.roe_pct.count": 7.0, "annual.goodwill_yi": 1.0, "quarterly.ocf_ttm_yi": 2.0, "quarterly.accounts_receiv_yi": 3.0, "forecast.receiv_yi": 4.0}
+    listed = F.array(*[F.struct(F.lit(p).alias("path"), F.col(c).cast("double").alias("value")) for p, c in known.items()],
+                     *[F.struct(F.lit(p).alias("path"), F.lit(x).alias("value")) for p, x in fixed.items()])
+    facts = f.select("ts_code", F.inline(listed)).withColumn("unit", V.infer_unit("path"))
+    snapshots = f.select("ts_code", F.col("day").alias("data_date"), F.col("day").alias("analysis_date"), F.col("ts_code").alias("batch_id"))
+    sections = f.select("ts_code", F.lit(2000).alias("report_year"), F.lit("annual").alias("report_type"), F.lit("第三节 经营情况讨论与分析").alias("section_name"),
+                        F.regexp_replace(_letters(), "(.{7})", "$1，").alias("section_text"))
+    gaps = f.select("ts_code", *[F.lit(n == "goodwill_unknown").alias(n) for n, _ in K.CONTRADICTIONS])
+    pages = spark.createDataFrame([(p,) for p in _PAGES], "page string")
+    docs = _contract_tables(spark, sf_dir)["audited"]
+    return C.audit(docs, snapshots, facts, facts.select("ts_code", "path"), sections, checklist(spark), pages, gaps)
 
 
 @query("invalid_formulas", sql("SELECT run_id AS ts_code, expert_id FROM res WHERE score >= 50 AND industry = 'ASIA'", "res"))

@@ -177,7 +177,7 @@ def scan_line(line: str) -> list[dict]:
 
 @F.pandas_udf(TOKENS)
 def _scan(lines: pd.Series) -> pd.Series:
-    return lines.map(scan_line)
+    return lines.map(lambda x: scan_line(x) if x else [])
 
 
 # --- claims ----------------------------------------------------------------------
@@ -191,8 +191,26 @@ def claims(docs: DataFrame, keys: Sequence[str], text: str = "text") -> DataFram
     column expressions again.
     """
     rows = L.in_context(L.lines(docs, keys, text), keys)
-    rows = rows.filter(~F.col("fence_end") & F.col("stripped").rlike(r"\d"))
-    found = rows.withColumn("t", F.explode(_scan("stripped")))
+    found = rows.filter(holds_numbers()).withColumn("t", F.explode(scanned(F.col("stripped"))))
+    t = lambda name: F.col(f"t.{name}").alias(name)
+    return with_category(found).filter("is_claim").select(
+        *keys, "line", t("pos"), t("value"), t("unit"), t("raw"), "section", "category",
+        t("sources").alias("declared_paths"), t("formulas"), t("assumptions"), t("local_prefix"), F.col("stripped").alias("context"),
+    )
+
+
+def holds_numbers() -> Column:
+    """Lines in context that a scan has to see."""
+    return ~F.col("fence_end") & F.col("stripped").rlike(r"\d")
+
+
+def scanned(line: Column) -> Column:
+    """The numbers of a line, as structs; a NULL line has none."""
+    return _scan(line)
+
+
+def with_category(found: DataFrame) -> DataFrame:
+    """Adds to numbers ``t`` of lines in context whether they are claims (``is_claim``) and of which category."""
     t = lambda name: F.col(f"t.{name}")
     header = F.try_element_at(L.cells(F.col("table_header")), t("cell") + 1)
     stated = found.withColumns(
@@ -225,12 +243,7 @@ def claims(docs: DataFrame, keys: Sequence[str], text: str = "text") -> DataFram
     )
     says_data = (~F.col("bare") | (F.abs(value) > 10) | F.col("data_words")) & ~meta
     category = F.when(F.col("assumed"), "assumption").when(F.col("tied") | says_data, "data").otherwise("meta")
-    return stated.filter(~not_a_claim).select(
-        *keys, "line", t("pos").alias("pos"), t("value").alias("value"), t("unit").alias("unit"),
-        t("raw").alias("raw"), "section", category.alias("category"),
-        t("sources").alias("declared_paths"), t("formulas").alias("formulas"), t("assumptions").alias("assumptions"),
-        t("local_prefix").alias("local_prefix"), F.col("stripped").alias("context"),
-    )
+    return stated.withColumns({"is_claim": ~not_a_claim, "category": category})
 
 
 def first_traceable(found: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -310,6 +323,18 @@ def _recompute(formula: pd.Series, inputs: pd.Series) -> pd.Series:
     return pd.Series(out, dtype="float64")
 
 
+@F.pandas_udf(T.ArrayType(T.DoubleType()))
+def _recompute_each(specs: pd.Series) -> pd.Series:
+    def value(spec: dict) -> float | None:
+        return recompute(spec["formula"], [float(v) for v in spec["inputs"]])
+    return pd.Series([None if xs is None else [value(x) for x in xs] for xs in specs], dtype=object)
+
+
+def recomputed(specs: Column) -> Column:
+    """The value of each (formula, inputs) of an array, NULL where it has none; a NULL array stays NULL."""
+    return _recompute_each(specs)
+
+
 def formula_unit(formula: Column, units: Column) -> Column:
     """Percent for a ratio times 100, the common unit of the inputs without division, else none."""
     f = F.regexp_replace(formula, r"\s+", "")
@@ -357,7 +382,7 @@ def with_labels(found: DataFrame, name: str = "labels") -> DataFrame:
     return hit.withColumn(name, longest).drop("__clause", "__hits")
 
 
-def _meaning_ok(labels: Column, path: Column) -> Column:
+def meaning_ok(labels: Column, path: Column) -> Column:
     low = F.lower(path)
     return F.when(F.size(labels) == 0, True).when(F.size(labels) > 1, False).otherwise(
         F.exists(F.element_at(labels, 1), lambda token: low.contains(token))
@@ -391,7 +416,7 @@ def trace(found: DataFrame, facts: DataFrame, keys: Sequence[str], company: Sequ
     direct = F.filter(
         "evidence",
         lambda e: (e["f"] == -1) & e["fact"].isNotNull() & e["enough"] & (e["fact_unit"] == F.col("unit"))
-        & V.display_equal(F.col("value"), e["fact"], F.col("decimals")) & _meaning_ok(F.col("labels"), e["path"]),
+        & V.display_equal(F.col("value"), e["fact"], F.col("decimals")) & meaning_ok(F.col("labels"), e["path"]),
     )
     with_direct = joined.withColumn("direct", F.transform(direct, lambda e: e["path"]))
 
@@ -399,7 +424,7 @@ def trace(found: DataFrame, facts: DataFrame, keys: Sequence[str], company: Sequ
         *claim, "value", "unit", "decimals", "labels", "evidence", F.posexplode("formulas").alias("k", "spec")
     ).withColumn("used", F.filter("evidence", lambda e: e["f"] == F.col("k")))
     complete = (F.size("used") > 0) & F.forall("used", lambda e: e["fact"].isNotNull() & e["enough"])
-    meant = (F.size("used") != 1) | _meaning_ok(F.col("labels"), F.element_at("used", 1)["path"])
+    meant = (F.size("used") != 1) | meaning_ok(F.col("labels"), F.element_at("used", 1)["path"])
     steps = steps.filter(complete).filter(meant).withColumn(
         "result", _recompute(F.col("spec.formula"), F.transform("used", lambda e: e["fact"]))
     )

@@ -11,6 +11,7 @@ from ledgerlens.functions import values as V
 from ledgerlens.operators import claims as K
 from ledgerlens.operators import lines as L
 from ledgerlens.operators import picks
+from ledgerlens.operators import quotes as Q
 
 # Sections each role reads, budget per role, order of report kinds.
 CORE_SECTIONS = ("管理层讨论与分析", "经营情况讨论与分析", "公司未来发展的展望", "可能面对的风险")
@@ -126,14 +127,53 @@ def item_terms(items: DataFrame) -> DataFrame:
 def checklist_rows(docs: DataFrame, keys: Sequence[str], text: str = "text") -> DataFrame:
     """Recorded rows: item, status, evidence, conclusion; the first row of an item counts."""
     rows = L.lines(docs, keys, text).filter(F.col("raw_line").startswith("|"))
-    pattern = r"(?i)^\|\s*([^|]+?)\s*\|\s*(DONE|MISSING)\s*\|\s*([^|]+)\|\s*([^|]+)\|"
-    part = lambda i: F.trim(F.regexp_extract("raw_line", pattern, i))
-    rows = rows.select(
-        *keys, "line", part(1).alias("item"), F.upper(part(2)).alias("status"), part(3).alias("evidence"), part(4).alias("conclusion")
-    ).filter("status <> ''")
+    rows = rows.select(*keys, "line", recorded_item(F.col("raw_line")).alias("r")).select(*keys, "line", "r.*").filter("status <> ''")
     return picks.keep_one(rows, [*keys, "item"], [F.col("line")])
 
 
+def recorded_item(line: Column) -> Column:
+    """Item, status, evidence and conclusion of a checklist row; the status of other lines is empty."""
+    pattern = r"(?i)^\|\s*([^|]+?)\s*\|\s*(DONE|MISSING)\s*\|\s*([^|]+)\|\s*([^|]+)\|"
+    part = lambda i: F.trim(F.regexp_extract(line, pattern, i))
+    return F.struct(part(1).alias("item"), F.upper(part(2)).alias("status"), part(3).alias("evidence"), part(4).alias("conclusion"))
+
+
+def recorded_items(lines: Column) -> Column:
+    """All checklist rows of an array of lines, in order."""
+    return F.filter(F.transform(F.filter(lines, lambda x: x.startswith("|")), recorded_item), lambda r: r["status"] != "")
+
+
+def item_holds(status: Column, evidence: Column, conclusion: Column, terms: Column, token_groups: Column) -> Column:
+    """Whether a recorded item is carried out, with evidence that fits it and a conclusion on it."""
+    located = F.regexp_extract_all(evidence, F.lit(f"(?i)({K.PATH}|{DOCUMENT_LOCATOR})"), F.lit(1))
+    atoms = F.lower(F.array_join(located, " "))
+    said = F.lower(F.concat_ws(" ", evidence, conclusion))
+    filled = F.lit(True)
+    for p in PLACEHOLDERS:
+        filled = filled & ~evidence.contains(p) & ~conclusion.contains(p)
+    matches = F.exists(terms, lambda t: said.contains(t))
+    proven = (F.size(token_groups) > 0) & F.forall(token_groups, lambda g: F.exists(g, lambda t: atoms.contains(F.lower(t))))
+    valid = (
+        (evidence != "") & (conclusion != "") & (atoms != "")
+        & (F.length(F.regexp_replace(conclusion, r"(?U)[`*_\s]", "")) >= 4) & matches & proven & filled
+    )
+    return F.coalesce(valid & (status == "DONE"), F.lit(False))
+
+
+def evidence_atoms(evidence: Column) -> Column:
+    """The distinct paths and locators of an evidence cell as one text."""
+    atoms = F.regexp_extract_all(evidence, F.lit(f"(?i)({K.PATH}|(?:年报|wiki):[^|`；、\\s]+)"), F.lit(1))
+    return F.array_join(F.array_sort(F.array_distinct(atoms)), " ")
+
+
+def outside_domain(role: Column, path: Column) -> Column:
+    """Whether a path lies outside the sections that a role may lean on; other roles have no limits."""
+    outside = F.lit(False)
+    for name, prefixes in EVIDENCE_DOMAINS.items():
+        outside = F.when(role == name, ~F.greatest(*[path.startswith(p) for p in prefixes])).otherwise(outside)
+    return outside
+
+
 def checklist_coverage(docs: DataFrame, checklist: DataFrame, keys: Sequence[str], text: str = "text") -> DataFrame:
     """Every expected item of every document: was it carried out with valid evidence.
 
@@ -143,25 +183,8 @@ def checklist_coverage(docs: DataFrame, checklist: DataFrame, keys: Sequence[str
     expected = docs.select(*keys, *(["expert_id"] if "expert_id" not in keys else [])).join(item_terms(checklist), "expert_id")
     recorded = checklist_rows(docs, keys, text)
     joined = expected.join(recorded, [*keys, "item"], "left")
-    located = F.regexp_extract_all("evidence", F.lit(f"(?i)({K.PATH}|{DOCUMENT_LOCATOR})"), F.lit(1))
-    joined = joined.withColumns(
-        {
-            "__atoms": F.lower(F.array_join(located, " ")),
-            "__said": F.lower(F.concat_ws(" ", "evidence", "conclusion")),
-        }
-    )
-    filled = F.lit(True)
-    for p in PLACEHOLDERS:
-        filled = filled & ~F.col("evidence").contains(p) & ~F.col("conclusion").contains(p)
-    matches = F.exists("terms", lambda t: F.col("__said").contains(t))
-    proven = (F.size("token_groups") > 0) & F.forall(
-        "token_groups", lambda g: F.exists(g, lambda t: F.col("__atoms").contains(F.lower(t)))
-    )
-    valid = (
-        (F.col("evidence") != "") & (F.col("conclusion") != "") & (F.col("__atoms") != "")
-        & (F.length(F.regexp_replace("conclusion", r"(?U)[`*_\s]", "")) >= 4) & matches & proven & filled
-    )
-    out = joined.withColumn("found", F.coalesce(valid & (F.col("status") == "DONE"), F.lit(False)))
+    holds = item_holds(*[F.col(c) for c in ("status", "evidence", "conclusion", "terms", "token_groups")])
+    out = joined.withColumn("found", holds)
     columns = list(dict.fromkeys([*keys, "expert_id", "item", "status", "evidence", "conclusion", "found"]))
     return out.select(*columns)
 
@@ -192,92 +215,40 @@ def evidence_problems(covered: DataFrame, paths: DataFrame, keys: Sequence[str],
         *dict.fromkeys([*keys, company, "expert_id", "item"]),
         F.explode(F.array_distinct(F.regexp_extract_all("evidence", F.lit(f"({K.PATH})"), F.lit(1)))).alias("path"),
     )
-    outside = F.lit(False)
-    for role, prefixes in EVIDENCE_DOMAINS.items():
-        inside = F.greatest(*[F.col("path").startswith(p) for p in prefixes])
-        outside = F.when(F.col("expert_id") == role, ~inside).otherwise(outside)
     absent = cited.join(paths.select(company, "path"), [company, "path"], "left_anti").withColumn("problem", F.lit("path_missing"))
-    foreign = cited.filter(outside).withColumn("problem", F.lit("outside_domain"))
+    foreign = cited.filter(outside_domain(F.col("expert_id"), F.col("path"))).withColumn("problem", F.lit("outside_domain"))
     columns = [*dict.fromkeys([*keys, "item", "path"]), "problem"]
     return absent.select(*columns).unionByName(foreign.select(*columns))
 
 
 def evidence_reuse(covered: DataFrame, keys: Sequence[str], least: int = 3) -> DataFrame:
     """Documents that lean on too few distinct pieces of evidence."""
-    atoms = F.array_sort(F.array_distinct(F.regexp_extract_all("evidence", F.lit(f"(?i)({K.PATH}|(?:年报|wiki):[^|`；、\\s]+)"), F.lit(1))))
     per = covered.filter("found").groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("covered"), F.count_distinct(F.array_join(atoms, " ")).alias("distinct_evidence")
+        F.count(F.lit(1)).alias("covered"), F.count_distinct(evidence_atoms(F.col("evidence"))).alias("distinct_evidence")
     )
     return per.withColumn("reused", F.col("distinct_evidence") < F.least(F.lit(least), F.col("covered")))
 
 
 # --- quotes ---------------------------------------------------------------------------
 
-NARRATIVE = "## 叙事–数据交叉验证"  # fixed value
-LOCATOR = r"年报:(\d{4})/([^|`；、\s/]+)/([^|`；、\s）)]+)"
-NOT_WORD = r"[^\w一-鿿]"
-
-
-def bare(text: Column) -> Column:
-    """Text without punctuation and blanks."""
-    return F.regexp_replace(text, f"(?U){NOT_WORD}", "")
-
-
-def located_sections(locators: DataFrame, sections: DataFrame, company: str = "ts_code") -> DataFrame:
-    """Sections an explicit locator (year/kind/section) points to.
-
-    An equi join on company, year and kind; the section name only has to contain
-    the located name.
-    """
-    text = "section_bare" if "section_bare" in sections.columns else "section_text"
-    s = sections.select(company, F.col("report_year").cast("string").alias("year"), F.col("report_type").alias("kind"), "section_name", text)
-    joined = locators.join(s, [company, "year", "kind"])
-    return joined.filter(F.col("section_name").contains(F.col("section")))
+NARRATIVE = Q.NARRATIVE
 
 
-def verified_quotes(docs: DataFrame, sections: DataFrame, paths: DataFrame, keys: Sequence[str], company: str = "ts_code", text: str = "text", heading: str = NARRATIVE) -> DataFrame:
-    """Per document the distinct narrative rows that hold up.
+def verified_quotes(docs: DataFrame, sections: DataFrame, paths: DataFrame, keys: Sequence[str], company: str = "ts_code", text: str = "text") -> DataFrame:
+    """Per document (one row each) the distinct narrative rows that hold up.
 
     A row holds when a quoted passage of six characters or more stands in the
     located section, and its field cell names a path that exists.  The same
     evidence in several rows counts once.
     """
-    carry = list(dict.fromkeys([*keys, company]))
-    rows = L.under_heading(docs, carry, heading, text).filter(F.col("stripped").rlike(r"^\|\s*\d+\s*\|"))
-    cell = L.cells(F.col("stripped"))
-    rows = rows.select(
-        *carry, "line",
-        F.coalesce(F.try_element_at(cell, F.lit(3)), F.lit("")).alias("field_cell"),
-        F.coalesce(F.try_element_at(cell, F.lit(2)), F.lit("")).alias("said"),
-        F.array_distinct(F.regexp_extract_all("stripped", F.lit(f"({LOCATOR})"), F.lit(1))).alias("locators"),
-        F.array_distinct(K.cited_paths(F.col("stripped"))).alias("cited"),
-    )
-    quoted = F.flatten(F.transform(
-        F.regexp_extract_all("said", F.lit(r"[“\"]([^”\"]+)[”\"]"), F.lit(1)), lambda q: F.split(q, r"…+|\.{3,}")
-    ))
-    rows = rows.withColumn("chunks", F.array_distinct(F.filter(F.transform(quoted, bare), lambda c: F.length(c) >= 6)))
-    spot = [*carry, "line"]
-    loc = rows.select(*spot, "chunks", F.explode("locators").alias("locator")).select(
-        *spot, "chunks",
-        F.regexp_extract("locator", LOCATOR, 1).alias("year"),
-        F.regexp_extract("locator", LOCATOR, 2).alias("kind"),
-        F.regexp_replace(F.regexp_extract("locator", LOCATOR, 3), r"^第[^\s“\"]{0,12}节|[“”\"]", "").alias("section"),
-    )
-    # punctuation goes once per section, not once per quote
-    stripped = sections.withColumn("section_bare", bare(F.col("section_text")))
-    quote_ok = (
-        located_sections(loc, stripped, company)
-        .filter(F.exists("chunks", lambda c: F.col("section_bare").contains(c)))
-        .select(*spot).distinct()
-    )
-    real = rows.select(*spot, "field_cell", F.explode("cited").alias("path")).join(paths.select(company, "path"), [company, "path"])
-    path_ok = real.groupBy(*spot).agg(
-        F.array_sort(F.collect_set("path")).alias("real_paths"), F.bool_or(F.col("field_cell").contains(F.col("path"))).alias("bound")
-    ).filter("bound")
-    held = rows.join(quote_ok, spot).join(path_ok, spot)
-    signature = F.to_json(F.struct(F.array_sort("locators").alias("l"), F.array_sort("chunks").alias("c"), F.col("real_paths").alias("p")))
-    per = held.groupBy(*keys).agg(F.count_distinct(signature).alias("verified"))
-    return docs.select(*keys).join(per, list(keys), "left").withColumn("verified", F.coalesce("verified", F.lit(0)))
+    side = [c for c in [company] if c not in keys]
+    held = Q.held_rows(Q.quote_rows(docs, keys, side, text), sections, keys, company)
+    rows = docs.select(*keys, *side, F.explode(Q.narrative_rows(F.col(text))).alias("r")).join(held.withColumnRenamed("row", "held"), list(keys), "left_semi")
+    cited = rows.select(*keys, *side, F.explode("r.cited").alias("path")).distinct()
+    real = cited.join(paths.select(company, "path"), [company, "path"], "left_semi").select(*keys, "path")
+    known = held.unionByName(real, allowMissingColumns=True).groupBy(*keys).agg(F.collect_set("row").alias("quoted"), F.collect_set("path").alias("real"))
+    count = Q.verified_rows(F.col(text), F.col("quoted"), lambda p: F.array_contains("real", p))
+    return docs.select(*keys, text).join(known, list(keys), "left").select(*keys, F.when(F.col("quoted").isNull(), 0).otherwise(F.coalesce(count, F.lit(0))).alias("verified"))
 
 
 # --- contracts -----------------------------------------------------------------------
@@ -292,6 +263,38 @@ DIRECTIONS = ("POSITIVE", "NEUTRAL", "NEGATIVE")
 MIN_RESULT_CHARS = 1200
 
 
+def form_columns(text: Column) -> dict[str, Column]:
+    """What the form rules look at besides the front matter; each text is searched once for each."""
+    veto = r"(?im)^(?!.*(?:未触发|没有触发|不触发)).*⛔\s*VETO"
+    return {"veto_line": F.regexp_replace(text, L.FENCED, "").rlike(veto), "trimmed": L.strip(text), "citations": F.regexp_count(text, F.lit(r"(?i)\[(?:source|calc):"))}
+
+
+def form_checks(expected: Mapping[str, Column]) -> list[tuple[str, Column]]:
+    """R2 to R17 and R20 over ``lines.expert_fields`` and ``form_columns``: each rule with when it is broken."""
+    fm, trimmed, vetoed = F.col("has_front_matter"), F.coalesce(F.col("trimmed"), F.lit("")), F.col("fm_verdict") == "VETO"
+    empty = trimmed == ""
+    other = lambda name, x: ~F.coalesce(F.col(f"fm_{name}") == x, F.lit(False))
+    return [
+        ("R2", empty),
+        ("R3", ~empty & (F.length(trimmed) < MIN_RESULT_CHARS)),
+        ("R4", ~empty & ~trimmed.startswith("---")),
+        ("R5", trimmed.startswith("```yaml")),
+        ("R6", ~empty & ~fm),
+        ("R7", fm & other("expert_id", F.col("expert_id"))),
+        ("R8", fm & other("ts_code", F.col("ts_code"))),
+        ("R9", fm & ~F.coalesce(F.col("fm_score").between(0, 100), F.lit(False))),
+        ("R10", fm & ~F.coalesce(F.col("fm_verdict").isin(*VERDICTS), F.lit(False))),
+        ("R11", fm & vetoed & (F.size("fm_veto_triggers") == 0)),
+        ("R12", fm & (F.col("veto_line") != F.coalesce(vetoed, F.lit(False)))),
+        ("R13", fm & ~F.coalesce(F.col("fm_conclusion_direction").isin(*DIRECTIONS), F.lit(False))),
+        ("R14", fm & other("data_date", expected["data_date"])),
+        ("R15", fm & other("batch_id", expected["batch_id"])),
+        ("R16", fm & other("analysis_date", expected["analysis_date"])),
+        *[("R17", fm & ~F.col("text").contains(h)) for h in REQUIRED_HEADINGS],
+        ("R20", fm & (F.col("citations") < 3)),
+    ]
+
+
 def result_problems(docs: DataFrame, snapshots: DataFrame) -> DataFrame:
     """Form and identity of analyst results: one row per result and broken rule.
 
@@ -302,36 +305,8 @@ def result_problems(docs: DataFrame, snapshots: DataFrame) -> DataFrame:
     stated = L.expert_fields(docs, ["ts_code", "expert_id"]).join(
         snapshots.select("ts_code", "data_date", "analysis_date", "batch_id"), "ts_code", "left"
     )
-    t = F.col("text")
-    body = F.regexp_replace(t, L.FENCED, "")
-    veto_line = F.exists(
-        F.split(body, r"\R"), lambda x: x.rlike(r"(?i)⛔\s*VETO") & ~x.rlike("未触发|没有触发|不触发")
-    )
-    stated = stated.withColumns({"veto_line": veto_line, "trimmed": L.strip(t)})
-    vetoed = F.col("fm_verdict") == "VETO"
-    citations = F.regexp_count(t, F.lit(r"(?i)\[(?:source|calc):"))
-    other = lambda name, expected: ~F.coalesce(F.col(f"fm_{name}") == F.col(expected), F.lit(False))
-    fm = F.col("has_front_matter")
-    empty = F.coalesce(F.col("trimmed"), F.lit("")) == ""
-    checks: list[tuple[str, Column]] = [
-        ("R2", empty),
-        ("R3", ~empty & (F.length("trimmed") < MIN_RESULT_CHARS)),
-        ("R4", ~empty & ~F.col("trimmed").startswith("---")),
-        ("R5", F.col("trimmed").startswith("```yaml")),
-        ("R6", ~empty & ~fm),
-        ("R7", fm & other("expert_id", "expert_id")),
-        ("R8", fm & other("ts_code", "ts_code")),
-        ("R9", fm & ~F.coalesce(F.col("fm_score").between(0, 100), F.lit(False))),
-        ("R10", fm & ~F.coalesce(F.col("fm_verdict").isin(*VERDICTS), F.lit(False))),
-        ("R11", fm & vetoed & (F.size("fm_veto_triggers") == 0)),
-        ("R12", fm & (F.col("veto_line") != F.coalesce(vetoed, F.lit(False)))),
-        ("R13", fm & ~F.coalesce(F.col("fm_conclusion_direction").isin(*DIRECTIONS), F.lit(False))),
-        ("R14", fm & other("data_date", "data_date")),
-        ("R15", fm & other("batch_id", "batch_id")),
-        ("R16", fm & other("analysis_date", "analysis_date")),
-        *[("R17", fm & ~t.contains(h)) for h in REQUIRED_HEADINGS],
-        ("R20", fm & (citations < 3)),
-    ]
+    stated = stated.withColumns(form_columns(F.col("text")))
+    checks = form_checks({c: F.col(c) for c in ("data_date", "analysis_date", "batch_id")})
     found = F.array_compact(F.array(*[F.when(F.coalesce(c, F.lit(False)), F.lit(n)) for n, c in checks]))
     return stated.select("ts_code", "expert_id", F.explode(found).alias("rule_id"))
 

@@ -82,11 +82,26 @@ def under_heading(docs: DataFrame, keys: Sequence[str], heading: str, text: str
     return lines(docs.filter(at > 0).select(*keys, body.alias("__body")), keys, "__body")
 
 
+def region(text: Column, heading: str) -> Column:
+    """The same lines as an array, stripped; empty where the heading is missing."""
+    at = F.instr(text, heading)
+    body = F.element_at(F.split(F.substring(text, at + F.lit(len(heading)), F.length(text)), r"(?m)^##\s+", 2), 1)
+    return F.when(at > 0, F.transform(F.split(body, r"\R"), strip)).otherwise(F.array().cast("array<string>"))
+
+
 # Texts of rows nobody has filled in.
 PLACEHOLDER_ROWS = ("待填写", "页面路径", "管理层论述（年报章节+原文摘录）")
 HEADER_CELLS = ("#", "必检项")
 
 
+def filled_row(s: Column) -> Column:
+    """Whether a stripped line is a filled table row."""
+    kept = s.startswith("|") & ~s.rlike(r"^\|[\s:|-]+\|$")
+    for p in PLACEHOLDER_ROWS:
+        kept = kept & ~s.contains(p)
+    return kept & (F.size(cells(s)) >= 3) & ~F.element_at(cells(s), 1).isin(*HEADER_CELLS)
+
+
 def table_rows(docs: DataFrame, keys: Sequence[str], heading: str, text: str = "text") -> DataFrame:
     """Filled table rows under a heading, as cell arrays."""
     rows = under_heading(docs, keys, heading, text)
