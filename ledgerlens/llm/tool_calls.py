@@ -107,10 +107,12 @@ def check(name: str | None, arguments: str | None, schemas: dict[str, dict]) ->
     """Canonical arguments (null if they are no JSON), their problems, the identifiers they refer to."""
     try:
         value = parse(arguments)
+        written = canonical(value)
+        written.encode()  # an escape of half a surrogate pair stands for no character
     except (ValueError, RecursionError):
         return None, ["$: no JSON"], []
     wrong = problems(value, schemas[name]) if name in schemas else ["$: unknown tool"]
-    return canonical(value), wrong, sorted(set(references(value)))
+    return written, wrong, sorted(set(references(value)))
 
 
 def checked(name: Column, arguments: Column, schemas: dict[str, dict]) -> Column:

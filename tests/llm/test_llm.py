@@ -428,6 +428,9 @@ def test_calls_are_linked_ordered_and_validated(spark):
 def test_arguments():
     assert tool_calls.check("search", '{"query":"a","query":"b"}', queries.SCHEMAS)[1] == ["$: no JSON"]
     assert tool_calls.check("search", '{"query":NaN}', queries.SCHEMAS)[0] is None
+    for half in ('{"query":"\\ud800"}', '{"query":"a","\\udc00":1}', '{"query":{"$ref":"\\ud800"}}'):
+        assert tool_calls.check("search", half, queries.SCHEMAS) == (None, ["$: no JSON"], [])
+    assert tool_calls.check("search", '{"query":"\\ud83d\\ude42"}', queries.SCHEMAS) == ('{"query":"🙂"}', [], [])
     assert tool_calls.check("none", "{}", queries.SCHEMAS)[1] == ["$: unknown tool"]
     assert tool_calls.check("join", '{"parts":["a",true]}', queries.SCHEMAS)[1] == ["$.parts[1]: not of type string"]
     assert tool_calls.canonical({"b": 1, "a": [None, "é"]}) == '{"a":[null,"é"],"b":1}'
