@@ -10,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerlens.llm import decontaminate, graphs, jaccard, language, packing, substrings
+from ledgerlens.llm import decontaminate, jaccard, language, packing, substrings
 from ledgerlens.llm.common import documents, materialize
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
@@ -23,9 +23,11 @@ def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str, min_margin
 
 
 def one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str, size: int = 5, threshold: int = 80) -> DataFrame:
-    """Of documents whose word shingles are as similar, directly or through others, the one with the smallest doc_id."""
-    found = materialize(jaccard.classes(docs, size, threshold).where("component_id <> doc_id").select("doc_id"), "near-copies")
-    return graphs.without(docs, found)
+    """Of documents whose word shingles are as similar, directly or through others, the one with the smallest doc_id.
+
+    Texts that share a doc_id are documents of their own; of repeated rows one stays.
+    """
+    return jaccard.without_copies(docs, size, threshold)
 
 
 def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str, least: int = substrings.LEAST) -> DataFrame:

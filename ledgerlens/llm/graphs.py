@@ -5,7 +5,6 @@ from __future__ import annotations
 from collections.abc import Iterable, Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -80,21 +79,3 @@ class Sieve:
         for place in _places(ids):
             out &= (self.bits[place >> 3] >> (7 - (place & 7)).astype(np.uint8) & 1).astype(bool)
         return out
-
-
-def without(docs: DataFrame, dropped: DataFrame) -> DataFrame:
-    """The rows of ``docs`` whose doc_id is not in ``dropped`` (column doc_id); null ids stay.
-
-    Only rows that the sieve holds back are joined, so texts that certainly stay are not shuffled.
-    """
-    sieve = Sieve(dropped)
-
-    @F.pandas_udf("boolean")
-    def maybe(ids: pd.Series) -> pd.Series:
-        known = ids.notna()
-        return pd.Series(sieve.may_hold(ids.fillna(0).to_numpy().astype(np.int64)) & known.to_numpy())
-
-    held = maybe(F.col("doc_id").cast("long"))
-    gone = dropped.select(F.col("doc_id").alias("gone_id")).distinct()
-    rest = docs.where(held).join(gone, F.col("doc_id").cast("long") == F.col("gone_id"), "left_anti")
-    return docs.where(~held).unionByName(rest)

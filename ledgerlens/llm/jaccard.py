@@ -29,6 +29,7 @@ from collections import Counter
 from collections.abc import Iterable, Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
@@ -365,7 +366,10 @@ def sets_of(docs: DataFrame, size: int, nodes: DataFrame, wanted: DataFrame) ->
 
 
 def classes(docs: DataFrame, size: int = 4, threshold: int = 85) -> DataFrame:
-    """doc_id, n_shingles, component_id (smallest doc_id that links reach), n_links (verified links of its set)."""
+    """doc_id, n_shingles, component_id (smallest doc_id that links reach), n_links (verified links of its set), node, root.
+
+    node stands for the set (null: no words), root for all sets that links connect: rows that share a doc_id are told apart by them.
+    """
     importable()
     n_buckets = max(1, -(-text_bytes(docs) // BUCKET_BYTES))
     counted = materialize(census(docs, size, n_buckets), "shingle-census")
@@ -410,9 +414,43 @@ def classes(docs: DataFrame, size: int = 4, threshold: int = 85) -> DataFrame:
     degree = links.select(F.col("a").alias("node")).union(links.select("b")).groupBy("node").agg(F.count("*").alias("n_links"))
     owned = roots.join(nodes, "node")
     smallest = (owned.join(owned.groupBy("root").agg(F.min("doc_id").alias("component_id")), "root")
-                .select("node", "component_id").join(degree, "node", "left"))
+                .select("node", "root", "component_id").join(degree, "node", "left"))
     alone = nodes.select("node", F.col("doc_id").alias("own"))
     return (of.join(alone, "node", "left").join(smallest, "node", "left")
             .select("doc_id", F.col("n").cast("long").alias("n_shingles"),
                     F.coalesce("component_id", F.when(F.col("n") > 0, F.col("own")), "doc_id").alias("component_id"),
-                    F.coalesce("n_links", F.lit(0)).alias("n_links")))
+                    F.coalesce("n_links", F.lit(0)).alias("n_links"), F.when(F.col("n") > 0, F.col("node")).alias("node"),
+                    F.when(F.col("n") > 0, F.coalesce("root", "node")).alias("root")))
+
+
+def without_copies(docs: DataFrame, size: int, threshold: int) -> DataFrame:
+    """One row of all that links connect, the one with the smallest doc_id (null: last); rows without words stay.
+
+    Rows are told apart by doc_id and set of shingles, so texts that share a doc_id are judged each by itself.  Of rows
+    with the same doc_id and set the smallest text stays, and any one of those that are equal in both.  Only rows whose
+    doc_id the sieve holds back are read again, and only those that may go are joined; all other columns are carried whole.
+    """
+    place = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "node")
+    members = classes(docs, size, threshold).where("node is not null").groupBy("root", "doc_id", "node").agg(F.count("*").alias("copies"))
+    members = materialize(members.withColumn("place", place), "members")
+    first = members.groupBy("root").agg(F.min("place").alias("first"), F.sum("copies").alias("rows")).where(F.col("rows") > 1)
+    judged = members.join(first, "root").select("doc_id", "node", "copies", (F.col("place") == F.col("first")).alias("stays"))
+    judged = materialize(judged.where(~F.col("stays") | (F.col("copies") > 1)).drop("copies"), "near-copies")
+    sieve = Sieve(judged.select("doc_id"))
+
+    @F.pandas_udf("boolean")
+    def maybe(ids: pd.Series) -> pd.Series:
+        return pd.Series(sieve.may_hold(ids.fillna(0).to_numpy().astype(np.int64)) | ids.isna().to_numpy())
+
+    @F.pandas_udf("binary")
+    def node(values: pd.Series) -> pd.Series:
+        return pd.Series([node_of(s) if len(s) else None for t in values for s in shingle_sets([t], size)], dtype="object")
+
+    named = docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").cast("long").alias("id"))
+    held = maybe(F.col("id"))
+    asked = named.where(held).withColumn("set", node(F.coalesce("row.text", F.lit(""))))
+    told = asked.join(judged, F.col("id").eqNullSafe(F.col("doc_id")) & (F.col("set") == F.col("node")), "left")
+    told = materialize(told.where(F.coalesce("stays", F.lit(True))).select("row", "id", "set", F.col("stays").isNotNull().alias("repeated")), "held")
+    one = told.where("repeated").groupBy("id", "set").agg(F.min_by("row", F.col("row.text")).alias("row"))
+    kept = named.where(~held).select("row").unionByName(told.where("not repeated").select("row")).unionByName(one.select("row"))
+    return kept.select("row.*")

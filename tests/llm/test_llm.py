@@ -475,6 +475,30 @@ def test_pipeline(spark):
     assert {r.doc_id for r in pieces} == set(kept["benchmark"])
 
 
+def test_near_copies_keep_every_text(spark):
+    """Ids that several texts share, copies under one id and under none, against brute force; extra columns may have any name."""
+    rng = random.Random(11)
+    bases = [words(500 + g, 70) for g in range(6)]
+    rows = [(5, bases[0]), (9, bases[0]), (9, bases[1]), (11, bases[2]), (11, bases[2]), (None, bases[3]), (None, bases[3] + " "), (None, bases[0]),
+            (None, None), (3, ""), (3, " "), (3, ""), (20, bases[4]), (20, bases[4] + " tail"), (21, bases[5]), (21, bases[4])]
+    rows += [(rng.randrange(30, 45), bases[rng.randrange(6)] + rng.choice(["", " more", " \n", "".join(" " + words(rng.randrange(9), 40))])) for _ in range(40)]
+    docs = spark.createDataFrame([(i, t, "en", k, k, k, [k]) for k, (i, t) in enumerate(rows)],
+                                 "doc_id long, text string, lang string, gone_id int, node int, row int, stays array<int>")
+    out = corpus_pipeline.one_of_near_copies(spark, docs, SF)
+    assert out.columns == docs.columns
+    got = Counter((r.doc_id, r.text) for r in out.collect())
+    shingles = lambda t: frozenset(tuple(w[k:k + 5]) for w in [(t or "").encode().lower().split()] for k in range(max(1, len(w) - 4)) if w)
+    groups = []
+    for i, t in rows:
+        near = [g for g in groups if any(100 * len(shingles(t) & shingles(u)) >= 80 * len(shingles(t) | shingles(u)) for _, u in g)] if shingles(t) else []
+        groups = [g for g in groups if g not in near] + [[(i, t), *(x for g in near for x in g)]]
+    assert sum(got.values()) == len(groups)
+    for group in groups:
+        least = min((i is None, i or 0) for i, _ in group)
+        assert sum(got[x] for x in set(group)) == 1 or not shingles(group[0][1])
+        assert any(got[x] and (x[0] is None, x[0] or 0) == least for x in group)
+
+
 def test_stages_take_awkward_rows(spark, docs, empty):
     for rows in (docs, empty):
         out = rows
