@@ -7,18 +7,21 @@ results they need.  The order is the given one (turn, place in the message), exc
 before something it needs moves right behind it: a node sorts by the largest place among itself and all it
 rests on, then by the steps from there, then by its own place.
 
-The order is found by rounds over all conversations at once; each round is one join of the edges with the
-places known so far, and only nodes whose needs come later than themselves ever change, so conversations in
-order take one round.  The number of rounds is the longest chain that runs against the given order.
+The order is found by rounds over all conversations at once.  First the places spread along the edges, told on
+only by nodes that moved; then nodes of one largest place are peeled from it for their steps.  Nodes whose needs
+all come before themselves take part in neither, so conversations in order take one round; otherwise rounds are
+as many as the longest chain behind a place that is later than its own nodes.  What cannot be peeled lies on a
+cycle or behind one; the strongly connected parts tell which, and every member of a cycle is marked.
 
 Each call and result is one row: status ``ok``, ``unanswered`` (call), ``orphan`` (result without a call),
 ``duplicate`` (a later call or result of an identifier that is taken) or ``cyclic`` (needs itself through
-others).  problems lists what is wrong with the arguments.  Rows without conversation or identifier link
+others; such rows keep their own places and nothing waits for them, rows behind a cycle are not cyclic).  problems lists what is wrong with the arguments.  Rows without conversation or identifier link
 with nothing and are orphans or unanswered; arguments that are null count as empty text and are no JSON.
 """
 
 from __future__ import annotations
 
+import functools
 import json
 import math
 
@@ -144,29 +147,112 @@ def firsts(df: DataFrame) -> DataFrame:
             .agg(F.min(F.struct("turn", "nth")).alias("first")))
 
 
+def settled(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """``nodes`` (conv_id, node, place) with top: the largest place among a node and all that it rests on.
+
+    Rounds over all conversations; only nodes that moved in one round tell in the next.
+    """
+    now = materialize(nodes.select("conv_id", "node", "place", F.col("place").alias("top"), F.lit(True).alias("moved")), "places")
+    while True:
+        told = now.where("moved").select("conv_id", F.col("node").alias("before"), F.col("top").alias("told"))
+        told = edges.join(told, ["conv_id", "before"]).groupBy("conv_id", F.col("after").alias("node")).agg(F.max("told").alias("told"))
+        moved = F.coalesce(F.col("told") > F.col("top"), F.lit(False))
+        now = materialize(now.drop("moved").join(told.hint("shuffle_hash"), ["conv_id", "node"], "left")
+                          .select("conv_id", "node", "place", F.when(moved, F.col("told")).otherwise(F.col("top")).alias("top"), moved.alias("moved")), "places")
+        if now.where("moved").isEmpty():
+            return now.drop("moved")
+
+
+def peeled(edges: DataFrame) -> tuple[DataFrame | None, DataFrame]:
+    """(conv_id, node, steps) of nodes free of cycles, by the longest way to them, and the edges that are left.
+
+    A round takes away all nodes into which no edge leads; what is left lies on a cycle or behind one.
+    """
+    layers, steps, left = None, 0, materialize(edges, "needs")
+    while True:
+        ends = left.select("conv_id", F.col("after").alias("node")).distinct()
+        free = left.select("conv_id", F.col("before").alias("node")).distinct().join(ends.hint("shuffle_hash"), ["conv_id", "node"], "left_anti")
+        free = materialize(free.withColumn("steps", F.lit(steps)), "free")
+        if free.isEmpty():
+            return layers, left
+        cut = left.join(free.select("conv_id", F.col("node").alias("before")).hint("shuffle_hash"), ["conv_id", "before"], "left_anti")
+        rest = materialize(cut, "needs")
+        # of nodes that no edge leads to any more, those without edges of their own end here
+        last = left.select("conv_id", F.col("after").alias("node")).distinct()
+        for way in ("before", "after"):
+            last = last.join(rest.select("conv_id", F.col(way).alias("node")).distinct().hint("shuffle_hash"), ["conv_id", "node"], "left_anti")
+        layer = free.unionByName(last.withColumn("steps", F.lit(steps + 1)))
+        layers = layer if layers is None else layers.unionByName(layer)
+        steps, left = steps + 1, rest
+
+
+def turned(edges: DataFrame) -> DataFrame:
+    return edges.select("conv_id", F.col("after").alias("before"), F.col("before").alias("after"))
+
+
+def on_cycles(nodes: DataFrame, edges: DataFrame) -> DataFrame | None:
+    """(conv_id, node) of all nodes that need themselves through others; None if there are none.
+
+    Edges that lead out of a cycle or into one only through nodes off all cycles are peeled away from both ends.  What
+    is left falls into groups by the largest place that reaches a node; in each, the nodes from which that place is
+    reached are one strongly connected part.  Parts go, and the rest is looked at again.
+    """
+    found = None
+    while True:
+        _, edges = peeled(edges)
+        _, back = peeled(turned(edges))
+        edges = turned(back)
+        if edges.isEmpty():
+            return found
+        ends = edges.select("conv_id", F.col("before").alias("node")).union(edges.select("conv_id", "after")).distinct()
+        tops = settled(nodes.join(ends, ["conv_id", "node"], "left_semi"), edges).drop("place")
+        for x in ("before", "after"):
+            edges = edges.join(tops.select("conv_id", F.col("node").alias(x), F.col("top").alias(f"{x}_top")).hint("shuffle_hash"), ["conv_id", x])
+        within = materialize(edges.where("before_top = after_top").select("conv_id", "before", "after"), "within")
+        # from each top backwards: a mark that spreads against the edges
+        marks = tops.select("conv_id", "node", (F.col("top.from") == F.col("node")).cast("int").alias("place"))
+        reach = settled(marks, turned(within)).where("top = 1").select("conv_id", "node")
+        pairs = within.join(reach.withColumnRenamed("node", "before").hint("shuffle_hash"), ["conv_id", "before"], "left_semi") \
+            .join(reach.withColumnRenamed("node", "after").hint("shuffle_hash"), ["conv_id", "after"], "left_semi")
+        part = materialize(pairs.select("conv_id", F.col("before").alias("node")).union(pairs.select("conv_id", "after")).distinct(), "cyclic")
+        found = part if found is None else found.unionByName(part)
+        edges = within  # an edge between two groups lies on no cycle
+        for x in ("before", "after"):
+            edges = edges.join(reach.withColumnRenamed("node", x).hint("shuffle_hash"), ["conv_id", x], "left_anti")
+
+
+def steps_within(nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame | None, DataFrame]:
+    """Nodes with top; their steps from it, where they have any; edges on cycles or behind them."""
+    tops = settled(nodes, edges)
+    same = edges
+    for x in ("before", "after"):
+        same = same.join(tops.select("conv_id", F.col("node").alias(x), F.col("top").alias(f"{x}_top")).hint("shuffle_hash"), ["conv_id", x])
+    return tops, *peeled(same.where("before_top = after_top").select("conv_id", "before", "after"))
+
+
 def ordered(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """``nodes`` (conv_id, node, turn, nth) with behind: struct of turn, nth, from (node) and steps that sorts them; and cyclic.
 
-    edges: conv_id, before, after (nodes).  A node that gets its own place back lies on a cycle; so does one
-    whose steps outnumber the nodes of its conversation.
+    edges: conv_id, before, after (nodes).  Nodes that share the largest place they rest on are peeled for their steps;
+    what cannot be peeled is searched for cycles.  Nodes on cycles keep their own places and nobody waits for them, so
+    without them the order is found anew.
     """
-    place = F.struct("turn", "nth", F.col("node").alias("from"), F.lit(0).alias("steps"))
-    size = nodes.groupBy("conv_id").agg(F.count("*").alias("of"))
-    now = materialize(nodes.join(size, "conv_id").withColumns({"behind": place, "cyclic": F.lit(False)}), "order")
-    edges = materialize(edges.distinct(), "edges")
-    while True:
-        known = now.select("conv_id", F.col("node").alias("before"), "behind", "cyclic").where(~F.col("cyclic"))
-        told = F.struct("behind.turn", "behind.nth", "behind.from", (F.col("behind.steps") + 1).alias("steps"))
-        new = edges.join(known, ["conv_id", "before"]).groupBy("conv_id", F.col("after").alias("node")).agg(F.max(told).alias("told"))
-        own = (F.col("told.from") == F.col("node")) | (F.col("told.steps") > F.col("of"))
-        moved = F.coalesce((F.col("told") > F.col("behind")) & ~F.col("cyclic"), F.lit(False))
-        after = now.join(new, ["conv_id", "node"], "left").withColumn("moved", moved)
-        after = after.select("conv_id", "node", "turn", "nth", "of", (F.col("cyclic") | F.col("moved") & own).alias("cyclic"),
-                             F.when(F.col("moved") & ~own, F.col("told")).otherwise(F.col("behind")).alias("behind"), "moved")
-        after = materialize(after, "order")
-        if after.where("moved").isEmpty():
-            return after.drop("moved", "of")
-        now = after.drop("moved")
+    nodes = materialize(nodes.withColumn("place", F.struct("turn", "nth", F.col("node").alias("from"))), "nodes")
+    edges = materialize(edges.select("conv_id", "before", "after").distinct(), "edges")
+    tops, layers, left = steps_within(nodes, edges)
+    cyclic = on_cycles(nodes, left)
+    if cyclic is not None:
+        for x in ("before", "after"):
+            edges = edges.join(cyclic.withColumnRenamed("node", x).hint("shuffle_hash"), ["conv_id", x], "left_anti")
+        tops, layers, _ = steps_within(nodes, materialize(edges, "edges"))
+    marks = [tops.withColumn("steps", F.lit(0)).withColumn("cyclic", F.lit(False))]
+    if layers is not None:
+        marks.append(layers.select("conv_id", "node", F.lit(None).alias("place"), F.lit(None).alias("top"), "steps", F.lit(False).alias("cyclic")))
+    if cyclic is not None:
+        marks.append(cyclic.select("conv_id", "node", F.lit(None).alias("place"), F.lit(None).alias("top"), F.lit(0).alias("steps"), F.lit(True).alias("cyclic")))
+    out = functools.reduce(DataFrame.unionByName, marks).groupBy("conv_id", "node").agg(
+        F.max("top").alias("top"), F.max("steps").alias("steps"), F.max("cyclic").alias("cyclic"))
+    return out.select("conv_id", "node", F.struct("top.turn", "top.nth", "top.from", "steps").alias("behind"), "cyclic")
 
 
 def link(messages: DataFrame, schemas: dict[str, dict]) -> DataFrame:
@@ -182,11 +268,11 @@ def link(messages: DataFrame, schemas: dict[str, dict]) -> DataFrame:
     results = base.where("role = 'tool'").select("conv_id", "turn", F.lit(0).alias("nth"), F.col("tool_call_id").alias("call_id"), F.col("text").alias("content"))
 
     keys = ["conv_id", "call_id"]
-    owners, answers = firsts(calls), firsts(results)
-    call_rows = (calls.join(owners, keys, "left").join(answers.withColumnRenamed("first", "answer"), keys, "left")
+    owners, answers = firsts(calls).hint("shuffle_hash"), firsts(results).hint("shuffle_hash")
+    call_rows = (calls.join(owners, keys, "left").join(answers.withColumnRenamed("first", "answer").hint("shuffle_hash"), keys, "left")
                  .withColumn("mine", F.coalesce(F.col("first") == F.struct("turn", "nth"), F.lit(True)))
                  .withColumn("status", F.when(~F.col("mine"), "duplicate").when(F.col("answer").isNull(), "unanswered").otherwise("ok")))
-    result_rows = (results.join(answers, keys, "left").join(owners.withColumnRenamed("first", "asked"), keys, "left")
+    result_rows = (results.join(answers, keys, "left").join(owners.withColumnRenamed("first", "asked").hint("shuffle_hash"), keys, "left")
                    .withColumn("mine", F.coalesce(F.col("first") == F.struct("turn", "nth"), F.lit(True)))
                    .withColumn("status", F.when(F.col("asked").isNull(), "orphan").when(~F.col("mine"), "duplicate").otherwise("ok")))
 
@@ -199,11 +285,11 @@ def link(messages: DataFrame, schemas: dict[str, dict]) -> DataFrame:
              .unionByName(answered.select("conv_id", named("r").alias("node"), "turn", F.lit(-1).alias("nth"))))
     edges = answered.select("conv_id", named("c").alias("before"), named("r").alias("after")).unionByName(
         linked.select("conv_id", "call_id", F.explode("refs").alias("ref")).select("conv_id", named("r", "ref").alias("before"), named("c").alias("after")))
-    places = ordered(nodes, edges).select("conv_id", F.col("node").alias("at"), "behind", "cyclic")
+    places = materialize(ordered(nodes, edges).select("conv_id", F.col("node").alias("at"), "behind", "cyclic"), "order")
 
     def finished(rows: DataFrame, kind: str) -> DataFrame:
         mine = F.when(F.col("status") != "duplicate", named(kind[0]))
-        out = rows.drop("behind", "cyclic").withColumn("at", mine).join(places, ["conv_id", "at"], "left")
+        out = rows.drop("behind", "cyclic").withColumn("at", mine).join(places.hint("shuffle_hash"), ["conv_id", "at"], "left")
         nth = F.col("nth") if kind == "call" else F.lit(-1)
         return out.select(
             "conv_id", F.lit(kind).alias("kind"), "call_id", "turn", nth.alias("nth"),
