@@ -7,6 +7,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ledgerlens.operators import sweep
+
 # Components of a batch, in hashing order.
 COMPONENTS = ("data_hash", "annual_hash", "wiki_hash", "prompt_contract_hash", "prompt_bundle_hash")
 
@@ -122,10 +124,12 @@ def occurrences(text: Column, part: Column) -> Column:
 
 
 def embedded_once(documents: DataFrame, sources: DataFrame, keys: Sequence[str], text: str = "text", part: str = "part") -> DataFrame:
-    """Sources a document does not contain exactly once; HTML comments do not count as text."""
+    """Sources a document does not contain exactly once; HTML comments do not count as text.
+
+    All sources of a document are counted in one sweep over it.
+    """
     visible = documents.select(*keys, F.regexp_replace(text, r"(?s)<!--.*?-->", "").alias("__doc"))
-    joined = sources.join(visible, list(keys))
-    return joined.withColumn("times", occurrences(F.col("__doc"), F.col(part))).filter("times <> 1").drop("__doc")
+    return sweep.counted(visible, sources, keys, "__doc", part).filter("times <> 1")
 
 
 def verified_records(records: DataFrame, manifest: DataFrame, keys: Sequence[str], name: str = "name", content: str = "content") -> DataFrame:
