@@ -51,6 +51,33 @@ def set_hash(files: DataFrame, by: Sequence[str], name: str = "name", sha: str =
     return branches.groupBy(*by).agg(digest(F.collect_list(root)).alias("set_hash"), F.sum("n").alias("files"))
 
 
+def _sum_of_digests(rows: DataFrame, by: Sequence[str], digest: Column, sign: Column, files: Column) -> DataFrame:
+    """Per key the eight 32-bit words of signed digests, each summed modulo 2**32, as one text of 64 hex digits."""
+    word = lambda i: F.conv(F.substring(digest, 8 * i + 1, 8), 16, 10).cast("decimal(11,0)")
+    sums = rows.groupBy(*by).agg(*[F.sum(word(i) * sign).alias(f"__w{i}") for i in range(8)], F.sum(files * sign).alias("files"))
+    text = [F.lpad(F.lower(F.hex(F.pmod(f"__w{i}", F.lit(1 << 32)).cast("bigint"))), 8, "0") for i in range(8)]
+    return sums.where("files <> 0").select(*by, F.concat(*text).alias("set_hash"), F.col("files").cast("bigint").alias("files"))
+
+
+def multiset_hash(files: DataFrame, by: Sequence[str], name: str = "name", sha: str = "sha256") -> DataFrame:
+    """One digest per key over its files (name, content) that can be added to: set_hash and files.
+
+    It is the sum of the files' own digests, word by word, so order does not matter, a file listed twice counts
+    twice, partial sums combine before the exchange, and no list of files is ever held.  ``changed_hash`` keeps it
+    up without the files that stay.  It tells changes by accident or edit; it does not stand against forged digests.
+    A null name or hash counts as empty.
+    """
+    line = F.concat_ws(":", F.coalesce(F.col(name), F.lit("")), F.coalesce(F.col(sha), F.lit("")))
+    return _sum_of_digests(files, by, F.sha2(line, 256), F.lit(1), F.lit(1))
+
+
+def changed_hash(before: DataFrame, added: DataFrame, removed: DataFrame, by: Sequence[str]) -> DataFrame:
+    """The hashes after files came and went: each argument as ``multiset_hash`` gives it; keys without files left go."""
+    part = lambda df, sign: df.select(*by, "set_hash", "files", F.lit(sign).alias("__sign"))
+    rows = part(before, 1).unionByName(part(added, 1)).unionByName(part(removed, -1))
+    return _sum_of_digests(rows, by, F.col("set_hash"), F.col("__sign"), F.col("files"))
+
+
 def component_mismatches(declared: DataFrame, recomputed: DataFrame, keys: Sequence[str], fields: Sequence[str] = (*COMPONENTS, "batch_id")) -> DataFrame:
     """One row per key and component whose declared hash is not the recomputed one."""
     d, r = declared.alias("d"), recomputed.alias("r")

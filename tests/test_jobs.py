@@ -1,6 +1,7 @@
 """Ingest, scoring, logs, integrity, screening, streaming."""
 
 import datetime as dt
+import hashlib
 
 import pytest
 from pyspark.sql import functions as F
@@ -226,6 +227,24 @@ def test_hashes(spark):
     assert row == hashlib.sha256(b"a\0b\0c\0d\0e").hexdigest()[:24]
 
 
+def test_hashes_that_are_added_to(spark):
+    rows = [("a", str(i), f"{i:02x}") for i in range(40)] + [("b", "x", "1"), ("b", "x", "1"), ("c", None, None)]
+    df = spark.createDataFrame(rows, "k string, name string, sha256 string")
+    hashed = lambda f: I.multiset_hash(f, ["k"])
+    whole = {tuple(r) for r in hashed(df).collect()}
+    assert whole == {tuple(r) for r in hashed(df.orderBy(F.rand()).repartition(5)).collect()} and {r[2] for r in whole} == {40, 2, 1}
+    words = [0] * 8
+    for _, n, h in rows[:40]:
+        d = hashlib.sha256(f"{n}:{h}".encode()).hexdigest()
+        words = [(w + int(d[8 * i:8 * i + 8], 16)) % 2**32 for i, w in enumerate(words)]
+    assert ("a", "".join(f"{w:08x}" for w in words), 40) in whole
+    some = df.where("k = 'a' and name < '3' or k = 'c'")
+    less = I.changed_hash(hashed(df), hashed(some.limit(0)), hashed(some), ["k"])
+    rest = df.join(some.select("k", "name"), (df.k == some.k) & df.name.eqNullSafe(some.name), "left_anti")
+    assert {tuple(r) for r in less.collect()} == {tuple(r) for r in hashed(rest).collect()}
+    assert {tuple(r) for r in I.changed_hash(less, hashed(some), hashed(some.limit(0)), ["k"]).collect()} == whole
+
+
 def test_occurrences(spark):
     df = spark.createDataFrame([("abcabc", "abc"), ("aaa", "aa"), ("x", "y"), ("x", "")], "t string, p string")
     assert [r.n for r in df.select(I.occurrences(F.col("t"), F.col("p")).alias("n")).collect()] == [2, 1, 0, None]
