@@ -187,6 +187,24 @@ def daily_digest(spark, sf_dir):
     return runs.daily_digest(_ev(spark, sf_dir))
 
 
+@query("digest_failures", sql("""SELECT strftime(tt, '%Y%m%d') AS day, strftime(tt, '%H:%M:%S') AS clock, code, phase, status, msg FROM ev
+ WHERE status IN ('error', 'timeout', 'crash')""", "ev"))
+def digest_failures(spark, sf_dir):
+    return runs.day_failures(_ev(spark, sf_dir)).select("day", F.date_format("at", "HH:mm:ss").alias("clock"), "code", "phase", "status", "msg")
+
+
+@query("digest_reports", sql("""SELECT strftime(created_at, '%Y%m%d') AS day, run_id AS code, industry AS name, CASE WHEN industry <> 'EUROPE' THEN max(score)::DOUBLE END AS score,
+ CASE WHEN industry <> 'ASIA' THEN min(verdict) END AS rating FROM res GROUP BY created_at, run_id, industry""", "res"))
+def digest_reports(spark, sf_dir):
+    """Report files of the runs: those of one region state no rating, those of another no number as their score."""
+    r = _res(spark, sf_dir).groupBy("created_at", F.col("run_id").alias("code"), "industry").agg(F.max("score").alias("s"), F.min("verdict").alias("v"))
+    score = F.when(F.col("industry") == "EUROPE", "n/a").otherwise(F.col("s").cast("string"))
+    rating = F.when(F.col("industry") == "ASIA", "").otherwise(F.concat(F.lit('rating: "'), "v", F.lit('"\n')))
+    text = F.concat(F.lit("---\n"), F.lit('stock_name: "'), "industry", F.lit('"\ncomposite_score: '), score, F.lit("\n"), rating,
+                    F.lit('---\nstock_name: "later"\ncomposite_score: 1\n'))
+    return runs.day_reports(r.select("code", F.col("created_at").alias("modified_at"), text.alias("text")))
+
+
 @query("run_summary", sql("""SELECT CASE WHEN status = 'ok' THEN 'succeeded' ELSE 'failed' END AS outcome, count(*) AS companies
  FROM (SELECT * FROM ev WHERE phase = 'report' QUALIFY row_number() OVER (PARTITION BY code ORDER BY tt DESC, status DESC) = 1) GROUP BY 1""", "ev"))
 def run_summary(spark, sf_dir):

@@ -93,9 +93,30 @@ def daily_digest(events: DataFrame) -> DataFrame:
     )
 
 
-def day_reports(results: DataFrame, day: Column) -> DataFrame:
-    """The runs of one day with their score and rating."""
-    return results.filter(F.to_date("created_at") == day)
+def day_failures(events: DataFrame) -> DataFrame:
+    """The failure list of every day: when, which company, in which phase, how and with what message.
+
+    Undated events belong to no day.  A name is listed where the log has one.
+    """
+    name = F.col("name") if "name" in events.columns else F.lit(None).cast("string")
+    return events.filter("at is not null").filter(F.col("status").isin(*FAILED)).select(
+        F.date_format("at", "yyyyMMdd").alias("day"), "at", "code", name.alias("name"), "phase", "status", "msg")
+
+
+def day_reports(reports: DataFrame, at: str = "modified_at", text: str = "text") -> DataFrame:
+    """Every report file with its day, name, score and rating, as the first line that speaks of each says.
+
+    A quoted value stands between the quotes, a score behind the last ``: ``; what is missing or no number is null.
+    """
+    def line(field: str) -> Column:
+        return F.regexp_extract(text, f"(?m)^.*{field}:.*$", 0)
+
+    def quoted(field: str) -> Column:
+        return F.nullif(F.regexp_extract(line(field), ': "(.*)"', 1), F.lit(""))
+    score = F.regexp_extract(line("composite_score"), "^.*: (.*)$", 1)
+    return reports.select(
+        F.date_format(at, "yyyyMMdd").alias("day"), "code", quoted("stock_name").alias("name"),
+        score.try_cast("double").alias("score"), quoted("rating").alias("rating"))
 
 
 def run_summary(events: DataFrame) -> DataFrame:

@@ -245,6 +245,19 @@ def test_hashes_that_are_added_to(spark):
     assert {tuple(r) for r in I.changed_hash(less, hashed(some), hashed(some.limit(0)), ["k"]).collect()} == whole
 
 
+def test_rows_of_a_digest(spark):
+    at = dt.datetime(2026, 6, 1, 23, 59)
+    texts = ['---\nstock_name: "A "B""\ncomposite_score: a: 71.5\nrating: "buy"\n', 'stock_name: "x"\nstock_name: "y"\ncomposite_score: ?', "", None]
+    df = spark.createDataFrame([(str(i), at, t, "n") for i, t in enumerate(texts)], "code string, modified_at timestamp, text string, name string")
+    got = {r.code: (r.day, r.name, r.score, r.rating) for r in R.day_reports(df).collect()}
+    assert got == {"0": ("20260601", 'A "B"', 71.5, "buy"), "1": ("20260601", "x", None, None), "2": ("20260601", None, None, None),
+                   "3": ("20260601", None, None, None)}
+    events = spark.createDataFrame([("c", "sync", "error", at, "m", "N"), ("c", "sync", "ok", at, "m", "N"), ("d", "sync", "crash", None, None, None)],
+                                   "code string, phase string, status string, at timestamp, msg string, name string")
+    assert [(r.day, r.code, r.name, r.msg) for r in R.day_failures(events).collect()] == [("20260601", "c", "N", "m")]
+    assert R.day_failures(events.drop("name")).first().name is None
+
+
 def test_occurrences(spark):
     df = spark.createDataFrame([("abcabc", "abc"), ("aaa", "aa"), ("x", "y"), ("x", "")], "t string, p string")
     assert [r.n for r in df.select(I.occurrences(F.col("t"), F.col("p")).alias("n")).collect()] == [2, 1, 0, None]
