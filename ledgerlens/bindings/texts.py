@@ -621,6 +621,12 @@ def text_coverage(spark, sf_dir):
     return D.text_coverage(ingest.reports(spark, sf_dir))
 
 
+@query("section_names", sql("""SELECT ts_code, report_year, report_type, section_name, sum(length(section_text))::BIGINT AS chars
+ FROM reports GROUP BY ALL""", "reports"))
+def section_names(spark, sf_dir):
+    return D.section_names(ingest.reports(spark, sf_dir))
+
+
 @query("page_links", """SELECT DISTINCT page_id, trim(split_part(ref, '|', 1)) AS page FROM
  (SELECT page_id, unnest(regexp_extract_all(html, 'href="/([^"]+)"', 1)) AS ref FROM pages) WHERE trim(split_part(ref, '|', 1)) <> ''""")
 def page_links(spark, sf_dir):

@@ -81,10 +81,6 @@ def yoy_pct(current: Column | str, previous: Column | str) -> Column:
     return (F.try_divide(_c(current), _c(previous)) - 1) * 100
 
 
-def relative_deviation(value: Column, expected: Column) -> Column:
-    return F.abs(value - expected) / F.greatest(F.abs(expected), F.lit(1e-9))
-
-
 def pre_close(close: Column | str, change: Column | str) -> Column:
     return rounded(_c(close) - _c(change))
 

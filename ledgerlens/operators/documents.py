@@ -94,6 +94,11 @@ def text_coverage(sections: DataFrame) -> DataFrame:
     )
 
 
+def section_names(sections: DataFrame) -> DataFrame:
+    """The sections stored of each company, year and kind: one row per name, with its characters; rows of one name count together."""
+    return sections.groupBy("ts_code", "report_year", "report_type", "section_name").agg(F.sum(F.length("section_text")).alias("chars"))
+
+
 def assemble(sections: DataFrame, keys: Sequence[str], order: Sequence[str], text: str = "section_text", between: str = "\n") -> DataFrame:
     """The sections of one document joined into its text, in order.
 
