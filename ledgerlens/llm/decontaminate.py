@@ -10,13 +10,18 @@ The q-grams of the items are a table that every task holds; it is built from at
 characters of benchmark at a time, and a larger benchmark takes as many passes over the documents as it has
 such blocks.  Documents are never shuffled.
 
-For short items k is lowered until the bound is at least 1; items shorter than q must occur whole.  Null or
-empty items never occur; null or empty documents leak nothing; repeated items are each reported.
+Items too short for that bound with k edits are looked up by shorter q-grams, the longest for which it is at
+least 1; items too short for an edit and for a q-gram must occur whole.  Null or empty items never occur; null
+or empty documents leak nothing; rows of the same id and text count as one item, other repeated items are each
+reported.  Texts that repeat a q-gram of an item take time for each pair of its places, but no memory: pairs are
+counted ``STRETCH`` at a time.
 """
 
 from __future__ import annotations
 
+import bisect
 import math
+from collections.abc import Iterator
 from typing import NamedTuple
 
 import numpy as np
@@ -30,6 +35,8 @@ Q = 8
 BUDGET = 0.1
 BLOCK_CHARS = 2_000_000
 BITS = 22
+STRETCH = 4_000_000
+NO_CHARACTER = 0xFFFFFFFF
 LEAKS = "array<struct<item_id:long,start_char:int,end_char:int,edits:int>>"
 MIX = np.uint64(0x9E3779B97F4A7C15)
 
@@ -63,59 +70,119 @@ class Item(NamedTuple):
     edits: int
     least: int
     shift: int
+    q: int
 
 
-class Index:
-    """q-grams of a block of benchmark items, with the places where they occur."""
+class Places:
+    """The q-grams of some benchmark items, with the places where they occur."""
 
-    def __init__(self, rows: list[tuple[int, str]], q: int = Q, budget: float = BUDGET):
-        self.q, self.items, self.short = q, [], []
-        for item_id, text in rows:
-            text = normal(text)
-            m = len(text)
-            if 0 < m < q:
-                self.short.append((item_id, text))
-            elif m:
-                edits = min(math.floor(budget * m), (m - q) // q)
-                self.items.append(Item(item_id, text, codes(text), edits, m - q + 1 - edits * q, (edits + 1).bit_length()))
-        found = [grams(x.code, q) for x in self.items]
+    def __init__(self, items: list[Item], q: int):
+        self.q, self.items = q, items
+        found = [grams(x.code, q) for x in items]
         every = np.concatenate(found) if found else np.zeros(0, np.uint64)
         order = np.argsort(every, kind="stable")
         self.keys, first = np.unique(every[order], return_index=True)
         self.first = np.append(first, len(every)).astype(np.int64)
         self.item = np.repeat(np.arange(len(found), dtype=np.int32), [len(x) for x in found])[order]
         self.place = np.concatenate([np.arange(len(x), dtype=np.int32) for x in found])[order] if found else np.zeros(0, np.int32)
-        self.shift = np.array([x.shift for x in self.items], np.int64)
-        self.least = np.array([x.least for x in self.items], np.int64)
+        self.shift = np.array([x.shift for x in items], np.int64)
+        self.least = np.array([x.least for x in items], np.int64)
         self.seen = np.zeros(1 << BITS, bool)
         self.seen[(self.keys >> np.uint64(64 - BITS)).astype(np.int64)] = True
 
-    def bands(self, code: np.ndarray) -> list[tuple[int, int]]:
-        """(item, band) whose shared q-grams reach the item's bound."""
+    def shared(self, code: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(item and half band, number of shared q-grams), of one stretch of the text after the other.
+
+        A q-gram that a text and an item both repeat is shared once for each pair of its places, so the pairs
+        are formed for stretches of about ``STRETCH`` of them, which are counted before the next.
+        """
         found = grams(code, self.q)
         at = np.flatnonzero(self.seen[(found >> np.uint64(64 - BITS)).astype(np.int64)])
-        if not len(at) or not len(self.keys):
-            return []
+        if not len(at):
+            return
         found = found[at]
         key = np.searchsorted(self.keys, found)
         key[key == len(self.keys)] = 0
         same = self.keys[key] == found
         at, key = at[same], key[same]
         times = self.first[key + 1] - self.first[key]
-        posting = np.repeat(self.first[key] - np.cumsum(times) + times, times) + np.arange(times.sum())
-        item, diagonal = self.item[posting], np.repeat(at, times) - self.place[posting]
-        band = diagonal >> self.shift[item]  # rounds down, also below 0
-        least = int(min(self.least.min(), 1 << 30))
-        names = (item.astype(np.int64) << 40) + (band + (1 << 39))
-        kept, count = np.unique(names, return_counts=True)
+        upto = np.cumsum(times)
+        begin = 0
+        while begin < len(at):
+            before = upto[begin] - times[begin]
+            end = max(begin + 1, int(np.searchsorted(upto, before + STRETCH, side="right")))
+            here, n = slice(begin, end), upto[end - 1] - before
+            posting = np.repeat(self.first[key[here]] - (upto[here] - times[here] - before), times[here]) + np.arange(n)
+            item = self.item[posting]
+            band = (np.repeat(at[here], times[here]) - self.place[posting]) >> self.shift[item]  # rounds down, also below 0
+            yield counted(item.astype(np.int64), band, len(self.items))
+            begin = end
+
+    def bands(self, code: np.ndarray) -> list[tuple[int, int]]:
+        """(item, band) whose shared q-grams reach the item's bound."""
+        if not len(self.keys):
+            return []
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+        size = 0
+        for names, count in self.shared(code):
+            held.append((names, count))
+            size += len(names)
+            if size > STRETCH:
+                held = [summed(held)]
+                size = -len(held[0][0])  # so that sums are made each time the bands have doubled, not each stretch
+        if not held:
+            return []
+        kept, count = summed(held)
         # a band of 2w diagonals is two neighbouring ones of w
         joined = count.copy()
         joined[:-1] += np.where(kept[1:] == kept[:-1] + 1, count[1:], 0)
         own = (kept >> 40).astype(np.int64)
-        good = np.flatnonzero(joined >= np.maximum(least, self.least[own]))
+        good = np.flatnonzero(joined >= self.least[own])
         # a lower neighbour that is empty itself leaves the upper half as its own first half: it is counted above
         return [(int(own[k]), int(kept[k] & ((1 << 40) - 1)) - (1 << 39)) for k in good]
 
+
+def counted(item: np.ndarray, band: np.ndarray, items: int) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct pairs of item and band as one number each, in order, and how often each occurs."""
+    low = int(band.min())
+    span = int(band.max()) - low + 1
+    if items * span <= 4 * len(item):  # few bands, many pairs: a repetitive text
+        count = np.bincount(item * span + (band - low), minlength=0)
+        names = np.flatnonzero(count)
+        return (names // span << 40) + (names % span + low + (1 << 39)), count[names]
+    return np.unique((item << 40) + (band + (1 << 39)), return_counts=True)
+
+
+def summed(counts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """Counts of the same names added up, names in order."""
+    if len(counts) == 1:
+        return counts[0]
+    names, count = (np.concatenate(x) for x in zip(*counts, strict=True))
+    order = np.argsort(names, kind="stable")
+    names = names[order]
+    first = np.flatnonzero(np.append(True, names[1:] != names[:-1]))
+    return names[first], np.add.reduceat(count[order], first)
+
+
+class Index:
+    """A block of benchmark items, by the length of q-grams that their edits leave whole."""
+
+    def __init__(self, rows: list[tuple[int, str]], q: int = Q, budget: float = BUDGET):
+        self.short: list[tuple[int, str]] = []
+        self.items: list[Item] = []
+        for item_id, text in rows:
+            text = normal(text)
+            m = len(text)
+            edits = math.floor(budget * m)
+            if not m:
+                continue
+            if m < q and not edits:
+                self.short.append((item_id, text))
+                continue
+            own = next((n for n in range(q, 1, -1) if m - n + 1 - edits * n >= 1), 1)
+            self.items.append(Item(item_id, text, codes(text), edits, max(1, m - own + 1 - edits * own), (edits + 1).bit_length(), own))
+        self.places = [Places([x for x in self.items if x.q == n], n) for n in sorted({x.q for x in self.items})]
+
     def leaks(self, text: str | None) -> list[tuple[int, int, int, int]]:
         """Every place of an item in a text: item_id, start and end in the normalised text, edits."""
         text = normal(text)
@@ -123,23 +190,35 @@ class Index:
             return []
         code = codes(text)
         out = {(item_id, at, at + len(part), 0) for item_id, part in self.short for at in places(text, part)}
-        best: dict[int, list[tuple[int, int, int]]] = {}
-        for k, band in self.bands(code):
-            item = self.items[k]
-            low = band << item.shift
-            start, stop = max(0, low - item.edits), min(len(text), low + (2 << item.shift) + len(item.text) + item.edits)
-            exact = [(0, start + at, start + at + len(item.text)) for at in places(text[start:stop], item.text)]
-            near = [] if exact else [x for x in [align(item.code, code[start:stop], item.edits)] if x]
-            best.setdefault(k, []).extend(exact or [(e, start + a, start + b) for e, a, b in near])
-        for k, found in best.items():
-            taken: list[tuple[int, int, int]] = []
-            for edits, a, b in sorted(set(found)):  # of places that overlap the one with the fewest edits
-                if all(b <= c or a >= d for _, c, d in taken):
-                    taken.append((edits, a, b))
-                    out.add((self.items[k].item_id, a, b, edits))
+        for group in self.places:
+            best: dict[int, set[tuple[int, int, int]]] = {}
+            for k, band in group.bands(code):
+                item = group.items[k]
+                low = (band << item.shift) - item.edits
+                high = low + (2 << item.shift) + 2 * item.edits
+                start, stop = max(0, low), min(len(text), high + len(item.text))
+                exact = [(0, start + at, start + at + len(item.text)) for at in places(text[start:stop], item.text)]
+                near = [] if exact else [x for x in [align(item.code, code, item.edits, low, high)] if x]
+                best.setdefault(k, set()).update(exact or near)
+            for k, found in best.items():
+                out.update((group.items[k].item_id, a, b, edits) for edits, a, b in apart(found))
         return sorted(out)
 
 
+def apart(found: set[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
+    """Of places that overlap the one with the fewest edits, then the first."""
+    out: list[tuple[int, int, int]] = []
+    starts: list[int] = []
+    ends: list[int] = []
+    for edits, a, b in sorted(found):
+        at = bisect.bisect_right(starts, a)  # those taken lie apart, so only two neighbours can overlap
+        if (not at or ends[at - 1] <= a) and (at == len(starts) or b <= starts[at]):
+            starts.insert(at, a)
+            ends.insert(at, b)
+            out.append((edits, a, b))
+    return out
+
+
 def places(text: str, part: str) -> list[int]:
     out, at = [], text.find(part)
     while at >= 0:
@@ -148,31 +227,42 @@ def places(text: str, part: str) -> list[int]:
     return out
 
 
-def align(item: np.ndarray, text: np.ndarray, edits: int) -> tuple[int, int, int] | None:
-    """Best alignment of the whole item with a stretch of the text, if within the budget: edits, start, end.
+def align(item: np.ndarray, text: np.ndarray, edits: int, low: int, high: int) -> tuple[int, int, int] | None:
+    """Best alignment of the whole item with a place of the text, if within the budget: edits, start, end.
 
-    One row per character of the item; a row is one sweep over the stretch, whose width is the band's.
-    Gaps along the row are resolved by a running minimum.  Of equally good ends the first one counts.
+    Only cells on the diagonals ``low`` to ``high`` (place in the text less place in the item) are filled: one
+    row of that width per character of the item.  Gaps along the row are resolved by a running minimum.  Of
+    equally good ends the first one counts, with its leftmost start.
     """
-    n = len(text)
-    steps = np.arange(n + 1, dtype=np.int64)
-    wide = n + 2
+    n, m, width = len(text), len(item), high - low + 1
+    around = np.full(width + m, NO_CHARACTER, np.uint32)  # the text from place low on
+    start, stop = max(0, low), min(n, low + len(around))
+    if start < stop:
+        around[start - low : stop - low] = text[start:stop]
+    wide = width + 1
+    steps = np.arange(width, dtype=np.int64)
+    gaps = steps * wide
+    outside = (edits + 1) * wide
     # cost and start travel in one number, so that the smallest cost takes its leftmost start along
-    row = steps.copy()
-    for i, c in enumerate(item, 1):
-        new = np.empty(n + 1, np.int64)
-        new[0] = i * wide
-        np.minimum(row[1:] + wide, row[:-1] + (text != c) * wide, out=new[1:])
-        row = np.minimum.accumulate(new - steps * wide) + steps * wide
+    row = steps + np.where((steps + low >= 0) & (steps + low <= n), 0, outside)
+    new = np.empty(width, np.int64)
+    for i, c in enumerate(item):
+        np.add(row, (around[i : i + width] != c) * wide, out=new)
+        np.minimum(new[:-1], row[1:] + wide, out=new[:-1])
+        new -= gaps
+        np.minimum.accumulate(new, out=new)
+        new += gaps
+        row, new = new, row
         if row.min() // wide > edits:
             return None
-    end = int(np.argmin(row // wide))
-    return int(row[end] // wide), int(row[end] % wide), end
+    cost = np.where((steps + low + m >= 0) & (steps + low + m <= n), row // wide, edits + 1)
+    end = int(np.argmin(cost))
+    return (int(cost[end]), low + int(row[end] % wide), low + end + m) if cost[end] <= edits else None
 
 
 def benchmark_blocks(benchmark: DataFrame, block_chars: int = BLOCK_CHARS) -> list[Index]:
     """Indexes of the whole benchmark, none over more than about ``block_chars`` characters of several items."""
-    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.coalesce("text", F.lit("")).alias("text"))
+    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.coalesce("text", F.lit("")).alias("text")).distinct()
     total = items.agg(F.sum(F.char_length("text")).alias("n")).first().n or 0
     n = max(1, math.ceil(total / block_chars))
     block = F.pmod(F.xxhash64("item_id", "text"), F.lit(n))

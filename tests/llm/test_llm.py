@@ -196,6 +196,37 @@ def test_leaks_are_those_within_the_budget(seed, edits):
         assert cost == edit_distance_inside(decontaminate.normal(item), decontaminate.normal(text)[a:b])
 
 
+@settings(max_examples=150, deadline=None)
+@given(st.integers(0, 100_000), st.sampled_from([8, 9, 10, 11, 13, 15, 16, 30, 31, 33]), st.integers(0, 4))
+def test_leaks_of_short_items_within_the_budget(seed, size, edits):
+    rng = random.Random(seed)
+    item = "".join(rng.choice("abcd") for _ in range(size))
+    changed = list(item)
+    for _ in range(edits):
+        k = rng.randrange(len(changed))
+        changed[k:k + 1] = rng.choice([[], ["a"], [changed[k], "b"]])
+        changed = changed or ["d"]
+    text = "".join(rng.choice("abcd") for _ in range(rng.randrange(50))) + "".join(changed) + "".join(rng.choice("abcd") for _ in range(rng.randrange(50)))
+    found = decontaminate.Index([(7, item)]).leaks(text)
+    assert bool(found) == (edit_distance_inside(item, text) <= size // 10)
+    assert all(cost == edit_distance_inside(item, text[a:b]) for _, a, b, cost in found)
+
+
+def test_leaks_in_repetitive_and_very_long_texts(monkeypatch):
+    item = "-" * 400
+    index = decontaminate.Index([(1, item)])
+    whole = index.leaks("-" * 20_000)
+    assert whole and all(b - a == 400 and cost == 0 for _, a, b, cost in whole)
+    monkeypatch.setattr(decontaminate, "STRETCH", 1_000)  # many stretches count the same
+    assert index.leaks("-" * 20_000) == whole
+    rng = random.Random(5)
+    long = "".join(rng.choice("abcdefgh ") for _ in range(20_000)).strip()
+    long = decontaminate.normal(long)
+    spoilt = "".join("z" if rng.random() < 0.03 else c for c in long)
+    [(item_id, a, b, cost)] = decontaminate.Index([(2, long)]).leaks("q" * 5_000 + spoilt + "r" * 300)
+    assert (item_id, a, b) == (2, 5_000, 5_000 + len(long)) and 0 < cost <= sum(x != y for x, y in zip(long, spoilt, strict=True))
+
+
 def test_find_leaks(spark, docs, empty):
     items = spark.createDataFrame([(1, words(2, 60).upper(), "x"), (2, words(77, 30), "x"), (3, None, "x"), (4, "", "x"), (5, "1 2", "x"), (1, words(2, 60), "x")],
                                   "item_id long, text string, leak string")
