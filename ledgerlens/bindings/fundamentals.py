@@ -410,6 +410,34 @@ def market_facts(spark, sf_dir):
     return _r(snapshot.facts(docs), "value")
 
 
+def _trees(spark, sf_dir) -> DataFrame:
+    """Every document as a JSON text: its lines one by one, and a number below up to 400 levels of objects and arrays."""
+    d = proxy.raw(spark, sf_dir, "documents")
+    levels = (F.col("doc_id") % 201).cast("int")
+    deep = F.concat(F.repeat(F.lit('{"in":['), levels), F.col("n_chars").cast("string"), F.repeat(F.lit("]}"), levels))
+    line = F.transform(F.split("text", "\n"), lambda x: F.struct(F.char_length(x).alias("size_wan"), x.alias("text")))
+    flat = F.to_json(F.struct("doc_id", F.struct("lang", "source", F.lit(2.5).alias("rate")).alias("meta"), line.alias("lines")))
+    return d.select("doc_id", F.concat(F.regexp_replace(flat, r"\}$", ""), F.lit(',"deep":'), deep, F.lit("}")).alias("json"))
+
+
+@query("json_document_facts", """WITH line AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS x, unnest(range(len(string_split(text, chr(10))))) AS i FROM documents)
+ SELECT doc_id, 'doc_id' AS path, doc_id::DOUBLE AS value, '' AS unit FROM documents UNION ALL SELECT doc_id, 'meta.rate', 2.5, '%' FROM documents
+ UNION ALL SELECT doc_id, 'lines[' || i || '].size_wan', length(x)::DOUBLE, '万' FROM line
+ UNION ALL SELECT doc_id, 'deep' || repeat('.in[0]', (doc_id % 201)::INTEGER), n_chars::DOUBLE, '' FROM documents WHERE n_chars IS NOT NULL""")
+def json_document_facts(spark, sf_dir):
+    return snapshot.json_facts(_trees(spark, sf_dir), ("doc_id",)).drop("ord")
+
+
+@query("json_document_paths", """WITH line AS (SELECT doc_id, unnest(range(len(string_split(text, chr(10))))) AS i FROM documents),
+ level AS (SELECT doc_id, unnest(range((doc_id % 201)::BIGINT)) AS k FROM documents WHERE n_chars IS NOT NULL)
+ SELECT doc_id, unnest(['doc_id', 'meta', 'meta.rate', 'lines', 'deep']) AS path FROM documents
+ UNION ALL SELECT doc_id, 'meta.lang' FROM documents WHERE lang IS NOT NULL UNION ALL SELECT doc_id, 'meta.source' FROM documents WHERE source IS NOT NULL
+ UNION ALL SELECT doc_id, unnest(['lines[' || i || ']', 'lines[' || i || '].size_wan', 'lines[' || i || '].text']) FROM line
+ UNION ALL SELECT doc_id, unnest(['deep' || repeat('.in[0]', k::INTEGER) || '.in', 'deep' || repeat('.in[0]', k::INTEGER + 1)]) FROM level""")
+def json_document_paths(spark, sf_dir):
+    return snapshot.json_paths(_trees(spark, sf_dir), ("doc_id",))
+
+
 @query("company_documents", sql("""SELECT s.ts_code, s.name, s.industry, strftime(k.trade_date, '%Y%m%d') AS trade_date, round(k.close, 6) AS close,
  m.period AS m1_period, m.value AS m1_value, true AS strict,
  (SELECT count(*) FROM dq WHERE dq.ts_code = s.ts_code AND severity = 'W' AND rule_id <> 'DQ41') AS warnings

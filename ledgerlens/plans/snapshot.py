@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ledgerlens.functions import values as V
-from ledgerlens.operators import quality
+from ledgerlens.operators import jsonwalk, quality
 from ledgerlens.plans import company as C
 
 SECTIONS = ("stock_info", "market", "annual", "quarterly", "balance", "indicators", "audit",
@@ -118,40 +118,12 @@ def paths(documents: DataFrame, keys: tuple[str, ...] = ("ts_code",), sections:
 
 
 def json_facts(documents: DataFrame, keys: tuple[str, ...], text: str = "json") -> DataFrame:
-    """The same for a document that arrives as JSON text: one level per step, no schema needed.
-
-    The deepest document decides the number of steps, read from the brackets beforehand (one number).
-    """
-    depth = documents.agg(F.max(json_depth(F.col(text))).alias("d")).first().d or 1
-    level = documents.select(*keys, F.try_parse_json(text).alias("__v"), F.lit("").alias("path"))
-    found = None
-    for _ in range(depth):
-        nxt = level.lateralJoin(_exploded(level)).select(
-            *keys,
-            F.when(F.col("__key").isNull(), F.concat("path", F.lit("["), F.col("__pos").cast("string"), F.lit("]")))
-            .otherwise(F.concat_ws(".", F.nullif("path", F.lit("")), "__key"))
-            .alias("path"),
-            F.col("__value").alias("__v"),
-        )
-        found = nxt if found is None else found.unionByName(nxt)
-        level = nxt
-    kind = F.schema_of_variant("__v")
-    numbers = found.filter(kind.rlike("^(BIGINT|DOUBLE|FLOAT|DECIMAL)"))
-    return numbers.select(*keys, "path", V.finite(F.try_variant_get("__v", "$", "double")).alias("value")).filter(
-        "value is not null"
-    ).withColumn("unit", V.infer_unit("path"))
-
-
-def json_depth(text: Column) -> Column:
-    """How deep the brackets of a JSON text are nested, brackets within strings left out."""
-    marks = F.regexp_replace(F.regexp_replace(text, r'"(?:[^"\\]|\\.)*"', ""), r"[^\[\]{}]", "")
-    step = lambda m: F.when(m.isin("{", "["), 1).when(m.isin("}", "]"), -1).otherwise(0)
-    start = F.struct(F.lit(0).alias("now"), F.lit(0).alias("most"))
-    seen = F.aggregate(F.split(marks, ""), start, lambda a, m: F.struct(
-        (a["now"] + step(m)).alias("now"), F.greatest(a["most"], a["now"] + step(m)).alias("most")))
-    return seen["most"]
+    """The same for a document that arrives as JSON text of any depth; no schema needed, no job runs beforehand."""
+    numbers = jsonwalk.nodes(documents, keys, text, ("number",))
+    return numbers.select(*keys, "ord", "path", V.finite("value").alias("value")).filter("value is not null").withColumn(
+        "unit", V.infer_unit("path"))
 
 
-def _exploded(level: DataFrame) -> DataFrame:
-    spark = level.sparkSession
-    return spark.tvf.variant_explode(F.col("__v").outer()).toDF("__pos", "__key", "__value")
+def json_paths(documents: DataFrame, keys: tuple[str, ...], text: str = "json") -> DataFrame:
+    """Every node of a JSON text below the outermost one, containers and text included; repeated keys count once."""
+    return jsonwalk.nodes(documents, keys, text).where("path <> ''").select(*keys, "path").distinct()

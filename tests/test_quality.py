@@ -1,10 +1,12 @@
 """Quality rules on whole documents."""
 
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
 
+from ledgerlens.operators import jsonwalk
 from ledgerlens.operators import quality as Q
 from ledgerlens.plans import snapshot
 from ledgerlens.sources import tables
@@ -158,6 +160,38 @@ def test_facts_of_deep_documents_are_all_found(spark):
     assert [r.path for r in got if r.ts_code == "B"] == ["[0][0]"]
 
 
+def test_nodes_of_json_are_those_of_its_parsed_form(spark):
+    def flat(x, path=""):
+        kind = {dict: "object", list: "array", str: "string", bool: "boolean", type(None): "null"}.get(type(x), "number")
+        yield path, kind, float(x) if kind == "number" else None
+        inner = x.items() if kind == "object" else enumerate(x) if kind == "array" else ()
+        for k, v in inner:
+            yield from flat(v, f"{path}[{k}]" if kind == "array" else f"{path}.{k}" if path else k)
+
+    rng = random.Random(4)
+
+    def tree(depth):
+        make = rng.randrange(9 if depth else 6)
+        if make < 6:
+            return [1, -2.5e3, "a\"]{\n", True, None, "é\u2028"][make]
+        return [tree(depth - 1) for _ in range(rng.randrange(4))] if make == 6 else {rng.choice(["k", "", "a b", "é", "x.y"]): tree(depth - 1) for _ in range(3)}
+
+    made = [tree(6) for _ in range(300)]
+    for x in made:
+        assert list(jsonwalk.walk(json.dumps(x, ensure_ascii=rng.random() < 0.5, indent=rng.choice([None, 1])))) == list(flat(x))
+    for wrong in ("", " ", "{", "[1,]", "[,1]", '{"a":1,}', '{"a" 1}', "{a:1}", "1 2", "[1}", "nul", "01", "+1", "[1 2]", '{"a"}', '"a', "]", "}", '["\n"]', "NaN", ",", "{,}"):
+        assert list(jsonwalk.found(wrong)) == [], wrong
+    depth = 30_000
+    assert list(jsonwalk.found("[" * 300 + "7" + "]" * 300))[-1] == ("[0]" * 300, "number", 7.0)
+    assert list(jsonwalk.found("[" * depth + "7" + "]" * depth, ("number",))) == [("[0]" * depth, "number", 7.0)]
+    assert list(jsonwalk.found("[" * 300_000)) == []
+    df = spark.createDataFrame([("A", json.dumps(made[k % 300])) for k in range(40)] + [("B", '{"\\ud800":1e999}'), ("C", None)], "ts_code string, json string")
+    rows = jsonwalk.nodes(df, ("ts_code",)).collect()
+    assert sum(r.ts_code == "A" for r in rows) == sum(len(list(flat(x))) for x in made[:40]) and not any(r.ts_code == "C" for r in rows)
+    assert [(r.path, r.kind) for r in rows if r.ts_code == "B"] == [("", "object"), ("?", "number")]
+    assert {r.path for r in snapshot.json_paths(df.where("ts_code = 'B'"), ("ts_code",)).collect()} == {"?"}
+
+
 def test_json_is_strict_at_any_depth(spark, tmp_path):
     nan = float("nan")
     df = spark.createDataFrame([("A", (nan, [float("inf"), 1.0], {"k": nan}))], "ts_code string, s struct<x:double,a:array<double>,m:map<string,double>>")
