@@ -48,15 +48,16 @@ def recent_failures(events: DataFrame, n: int = 5) -> DataFrame:
     return failed.orderBy(*order).limit(n)
 
 
-def durations(events: DataFrame, closed_at: Column | None = None) -> DataFrame:
+def durations(events: DataFrame, closed_at: Column | None = None, busy: int = 100_000) -> DataFrame:
     """Start marks matched with the event that ends them.
 
     A start takes the next event of the same code, phase and role.  One that is
     never ended is a timeout at ``closed_at`` (default: the last event of that code).
 
     A code may own much of the log, so its events are put in order hour by
-    hour; what follows the last event of an hour is the first one of the next
-    hour that has any, found on a table with one row per hour.
+    hour, and second by second in hours of more than ``busy`` events.  Each such
+    block tells its first event; what follows the last event of a block is the
+    first one of the next block of the hour, or else of the next hour that has any.
     """
     seq = F.col("seq") if "seq" in events.columns else F.lit(0)
     line = ["code", "phase", "expert_id"]
@@ -65,12 +66,18 @@ def durations(events: DataFrame, closed_at: Column | None = None) -> DataFrame:
         F.date_trunc("hour", "at").alias("hour"),
     )
     mark = F.struct("at", "seq", "status")
-    inside = keyed.withColumn("after", F.lead(mark).over(Window.partitionBy(*line, "hour").orderBy("at", "seq")))
-    hours = keyed.groupBy(*line, "hour").agg(F.min(mark).alias("first"))
-    later = hours.select(*line, "hour", F.lead("first").over(Window.partitionBy(*line).orderBy("hour")).alias("later"))
+    hours = keyed.groupBy(*line, "hour").agg(F.min(mark).alias("first"), F.count("*").alias("n"))
+    following = F.lead("first").over(Window.partitionBy(*line).orderBy("hour"))
+    later = hours.select(*line, "hour", following.alias("later"))
+    crowded = hours.where(F.col("n") > busy).select(*line, "hour", F.lit(True).alias("crowded"))
+    dealt = keyed.join(crowded, [*line, "hour"], "left").withColumn(
+        "block", F.when(F.col("crowded"), F.date_trunc("second", "at")).otherwise(F.col("hour")))
+    inside = dealt.withColumn("after", F.lead(mark).over(Window.partitionBy(*line, "hour", "block").orderBy("at", "seq")))
+    seconds = dealt.where("crowded").groupBy(*line, "hour", "block").agg(F.min(mark).alias("first"))
+    soon = seconds.select(*line, "hour", "block", F.lead("first").over(Window.partitionBy(*line, "hour").orderBy("block")).alias("soon"))
     last = keyed.groupBy("code").agg(F.max("at").alias("last_at"))
-    starts = inside.filter("status = 'start'").join(later, [*line, "hour"]).join(last, "code")
-    ended = F.coalesce("after", "later")
+    starts = inside.filter("status = 'start'").join(soon, [*line, "hour", "block"], "left").join(later, [*line, "hour"]).join(last, "code")
+    ended = F.coalesce("after", "soon", "later")
     closing = F.col("last_at") if closed_at is None else closed_at
     micros = F.unix_micros(F.coalesce(F.col("ended.at"), closing)) - F.unix_micros("at")
     # a start right after a start is overwritten, not ended

@@ -2,6 +2,8 @@
 
 import datetime as dt
 import hashlib
+import random
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -168,6 +170,30 @@ def test_durations(spark):
     assert {(r.phase, r.status, r.duration_ms) for r in R.durations(df).collect()} == {("sync", "ok", 3000), ("expert", "timeout", 4000)}
 
 
+@pytest.mark.parametrize("busy", [0, 20, 10**6])
+def test_durations_in_busy_hours(spark, busy):
+    """However often hours are split, starts find the same ends as in one pass over each line."""
+    rng = random.Random(12)
+    day = dt.datetime(2026, 1, 1)
+    rows = []
+    for seq in range(600):
+        at = day + dt.timedelta(hours=rng.choice([0, 0, 0, 3, 30]), seconds=rng.choice([0, 1, 5, 600]), microseconds=rng.randrange(5) * 1000)
+        rows.append(("AAB"[seq % 3], rng.choice(["sync", "expert"]), rng.choice([None, "m"]), rng.choice(["start", "start", "ok", "failed"]), at, seq))
+    want, last = Counter(), {}
+    for code, *_, at, _ in rows:
+        last[code] = max(last.get(code, at), at)
+    lines = {}
+    for r in sorted(rows, key=lambda r: (r[4], r[5])):
+        lines.setdefault((r[0], r[1], r[2] or ""), []).append(r)
+    for line, events in lines.items():
+        for r, after in zip(events, [*events[1:], None]):
+            if r[3] == "start" and (after is None or after[3] != "start"):
+                end, status = (after[4], after[3]) if after else (last[line[0]], "timeout")
+                want[(*line, r[4], status, (end - r[4]) // dt.timedelta(milliseconds=1))] += 1
+    df = spark.createDataFrame(rows, "code string, phase string, expert_id string, status string, at timestamp, seq int").repartition(4)
+    assert Counter(tuple(r) for r in R.durations(df, busy=busy).collect()) == want
+
+
 def test_rotation(spark):
     pool = spark.createDataFrame([(c, i) for i, c in enumerate("ABCD")], "ts_code string, pos int")
     last = spark.createDataFrame([("C", dt.date(2026, 6, 10)), ("D", dt.date(2026, 6, 14)), ("A", dt.date(2026, 6, 9))], "ts_code string, last_analyzed date")

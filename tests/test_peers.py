@@ -29,6 +29,25 @@ def test_cumulative_counts(spark):
         assert (r.n_below, r.n_upto, r.n_total) == (sum(x < r.x for x in xs), sum(x <= r.x for x in xs), len(xs))
 
 
+@pytest.mark.parametrize("least_parted", [0, 3, 40, 10**6])
+def test_crowded_buckets_are_parted(spark, least_parted):
+    """Values within one percent, within a millionth, of both signs and far apart rank alike however often buckets are parted."""
+    rng = random.Random(8)
+    spread = [lambda: rng.uniform(1, 1.005), lambda: 1.001 + rng.randint(0, 90) * 1e-9, lambda: -rng.uniform(1, 1.004), lambda: rng.uniform(-9e9, 9e9),
+              lambda: 0.0, lambda: 5e-324 * rng.randint(1, 40)]
+    rows = sorted({(g, rng.choice(spread)()) for g in "ab" for _ in range(500)})
+    weights = {r: rng.randint(0, 3) for r in rows}
+    counts = spark.createDataFrame([(g, x, n, 1) for (g, x), n in weights.items()], "g string, x double, n int, k int")
+    got = orderstats.cumulative_counts(counts, ["g"], "x", ["n", "k"], least_parted)
+    assert sorted(got.columns) == sorted(["g", "x", "n", "k", "n_below", "n_upto", "n_total", "k_below", "k_upto", "k_total"])
+    found = got.collect()
+    assert len(found) == len(rows)
+    for r in found:
+        below = sum(n for (g, x), n in weights.items() if g == r.g and x < r.x)
+        assert (r.n_below, r.n_upto, r.n_total) == (below, below + r.n, sum(n for (g, _), n in weights.items() if g == r.g))
+        assert (r.k_below, r.k_upto) == (sum(g == r.g and x < r.x for g, x in rows), sum(g == r.g and x <= r.x for g, x in rows))
+
+
 def make(spark, n, seed, industries=("X", "Y")):
     """Companies with ties, unknowns, outliers and some that may not be peers."""
     rng = random.Random(seed)
