@@ -20,10 +20,11 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledgerlens.llm.common import text_bytes, texts
+from ledgerlens.llm.common import materialize, texts
 
 BUCKETS = 256
 WINDOW = 5
@@ -32,10 +33,13 @@ TRIPLETS = ((0, 1, 2, 3), (0, 1, 3, 5), (0, 2, 3, 7), (0, 2, 4, 11), (0, 1, 4, 1
 LENGTH_STEPS = 16
 STEP_COST = np.array([0, 1, 2, 6])
 WORST = 6 * BUCKETS + LENGTH_STEPS
-CHUNK_BYTES = 4_000_000
+#: Characters of a text in the key of a range: no whole texts in Spark's sample of keys.
+KEY_CHARS = 64
+EDGES = [("part", pa.int32()), ("is_last", pa.bool_()), ("text", pa.string())]
 FIELDS = [("doc_id", pa.int64()), ("n_chars", pa.int64()), ("edited_sha256", pa.string()), ("fingerprint", pa.string()),
           ("edited_fingerprint", pa.string()), ("near_edited", pa.float64()), ("near_next", pa.float64())]
 ROWS = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
+NOTHING = (None,) * (len(FIELDS) - 1)
 PART = 1 << 16
 
 
@@ -85,67 +89,66 @@ def edited(text: str, after: str) -> str:
     return text[: len(text) - half] + after[:half]
 
 
-def chunks(docs: DataFrame, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
-    """texts(docs) dealt into ranges of descending doc_id, each followed by the first document of the next range.
+def in_ranges(docs: DataFrame, ranges: int | None = None) -> DataFrame:
+    """texts(docs) in ranges of descending doc_id (nulls last), rows of one id by text; sorted within each range.
 
-    The bounds are ids of documents themselves: the highest of a range is known without looking at texts.
-    Such documents travel twice, once as the tail of the range before; the highest id of all is the tail of
-    the last range.  Columns chunk, tail, doc_id, text, partitioned and sorted by chunk, tail, descending
-    doc_id (nulls last) and text.
+    Many rows of one id or of none part by their first characters.
     """
     rows = texts(docs)
-    n = max(1, math.ceil(text_bytes(docs) / chunk_bytes))
-    at = [k / n for k in range(1, n + 1)]
-    bounds = docs.agg(F.percentile_approx(F.col("doc_id").cast("long"), at, 10 * n).alias("b"), F.max(F.col("doc_id").cast("long")).alias("m")).first()
-    tops = sorted({*(bounds.b or []), *([bounds.m] if bounds.m is not None else [])}, reverse=True)
-    last = max(0, len(tops) - 1)
-    above = F.expr(f"size(filter(array({', '.join(f'{b}L' for b in tops)}), b -> b >= doc_id))") if tops else F.lit(0)
-    own = F.when(F.col("doc_id").isNull(), last).otherwise(F.greatest(F.lit(0), above - 1)).cast("int")
-    before = F.when(F.col("chunk") == 0, last).otherwise(F.col("chunk") - 1)
-    top = F.col("doc_id").isin(tops) if tops else F.lit(False)
-    here = F.struct(F.col("chunk"), F.lit(False).alias("tail"))
-    dealt = rows.withColumn("chunk", own).withColumn(
-        "to", F.when(top, F.array(here, F.struct(before.cast("int").alias("chunk"), F.lit(True).alias("tail")))).otherwise(F.array(here)))
-    return (dealt.select("doc_id", "text", F.explode("to").alias("to")).select("to.chunk", "to.tail", "doc_id", "text")
-            .repartition("chunk").sortWithinPartitions("chunk", "tail", F.col("doc_id").desc_nulls_last(), "text"))
-
-
-def fingerprint_edits(docs: DataFrame, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
-    """Fingerprints of every document and of its edit with the next one, in descending order of doc_id."""
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows: list[tuple] = []
-        chunk, first, held = None, None, None  # first of the chunk, the document that waits for its next
+    keys = [F.col("doc_id").desc_nulls_last(), F.substring("text", 1, KEY_CHARS)]
+    dealt = rows.repartitionByRange(ranges, *keys) if ranges else rows.repartitionByRange(*keys)
+    return dealt.sortWithinPartitions(F.col("doc_id").desc_nulls_last(), "text")
+
+
+def with_next(name: int | None, text: str, own: Digest, after: str, after_own: Digest) -> tuple:
+    changed = edited(text, after)
+    other = Digest(changed) if changed != text else own
+    return (name, len(text), hashlib.sha256(changed.encode()).hexdigest(), str(own), str(other), own.likeness(other), own.likeness(after_own))
+
 
-        def done(name: int | None, text: str, own: Digest, after: str, after_own: Digest) -> None:
-            changed = edited(text, after)
-            other = Digest(changed) if changed != text else own
-            rows.append((name, len(text), hashlib.sha256(changed.encode()).hexdigest(), str(own), str(other),
-                         own.likeness(other), own.likeness(after_own)))
+def batch_of(rows: list[tuple], fields: list[tuple[str, pa.DataType]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(x, t) for x, (_, t) in zip(zip(*rows, strict=True), fields, strict=True)], [n for n, _ in fields])
 
-        def flush() -> pa.RecordBatch:
-            out = pa.RecordBatch.from_arrays([pa.array(x, t) for x, (_, t) in zip(zip(*rows, strict=True), FIELDS, strict=True)],
-                                             [n for n, _ in FIELDS])
-            rows.clear()
-            return out
 
+def fingerprint_edits(docs: DataFrame, ranges: int | None = None) -> DataFrame:
+    """Fingerprints of every document and of its edit with the next one, in descending order of doc_id.
+
+    Each range is one sweep.  Its last document needs the first one of the next range, so both leave the sweep as
+    they are, two rows for each range, and are joined by the range's number.  What the sweeps give is stored
+    (a job runs while this frame is built); the number of ranges is the session's number of shuffle partitions
+    unless it is given.
+    """
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part = TaskContext.get().partitionId()
+        held: tuple[int | None, str, Digest] | None = None
         for batch in batches:
-            for k, tail, name, text in zip(*(batch[c].to_pylist() for c in ("chunk", "tail", "doc_id", "text")), strict=True):
-                if k != chunk:
-                    if held:  # no tail: the only range, and its ids are null
-                        done(*held, *first)
-                    chunk, first, held = k, None, None
-                if tail and not held:
-                    continue
+            rows: list[tuple] = []
+            for name, text in zip(batch["doc_id"].to_pylist(), batch["text"].to_pylist(), strict=True):
                 own = Digest(text)
-                first = first or (text, own)
-                if held:
-                    done(*held, text, own)
-                held = None if tail else (name, text, own)
+                if held is None:
+                    rows.append((part, False, text, name, *NOTHING))
+                else:
+                    rows.append((None, None, None, *with_next(*held, text, own)))
+                held = (name, text, own)
             if rows:
-                yield flush()
+                yield batch_of(rows, EDGES + FIELDS)
         if held:
-            done(*held, *first)
-        if rows:
-            yield flush()
+            yield batch_of([(part, True, held[1], held[0], *NOTHING)], EDGES + FIELDS)
 
-    return chunks(docs, chunk_bytes).mapInArrow(run, ROWS)
+    def close(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = zip(*(batch[c].to_pylist() for c in ("doc_id", "text", "after")), strict=True)
+            found = [with_next(name, text, Digest(text), after, Digest(after)) for name, text, after in rows]
+            if found:
+                yield batch_of(found, FIELDS)
+
+    swept = materialize(in_ranges(docs, ranges).mapInArrow(run, f"part int, is_last boolean, text string, {ROWS}"), "digests")
+    names = [n for n, _ in FIELDS]
+    firsts = swept.where("not is_last").select("part", "text")
+    # numbers of ranges that hold a document, each with the next of them, after the last the first
+    order = Window.orderBy("part")
+    lowest = F.min("part").over(order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    following = firsts.select("part").select(F.col("part").alias("own"), F.coalesce(F.lead("part").over(order), lowest).alias("next"))
+    lasts = swept.where("is_last").select(F.col("part").alias("own"), "doc_id", "text")
+    met = lasts.join(following, "own").join(firsts.select(F.col("part").alias("next"), F.col("text").alias("after")), "next")
+    return swept.where("part is null").select(*names).unionByName(met.select("doc_id", "text", "after").mapInArrow(close, ROWS))

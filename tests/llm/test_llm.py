@@ -1,5 +1,6 @@
 """Operators of the llm part against brute force, on small tables with awkward rows."""
 
+import hashlib
 import json
 import math
 import random
@@ -280,11 +281,42 @@ def test_backoff_trigrams_score_with_three_words(spark):
 
 # digests -------------------------------------------------------------------------------------------------
 
-@pytest.mark.parametrize("chunk_bytes", [500, 1 << 30])
-def test_digests(docs, empty, chunk_bytes):
+def plain_digest(text):
+    """The fingerprint by its definition: one loop over windows and triplets, quartiles from the sorted counts."""
+    data = text.encode()
+    counts = [0] * 256
+    for end in range(4, len(data)):
+        for i, j, salt in ((1, 2, 3), (1, 3, 5), (2, 3, 7), (2, 4, 11), (1, 4, 13), (3, 4, 17)):
+            code = data[end] + data[end - i] * 256 + data[end - j] * 65536 + salt * 16777216
+            counts[code * 0x9E3779B1 % 2**32 // 2**24] += 1
+    low, middle, high = (sorted(counts)[k] for k in (63, 127, 191))
+    quartiles = [0 if c <= low else 1 if c <= middle else 2 if c <= high else 3 for c in counts]
+    packed = "".join(f"{a * 64 + b * 16 + c * 4 + d:02x}" for a, b, c, d in zip(*(quartiles[k::4] for k in range(4)), strict=True))
+    return f"{min(255, round(8 * math.log2(1 + len(data)))):02x}" + packed, quartiles, min(255, round(8 * math.log2(1 + len(data))))
+
+
+def plain_likeness(a, b):
+    steps = sum((0, 1, 2, 6)[abs(x - y)] for x, y in zip(a[1], b[1], strict=True))
+    return 1 - (steps + min(16, abs(a[2] - b[2]))) / (6 * 256 + 16)
+
+
+@pytest.mark.parametrize("ranges", [1, 7, 40, None])
+def test_digests_by_definition(docs, ranges):
+    """Every row, repeated ones as often as they stand there, against plain loops, whatever the number of ranges."""
+    rows = sorted(collected(docs), key=lambda r: (r[0] is None, -(r[0] or 0), r[1].encode()))
+    want = Counter()
+    for (i, t), (_, after) in zip(rows, rows[1:] + rows[:1], strict=True):
+        changed = t[:len(t) - len(t) // 2] + after[:len(t) // 2]
+        own, new, other = plain_digest(t), plain_digest(changed), plain_digest(after)
+        want[i, len(t), hashlib.sha256(changed.encode()).hexdigest(), own[0], new[0], round(plain_likeness(own, new), 9), round(plain_likeness(own, other), 9)] += 1
+    got = digests.fingerprint_edits(docs, ranges).collect()
+    assert Counter((*tuple(r)[:5], round(r.near_edited, 9), round(r.near_next, 9)) for r in got) == want
+
+
+@pytest.mark.parametrize("ranges", [1, 3])
+def test_digests(docs, empty, ranges):
     rows = sorted(collected(docs), key=lambda r: (r[0] is None, -(r[0] or 0), r[1].encode()))
-    got = {(r.doc_id, r.n_chars, r.edited_sha256): r for r in digests.fingerprint_edits(docs, chunk_bytes).collect()}
-    import hashlib
+    got = {(r.doc_id, r.n_chars, r.edited_sha256): r for r in digests.fingerprint_edits(docs, ranges).collect()}
     for (i, t), (_, after) in zip(rows, rows[1:] + rows[:1], strict=True):
         changed = t[:len(t) - len(t) // 2] + after[:len(t) // 2]
         r = got[i, len(t), hashlib.sha256(changed.encode()).hexdigest()]
