@@ -194,14 +194,35 @@ block("flags", """SELECT *, NOT coalesce(ocf / nullif(np, 0) * 100 >= 60, false)
  coalesce(f1 >= -5 AND f2 >= -10 AND roe >= 2 AND gm >= 15 AND pe_ttm BETWEEN 0 AND 40 AND pb BETWEEN 0 AND 8, false) AS good FROM scr""", "scr")
 
 
-@query("fundamental_screen", sql("""SELECT ts_code, r1_ocf_profit, r2_ar_revenue, r3_debt_cash, r4_goodwill, r5_audit, r6_ocf_pos, g3 AS g3_profit_streak,
- round(CASE WHEN np > 0 THEN close / nullif(sqrt(22.5::DOUBLE * (np / shares) * (equity / shares)), 0) END, 6) AS g1_graham, round(f1, 6) AS f1_rev_cagr, round(roe, 6) AS m1_roe_avg,
- CASE WHEN r1_ocf_profit OR r2_ar_revenue OR r3_debt_cash OR r4_goodwill OR r5_audit OR r6_ocf_pos THEN 'PASS' WHEN good THEN 'CANDIDATE' ELSE 'WATCH' END AS result FROM flags""", "flags"))
+_FLAGS = ("r1_ocf_profit", "r2_ar_revenue", "r3_debt_cash", "r4_goodwill", "r5_audit", "r6_ocf_pos")
+_LIMITS = {"f1_rev_cagr": "f1 >= -5", "f2_profit_cagr": "f2 >= -10", "m1_roe_avg": "roe >= 2", "m3_gm": "gm >= 15",
+           "v1_pe_ttm": "pe_ttm BETWEEN 0 AND 40", "v2_pb": "pb BETWEEN 0 AND 8"}
+block("mrates", """SELECT o_orderdate::DATE AS date, CASE o_orderstatus WHEN 'F' THEN 'cn_10y' ELSE 'us_10y' END AS rate_type,
+ sum(round(o_totalprice * 100)::BIGINT)::DOUBLE / count(*) / 5000300.0::DOUBLE AS rate FROM orders WHERE o_orderstatus <> 'P' GROUP BY 1, 2""")
+block("scored", "SELECT *, round(100.0::DOUBLE * (" + " + ".join([f"(NOT {f})::INTEGER" for f in _FLAGS] + [f"coalesce({c}, false)::INTEGER" for c in _LIMITS.values()])
+      + ") / 12, 2) AS score FROM flags", "flags")
+
+
+def _rates(spark, sf_dir) -> DataFrame:
+    o = proxy.raw(spark, sf_dir, "orders").filter("o_orderstatus <> 'P'")
+    cents = F.round(F.col("o_totalprice") * 100).cast("bigint")
+    return o.groupBy(F.to_date("o_orderdate").alias("date"), F.when(F.col("o_orderstatus") == "F", "cn_10y").otherwise("us_10y").alias("rate_type")).agg(
+        (F.sum(cents).cast("double") / F.count(F.lit(1)) / 5000300.0).alias("rate"))
+
+
+@query("fundamental_screen", sql("""SELECT s.ts_code, """ + ", ".join(_FLAGS) + """, g3 AS g3_profit_streak,
+ round(CASE WHEN np > 0 THEN close / nullif(sqrt(22.5::DOUBLE * (np / shares) * (equity / shares)), 0) END, 6) AS g1_graham,
+ round(100.0::DOUBLE / nullif(pe_ttm, 0) / nullif(r.rate, 0), 6) AS g2_ey_spread, round(f1, 6) AS f1_rev_cagr, round(f2, 6) AS f2_profit_cagr, round(roe, 6) AS m1_roe_avg,
+ round(np / nullif(equity + debt, 0) * 100, 6) AS m2_roic, round(gm, 6) AS m3_gm, round(pe_ttm, 6) AS v1_pe_ttm, round(pb, 6) AS v2_pb, score AS score_total,
+ CASE WHEN score >= 80 THEN 'Tier1' WHEN score >= 50 THEN 'Tier2' ELSE 'Tier3' END AS tier,
+ CASE WHEN """ + " OR ".join(_FLAGS) + " THEN concat_ws(',', " + ", ".join(f"CASE WHEN {f} THEN '{f}' END" for f in _FLAGS)
+ + ") ELSE concat_ws(',', " + ", ".join(f"CASE WHEN NOT coalesce({c}, false) THEN '{n}' END" for n, c in _LIMITS.items()) + ") END AS reason, "
+ + "CASE WHEN " + " OR ".join(_FLAGS) + """ THEN 'PASS' WHEN good THEN 'CANDIDATE' ELSE 'WATCH' END AS result
+ FROM scored s ASOF LEFT JOIN (SELECT * FROM mrates WHERE rate_type = 'cn_10y') r ON s.trade_date >= r.date""", "scored", "mrates"))
 def fundamental_screen(spark, sf_dir):
-    t = proxy.tables(spark, sf_dir)
-    out = X.screen(X.measures(t, C.day(proxy.AS_OF)), LIMITS)
-    return out.select("ts_code", "r1_ocf_profit", "r2_ar_revenue", "r3_debt_cash", "r4_goodwill", "r5_audit", "r6_ocf_pos", "g3_profit_streak",
-                      F.round("g1_graham", 6).alias("g1_graham"), F.round("f1_rev_cagr", 6).alias("f1_rev_cagr"), F.round("m1_roe_avg", 6).alias("m1_roe_avg"), "result")
+    t = {**proxy.tables(spark, sf_dir), "macro_rates": _rates(spark, sf_dir)}
+    out = X.screen(X.measures(t, C.day(proxy.AS_OF), "cn_10y"), LIMITS).drop("trade_date")
+    return out.withColumns({c: F.round(c, 6) for c in out.columns if c[0] in "gfmv" and c != "g3_profit_streak"})
 
 
 @query("candidate_tracking", sql("""SELECT ts_code, strftime(min(trade_date), '%Y%m%d') AS first_screen_date, strftime(max(trade_date), '%Y%m%d') AS latest_screen_date,
@@ -230,19 +251,11 @@ def sector_exposure(spark, sf_dir):
     return out.withColumns({"weighted_mv": F.round(F.col("weighted_mv") / 1e6, 2), "weighted_pb": F.round("weighted_pb", 6)})
 
 
-block("mrates", """SELECT o_orderdate::DATE AS date, CASE o_orderstatus WHEN 'F' THEN 'cn_10y' ELSE 'us_10y' END AS rate_type,
- sum(round(o_totalprice * 100)::BIGINT)::DOUBLE / count(*) / 5000300.0::DOUBLE AS rate FROM orders WHERE o_orderstatus <> 'P' GROUP BY 1, 2""")
-
-
 @query("risk_free_rate", sql("""SELECT strftime(w.d, '%Y%m%d') AS date, r.rate_type, round(r.rate, 6) AS rate FROM (SELECT DISTINCT d FROM li) w
  ASOF JOIN (SELECT * FROM mrates WHERE rate_type = 'cn_10y') r ON w.d >= r.date""", "li", "mrates"))
 def risk_free_rate(spark, sf_dir):
-    o = proxy.raw(spark, sf_dir, "orders").filter("o_orderstatus <> 'P'")
-    cents = F.round(F.col("o_totalprice") * 100).cast("bigint")
-    rates = o.groupBy(F.to_date("o_orderdate").alias("date"), F.when(F.col("o_orderstatus") == "F", "cn_10y").otherwise("us_10y").alias("rate_type")).agg(
-        (F.sum(cents).cast("double") / F.count(F.lit(1)) / 5000300.0).alias("rate"))
     asked = proxy.raw(spark, sf_dir, "lineitem").select(F.lit("cn_10y").alias("rate_type"), F.to_date("l_shipdate").alias("date"))
-    out = X.rate_on(rates, asked).filter("rate is not null")
+    out = X.rate_on(_rates(spark, sf_dir), asked).filter("rate is not null")
     return out.select(V.ymd("date").alias("date"), "rate_type", F.round("rate", 6).alias("rate"))
 
 

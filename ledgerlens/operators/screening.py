@@ -27,10 +27,16 @@ class Thresholds:
     min_gross_margin_pct: float
     max_pe: float
     max_pb: float
+    #: Least scores of the first and the second tier; everything below is the third.
+    tiers: tuple[float, float] = (80.0, 50.0)
 
 
 def measures(tables, as_of: Column, rate_type: str | None = None) -> DataFrame:
-    """The measured values of the screen, one row per company; unknown stays NULL."""
+    """The measured values of the screen, one row per company; unknown stays NULL.
+
+    Return on invested capital is the trailing profit over equity and interest-bearing debt.  The earnings
+    yield is set against the newest rate of ``rate_type`` on the trade day; without a type it is unknown.
+    """
     quarters = S.trailing_year(S.single_quarters(tables["income"], tables["cashflow"], as_of))
     ttm = quarters.select(
         "ts_code", "ocf_ttm",
@@ -57,6 +63,8 @@ def measures(tables, as_of: Column, rate_type: str | None = None) -> DataFrame:
             "ocf_profit_pct": V.ratio_pct("ocf_ttm", "profit_ttm"),
             "ar_revenue_pct": V.ratio_pct("accounts_receiv", "revenue_ttm"),
             "debt_cash_pct": V.ratio_pct("interest_debt", "cash"),
+            "m2_roic": V.ratio_pct(F.col("profit_ttm"), F.col("equity") + F.col("interest_debt")),
+            "g2_ey_spread": F.lit(None).cast("double"),
             "g1_graham": F.when(F.col("profit_ttm") > 0, F.try_divide("close", graham)),
         }
     )
@@ -81,7 +89,9 @@ def screen(measured: DataFrame, limits: Thresholds) -> DataFrame:
     """Red flags (False = passed; unknown is a flag) and the outcome.
 
     A flagged company is passed over (PASS); a clean one that meets every
-    growth, margin and price limit is a CANDIDATE, else on WATCH.
+    growth, margin and price limit is a CANDIDATE, else on WATCH.  The score is
+    the share of the twelve checks that are met, in percent, and decides the tier;
+    the reason names the flags, or where there are none the limits that are not met.
     """
     def flag(ok: Column) -> Column:
         return ~F.coalesce(ok, F.lit(False))
@@ -96,19 +106,31 @@ def screen(measured: DataFrame, limits: Thresholds) -> DataFrame:
     }
     out = measured.withColumns(flags)
     clean = ~F.greatest(*[F.col(f) for f in flags])
-    good = (
-        (F.col("revenue_cagr_5y_pct") >= limits.min_revenue_cagr_pct)
-        & (F.col("profit_cagr_5y_pct") >= limits.min_profit_cagr_pct)
-        & (F.col("m1_roe_avg") >= limits.min_roe_pct)
-        & (F.col("m3_gm") >= limits.min_gross_margin_pct)
-        & F.col("pe_ttm").between(0, limits.max_pe)
-        & F.col("pb").between(0, limits.max_pb)
-    )
-    result = F.when(~clean, "PASS").when(F.coalesce(good, F.lit(False)), "CANDIDATE").otherwise("WATCH")
+    met = {
+        "f1_rev_cagr": F.col("revenue_cagr_5y_pct") >= limits.min_revenue_cagr_pct,
+        "f2_profit_cagr": F.col("profit_cagr_5y_pct") >= limits.min_profit_cagr_pct,
+        "m1_roe_avg": F.col("m1_roe_avg") >= limits.min_roe_pct,
+        "m3_gm": F.col("m3_gm") >= limits.min_gross_margin_pct,
+        "v1_pe_ttm": F.col("pe_ttm").between(0, limits.max_pe),
+        "v2_pb": F.col("pb").between(0, limits.max_pb),
+    }
+    missed = {name: flag(ok) for name, ok in met.items()}
+    good = ~F.greatest(*missed.values())
+    checks = [F.col(f) for f in flags] + list(missed.values())
+    score = F.round(100.0 * sum((~c).cast("int") for c in checks) / len(checks), 2)
+
+    def named(raised: dict[str, Column]) -> Column:
+        return F.array_join(F.array_compact(F.array(*[F.when(c, F.lit(name)) for name, c in raised.items()])), ",")
+
+    result = F.when(~clean, "PASS").when(good, "CANDIDATE").otherwise("WATCH")
+    first, second = limits.tiers
     return out.select(
-        "ts_code", "trade_date", *flags, "g1_graham", "g3_profit_streak",
+        "ts_code", "trade_date", *flags, "g1_graham", "g2_ey_spread", "g3_profit_streak",
         F.col("revenue_cagr_5y_pct").alias("f1_rev_cagr"), F.col("profit_cagr_5y_pct").alias("f2_profit_cagr"),
-        "m1_roe_avg", "m3_gm", F.col("pe_ttm").alias("v1_pe_ttm"), F.col("pb").alias("v2_pb"), result.alias("result"),
+        "m1_roe_avg", "m2_roic", "m3_gm", F.col("pe_ttm").alias("v1_pe_ttm"), F.col("pb").alias("v2_pb"),
+        score.alias("score_total"),
+        F.when(score >= first, "Tier1").when(score >= second, "Tier2").otherwise("Tier3").alias("tier"),
+        F.when(clean, named(missed)).otherwise(named({f: F.col(f) for f in flags})).alias("reason"), result.alias("result"),
     )
 
 
