@@ -45,6 +45,15 @@ def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def dealt(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The line items by company and year, in one exchange of narrow rows.
+
+    A company has some twenty lines a quarter, spread over all files: sums of one task are hardly fewer than its
+    lines, but five times as wide.  So the lines travel, and every sum by company and year is formed behind them.
+    """
+    return lines(spark, sf_dir).withColumn("y", F.year("d")).repartition("k", "y")
+
+
 def _sum(expr: str) -> Column:
     return F.sum(F.expr(expr))
 
@@ -59,7 +68,7 @@ PROFIT = "cents * (case flag when 'N' then 10 when 'A' then 8 else -12 end)"
 
 def quarter_base(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per company and quarter with traffic: exact flow sums and the conditions of the gaps."""
-    li = lines(spark, sf_dir).withColumns({"y": F.year("d"), "q": F.quarter("d")})
+    li = dealt(spark, sf_dir).withColumn("q", F.quarter("d"))
     base = li.groupBy("k", "y", "q").agg(
         _sum("cents * (100 - disc)").alias("rev"),
         _sum("cents * 100").alias("gross"),
@@ -156,8 +165,7 @@ def forecast(base: DataFrame) -> DataFrame:
 
 
 def year_base(spark: SparkSession, sf_dir: str) -> DataFrame:
-    li = lines(spark, sf_dir).withColumn("y", F.year("d"))
-    base = li.groupBy("k", "y").agg(
+    base = dealt(spark, sf_dir).groupBy("k", "y").agg(
         _sum("cents * 100").alias("assets"),
         _sum("cents * (40 + disc)").alias("liab"),
         _sum("cents * (60 - disc)").alias("equity"),
@@ -256,7 +264,7 @@ def stocks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def daily(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Exact sums per company and ship date."""
-    return lines(spark, sf_dir).groupBy("k", "d").agg(
+    per = dealt(spark, sf_dir).groupBy("k", "y", "d").agg(
         F.sum("cents").alias("c"),
         F.sum("qty").alias("q"),
         _sum("cents * (2 * tax - disc)").alias("earn"),
@@ -264,12 +272,13 @@ def daily(spark: SparkSession, sf_dir: str) -> DataFrame:
         _sum("cents * (100 + tax)").alias("mv"),
         _sum("cents * (tax - disc)").alias("chg"),
     )
+    return per.drop("y").withColumn("ts_code", code_of(F.col("k")))
 
 
 def daily_basic(day: DataFrame) -> DataFrame:
     close = F.col("c").cast("double") / F.col("q").cast("double") / 99.97  # no short decimals, no rounding ties
     return day.select(
-        code_of(F.col("k")).alias("ts_code"),
+        "ts_code",
         F.col("d").alias("trade_date"),
         close.alias("close"),
         (F.col("c").cast("double") * 100 / F.nullif("earn", F.lit(0)).cast("double")).alias("pe_ttm"),
@@ -283,7 +292,7 @@ def daily_basic(day: DataFrame) -> DataFrame:
 def daily_quotes(day: DataFrame) -> DataFrame:
     per_share = F.col("q").cast("double")
     return day.select(
-        code_of(F.col("k")).alias("ts_code"),
+        "ts_code",
         F.col("d").alias("trade_date"),
         (F.col("c").cast("double") / per_share / 99.97).alias("close"),
         (F.col("chg").cast("double") / per_share / 9997.0).alias("change"),
@@ -334,5 +343,5 @@ def tables(spark: SparkSession, sf_dir: str) -> StagedTables:
         "daily_basic": lambda: daily_basic(days()),
         "daily_quotes": lambda: daily_quotes(days()),
         "macro": lambda: macro(spark, sf_dir),
-    })
+    }, views=("daily_basic", "daily_quotes"))
     return out

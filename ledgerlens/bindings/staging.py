@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator, Mapping
+from collections.abc import Callable, Collection, Iterator, Mapping
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -29,18 +29,22 @@ class StagedTables(Mapping[str, DataFrame]):
     A changed source file starts a new set of tables, so nothing stale is read.
 
     Everything downstream then starts from a plain scan: short lineage, real
-    sizes for the join planner, column pruning and pushed filters.
+    sizes for the join planner, column pruning and pushed filters.  ``views`` only compute columns of another
+    stored table, row by row; they are not stored a second time.
     """
 
-    def __init__(self, spark: SparkSession, sf_dir: str, makers: Mapping[str, Callable[[], DataFrame]]):
+    def __init__(self, spark: SparkSession, sf_dir: str, makers: Mapping[str, Callable[[], DataFrame]], views: Collection[str] = ()):
         self.spark = spark
         self.makers = makers
+        self.views = views
         key = (spark.sparkContext.applicationId, sf_dir, source_state(spark, sf_dir))
         if key not in _FOLDERS:
             _FOLDERS[key] = shared_dir(spark, "tables")
         self.folder = _FOLDERS[key]
 
     def __getitem__(self, name: str) -> DataFrame:
+        if name in self.views:
+            return self.makers[name]()
         path = f"{self.folder}/{name}"
         if path not in _WRITTEN:
             self.makers[name]().write.mode("overwrite").parquet(path)

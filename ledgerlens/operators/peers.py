@@ -121,11 +121,14 @@ def measures(inputs: PeerInputs, as_of: Column) -> DataFrame:
         "ts_code", "industry", fiscal_end.alias("period"), "metric", "x", "in_pool", F.lit(True).alias("is_target")
     )
     wanted = own.filter("own_date is not null").select("industry", F.col("own_date").alias("trade_date")).distinct()
+    # dates of a calendar, a few thousand at most: quotes of all other days go before anything is exchanged
+    dates = wanted.select("trade_date").distinct()
     traded = (
         inputs.daily_basic.select("ts_code", "trade_date", V.finite("pe_ttm").alias("pe_ttm"), V.finite("pb").alias("pb"))
         .filter(F.col("trade_date") <= as_of)
+        .join(F.broadcast(dates), "trade_date", "left_semi")
         .join(own, "ts_code")
-        .join(wanted, ["industry", "trade_date"], "left_semi")
+        .join(F.broadcast(wanted), ["industry", "trade_date"], "left_semi")
         .withColumn("is_target", F.col("trade_date") == F.col("own_date"))
     )
     val = _long(traded, VALUATION_METRICS, "ts_code", "industry", "trade_date", "in_pool", "is_target").select(
