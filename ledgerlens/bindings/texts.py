@@ -247,7 +247,7 @@ def _audited(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Results that keep the contract but for one fault, on facts that follow from the scores of their run."""
     r = runs.tables(spark, sf_dir)["expert_results"].withColumnRenamed("conclusion_direction", "dir")
     r = r.select(F.col("run_id").alias("ts_code"), "expert_id", "score", "dir", F.date_format("created_at", "yyyyMMdd").alias("day"), F.pmod("score", F.lit(30)).alias("v"))
-    r = r.join(_run_facts(r).drop("day"), "ts_code")
+    r = r.join(_run_facts(r).drop("day").hint("merge"), "ts_code")
     v = F.col("v")
 
     def line(*parts, when: Column | None = None) -> Column:

@@ -81,10 +81,11 @@ def answers(placed: DataFrame, facts: DataFrame, paths: DataFrame, pages: DataFr
     asked = F.array_distinct(F.array_compact(F.concat(asked, F.transform(asked, size_path), F.transform(asked, series_of))))
     # one probe without a path, so that every document gets its card
     probes = placed.select(*KEYS, F.explode(F.concat(F.array(F.lit("")), asked)).alias("path"))
-    met = probes.join(known_facts(facts, paths), [COMPANY, "path"], "left").where("path = '' or known is not null")
-    met = met.join(cards, COMPANY, "left").select(*KEYS, F.when(F.col("path") != "", F.struct("path", "known")).alias("fact"),
+    # tables with rows for every company look small to the planner in their compressed files; they are sorted, not sent to the driver
+    met = probes.join(known_facts(facts, paths).hint("merge"), [COMPANY, "path"], "left").where("path = '' or known is not null")
+    met = met.join(cards.hint("merge"), COMPANY, "left").select(*KEYS, F.when(F.col("path") != "", F.struct("path", "known")).alias("fact"),
                                                   F.when(F.col("path") == "", F.struct(*cards.drop(COMPANY).columns)).alias("card"))
-    names = pages.select(F.regexp_replace("page", r"\.md$", "").alias("page")).distinct()
+    names = F.broadcast(pages.select(F.regexp_replace("page", r"\.md$", "").alias("page")).distinct())
     read = placed.select(*KEYS, F.explode(logged_pages(F.col("text"))).alias("page")).join(names, "page").select(*KEYS, "page")
     held = Q.held_rows(Q.quote_rows(placed, KEYS), sections, KEYS, COMPANY).select(*KEYS, "row")
     every = met.unionByName(read, allowMissingColumns=True).unionByName(held, allowMissingColumns=True)
@@ -242,7 +243,7 @@ def masks(docs: DataFrame, snapshots: DataFrame, facts: DataFrame, paths: DataFr
     cards = snapshots.select(COMPANY, "data_date", "analysis_date", "batch_id").join(gaps, COMPANY, "full")
     items = D.item_terms(checklist).groupBy("expert_id").agg(F.collect_list(F.struct("item", "terms", "token_groups")).alias("expected"))
     asked = answers(placed, facts, paths, pages, cards, sections)
-    whole = placed.join(asked, list(KEYS)).join(items, "expert_id", "left")
+    whole = placed.join(asked.hint("merge"), list(KEYS)).join(F.broadcast(items), "expert_id", "left")
     whole = whole.withColumn("expected", F.coalesce("expected", F.array().cast(items.schema["expected"].dataType)))
     # each step a column of its own, so that nothing is searched twice
     tags = F.flatten(F.transform("lines", lambda x: F.when(x.contains("["), F.regexp_extract_all(x, F.lit(K.CALC_TAG), F.lit(1))).otherwise(F.array().cast("array<string>"))))

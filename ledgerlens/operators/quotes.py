@@ -77,11 +77,11 @@ def held_rows(quotes: DataFrame, sections: DataFrame, keys: Sequence[str], compa
     asked = quotes.select(*where).distinct()
     place = [*where, "section_name", "part"]
     # rows of one name are parts of their own
-    located = named.join(asked, where, "left_semi").withColumn("part", F.xxhash64("section_text"))
+    located = named.join(asked.hint("merge"), where, "left_semi").withColumn("part", F.xxhash64("section_text"))
     posted = postings(located, place)
     wanted = quotes.select(*spot, "row", *[c for c in where if c not in spot], "section", F.posexplode("chunks").alias("nth", "chunk"))
     wanted = wanted.select("*", F.size(anchors(F.col("chunk"))).alias("needed"), F.inline(anchors(F.col("chunk")))).drop("chunk")
-    hits = wanted.join(posted, [*where, "anchor"]).where(F.col("section_name").contains(F.col("section")))
+    hits = wanted.join(posted.hint("merge"), [*where, "anchor"]).where(F.col("section_name").contains(F.col("section")))
     begins = hits.withColumn("start", F.col("place") - F.col("offset"))
     one = [*spot, "row", "nth", *[c for c in place if c not in spot], "start"]
     agree = begins.groupBy(*one, "needed").agg(F.count_distinct("offset").alias("met"))
