@@ -210,15 +210,16 @@ def number_checks(judged: DataFrame) -> DataFrame:
     line = line.select(*KEYS, "mask", (F.col("at") + 1).alias("line"), "z.raw_line", L.strip(F.col("z.raw_line")).alias("stripped"), F.concat("z.cited", shaped).alias("here"), "known")
     # of the facts, a line takes along those that it cites
     near = F.when(F.size("here") > 0, F.map_filter("known", lambda k, v: F.array_contains("here", k)))
-    line = line.withColumn("known", near).drop("here")
-    rows = L.in_context(line, KEYS)
-    # the first entry stands for the line itself, so that no document is lost
+    line = line.withColumn("known", near).drop("here", "raw_line")
+    # the first line stands for the document, so that none is lost; of the others only those with numbers go on
+    first = F.col("line") == 1
+    rows = L.in_context(line, KEYS).where(first | K.holds_numbers())
     seen = rows.withColumn("numbers", K.scanned(F.when(K.holds_numbers(), F.col("stripped"))))
-    itself = F.array(F.lit(None).cast(K.TOKENS.elementType))
+    itself = F.when(first, F.array(F.lit(None).cast(K.TOKENS.elementType))).otherwise(F.array().cast(K.TOKENS))
     found = K.with_category(seen.withColumn("t", F.explode(F.concat(itself, "numbers"))))
     columns = [F.col(f"t.{c}").alias(c) for c in ("value", "unit", "raw", "sources", "formulas", "local_prefix")]
     counts = F.coalesce(F.col("t").isNotNull() & F.col("is_claim") & (F.col("category") == "data"), F.lit(False))
-    checked = traced(found.select(*KEYS, "mask", "known", counts.alias("data"), *columns))
+    checked = traced(found.where(counts | F.col("t").isNull()).select(*KEYS, "mask", "known", counts.alias("data"), *columns))
     is_traced = F.coalesce(F.size("carried"), F.lit(0)) > 0
     per = checked.groupBy(*KEYS).agg(
         F.max("mask").alias("mask"), F.count_if("data").alias("data_numbers"), F.count_if(F.col("data") & is_traced).alias("traced"),

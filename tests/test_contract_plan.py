@@ -12,3 +12,9 @@ def test_only_short_lists_are_broadcast(spark):
     plan = texts.contract_audit(spark, SF)._jdf.queryExecution().executedPlan().toString()
     joins = re.findall(r"BroadcastHashJoin \[(\w+)#", plan)
     assert sorted(joins) == ["expert_id", "page"], joins
+
+
+def test_lines_without_numbers_end_behind_their_context(spark):
+    """Only the first line of a document and lines with numbers reach the scan and the label patterns."""
+    plan = texts.contract_audit(spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert re.search(r"Filter \(\(line#\d+ = 1\) OR", plan)
