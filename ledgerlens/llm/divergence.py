@@ -3,7 +3,9 @@
 Terms are runs of ASCII letters and of characters beyond ASCII, A to Z in lower case; null text, lang and source
 count as ''.  One ``CountVectorizer`` with ``minDF`` and the largest integer as ``vocabSize`` learns the vocabularies
 of all languages in one pass: each term carries its document's language, so document frequencies and entries are
-those of the language, however many languages there are.  The exact sparse document vectors are summed by source.
+those of the language, however many languages there are; the fit sees each term of a document once.  The exact sparse
+vectors are summed by source; documents of one source that a task reads one after the other are one bag of terms, whose
+vector is the sum of theirs, so fewer entries are summed.
 With V kept terms in the language and N occurrences of them in the group, a term that the group uses n times weighs
 
     p = 1 + floor(1e9 * (n + 2) / (N + 2 V)),      f(p, q) = floor((p - q)^2 / (p + q))
@@ -23,11 +25,12 @@ model itself, as ``CountVectorizer`` does it; it grows with the distinct words o
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
 from urllib.parse import quote
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.ml.feature import CountVectorizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -39,24 +42,57 @@ TOP = 10
 SCALE = 1_000_000_000
 TERM_BLOCK = 2048
 SOURCE_BLOCK = 128
+BAG_BYTES = 8_000_000  # of terms that a task holds at a time
 MARK = b"\x1f"  # stands between language and term; no term holds it
 BLANKS = bytes(x if x >= 0x80 or chr(x).isalpha() else 0x20 for x in range(256))
 
 
-def labelled_terms(docs: DataFrame) -> DataFrame:
-    """source and the terms of each document, each term behind its language; '' for a document without terms."""
+def labelled_terms(docs: DataFrame, bags: bool = False) -> DataFrame:
+    """source and terms, each term behind its language; '' where there are none.
+
+    A row is a document with each of its terms once; with ``bags`` it is some documents of one language and source
+    that a task read one after the other, with all their terms.
+    """
     importable()
 
-    @F.pandas_udf("string")
-    def marked(langs: pd.Series, texts: pd.Series) -> pd.Series:
-        before = {lang: quote(lang, safe="").encode() + MARK for lang in langs.unique()}  # no blank within
-        out = []
-        for lang, text in zip(langs, texts, strict=True):
-            words = text.encode().lower().translate(BLANKS).split()  # bytes: only A-Z change
-            out.append((before[lang] + (b" " + before[lang]).join(words)).decode() if words else "")
-        return pd.Series(out, dtype=object)
-    lang, source, text = (F.coalesce(F.col(c).cast("string"), F.lit("")) for c in ("lang", "source", "text"))
-    return docs.select(source.alias("source"), F.split(marked(lang, text), " ").alias("terms"))
+    def found(batch: pa.RecordBatch) -> Iterator[tuple[str, str, list[bytes]]]:
+        for lang, source, text in zip(*(batch[c].to_pylist() for c in ("lang", "source", "text")), strict=True):
+            yield lang, source, text.encode().lower().translate(BLANKS).split()  # bytes: only A-Z change
+
+    def packed(sources: list[str], langs: list[str], words: list[bytes]) -> pa.RecordBatch:
+        before = {lang: quote(lang, safe="").encode() + MARK for lang in set(langs)}  # no blank within
+        marked = [before[lang] + x.replace(b" ", b" " + before[lang]) if x else x for lang, x in zip(langs, words, strict=True)]
+        terms = pc.split_pattern(pa.array(marked, pa.binary()).cast(pa.string()), " ")
+        return pa.RecordBatch.from_arrays([pa.array(sources, pa.string()), terms], ["source", "terms"])
+
+    def single(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = [(source, lang, b" ".join(set(words))) for lang, source, words in found(batch)]
+            yield packed(*([x[k] for x in rows] for k in range(3)))
+
+    def together(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[tuple[str, str], list[bytes]] = {}
+        size = 0
+
+        def flush() -> pa.RecordBatch:
+            names = list(held)
+            out = packed([source for _, source in names], [lang for lang, _ in names], [b" ".join(held[x]) for x in names])
+            held.clear()
+            return out
+
+        for batch in batches:
+            for lang, source, words in found(batch):
+                if words:
+                    held.setdefault((lang, source), []).append(b" ".join(words))
+                    size += len(held[lang, source][-1])
+                if size >= BAG_BYTES:
+                    yield flush()
+                    size = 0
+        if held:
+            yield flush()
+
+    columns = (F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in ("lang", "source", "text"))
+    return docs.select(*columns).mapInArrow(together if bags else single, "source string, terms array<string>")
 
 
 def weight(n: Column, total: Column, kept: Column) -> Column:
@@ -82,7 +118,7 @@ def source_counts(docs: DataFrame, min_docs: int = MIN_DOCS) -> tuple[DataFrame,
     lang, term = (F.substring_index("entry", MARK.decode(), k) for k in (1, -1))
     kept = (spark.read.parquet(f"{saved}/data").select(F.posexplode("vocabulary").alias("place", "entry")).where("entry <> ''")
             .select(F.url_decode(lang).alias("lang"), "place", term.alias("term")))
-    vectors = model.transform(terms).select("source", F.unwrap_udt("vector").alias("v"))
+    vectors = model.transform(labelled_terms(docs, bags=True)).select("source", F.unwrap_udt("vector").alias("v"))
     entries = vectors.select("source", F.inline(F.arrays_zip(F.col("v.indices").alias("place"), F.col("v.values").alias("n"))))
     sums = entries.groupBy("source", "place").agg(F.sum(F.col("n").cast("long")).alias("n"))  # one language per place
     return materialize(sums.join(kept, "place").select("lang", "source", "place", "term", "n"), "source-counts"), kept

@@ -3,6 +3,7 @@
 import random
 import re
 from collections import Counter
+from urllib.parse import quote
 
 import numpy as np
 import pytest
@@ -65,6 +66,24 @@ def test_divergence(spark, monkeypatch, blocks):
     assert dict(found.dtypes)["value"] == "bigint" and dict(found.dtypes)["rank"] == "int"
 
 
+@pytest.mark.parametrize("held", [1, 200, 8_000_000])
+def test_divergence_bags(spark, monkeypatch, held):
+    """Bags of any size hold every term as often as its documents; the fit has it once per document."""
+    monkeypatch.setattr(divergence, "BAG_BYTES", held)
+    rows = some_docs()
+    docs = frame(spark, rows).coalesce(1)
+    single = divergence.labelled_terms(docs).collect()
+    assert len(single) == len(rows) and all(len(set(r.terms)) == len(r.terms) for r in single)
+    bags = divergence.labelled_terms(docs, bags=True).collect()
+    said = Counter((r.source, t) for r in bags for t in r.terms)
+    words = [(lang or "", source or "", re.findall(r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+", lower(t))) for _, t, lang, source in rows]
+    assert said == Counter((s, quote(lang, safe="") + "\x1f" + w) for lang, s, ws in words for w in ws)
+    if held > 1000:
+        assert len(bags) == len({(lang, s) for lang, s, ws in words if ws})
+    if held == 200:
+        assert sorted(map(tuple, divergence.audit(docs, min_docs=3, top=4).collect())) == brute_divergence(rows, 3, 4)
+
+
 def test_divergence_without_terms(spark):
     rows = [(1, "a b", "en", "s"), (2, "c", "en", "t"), (3, None, "de", "s")]
     assert sorted(map(tuple, divergence.audit(frame(spark, rows)).collect())) == [("en", "s", "pair", "t", 0, 1), ("en", "t", "pair", "s", 0, 1)]
