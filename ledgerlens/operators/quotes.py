@@ -1,10 +1,12 @@
-"""Quoted passages of analyst results, found in report sections through postings of six-character anchors.
+"""Quoted passages of analyst results, found in report sections.
 
 A quote stands in a section if its characters, punctuation and blanks left out, stand there one after the
-other.  So it is cut into anchors of ``WIDTH`` characters, the last one flush with its end; sections that some
-locator names are posted as (anchor, place).  Anchors of one quote that agree on where it would begin, all of
-them, are the quote: postings and anchors meet by equality, nothing but anchors travels, and no section's text is ever
-joined to a quoting line.
+other.  The distinct passages that results look for in one report of one company are put together first, and
+each of its sections is searched for them once; no section's text is joined to a quoting line.
+
+A report that is asked for more than ``MANY`` passages is searched in time that does not follow their number: a passage
+is cut into anchors of ``WIDTH`` characters, the last one flush with its end, and sections are posted as (anchor, place).
+Anchors of one passage that agree on where it would begin, all of them, are the passage: postings and anchors meet by equality.
 """
 
 from __future__ import annotations
@@ -21,6 +23,7 @@ NARRATIVE = "## 叙事–数据交叉验证"  # fixed value
 LOCATOR = r"年报:(\d{4})/([^|`；、\s/]+)/([^|`；、\s）)]+)"
 NOT_WORD = r"[^\w一-鿿]"
 WIDTH = 6
+MANY = 100
 
 
 def bare(text: Column) -> Column:
@@ -66,26 +69,40 @@ def anchors(chunk: Column) -> Column:
     return F.transform(steps, lambda o: F.struct(o.alias("offset"), F.substring(chunk, o + 1, F.lit(WIDTH)).alias("anchor")))
 
 
-def held_rows(quotes: DataFrame, sections: DataFrame, keys: Sequence[str], company: str = "ts_code") -> DataFrame:
+def held_rows(quotes: DataFrame, sections: DataFrame, keys: Sequence[str], company: str = "ts_code", many: int | None = None) -> DataFrame:
     """(keys, row) of the narrative rows of which a passage stands in a section that the locator names.
 
     The section name only has to contain the located name.
     """
+    many = MANY if many is None else many
     where = [company, "year", "kind"]
     spot = list(dict.fromkeys([*keys, company]))
     named = sections.select(company, F.col("report_year").cast("string").alias("year"), F.col("report_type").alias("kind"), "section_name", "section_text")
-    asked = quotes.select(*where).distinct()
-    place = [*where, "section_name", "part"]
+    said = quotes.select(*spot, "row", *[c for c in where if c not in spot], "section", F.explode("chunks").alias("chunk"))
+    asked = said.groupBy(*where).agg(F.collect_set(F.struct("section", "chunk")).alias("asked"))
+
+    few = named.join(asked.where(F.size("asked") <= many).hint("merge"), where)
+    # an array of one, so that the text is stripped once and not for each passage
+    stands = F.flatten(F.transform(F.array(bare(F.col("section_text"))), lambda body: F.filter(
+        "asked", lambda a: F.col("section_name").contains(a["section"]) & body.contains(a["chunk"]))))
+    found = few.select(*where, F.inline(stands)).distinct()
+    held = said.join(found.hint("merge"), [*where, "section", "chunk"], "left_semi").select(*keys, "row")
+
+    crowded = asked.where(F.size("asked") > many).select(*where).hint("merge")
+    return held.unionByName(_held_by_anchors(said.join(crowded, where, "left_semi"), named.join(crowded, where, "left_semi"), keys, where)).distinct()
+
+
+def _held_by_anchors(said: DataFrame, located: DataFrame, keys: Sequence[str], where: Sequence[str]) -> DataFrame:
+    """The same through postings of the sections."""
     # rows of one name are parts of their own
-    located = named.join(asked.hint("merge"), where, "left_semi").withColumn("part", F.xxhash64("section_text"))
-    posted = postings(located, place)
-    wanted = quotes.select(*spot, "row", *[c for c in where if c not in spot], "section", F.posexplode("chunks").alias("nth", "chunk"))
-    wanted = wanted.select("*", F.size(anchors(F.col("chunk"))).alias("needed"), F.inline(anchors(F.col("chunk")))).drop("chunk")
+    place = [*where, "section_name", "part"]
+    posted = postings(located.withColumn("part", F.xxhash64("section_text")), place)
+    wanted = said.select("*", F.size(anchors(F.col("chunk"))).alias("needed"), F.inline(anchors(F.col("chunk"))))
     hits = wanted.join(posted.hint("merge"), [*where, "anchor"]).where(F.col("section_name").contains(F.col("section")))
     begins = hits.withColumn("start", F.col("place") - F.col("offset"))
-    one = [*spot, "row", "nth", *[c for c in place if c not in spot], "start"]
+    one = list(dict.fromkeys([*keys, "row", "chunk", *place, "start"]))
     agree = begins.groupBy(*one, "needed").agg(F.count_distinct("offset").alias("met"))
-    return agree.where(F.col("met") == F.col("needed")).select(*keys, "row").distinct()
+    return agree.where(F.col("met") == F.col("needed")).select(*keys, "row")
 
 
 def verified_rows(text: Column, quoted: Column, known: Callable[[Column], Column]) -> Column:

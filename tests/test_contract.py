@@ -2,6 +2,7 @@
 
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from ledgerlens.operators import claims as K
@@ -69,3 +70,30 @@ def test_quotes_like_a_plain_search(spark):
     got = {r.id for r in Q.held_rows(df, sections, ["id"]).collect()}
     want = {q[0] for q in quotes if any(c == q[1] and q[6] in f"s{i}x" and any(x in t for x in q[3]) for i, (c, t) in enumerate(zip("AABBCC", clean)))}
     assert got == want and want
+
+
+@pytest.mark.parametrize("many", [0, 1, 100])
+def test_quotes_found_at_once_and_by_anchors(spark, many):
+    """Reports asked for few passages are searched whole, others by anchors; both find the same."""
+    body = "甲乙丙丁，戊己庚辛壬癸子丑寅卯"
+    sections = spark.createDataFrame([("A", 2024, "annual", "第一节 概况", body), ("A", 2024, "annual", "第二节 概况", None), ("B", 2024, "annual", "概况", body)], SECTIONS)
+    asked = [(0, "A", ["丙丁戊己庚辛"], "概况"), (1, "A", ["丙丁戊己庚子"], "概况"), (2, "A", ["丙丁戊己庚子", "庚辛壬癸子丑寅卯"], "第一节"),
+             (3, "A", ["丙丁戊己庚辛"], "第二节"), (4, "B", ["丙丁戊己庚辛"], "概况"), (5, "C", ["丙丁戊己庚辛"], "概况")]
+    df = spark.createDataFrame([(i, c, 1, q, "2024", "annual", s) for i, c, q, s in asked], "id long, ts_code string, row int, chunks array<string>, year string, kind string, section string")
+    assert sorted(r.id for r in Q.held_rows(df, sections, ["id"], many=many).collect()) == [0, 2, 4]
+
+
+def test_few_quotes_post_no_section(spark):
+    """A report that is asked for few passages is not taken apart into anchors."""
+    sections = spark.createDataFrame([("A", 2024, "annual", "概况", "甲乙丙丁戊己庚辛" * 500)], SECTIONS)
+    df = spark.createDataFrame([(1, "A", 1, ["丙丁戊己庚辛"], "2024", "annual", "概况")], "id long, ts_code string, row int, chunks array<string>, year string, kind string, section string")
+    found = Q.held_rows(df, sections, ["id"])
+    assert found.count() == 1
+    posted = []
+    step = Q.postings
+    try:
+        Q.postings = lambda rows, *more: posted.append(rows) or step(rows, *more)
+        Q.held_rows(df, sections, ["id"]).collect()
+    finally:
+        Q.postings = step
+    assert [rows.count() for rows in posted] == [0]
