@@ -81,15 +81,18 @@ _RESULT_LINES = [
 _RESULT_TEXT = f"concat_ws(chr(10), {', '.join(_RESULT_LINES)})"
 
 
-def _write_results(spark: SparkSession, sf_dir: str) -> DataFrame:
-    r = runs.tables(spark, sf_dir)["expert_results"].withColumnsRenamed({"conclusion_direction": "dir"})
-    r = r.withColumn("day", F.date_format("created_at", "yyyyMMdd"))
-    return r.select(F.col("run_id").alias("ts_code"), "expert_id", F.expr(_RESULT_TEXT).alias("text"), "industry", "day")
+#: Results of one task.  A few bytes of a score make a long text, so tasks are cut by rows, not by the bytes of a file.
+RESULTS_A_TASK = 5_000
 
 
 def results(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One analyst result document per run and role; the run id stands for the company code."""
-    return StagedTables(spark, sf_dir, {"results": lambda: _write_results(spark, sf_dir)})["results"]
+    """One analyst result document per run and role; the run id stands for the company code.
+
+    Runs are dealt as narrow rows and the texts are made behind the exchange, so what follows by run or by document stays in the task.
+    """
+    r = runs.tables(spark, sf_dir)["expert_results"].withColumnsRenamed({"conclusion_direction": "dir"})
+    r = r.repartition(max(1, -(-r.count() // RESULTS_A_TASK)), "run_id").withColumn("day", F.date_format("created_at", "yyyyMMdd"))
+    return r.select(F.col("run_id").alias("ts_code"), "expert_id", F.expr(_RESULT_TEXT).alias("text"), "industry", "day")
 
 
 block("rd", f"SELECT *, {_RESULT_TEXT} AS text FROM (SELECT *, strftime(created_at, '%Y%m%d') AS day FROM res)", "res")

@@ -97,3 +97,13 @@ def test_few_quotes_post_no_section(spark):
     finally:
         Q.postings = step
     assert [rows.count() for rows in posted] == [0]
+
+
+def test_pages_that_exist_count_once(spark):
+    log = "## 知识检索日志\n| # | 页面 |\n|---|---|\n| 1 | `a` |\n| 2 | wiki:a.md |\n| 3 | b |\n| x | c |\n| 4 | none |\n## 其他\n| 5 | c |"
+    docs = spark.createDataFrame([("A", "m", log), ("A", "n", "## 其他"), ("B", "m", None)], "ts_code string, expert_id string, text string")
+    pages = spark.createDataFrame([("a.md",), ("a",), ("b",), ("c",)], "page string")
+    found = D.knowledge_rows(docs, pages, ["ts_code", "expert_id"])
+    assert sorted(map(tuple, found.collect())) == [("A", "m", 2), ("A", "n", 0), ("B", "m", 0)]
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join") == 1 and "count(distinct" not in plan
