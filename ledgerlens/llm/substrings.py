@@ -33,7 +33,8 @@ from ledgerlens.llm.exchange import ask
 LEAST = 128
 WINDOW = 16
 CUT_BITS = 4
-BLOCK_BYTES = 8_000_000
+#: A worker holds about ten times its block: bytes, chunks and their digests in several orders.
+BLOCK_BYTES = 4_000_000
 BUCKET_BYTES = 16_000_000
 SPANS = T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())]))
 LAST_ID = (1 << 63) - 1
@@ -56,25 +57,25 @@ def cuts(data: bytes) -> np.ndarray:
     return np.concatenate([[0], inner, [len(data)]])
 
 
-def chunks(data: bytes, least: int) -> tuple[np.ndarray, np.ndarray, list[int]]:
+def chunks(data: bytes, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Starts, ends and digests of the overlapping chunks of a text."""
     if len(data) < least:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64), []
+        return np.zeros(0, np.int32), np.zeros(0, np.int32), np.zeros(0, np.uint64)
     at = cuts(data)
     ends = np.searchsorted(at, at + least)
     whole = ends < len(at)
-    starts, ends = at[whole], at[ends[whole]]
+    starts, ends = at[whole].astype(np.int32), at[ends[whole]].astype(np.int32)
     digest = xxhash.xxh3_64_intdigest
-    return starts, ends, [digest(data[a:b]) for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
+    each = (digest(data[a:b]) for a, b in zip(starts.tolist(), ends.tolist(), strict=True))
+    return starts, ends, np.fromiter(each, np.uint64, len(starts))
 
 
 def block_chunks(texts: list[str | None], least: int) -> tuple[list[bytes], np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Bytes of the texts of a block; text, start, end and digest of each chunk."""
     data = [(t or "").encode() for t in texts]
     found = [chunks(d, least) for d in data]
-    of = np.repeat(np.arange(len(data)), [len(x[2]) for x in found])
-    return (data, of, np.concatenate([x[0] for x in found]), np.concatenate([x[1] for x in found]),
-            np.fromiter((h for x in found for h in x[2]), np.uint64, len(of)))
+    of = np.repeat(np.arange(len(data), dtype=np.int32), [len(x[2]) for x in found])
+    return (data, of, *(np.concatenate([x[k] for x in found]) for k in range(3)))
 
 
 def rest(data: bytes, spans: list[tuple[int, int]]) -> str:

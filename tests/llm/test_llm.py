@@ -4,6 +4,7 @@ import hashlib
 import json
 import math
 import random
+import tracemalloc
 import zlib
 from collections import Counter
 from itertools import combinations
@@ -452,6 +453,15 @@ def test_what_goes_is_whole_characters(text, seed):
     substrings.rest(data, spans)  # decodes
 
 
+def test_a_block_of_chunks_is_small():
+    texts = [words(i, 2000) for i in range(substrings.BLOCK_BYTES // len(words(0, 2000).encode()))]
+    tracemalloc.start()
+    substrings.block_chunks(texts, substrings.LEAST)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 24_000_000
+
+
 def test_cuts_move_with_insertions():
     a = words(1, 300).encode()
     b = words(2, 7).encode() + a
