@@ -442,13 +442,17 @@ def without_copies(docs: DataFrame, size: int, threshold: int) -> DataFrame:
     def maybe(ids: pd.Series) -> pd.Series:
         return pd.Series(sieve.may_hold(ids.fillna(0).to_numpy().astype(np.int64)) | ids.isna().to_numpy())
 
-    @F.pandas_udf("binary")
-    def node(values: pd.Series) -> pd.Series:
-        return pd.Series([node_of(s) if len(s) else None for t in values for s in shingle_sets([t], size)], dtype="object")
+    @F.pandas_udf("held boolean, set binary")
+    def asked_set(ids: pd.Series, values: pd.Series) -> pd.DataFrame:
+        """Whether a row's id is held and, where it is, its set: one worker of a task does both."""
+        held = sieve.may_hold(ids.fillna(0).to_numpy().astype(np.int64)) | ids.isna().to_numpy()
+        sets = [next((node_of(s) for s in shingle_sets([t], size) if len(s)), None) if h else None for h, t in zip(held, values, strict=True)]
+        return pd.DataFrame({"held": held, "set": pd.Series(sets, dtype="object")})
 
     named = docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").cast("long").alias("id"))
     held = maybe(F.col("id"))
-    asked = named.where(held).withColumn("set", node(F.coalesce("row.text", F.lit(""))))
+    both = asked_set.asNondeterministic()(F.col("id"), F.coalesce("row.text", F.lit("")))  # so that no plan evaluates it twice
+    asked = named.withColumn("asked", both).where("asked.held").select("row", "id", F.col("asked.set").alias("set"))
     told = asked.join(judged, F.col("id").eqNullSafe(F.col("doc_id")) & (F.col("set") == F.col("node")), "left")
     told = materialize(told.where(F.coalesce("stays", F.lit(True))).select("row", "id", "set", F.col("stays").isNotNull().alias("repeated")), "held")
     one = told.where("repeated").groupBy("id", "set").agg(F.min_by("row", F.col("row.text")).alias("row"))

@@ -636,3 +636,20 @@ def test_ids_part_words_like_the_library():
     for _ in range(4000):
         text = "".join(rng.choice(marks) for _ in range(rng.randint(1, 14)))
         assert token_ids.encode(path, text, 0)[:-1].tolist() == library.encode(text, add_special_tokens=False).ids, repr(text)
+
+
+def test_one_worker_of_a_task_finds_the_near_copies(spark, monkeypatch):
+    """The rows that may be copies are picked and their sets formed by one Python function: two took two workers of each task."""
+    plans = {}
+    stored = jaccard.materialize
+
+    def noted(df, purpose):
+        plans[purpose] = df._jdf.queryExecution().executedPlan().toString()
+        return stored(df, purpose)
+
+    monkeypatch.setattr(jaccard, "materialize", noted)
+    text = " ".join(f"word{i}" for i in range(30))
+    docs = spark.createDataFrame([(1, text), (2, text), (2, text), (3, None), (None, text + " more"), (4, "alone it stands here now")], "doc_id long, text string")
+    out = jaccard.without_copies(docs, 5, 80).collect()
+    assert sorted((r.doc_id is None, r.doc_id, r.text is None) for r in out) == [(False, 1, False), (False, 3, True), (False, 4, False)]
+    assert plans["held"].count("ArrowEvalPython") == 1
