@@ -126,4 +126,4 @@ def json_facts(documents: DataFrame, keys: tuple[str, ...], text: str = "json")
 
 def json_paths(documents: DataFrame, keys: tuple[str, ...], text: str = "json") -> DataFrame:
     """Every node of a JSON text below the outermost one, containers and text included; repeated keys count once."""
-    return jsonwalk.nodes(documents, keys, text).where("path <> ''").select(*keys, "path").distinct()
+    return jsonwalk.paths(documents, keys, text)

@@ -192,6 +192,29 @@ def test_nodes_of_json_are_those_of_its_parsed_form(spark):
     assert {r.path for r in snapshot.json_paths(df.where("ts_code = 'B'"), ("ts_code",)).collect()} == {"?"}
 
 
+def test_paths_of_json_are_told_apart_where_they_are_walked(spark, monkeypatch):
+    """Rows that share keys (also none), keys that an object repeats, paths that keys with dots make equal, short and long texts."""
+    monkeypatch.setattr(jsonwalk, "SHORT_CHARS", 40)
+    rows = [("A", '{"a": 1, "a": {"b": 2}, "a.b": 3}'), ("B", '{"x": [1, 2]}'), ("B", '{"x": [1], "y": 2}'), (None, '{"n": 1}'), (None, '{"n": 2, "m": 3}'),
+            ("C", '{"k": "' + "long " * 20 + '", "k": 1}'), ("D", None), ("E", "{"), ("F", "7")]
+    df = spark.createDataFrame(rows, "ts_code string, json string")
+    out = snapshot.json_paths(df, ("ts_code",))
+    assert sorted((r.ts_code or "", r.path) for r in out.collect()) == [
+        ("", "m"), ("", "n"), ("A", "a"), ("A", "a.b"), ("B", "x"), ("B", "x[0]"), ("B", "x[1]"), ("B", "y"), ("C", "k")]
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.startswith("Union")  # no exchange of all paths
+
+
+def test_parsed_json_is_told_like_walked_json(monkeypatch):
+    texts = ['{"a":[' * 700 + "7,8" + "]}" * 700, '{"":{"":1,"b":[]},"a":{},"a":-0}', '[1E400, "\\ud800", {"\\ud800": null}]', "[" * 20_000 + "]" * 20_000, "[NaN]", "[1]x"]
+    told = [list(jsonwalk.found(x, ("number", "null"))) for x in texts]
+    assert len(told[0]) == 1400 // 700 and not told[4] and not told[5]
+    monkeypatch.setattr(jsonwalk, "OPEN_CHARS", 1000)
+    assert repr([list(jsonwalk.found(x, ("number", "null"))) for x in texts]) == repr(told)
+    monkeypatch.setattr(jsonwalk, "WHOLE_CHARS", 0)
+    assert repr([list(jsonwalk.found(x, ("number", "null"))) for x in texts]) == repr(told)
+
+
 def test_json_is_strict_at_any_depth(spark, tmp_path):
     nan = float("nan")
     df = spark.createDataFrame([("A", (nan, [float("inf"), 1.0], {"k": nan}))], "ts_code string, s struct<x:double,a:array<double>,m:map<string,double>>")
