@@ -29,15 +29,20 @@ def code_of(key: Column) -> Column:
     return F.concat(symbol, F.lit("."), exchange)
 
 
+def _whole(v: Column) -> Column:
+    """The nearest whole number, halves away from zero: ``round`` writes every double out as a decimal first."""
+    return F.when(v < 0, -F.floor(F.lit(0.5) - v)).otherwise(F.floor(v + 0.5))
+
+
 def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Line items with money in cents and rates in whole percent."""
     li = raw(spark, sf_dir, "lineitem")
     return li.select(
         F.col("l_suppkey").alias("k"),
         F.to_date("l_shipdate").alias("d"),
-        F.round(F.col("l_extendedprice") * 100).cast("bigint").alias("cents"),
-        F.round(F.col("l_discount") * 100).cast("bigint").alias("disc"),
-        F.round(F.col("l_tax") * 100).cast("bigint").alias("tax"),
+        _whole(F.col("l_extendedprice") * 100).alias("cents"),
+        _whole(F.col("l_discount") * 100).alias("disc"),
+        _whole(F.col("l_tax") * 100).alias("tax"),
         F.col("l_quantity").cast("bigint").alias("qty"),
         F.col("l_linenumber").alias("ln"),
         F.col("l_returnflag").alias("flag"),

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -193,12 +194,12 @@ def money_gap_band(gap: Column | str) -> Column:
 def infer_unit(path: Column | str) -> Column:
     """Unit a fact carries, read from its path."""
     p = F.lower(_c(path))
-    leaf = F.regexp_replace(p, r"^.*\.", "")
+    leaf = F.substring_index(p, ".", -1)
     return (
         F.when(leaf.isin("count", "period_count", "quarter") | leaf.endswith("_count"), "")
         .when(p.contains("_yi"), "亿")
         .when(p.contains("_wan"), "万")
-        .when(p.rlike("pct|margin|cagr|rate"), "%")
+        .when(reduce(or_, [p.contains(x) for x in ("pct", "margin", "cagr", "rate")]), "%")
         .otherwise("")
     )
 

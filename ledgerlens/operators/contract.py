@@ -58,7 +58,7 @@ def known_facts(facts: DataFrame, paths: DataFrame) -> DataFrame:
     def known(df: DataFrame, path: Column, *parts: Column) -> DataFrame:
         return df.select(COMPANY, path.alias("path"), F.struct(*parts).cast(KNOWN).alias("known"))
     no = F.lit(None)
-    single = known(K.with_sample_check(facts, [COMPANY]), F.col("path"), F.lit(True), F.col("value"), F.col("unit"), F.col("enough"))
+    single = known(K.with_sample_check(facts, facts, [COMPANY]), F.col("path"), F.lit(True), F.col("value"), F.col("unit"), F.col("enough"))
     bare = known(paths, F.col("path"), F.lit(False), no, no, F.lit(False))
     indexed = facts.where(F.col("path").rlike(r"\[\d+\]")).groupBy(COMPANY, series_of(F.col("path")).alias("path")).agg(F.count(F.lit(1)).alias("n"))
     series = known(indexed, F.col("path"), F.lit(False), F.col("n"), no, F.lit(False))

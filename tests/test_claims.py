@@ -133,6 +133,20 @@ def flagged(spark, line, pairs):
     return [r.label for r in C.unsupported_assertions(docs, fact_rows(spark, pairs), ["ts_code"]).collect()]
 
 
+def test_facts_are_told_from_each_other_before_they_are_joined(spark):
+    """Only counts of peers meet the sample check, only history meets statements about history."""
+    pairs = [("industry.industry_stats.roe_pct.median", 9), ("industry.industry_stats.roe_pct.count", 4), ("market.close", 3)]
+    known = fact_rows(spark, pairs)
+    text = "行业平均 ROE 9% [source: industry.industry_stats.roe_pct.median]\n营收创历史新高 [source: annual.rows[0].revenue_yi]"
+    traced = C.trace(found(spark, text), known, ["ts_code"])
+    loose = C.unsupported_assertions(spark.createDataFrame([("A", text)], "ts_code string, text string"), known, ["ts_code"])
+    assert [r.trace_status for r in traced.collect()] == ["UNTRACED"]
+    assert sorted(r.label for r in loose.collect()) == ["history", "industry"]
+    for out in (traced, loose):
+        assert "StartsWith(path" in (plan := out._jdf.queryExecution().optimizedPlan().toString()), plan
+    assert "metric" not in loose._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_unsupported_assertions(spark):
     path = "industry.industry_stats.gross_margin_pct"
     line = f"行业平均毛利率可参考中位数 [source: {path}.median]"

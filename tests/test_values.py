@@ -82,3 +82,13 @@ def test_display_precision(spark):
 
 def test_cjk(spark):
     assert one(spark, V.cjk_count("a"), a="中文ab，12字") == 3
+
+
+def test_whole_cents_are_those_of_round(spark):
+    from pyspark.sql import functions as F
+
+    from ledgerlens.bindings import proxy
+
+    df = spark.createDataFrame([(x,) for x in (0.0, 0.07, 1.15, 12345.67, 90049.99, -0.07, -901.25, 0.005, -0.005, 2.5, None)], "x double")
+    one = df.select(proxy._whole(F.col("x") * 100).alias("got"), F.round(F.col("x") * 100).cast("bigint").alias("want"))
+    assert one.schema["got"].dataType == one.schema["want"].dataType and all(r.got == r.want for r in one.collect())
