@@ -154,7 +154,7 @@ def embedded_once(spark, sf_dir):
     body = F.when(F.col("fm_conclusion_direction") == "NEUTRAL", F.concat(F.lit("<!-- "), "text", F.lit(" -->"))).when(
         F.col("fm_verdict") == "VETO", F.concat("text", F.lit("\n"), "text")).otherwise(F.col("text"))
     draft = D.assemble(f.select("ts_code", "expert_id", body.alias("body")), ["ts_code"], ["expert_id"], text="body")
-    out = I.embedded_once(draft, r.withColumnRenamed("text", "part"), ["ts_code"])
+    out = I.embedded_once(draft, r.withColumnRenamed("text", "part"), ["ts_code"], carry=["expert_id"])
     return out.select("ts_code", "expert_id", F.col("times").cast("int").alias("times"))
 
 

@@ -150,13 +150,13 @@ def occurrences(text: Column, part: Column) -> Column:
     return F.when(F.length(part) > 0, (removed / F.length(part)).cast("bigint"))
 
 
-def embedded_once(documents: DataFrame, sources: DataFrame, keys: Sequence[str], text: str = "text", part: str = "part") -> DataFrame:
+def embedded_once(documents: DataFrame, sources: DataFrame, keys: Sequence[str], text: str = "text", part: str = "part", carry: Sequence[str] | None = None) -> DataFrame:
     """Sources a document does not contain exactly once; HTML comments do not count as text.
 
-    All sources of a document are counted in one sweep over it.
+    All sources of a document are counted in one sweep over it.  ``carry`` names the columns of sources that are wanted, if not all.
     """
-    visible = documents.select(*keys, F.regexp_replace(text, r"(?s)<!--.*?-->", "").alias("__doc"))
-    return sweep.counted(visible, sources, keys, "__doc", part).filter("times <> 1")
+    shown = F.when(F.contains(F.col(text), F.lit("<!--")), F.regexp_replace(text, r"(?s)<!--.*?-->", "")).otherwise(F.col(text))
+    return sweep.counted(documents.select(*keys, shown.alias("__doc")), sources, keys, "__doc", part, carry=carry).filter("times <> 1")
 
 
 def verified_records(records: DataFrame, manifest: DataFrame, keys: Sequence[str], name: str = "name", content: str = "content") -> DataFrame:
