@@ -156,6 +156,7 @@ def counted(documents: DataFrame, sources: DataFrame, keys: Sequence[str], text:
     once; documents that share their keys are counted each by itself.  Texts stay where their documents and sources are
     read: marks and counts are what is exchanged, and only the few documents with more than ``at_most`` parts are broadcast.
     With ``carry``, only keys, these columns and times are returned; they travel with the marks, so sources are not read again.
+    Rows alike in keys, part and carried columns then come in one list, whatever their number.
     """
     asked = sources.withColumn("__sha", F.coalesce(F.sha2(part, 256), F.lit("")))
     own = list(carry or ())
