@@ -232,8 +232,7 @@ def result_evidence(spark, sf_dir):
     gaps = cards_.select("ts_code", *[F.lit(False).alias(n) for n, _ in K.CONTRADICTIONS])
     sections = spark.createDataFrame([], "ts_code string, report_year int, report_type string, section_name string, section_text string")
     pages = spark.createDataFrame([("valuation",), ("moat",), ("cycle",)], "page string")
-    found = C.audit(r.select(*KEYS, "text"), _snapshots(spark, sf_dir), facts, facts.select("ts_code", "path"), sections, checklist(spark), pages, gaps)
-    return found.filter(F.col("rule_id").isin("R18", "R19", "R21", "R22", "R23", "R24"))
+    return C.audit(r.select(*KEYS, "text"), _snapshots(spark, sf_dir), facts, facts.select("ts_code", "path"), sections, checklist(spark), pages, gaps, C.EVIDENCE_RULES)
 
 
 # --- the whole contract: one fault for each score ----------------------------------------------

@@ -1,11 +1,9 @@
 """The whole contract of analyst results in one pass: every rule a bit, every document one mask.
 
-The texts are dealt by document once.  What a document asks of other tables - cited paths, the series and sample
-sizes behind them, logged pages, located quotes - leaves as small probes, meets these tables on their own keys
-and comes back by document: the second and last exchange of that kind.  From then on a document is one row with
-all that is known about it.  Rules on form, tables, citations and assertions are expressions over its array of lines; the lines
-are exploded once, for the numbers, whose context needs windows in the same partitioning; the rules on numbers
-and the mask of the rest meet in one aggregate.
+What is known of a company - facts, paths, its snapshot and gaps, narrative rows whose quotes stand in its reports - is
+one row; documents are dealt by company and meet it there once.  The rules on form are expressions over the text; all
+others look at its lines, which ``judging`` reads once.  What a document says in numbers and which pages it logs comes
+back line by line, narrow, and meets in one aggregate by document.
 """
 
 from __future__ import annotations
@@ -15,21 +13,20 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerlens.functions import values as V
 from ledgerlens.operators import claims as K
 from ledgerlens.operators import documents as D
+from ledgerlens.operators import judging as J
 from ledgerlens.operators import lines as L
 from ledgerlens.operators import quotes as Q
+from ledgerlens.operators.judging import RULES, bit
+from ledgerlens.runtime import materialize
 
 KEYS = ("ts_code", "expert_id")
 COMPANY = "ts_code"
-RULES = tuple(f"R{i}" for i in range(2, 25))
-SERIES = "[*]"
-KNOWN = "struct<is_fact:boolean,fact:double,unit:string,enough:boolean>"
-
-
-def bit(rule: str) -> int:
-    return 1 << RULES.index(rule)
+#: Rules that lines, tables, citations and numbers decide; the others are rules on form.
+EVIDENCE_RULES = ("R18", "R19", "R21", "R22", "R23", "R24")
+#: Bytes of one Arrow batch to a Python worker, unless the session has a size of its own.
+BATCH_SIZE = ("spark.sql.execution.arrow.maxBytesPerBatch", "4m")
 
 
 def mask(checks: Sequence[tuple[str, Column]]) -> Column:
@@ -40,224 +37,56 @@ def mask(checks: Sequence[tuple[str, Column]]) -> Column:
     return out
 
 
-# --- what a document asks -------------------------------------------------------------
-
-
-def series_of(path: Column) -> Column:
-    return F.regexp_replace(path, r"\[\d+\]", SERIES)
-
-
-def size_path(path: Column) -> Column:
-    """Where the sample size of a peer statistic stands; NULL for other paths."""
-    stat = path.rlike(r"^industry\.industry_stats\.[^.]+\.(?:mean|median|p25|p75)$")
-    return F.when(stat, F.regexp_replace(path, r"\.(?:mean|median|p25|p75)$", ".count"))
-
-
-def known_facts(facts: DataFrame, paths: DataFrame) -> DataFrame:
-    """What is known of each path: a fact with its value, or only that it exists; of every indexed series its number of points."""
-    def known(df: DataFrame, path: Column, *parts: Column) -> DataFrame:
-        return df.select(COMPANY, path.alias("path"), F.struct(*parts).cast(KNOWN).alias("known"))
-    no = F.lit(None)
-    single = known(K.with_sample_check(facts, facts, [COMPANY]), F.col("path"), F.lit(True), F.col("value"), F.col("unit"), F.col("enough"))
-    bare = known(paths, F.col("path"), F.lit(False), no, no, F.lit(False))
-    indexed = facts.where(F.col("path").rlike(r"\[\d+\]")).groupBy(COMPANY, series_of(F.col("path")).alias("path")).agg(F.count(F.lit(1)).alias("n"))
-    series = known(indexed, F.col("path"), F.lit(False), F.col("n"), no, F.lit(False))
-    # one entry for each path, a fact before a bare path
-    return single.unionByName(bare).unionByName(series).groupBy(COMPANY, "path").agg(F.max("known").alias("known"))
-
-
-def logged_pages(text: Column) -> Column:
-    cell = lambda row: L.cells(row)
-    rows = F.filter(L.region(text, D.KNOWLEDGE_LOG), lambda s: s.startswith("|"))
-    rows = F.filter(F.transform(rows, cell), lambda c: (F.size(c) >= 2) & F.try_element_at(c, F.lit(1)).rlike(r"^\d+$"))
-    return F.array_distinct(F.transform(rows, lambda c: F.regexp_replace(
-        L.strip(F.regexp_replace(F.try_element_at(c, F.lit(2)), "^`+|`+$", "")), r"^wiki:\s*|\.md$", "")))
-
-
-def answers(placed: DataFrame, facts: DataFrame, paths: DataFrame, pages: DataFrame, cards: DataFrame, sections: DataFrame) -> DataFrame:
-    """Per document: known facts by path, logged pages that exist, narrative rows whose quotes hold, the company's card."""
-    shaped = F.regexp_extract_all("text", F.lit(f"({K.PATH})"), F.lit(1))
-    asked = F.array_distinct(F.concat(F.flatten("cited"), shaped))
-    asked = F.array_distinct(F.array_compact(F.concat(asked, F.transform(asked, size_path), F.transform(asked, series_of))))
-    # one probe without a path, so that every document gets its card
-    probes = placed.select(*KEYS, F.explode(F.concat(F.array(F.lit("")), asked)).alias("path"))
-    # tables with rows for every company look small to the planner in their compressed files; they are sorted, not sent to the driver
-    met = probes.join(known_facts(facts, paths).hint("merge"), [COMPANY, "path"], "left").where("path = '' or known is not null")
-    met = met.join(cards.hint("merge"), COMPANY, "left").select(*KEYS, F.when(F.col("path") != "", F.struct("path", "known")).alias("fact"),
-                                                  F.when(F.col("path") == "", F.struct(*cards.drop(COMPANY).columns)).alias("card"))
-    names = F.broadcast(pages.select(F.regexp_replace("page", r"\.md$", "").alias("page")).distinct())
-    read = placed.select(*KEYS, F.explode(logged_pages(F.col("text"))).alias("page")).join(names, "page").select(*KEYS, "page")
-    held = Q.held_rows(Q.quote_rows(placed, KEYS), sections, KEYS, COMPANY).select(*KEYS, "row")
-    every = met.unionByName(read, allowMissingColumns=True).unionByName(held, allowMissingColumns=True)
-    return every.groupBy(*KEYS).agg(
-        F.map_from_entries(F.collect_list("fact")).alias("known"), F.max("card").alias("card"),
-        F.count("page").alias("pages"), F.collect_set("row").alias("quoted"))
-
-
-# --- rules on documents --------------------------------------------------------------------
-
-
-def form_checks() -> list[tuple[str, Column]]:
-    return D.form_checks({c: F.col(f"card.{c}") for c in ("data_date", "analysis_date", "batch_id")})
-
-
-def exists_in(known: str, path: Column) -> Column:
-    """Whether a cited path exists; the counts of series are no paths."""
-    return ~path.contains(SERIES) & F.try_element_at(F.col(known), path).isNotNull()
-
-
-def fact_of(path: Column) -> Column:
-    return F.try_element_at(F.col("known"), path)
-
-
-def is_fact(path: Column) -> Column:
-    return F.coalesce(fact_of(path)["is_fact"] & fact_of(path)["fact"].isNotNull(), F.lit(False))
-
-
-def found_items() -> Column:
-    """The first row of each expected item, where it holds."""
-    first = F.transform("expected", lambda e: F.struct(
-        e["terms"].alias("terms"), e["token_groups"].alias("groups"), F.try_element_at(F.filter("recorded", lambda r: r["item"] == e["item"]), F.lit(1)).alias("row")))
-    held = F.filter(first, lambda j: D.item_holds(j["row"]["status"], j["row"]["evidence"], j["row"]["conclusion"], j["terms"], j["groups"]))
-    return F.transform(held, lambda j: j["row"]["evidence"])
+def known(facts: DataFrame, paths: DataFrame, snapshots: DataFrame, gaps: DataFrame, held: DataFrame) -> DataFrame:
+    """One row per company with all that its documents are judged by: no more than one company's data and the rows of its documents."""
+    no_gap = F.lit(False)
+    parts = [
+        facts.select(COMPANY, F.struct("path", F.col("value").cast("double").alias("value"), F.col("unit").cast("string").alias("unit")).alias("fact")),
+        paths.select(COMPANY, F.col("path").alias("bare")),
+        snapshots.select(COMPANY, F.struct("data_date", "analysis_date", "batch_id").alias("snapshot")),
+        gaps.select(COMPANY, F.array(*[F.coalesce(n, no_gap) for n, _ in K.CONTRADICTIONS]).alias("gaps")),
+        held.select(COMPANY, F.struct("expert_id", "row").alias("held")),
+    ]
+    rows = parts[0]
+    for p in parts[1:]:
+        rows = rows.unionByName(p, allowMissingColumns=True)
+    return rows.groupBy(COMPANY).agg(F.collect_list("fact").alias("facts"), F.collect_set("bare").alias("bare"), F.max("snapshot").alias("snapshot"),
+                                     F.max("gaps").alias("gaps"), F.collect_list("held").alias("held"))
 
 
-def table_checks() -> list[tuple[str, Column]]:
-    """Needs ``evidence``, that of the items found, ``evidence_paths`` and ``filled``."""
-    count = F.size("evidence")
-    weak = (F.size("expected") > 0) & ((F.round(count / F.size("expected") * 100, 1) < 80) | (count < 1))
-    reused = (count > 0) & (F.size(F.array_distinct(F.transform("evidence", D.evidence_atoms))) < F.least(F.lit(3), count))
-    wrong = F.exists("evidence_paths", lambda p: D.outside_domain(F.col("expert_id"), p) | ~exists_in("known", p))
-    return [("R18", F.col("filled") < 3), ("R19", F.col("pages") < 3), ("R21", weak), ("R22", reused | wrong), ("R22", F.col("verified") < 3)]
-
-
-def formula_specs(tags: Column) -> Column:
-    """Formulas with the values of what they cite."""
-    inputs = lambda t: F.regexp_extract_all(F.regexp_extract(t, r"(?s);(.*)$", 1), F.lit(f"({K.PATH})"), F.lit(1))
-    return F.transform(tags, lambda t: F.struct(L.strip(F.regexp_extract(t, r"(?s)^([^;]*)", 1)).alias("formula"), inputs_of(inputs(t)).alias("inputs")))
-
-
-def citation_checks() -> list[tuple[str, Column]]:
-    unknown = F.exists("cited", lambda c: F.exists(c, lambda p: ~exists_in("known", p)))
-    return [("R23", unknown), ("R23", F.exists("recomputed", lambda x: x.isNull()))]
-
-
-def inputs_of(paths: Column) -> Column:
-    """The values behind paths, or none at all if one is missing."""
-    return F.when(F.forall(paths, is_fact), F.transform(paths, lambda p: fact_of(p)["fact"])).otherwise(F.array().cast("array<double>"))
-
-
-def said_lines() -> dict[str, Column]:
-    """Lines that assert something, with what they cite, and lines that may contradict a gap: few, found by one search each."""
-    either = lambda rules, at: "|".join(f"(?:{r[at]})" for r in rules)
-    zipped = F.arrays_zip(F.col("lines").alias("line"), F.col("cited").alias("cited"))
-    return {"asserting": F.filter(zipped, lambda z: z["line"].rlike(either(K.ASSERTIONS, 0))),
-            "doubtful": F.filter("lines", lambda x: x.rlike(either(K.CONTRADICTIONS, 1)))}
-
-
-def assertion_checks() -> list[tuple[str, Column]]:
-    def backed(label: str, paths: Column) -> Column:
-        cited = F.array_distinct(paths)
-        if label == "industry":
-            peer = F.filter(cited, lambda p: p.startswith("industry."))
-            big = lambda p: F.coalesce(fact_of(size_path(p))["fact"] >= K.MIN_PEERS, F.lit(False))
-            return (F.size(peer) > 0) & F.forall(peer, lambda p: size_path(p).isNull() | big(p))
-        if label == "history":
-            past = F.filter(cited, lambda p: F.greatest(*[p.startswith(s) for s in K.HISTORY_SECTIONS]))
-            return F.exists(F.array_distinct(F.transform(past, series_of)), lambda s: whole_series(past, s))
-        return F.lit(False)
-
-    def whole_series(past: Column, series: Column) -> Column:
-        places = F.filter(past, lambda p: series_of(p) == series)
-        points = F.coalesce(fact_of(series)["fact"], F.lit(0.0))
-        there = F.filter(places, lambda p: F.coalesce(fact_of(p)["is_fact"], F.lit(False)))
-        return (F.size(places) >= 2) & (F.size(there) >= points)
-
-    def loose(pattern: str, label: str) -> Column:
-        return F.exists("asserting", lambda z: z["line"].rlike(pattern) & ~backed(label, z["cited"]))
-
-    gap = lambda n: F.coalesce(F.col(f"card.{n}"), F.lit(False))
-    clause = lambda c: ~c.rlike(K.HEDGES) & F.greatest(F.lit(False), *[gap(n) & c.rlike(p) for n, p in K.CONTRADICTIONS])
-    return [*[("R24", loose(pattern, label)) for pattern, label in K.ASSERTIONS],
-            ("R24", F.exists("doubtful", lambda x: F.exists(F.split(x, K.CLAUSE_END), clause)))]
-
-
-# --- rules on numbers -----------------------------------------------------------------------
-
-
-def traced(numbers: DataFrame) -> DataFrame:
-    """Numbers with the paths that carry them: those cited if one fits, else the inputs of the first formula that does."""
-    with_words = K.with_labels(numbers).withColumn("decimals", V.shown_decimals("raw"))
-    same = lambda x: V.display_equal(F.col("value"), x, F.col("decimals"))
-    sound = lambda p: is_fact(p) & F.coalesce(fact_of(p)["enough"], F.lit(False))
-    direct = F.filter("sources", lambda p: sound(p) & (fact_of(p)["unit"] == F.col("unit")) & same(fact_of(p)["fact"]) & K.meaning_ok(F.col("labels"), p))
-    ready = lambda f: (F.size(f["inputs"]) > 0) & F.forall(f["inputs"], sound) \
-        & ((F.size(f["inputs"]) != 1) | K.meaning_ok(F.col("labels"), F.try_element_at(f["inputs"], F.lit(1))))
-    spec = lambda f: F.struct(f["formula"].alias("formula"), F.transform(f["inputs"], lambda p: fact_of(p)["fact"]).alias("inputs"))
-    stepped = with_words.withColumn("direct", direct).withColumn("tried", F.when(F.size("direct") > 0, F.array().cast(numbers.schema["formulas"].dataType)).otherwise(F.filter("formulas", ready)))
-    stepped = stepped.withColumn("results", K.recomputed(F.transform("tried", spec)))
-    fits = lambda f, r: r.isNotNull() & same(r) & (K.formula_unit(f["formula"], F.transform(f["inputs"], lambda p: fact_of(p)["unit"])) == F.col("unit"))
-    derived = F.filter(F.arrays_zip(F.col("tried").alias("f"), F.col("results").alias("r")), lambda z: fits(z["f"], z["r"]))
-    return stepped.withColumn("carried", F.when(F.size("direct") > 0, F.col("direct")).otherwise(
-        F.coalesce(F.try_element_at(derived, F.lit(1))["f"]["inputs"], F.array().cast("array<string>"))))
-
-
-def number_checks(judged: DataFrame) -> DataFrame:
-    """(keys, mask): the mask of each document joined by the rules on its numbers."""
-    zipped = F.arrays_zip(F.col("lines").alias("raw_line"), F.col("cited").alias("cited"))
-    line = judged.select(*KEYS, "mask", "known", F.posexplode(zipped).alias("at", "z"))
-    shaped = F.when(F.col("z.raw_line").contains("["), F.regexp_extract_all("z.raw_line", F.lit(f"({K.PATH})"), F.lit(1))).otherwise(F.array().cast("array<string>"))
-    line = line.select(*KEYS, "mask", (F.col("at") + 1).alias("line"), "z.raw_line", L.strip(F.col("z.raw_line")).alias("stripped"), F.concat("z.cited", shaped).alias("here"), "known")
-    # of the facts, a line takes along those that it cites
-    near = F.when(F.size("here") > 0, F.map_filter("known", lambda k, v: F.array_contains("here", k)))
-    line = line.withColumn("known", near).drop("here", "raw_line")
-    # the first line stands for the document, so that none is lost; of the others only those with numbers go on
-    first = F.col("line") == 1
-    rows = L.in_context(line, KEYS).where(first | K.holds_numbers())
-    seen = rows.withColumn("numbers", K.scanned(F.when(K.holds_numbers(), F.col("stripped"))))
-    itself = F.when(first, F.array(F.lit(None).cast(K.TOKENS.elementType))).otherwise(F.array().cast(K.TOKENS))
-    found = K.with_category(seen.withColumn("t", F.explode(F.concat(itself, "numbers"))))
-    columns = [F.col(f"t.{c}").alias(c) for c in ("value", "unit", "raw", "sources", "formulas", "local_prefix")]
-    counts = F.coalesce(F.col("t").isNotNull() & F.col("is_claim") & (F.col("category") == "data"), F.lit(False))
-    checked = traced(found.where(counts | F.col("t").isNull()).select(*KEYS, "mask", "known", counts.alias("data"), *columns))
-    is_traced = F.coalesce(F.size("carried"), F.lit(0)) > 0
-    per = checked.groupBy(*KEYS).agg(
-        F.max("mask").alias("mask"), F.count_if("data").alias("data_numbers"), F.count_if(F.col("data") & is_traced).alias("traced"),
-        F.size(F.array_distinct(F.flatten(F.collect_list(F.when(F.col("data") & is_traced, F.col("carried")))))).alias("paths"))
-    broad = (F.col("data_numbers") >= 5) & (F.col("traced") >= 5) & (F.col("paths") >= 3)
-    return per.select(*KEYS, F.col("mask").bitwiseOR(mask([("R24", ~broad | (F.col("traced") < F.col("data_numbers")))])).alias("mask"))
-
-
-# --- all ------------------------------------------------------------------------------------
-
-
-def masks(docs: DataFrame, snapshots: DataFrame, facts: DataFrame, paths: DataFrame, sections: DataFrame, checklist: DataFrame, pages: DataFrame, gaps: DataFrame) -> DataFrame:
-    """ts_code, expert_id, mask of every result (ts_code, expert_id, text; one row each).
+def masks(docs: DataFrame, snapshots: DataFrame, facts: DataFrame, paths: DataFrame, sections: DataFrame, checklist: DataFrame, pages: DataFrame, gaps: DataFrame,
+          rules: Sequence[str] = RULES) -> DataFrame:
+    """ts_code, expert_id, mask of every result (ts_code, expert_id, text; one row each); runs a job that stores the rows that quote.
 
     ``snapshots``: data_date, analysis_date, batch_id per company; ``gaps``: the missing data per company that
     ``claims.contradictions`` looks at.  Null texts count as empty; a company without snapshot disagrees with every date.
+    The rules on form are left out of masks if ``rules`` has none of them.
     """
+    spark = docs.sparkSession
+    if spark.sparkContext.getConf().get(BATCH_SIZE[0]) is None:
+        spark.conf.set(*BATCH_SIZE)
     # a number of its own: partitions small in bytes are heavy in searches, and must not be put together
-    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    placed = docs.select(*KEYS, F.coalesce("text", F.lit("")).alias("text")).repartition(parts, *KEYS)
-    placed = placed.withColumn("lines", F.split("text", r"\R")).withColumn("cited", F.transform("lines", K.cited_paths))
-    cards = snapshots.select(COMPANY, "data_date", "analysis_date", "batch_id").join(gaps, COMPANY, "full")
-    items = D.item_terms(checklist).groupBy("expert_id").agg(F.collect_list(F.struct("item", "terms", "token_groups")).alias("expected"))
-    asked = answers(placed, facts, paths, pages, cards, sections)
-    whole = placed.join(asked.hint("merge"), list(KEYS)).join(F.broadcast(items), "expert_id", "left")
-    whole = whole.withColumn("expected", F.coalesce("expected", F.array().cast(items.schema["expected"].dataType)))
-    # each step a column of its own, so that nothing is searched twice
-    tags = F.flatten(F.transform("lines", lambda x: F.when(x.contains("["), F.regexp_extract_all(x, F.lit(K.CALC_TAG), F.lit(1))).otherwise(F.array().cast("array<string>"))))
-    whole = whole.withColumns({
-        "verified": Q.verified_rows(F.col("text"), F.col("quoted"), lambda p: exists_in("known", p)),
-        "filled": F.size(F.filter(L.region(F.col("text"), D.NARRATIVE), L.filled_row)),
-        "recorded": D.recorded_items(F.col("lines")), "specs": formula_specs(tags), **said_lines(),
-    }).withColumns({"evidence": found_items(), "recomputed": K.recomputed(F.col("specs"))})
-    paths_of = lambda e: F.regexp_extract_all(e, F.lit(f"({K.PATH})"), F.lit(1))
-    whole = whole.withColumn("evidence_paths", F.flatten(F.transform("evidence", paths_of)))
-    stated = L.expert_fields(whole, KEYS).withColumns(D.form_columns(F.col("text")))
-    checks = [*form_checks(), *table_checks(), *citation_checks(), *assertion_checks()]
-    return number_checks(stated.select(*KEYS, "lines", "cited", "known", mask(checks).alias("mask")))
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    placed = docs.where(" and ".join(f"{k} is not null" for k in KEYS)).select(*KEYS, F.coalesce("text", F.lit("")).alias("text")).repartition(parts, COMPANY)
+    # narrow and asked for several times: stored, so that narrative tables are read once
+    quotes = materialize(Q.quote_rows(placed, KEYS), "quotes")
+    held = Q.held_rows(quotes, sections, KEYS, COMPANY).select(*KEYS, "row")
+    items = D.item_terms(checklist).groupBy("expert_id").agg(F.to_json(F.collect_list(F.struct("item", "terms", "token_groups"))).alias("expected"))
+    # tables with rows for every company look small to the planner in their compressed files; they are sorted, not sent to the driver
+    whole = placed.join(known(facts, paths, snapshots, gaps, held).hint("merge"), COMPANY, "left").join(F.broadcast(items), "expert_id", "left")
+    form = F.lit(0).cast("long")
+    if not set(rules) <= set(EVIDENCE_RULES):
+        whole = L.expert_fields(whole, KEYS).withColumns(D.form_columns(F.col("text")))
+        form = mask(D.form_checks({c: F.col(f"snapshot.{c}") for c in ("data_date", "analysis_date", "batch_id")}))
+    judged = whole.select(*KEYS, "text", form.alias("mask"), "expected", "gaps", "facts", "bare", "held").mapInArrow(J.judged, J.JUDGED)
+    # the first line stands for the document, so that none is lost; of the others only those with numbers go on, and the pages
+    rows = judged.where((F.col("line") == 1) | ((F.col("data") > 0) | F.col("page").isNotNull()))
+    names = pages.select(F.regexp_replace("page", r"\.md$", "").alias("page")).distinct().withColumn("real", F.lit(True))
+    per = rows.join(F.broadcast(names), "page", "left").groupBy(*KEYS).agg(
+        F.max("mask").alias("mask"), *[F.sum(c).alias(c) for c in ("data", "traced", "paths")], F.count("real").alias("pages"))
+    broad = (F.col("data") >= 5) & (F.col("traced") >= 5) & (F.col("paths") >= 3)
+    more = mask([("R19", F.col("pages") < 3), ("R24", ~broad | (F.col("traced") < F.col("data")))])
+    return per.select(*KEYS, F.col("mask").bitwiseOR(more).alias("mask"))
 
 
 def broken_rules(masked: DataFrame) -> DataFrame:
@@ -266,6 +95,8 @@ def broken_rules(masked: DataFrame) -> DataFrame:
     return masked.select(*KEYS, F.explode(rules).alias("rule_id"))
 
 
-def audit(docs: DataFrame, snapshots: DataFrame, facts: DataFrame, paths: DataFrame, sections: DataFrame, checklist: DataFrame, pages: DataFrame, gaps: DataFrame) -> DataFrame:
-    """All broken rules R2 to R24 of all results."""
-    return broken_rules(masks(docs, snapshots, facts, paths, sections, checklist, pages, gaps))
+def audit(docs: DataFrame, snapshots: DataFrame, facts: DataFrame, paths: DataFrame, sections: DataFrame, checklist: DataFrame, pages: DataFrame, gaps: DataFrame,
+          rules: Sequence[str] = RULES) -> DataFrame:
+    """All broken rules R2 to R24 of all results, or those of ``rules``."""
+    found = broken_rules(masks(docs, snapshots, facts, paths, sections, checklist, pages, gaps, rules))
+    return found if set(rules) == set(RULES) else found.where(F.col("rule_id").isin(*rules))

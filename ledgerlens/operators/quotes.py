@@ -20,7 +20,8 @@ from ledgerlens.operators import claims as K
 from ledgerlens.operators import lines as L
 
 NARRATIVE = "## 叙事–数据交叉验证"  # fixed value
-LOCATOR = r"年报:(\d{4})/([^|`；、\s/]+)/([^|`；、\s）)]+)"
+LOCATOR_HEAD = "年报:"
+LOCATOR = rf"{LOCATOR_HEAD}(\d{{4}})/([^|`；、\s/]+)/([^|`；、\s）)]+)"
 NOT_WORD = r"[^\w一-鿿]"
 WIDTH = 6
 MANY = 100
@@ -33,21 +34,41 @@ def bare(text: Column) -> Column:
 
 def narrative_rows(text: Column) -> Column:
     """Numbered rows of the narrative table: row, field_cell, locators, chunks (quoted passages, bare) and cited paths."""
-    def parts(s: Column, i: Column) -> Column:
-        cell = L.cells(s)
-        said = F.coalesce(F.try_element_at(cell, F.lit(2)), F.lit(""))
-        quoted = F.flatten(F.transform(F.regexp_extract_all(said, F.lit(r"[“\"]([^”\"]+)[”\"]"), F.lit(1)), lambda q: F.split(q, r"…+|\.{3,}")))
+    def parts(r: Column, cell: Column) -> Column:
         return F.struct(
-            i.alias("row"), F.coalesce(F.try_element_at(cell, F.lit(3)), F.lit("")).alias("field_cell"),
-            F.array_distinct(F.regexp_extract_all(s, F.lit(f"({LOCATOR})"), F.lit(1))).alias("locators"),
-            F.array_distinct(F.filter(F.transform(quoted, bare), lambda c: F.length(c) >= WIDTH)).alias("chunks"),
-            F.array_distinct(K.cited_paths(s)).alias("cited"), s.alias("line"))
-    return F.filter(F.transform(L.region(text, NARRATIVE), parts), lambda r: r["line"].rlike(r"^\|\s*\d+\s*\|"))
+            r["row"].alias("row"), F.coalesce(F.try_element_at(cell, F.lit(3)), F.lit("")).alias("field_cell"), locators(r["line"]).alias("locators"),
+            chunks(cell).alias("chunks"), F.array_distinct(K.cited_paths(r["line"])).alias("cited"), r["line"].alias("line"))
+    return _each(_numbered(text), parts)
+
+
+def _numbered(text: Column) -> Column:
+    """Numbered lines below the heading with their place among all lines there."""
+    lines = F.transform(L.region(text, NARRATIVE), lambda s, i: F.struct(i.alias("row"), s.alias("line")))
+    return F.filter(lines, lambda r: r["line"].rlike(r"^\|\s*\d+\s*\|"))
+
+
+def _each(rows: Column, parts: Callable[[Column, Column], Column]) -> Column:
+    """``parts`` of each row and its cells, which are parted once: an array of one."""
+    return F.flatten(F.transform(rows, lambda r: F.transform(F.array(L.cells(r["line"])), lambda cell: parts(r, cell))))
+
+
+def locators(line: Column) -> Column:
+    return F.array_distinct(F.regexp_extract_all(line, F.lit(f"({LOCATOR})"), F.lit(1)))
+
+
+def chunks(cell: Column) -> Column:
+    """The quoted passages of the second cell, bare, that are long enough to be looked for."""
+    said = F.coalesce(F.try_element_at(cell, F.lit(2)), F.lit(""))
+    quoted = F.flatten(F.transform(F.regexp_extract_all(said, F.lit(r"[“\"]([^”\"]+)[”\"]"), F.lit(1)), lambda q: F.split(q, r"…+|\.{3,}")))
+    return F.array_distinct(F.filter(F.transform(quoted, bare), lambda c: F.length(c) >= WIDTH))
 
 
 def quote_rows(docs: DataFrame, keys: Sequence[str], more: Sequence[str] = (), text: str = "text") -> DataFrame:
     """One row per narrative row and locator: row, chunks, year, kind and section."""
-    rows = docs.select(*keys, *more, F.explode(narrative_rows(F.col(text))).alias("r")).select(*keys, *more, "r.row", "r.chunks", F.explode("r.locators").alias("locator"))
+    # every locator begins alike, so that lines without one are not taken apart
+    located = F.filter(_numbered(F.col(text)), lambda r: r["line"].contains(LOCATOR_HEAD))
+    found = _each(located, lambda r, cell: F.struct(r["row"].alias("row"), chunks(cell).alias("chunks"), locators(r["line"]).alias("locators")))
+    rows = docs.select(*keys, *more, F.explode(found).alias("r")).select(*keys, *more, "r.row", "r.chunks", F.explode("r.locators").alias("locator"))
     part = lambda i: F.regexp_extract("locator", LOCATOR, i)
     section = F.regexp_replace(part(3), r"^第[^\s“\"]{0,12}节|[“”\"]", "")
     return rows.where(F.size("chunks") > 0).select(*keys, *more, "row", "chunks", part(1).alias("year"), part(2).alias("kind"), section.alias("section"))
