@@ -85,13 +85,18 @@ _RESULT_TEXT = f"concat_ws(chr(10), {', '.join(_RESULT_LINES)})"
 RESULTS_A_TASK = 5_000
 
 
+def result_tasks(spark: SparkSession, sf_dir: str) -> int:
+    """Partitions by run in which ``results`` lie."""
+    return max(1, -(-runs.tables(spark, sf_dir)["expert_results"].count() // RESULTS_A_TASK))
+
+
 def results(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One analyst result document per run and role; the run id stands for the company code.
 
     Runs are dealt as narrow rows and the texts are made behind the exchange, so what follows by run or by document stays in the task.
     """
     r = runs.tables(spark, sf_dir)["expert_results"].withColumnsRenamed({"conclusion_direction": "dir"})
-    r = r.repartition(max(1, -(-r.count() // RESULTS_A_TASK)), "run_id").withColumn("day", F.date_format("created_at", "yyyyMMdd"))
+    r = r.repartition(result_tasks(spark, sf_dir), "run_id").withColumn("day", F.date_format("created_at", "yyyyMMdd"))
     return r.select(F.col("run_id").alias("ts_code"), "expert_id", F.expr(_RESULT_TEXT).alias("text"), "industry", "day")
 
 
@@ -232,7 +237,7 @@ def result_evidence(spark, sf_dir):
     gaps = cards_.select("ts_code", *[F.lit(False).alias(n) for n, _ in K.CONTRADICTIONS])
     sections = spark.createDataFrame([], "ts_code string, report_year int, report_type string, section_name string, section_text string")
     pages = spark.createDataFrame([("valuation",), ("moat",), ("cycle",)], "page string")
-    return C.audit(r.select(*KEYS, "text"), _snapshots(spark, sf_dir), facts, facts.select("ts_code", "path"), sections, checklist(spark), pages, gaps, C.EVIDENCE_RULES)
+    return C.audit(r.select(*KEYS, "text"), _snapshots(spark, sf_dir), facts, facts.select("ts_code", "path"), sections, checklist(spark), pages, gaps, C.EVIDENCE_RULES, result_tasks(spark, sf_dir))
 
 
 # --- the whole contract: one fault for each score ----------------------------------------------

@@ -37,43 +37,49 @@ def mask(checks: Sequence[tuple[str, Column]]) -> Column:
     return out
 
 
-def known(facts: DataFrame, paths: DataFrame, snapshots: DataFrame, gaps: DataFrame, held: DataFrame) -> DataFrame:
-    """One row per company with all that its documents are judged by: no more than one company's data and the rows of its documents."""
+def known(facts: DataFrame, paths: DataFrame, snapshots: DataFrame, gaps: DataFrame, held: DataFrame, parts: int) -> DataFrame:
+    """One row per company with all that its documents are judged by: no more than one company's data and the rows of its documents.
+
+    It lies as the documents do, in ``parts`` partitions by company; otherwise the planner may exchange their texts instead.
+    """
     no_gap = F.lit(False)
-    parts = [
+    sides = [
         facts.select(COMPANY, F.struct("path", F.col("value").cast("double").alias("value"), F.col("unit").cast("string").alias("unit")).alias("fact")),
         paths.select(COMPANY, F.col("path").alias("bare")),
         snapshots.select(COMPANY, F.struct("data_date", "analysis_date", "batch_id").alias("snapshot")),
         gaps.select(COMPANY, F.array(*[F.coalesce(n, no_gap) for n, _ in K.CONTRADICTIONS]).alias("gaps")),
         held.select(COMPANY, F.struct("expert_id", "row").alias("held")),
     ]
-    rows = parts[0]
-    for p in parts[1:]:
-        rows = rows.unionByName(p, allowMissingColumns=True)
-    return rows.groupBy(COMPANY).agg(F.collect_list("fact").alias("facts"), F.collect_set("bare").alias("bare"), F.max("snapshot").alias("snapshot"),
+    rows = sides[0]
+    for side in sides[1:]:
+        rows = rows.unionByName(side, allowMissingColumns=True)
+    return rows.repartition(parts, COMPANY).groupBy(COMPANY).agg(F.collect_list("fact").alias("facts"), F.collect_set("bare").alias("bare"), F.max("snapshot").alias("snapshot"),
                                      F.max("gaps").alias("gaps"), F.collect_list("held").alias("held"))
 
 
 def masks(docs: DataFrame, snapshots: DataFrame, facts: DataFrame, paths: DataFrame, sections: DataFrame, checklist: DataFrame, pages: DataFrame, gaps: DataFrame,
-          rules: Sequence[str] = RULES) -> DataFrame:
+          rules: Sequence[str] = RULES, dealt: int | None = None) -> DataFrame:
     """ts_code, expert_id, mask of every result (ts_code, expert_id, text; one row each); runs a job that stores the rows that quote.
 
     ``snapshots``: data_date, analysis_date, batch_id per company; ``gaps``: the missing data per company that
     ``claims.contradictions`` looks at.  Null texts count as empty; a company without snapshot disagrees with every date.
-    The rules on form are left out of masks if ``rules`` has none of them.
+    The rules on form are left out of masks if ``rules`` has none of them.  ``dealt``: documents lie by company already, in
+    that many partitions, so their texts need not be exchanged.
     """
     spark = docs.sparkSession
     if spark.sparkContext.getConf().get(BATCH_SIZE[0]) is None:
         spark.conf.set(*BATCH_SIZE)
+    placed = docs.where(" and ".join(f"{k} is not null" for k in KEYS)).select(*KEYS, F.coalesce("text", F.lit("")).alias("text"))
     # a number of its own: partitions small in bytes are heavy in searches, and must not be put together
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    placed = docs.where(" and ".join(f"{k} is not null" for k in KEYS)).select(*KEYS, F.coalesce("text", F.lit("")).alias("text")).repartition(parts, COMPANY)
+    parts = dealt or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    if not dealt:
+        placed = placed.repartition(parts, COMPANY)
     # narrow and asked for several times: stored, so that narrative tables are read once
     quotes = materialize(Q.quote_rows(placed, KEYS), "quotes")
     held = Q.held_rows(quotes, sections, KEYS, COMPANY).select(*KEYS, "row")
     items = D.item_terms(checklist).groupBy("expert_id").agg(F.to_json(F.collect_list(F.struct("item", "terms", "token_groups"))).alias("expected"))
     # tables with rows for every company look small to the planner in their compressed files; they are sorted, not sent to the driver
-    whole = placed.join(known(facts, paths, snapshots, gaps, held).hint("merge"), COMPANY, "left").join(F.broadcast(items), "expert_id", "left")
+    whole = placed.join(known(facts, paths, snapshots, gaps, held, parts).hint("merge"), COMPANY, "left").join(F.broadcast(items), "expert_id", "left")
     form = F.lit(0).cast("long")
     if not set(rules) <= set(EVIDENCE_RULES):
         whole = L.expert_fields(whole, KEYS).withColumns(D.form_columns(F.col("text")))
@@ -96,7 +102,7 @@ def broken_rules(masked: DataFrame) -> DataFrame:
 
 
 def audit(docs: DataFrame, snapshots: DataFrame, facts: DataFrame, paths: DataFrame, sections: DataFrame, checklist: DataFrame, pages: DataFrame, gaps: DataFrame,
-          rules: Sequence[str] = RULES) -> DataFrame:
+          rules: Sequence[str] = RULES, dealt: int | None = None) -> DataFrame:
     """All broken rules R2 to R24 of all results, or those of ``rules``."""
-    found = broken_rules(masks(docs, snapshots, facts, paths, sections, checklist, pages, gaps, rules))
+    found = broken_rules(masks(docs, snapshots, facts, paths, sections, checklist, pages, gaps, rules, dealt))
     return found if set(rules) == set(RULES) else found.where(F.col("rule_id").isin(*rules))

@@ -8,6 +8,7 @@ at a time as Python objects; the facts of a company are put in order once for th
 
 from __future__ import annotations
 
+import gc
 import json
 import re
 import sys
@@ -424,6 +425,17 @@ def lists(column: pa.Array) -> tuple[list[int], pa.Array]:
 
 
 def judged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``judged_rows`` without searches for cycles among the many small objects of a stretch: there are none."""
+    searched = gc.isenabled()
+    gc.disable()
+    try:
+        yield from judged_rows(batches)
+    finally:
+        if searched:
+            gc.enable()
+
+
+def judged_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows ``JUDGED`` of documents: keys, text, mask so far, expected items as JSON, gaps, and the facts, paths and held rows of the company."""
     schema = pa.schema([("ts_code", pa.string()), ("expert_id", pa.string()), ("mask", pa.int64()), ("line", pa.int32()), ("data", pa.int32()),
                         ("traced", pa.int32()), ("paths", pa.int32()), ("page", pa.string())])

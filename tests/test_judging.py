@@ -94,3 +94,30 @@ def test_batches_of_any_size(size):
     assert [r["traced"] for r in first] == [1] * 600 + [0] * 2 and {r["data"] for r in first} == {1}
     broken = [r["mask"] & ~1 for r in first]
     assert set(broken[:600]) == {J.R18 | J.R22} and set(broken[600:]) == {J.R18 | J.R22 | J.R23}
+
+
+def test_evidence_rules_alone(spark):
+    """Without rules on form the others say the same, and no front matter is read."""
+    from test_contract import inputs
+
+    docs, cards, facts, sections, checklist, pages, gaps = inputs(spark)
+    rest = (cards, facts, facts.select("ts_code", "path"), sections, checklist, pages, gaps)
+    every = {tuple(r) for r in C.audit(docs, *rest).collect()}
+    some = C.audit(docs, *rest, C.EVIDENCE_RULES)
+    assert {tuple(r) for r in some.collect()} == {r for r in every if r[2] in C.EVIDENCE_RULES} < every
+    assert "conclusion_direction" not in some._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_texts_of_dealt_results_are_not_exchanged(spark, monkeypatch):
+    """Results lie by run where their texts are made; only what is known of their runs comes to them."""
+    monkeypatch.setattr(texts, "RESULTS_A_TASK", 20)
+    plan = texts.result_evidence(spark, SF)._jdf.queryExecution().executedPlan().toString().split("\n")
+    depth = lambda line: len(line) - len(line.lstrip(" :+-"))
+    judge = next(i for i, x in enumerate(plan) if "MapInArrow" in x)
+    made = next(i for i, x in enumerate(plan) if i > judge and "concat_ws" in x)
+    above, at = [], depth(plan[made])
+    for x in reversed(plan[judge + 1 : made]):
+        if depth(x) < at:
+            above.append(x)
+            at = depth(x)
+    assert any("Join" in x for x in above) and not any("Exchange" in x for x in above)
